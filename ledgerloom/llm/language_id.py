@@ -12,6 +12,7 @@ chain is cut into blocks whose transition products are formed side by side, so i
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -219,8 +220,20 @@ def label_batch(crf: Crf, memo: Memo, batch: list[bytes]) -> Iterator[tuple[np.n
         yield gamma[a:b], e[a:b, m] > 0
 
 
+_MEMOS: dict[bytes, Memo] = {}
+
+
 def memo_of(crf: Crf) -> Memo:
-    return Memo(lambda words: [r.tobytes() for r in emissions(words, crf.weights, crf.lexicon)], 400_000)
+    """What a worker learned of words under the same weights, from task to task; of one model at a time."""
+    key = hashlib.sha256(crf.weights.tobytes()).digest()
+    if key not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[key] = _new_memo(crf)
+    return _MEMOS[key]
+
+
+def _new_memo(crf: Crf) -> Memo:
+    return Memo(lambda words: [r.tobytes() for r in emissions(words, crf.weights, crf.lexicon)], 700_000)
 
 
 def identify(df: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ fall back to bytes. That gives exactly the ids of the model, which is of the BPE
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections.abc import Iterator
@@ -221,8 +222,14 @@ def encode_all(model: Model, memo: Memo, batch: list[bytes]) -> Iterator[bytes]:
         yield b"".join(map(memo.__getitem__, cs))
 
 
+@functools.lru_cache(maxsize=1)  # a worker keeps what it learned from task to task
+def loaded(path: str) -> tuple[Model, Memo]:
+    model = Model(path)
+    return model, memo_of(model)
+
+
 def memo_of(model: Model) -> Memo:
-    return Memo(lambda chunks: model.encode_chunks([c if c.startswith(b"\n") else SPACE + c for c in chunks]), 300_000)
+    return Memo(lambda chunks: model.encode_chunks([c if c.startswith(b"\n") else SPACE + c for c in chunks]), 600_000)
 
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,8 +240,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -
     """
 
     def run(batches):
-        m = Model(model)
-        memo = memo_of(m)
+        m, memo = loaded(model)
         for part, chunk in texts(batches):
             ids = [np.frombuffer(b, "<u4").astype(np.int32) for b in encode_all(m, memo, chunk)]
             back = [m.decode(i) == t.decode("utf-8", "replace") for i, t in zip(ids, chunk, strict=True)]
@@ -250,7 +256,7 @@ def decode(df: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") ->
     """Each row's key and ``text``, decoded from an array of ids; null ids give a null text, ids beyond the model fail."""
 
     def run(batches):
-        m = Model(model)
+        m, _ = loaded(model)
         for b in batches:
             out = [None if x is None else m.decode(np.array(x, np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["k", "text"])
