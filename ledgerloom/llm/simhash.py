@@ -2,7 +2,7 @@
 
 A fingerprint bit is 1 if it is set in over half of the shingles' XXH64 values. Two fingerprints within RADIUS bits agree
 on at least one of RADIUS + 1 bands of their 64 bits, so each fingerprint goes to one group for each band value; that
-loses no pair. Within a group the 64 bit planes are stored vertically, a 64-bit word for 64 members, and a member is
+loses no pair. For more fingerprints there are more bands, of which pairs agree on several at once. Within a group the 64 bit planes are stored vertically, a 64-bit word for 64 members, and a member is
 compared with all others at once: the XOR of plane and own bit is added to vertical carry-save counters (three planes that
 count to 4 and one that holds an overflow), and a word of 64 members is abandoned once all of them exceed the radius.
 
@@ -12,6 +12,7 @@ members are dealt into tiles. Links become components by joins of ever smaller l
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from .common import cut
 from .words import texts
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Members of a tile.
-GROUP = 4096
+#: Members of a tile, and of a group as it is meant to be.
+GROUP, CROWD = 4096, 256
 
 
 # --------------------------------------------------------------------------------------------------------- fingerprints
@@ -146,10 +147,22 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+def masks(n: int, radius: int = RADIUS) -> list[int]:
+    """Bit masks such that any two values within the radius agree under one of them: of radius + k blocks of bits, each choice of k.
+
+    k is the smallest (at most 4) with which random values leave about CROWD or fewer of ``n`` in a group, so that groups don't
+    grow with the table; every k finds the same links.
+    """
+    k = next((k for k in range(1, 4) if n >> (64 * k // (radius + k)) <= CROWD), 4)
+    edges = [round(64 * i / (radius + k)) for i in range(radius + k + 1)]
+    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(edges)]
+    every = [sum(c) for c in itertools.combinations(blocks, k)]
+    return [m - (1 << 64) if m >> 63 else m for m in every]  # as signed longs
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a long, b long): links between distinct fingerprints ``fp`` that connect all that are within the radius."""
-    edges = np.linspace(0, 64, radius + 2).round().astype(int).tolist()
-    bands = F.array(*(F.expr(f"named_struct('band', {n}, 'part', shiftrightunsigned(fp, {lo}) & {(1 << (hi - lo)) - 1}L)") for n, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
+    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks(fps.count(), radius))))
     rows = fps.select("fp", F.explode(bands).alias("b")).select("fp", "b.band", "b.part")
     sizes = rows.groupBy("band", "part").agg(F.count("*").alias("n")).filter("n > 1")
     # A group above GROUP members is dealt into tiles, and each pair of tiles is compared in a task of its own.

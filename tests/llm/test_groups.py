@@ -86,9 +86,10 @@ def brute_components(fps):
     return [root(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("tile", [4096, 8])
-def test_components_against_all_pairs(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile,crowd", [(4096, 256), (8, 256), (4096, 0)])
+def test_components_against_all_pairs(spark, monkeypatch, tile, crowd):
     monkeypatch.setattr(H, "GROUP", tile)
+    monkeypatch.setattr(H, "CROWD", crowd)  # 0: bands as for a very large table
     rng = random.Random(7)
     base = [" ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(rng.randint(3, 120))) for _ in range(40)]
     texts = []
@@ -114,6 +115,15 @@ def test_components_against_all_pairs(spark, monkeypatch, tile):
     assert H.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [100, 10**7, 10**10, 10**14])
+def test_masks_lose_no_pair(n):
+    rng = random.Random(n)
+    ms = [m % 2**64 for m in H.masks(n)]
+    for _ in range(300):
+        flips = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(not flips & m for m in ms)
+
+
 def test_bit_slices_of_many_groups():
     rng = np.random.default_rng(1)
     sizes = np.array([1, 70, 5, 129, 3])
