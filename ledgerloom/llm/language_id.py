@@ -233,7 +233,7 @@ def memo_of(crf: Crf) -> Memo:
 
 
 def _new_memo(crf: Crf) -> Memo:
-    return Memo(lambda words: [r.tobytes() for r in emissions(words, crf.weights, crf.lexicon)], 700_000)
+    return Memo(lambda words: [r.tobytes() for r in emissions(words, crf.weights, crf.lexicon)])
 
 
 def identify(df: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,9 +15,11 @@ until one region holds them all; so the loss of dealing pieces out doesn't grow
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import os
 import random
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,18 +44,48 @@ FULL = 0.995
 # ------------------------------------------------------------------------------------------------- documents to pieces
 
 
+@functools.lru_cache(maxsize=1)  # a worker keeps what it learned from task to task
 def encoder(path: str):
-    """bytes of a whole text to its ids as little-endian unsigned 32-bit integers.
+    """bytes of whole texts to their ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins across white space, so each distinct word is encoded once.
+    The tokenizer never joins across white space, so each distinct word is encoded once. Words of letters, with full stops or
+    commas behind, need none of its normalising and splitting: they go to its model at once, many in one string.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-
-    def work_out(words: list[bytes]):
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    whole, model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    model.normalizer, model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+    last = np.zeros(whole.get_vocab_size(), bool)  # ids that end a word
+    last[[i for t, i in whole.get_vocab().items() if t.endswith("</w>")]] = True
+    shown = {b: c for b, c in _byte_characters().items() if ord(c) != b}
+    stops: dict[str, bytes] = {"": b""}
+
+    def plain(words: list[str]) -> list[bytes]:
+        ids = np.array(model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(last[ids]) + 1).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def work_out(words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        easy, accented, rest = [], [], []
+        for i, w in enumerate(words):
+            text = w.decode()
+            core = text.rstrip(".,")
+            if text.isascii() and core.isalpha():
+                easy.append((i, core.lower(), text[len(core) :]))
+            elif core.isalpha() and (low := core.lower()).isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", core):
+                accented.append((i, low.encode().decode("latin-1").translate(shown), text[len(core) :]))
+            else:
+                rest.append((i, text))
+        for group in (easy, accented):
+            for (i, _, tail), ids in zip(group, plain([c for _, c, _ in group]) if group else (), strict=True):
+                if tail not in stops:
+                    stops[tail] = np.array(whole.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+                out[i] = ids + stops[tail]
+        for (i, _), e in zip(rest, whole.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     memo = Memo(work_out)
 
@@ -66,8 +98,16 @@ def encoder(path: str):
     return encode
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's pieces: the key, ``piece``, ``start``, ``length``, ``ids_crc32``, ``ids`` (binary), and ``row_id``.
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others in order
+    from U+0100."""
+    own = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    others = [b for b in range(256) if b not in own]
+    return own | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """Each row's pieces: the key, ``piece``, ``start``, ``length``, ``ids_crc32`` and, ``with_ids``, ``ids`` (binary).
 
     A row's ids are its text's ids followed by id 0; only rows of more than ``capacity`` ids are cut.
     """
@@ -80,13 +120,14 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "
                 ids += b"\0\0\0\0"
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    out.append((k.as_py(), n, at // 4, len(own) // 4, zlib.crc32(own), own))
+                    out.append((k.as_py(), n, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["k", "piece", "start", "length", "ids_crc32", "ids"])
 
     rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("text"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("k", key)
+    out = rows.mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("k", key)
+    return out if with_ids else out.drop("ids")
 
 
 # ------------------------------------------------------------------------------------- the genetic algorithm of an island
@@ -252,5 +293,5 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "do
     ignored, no rows give no rows. No sequence exceeds ``capacity``; offsets in a sequence have no gaps.
     """
     # Equal (key, piece, start, length, crc) rows are interchangeable; a number within the task tells them apart.
-    sized = cut(pieces(df, tokenizer, capacity, key, text).drop("ids").withColumn("uid", F.monotonically_increasing_id()))
+    sized = cut(pieces(df, tokenizer, capacity, key, text, with_ids=False).withColumn("uid", F.monotonically_increasing_id()))
     return sized.join(assign(sized.select("uid", "length"), capacity), "uid").select(F.col(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

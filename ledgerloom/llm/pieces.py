@@ -229,7 +229,7 @@ def loaded(path: str) -> tuple[Model, Memo]:
 
 
 def memo_of(model: Model) -> Memo:
-    return Memo(lambda chunks: model.encode_chunks([c if c.startswith(b"\n") else SPACE + c for c in chunks]), 600_000)
+    return Memo(lambda chunks: model.encode_chunks([c if c.startswith(b"\n") else SPACE + c for c in chunks]), slice_=32_000)
 
 
 def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:

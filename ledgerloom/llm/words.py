@@ -8,24 +8,30 @@ import pyarrow as pa
 
 
 class Memo(dict):
-    """Values of words, worked out for many missing words at once and kept up to a bound, then all forgotten."""
+    """Values of words, worked out for many missing words at once. Beyond a bound, words that came in one batch only go."""
 
-    def __init__(self, work_out: Callable[[list[bytes]], Iterable], bound: int = 400_000, slice_: int = 32_000):
+    def __init__(self, work_out: Callable[[list[bytes]], Iterable], bound: int = 250_000, slice_: int = 8_000):
         super().__init__()
         self.work_out, self.bound, self.slice = work_out, bound, slice_
+        self.again: set[bytes] = set()
 
     def learn(self, words: list[bytes]) -> None:
         every = set(words)
-        missing = list(every.difference(self))
+        known = every & self.keys()
+        missing = list(every - known)
+        self.again |= known
         if len(self) + len(missing) > self.bound:
+            keep = self.again if len(self.again) <= self.bound // 2 else known
+            kept = {w: self[w] for w in keep}
             self.clear()
-            missing = list(every)
+            self.update(kept)
+            self.again = set()
         for at in range(0, len(missing), self.slice):
             part = missing[at : at + self.slice]
             self.update(zip(part, self.work_out(part), strict=True))
 
 
-def texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512, octets: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512, octets: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Smaller batches of bounded bytes (one larger text is a batch of its own) with the texts (binary; null: empty) as bytes."""
     for batch in batches:
         at = 0
