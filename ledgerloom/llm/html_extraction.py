@@ -412,5 +412,8 @@ def extract(df: DataFrame, trees: Trees, key: str = "page_id", keep: tuple[str,
 
 def learn(df: DataFrame, markup: str = "html", key: str = "page_id") -> Trees:
     """Trees fitted on FIT_PAGES pages that mark their article, those with the smallest hashes."""
-    rows = df.filter(F.rlike(F.col(f"`{markup}`"), F.lit(r"(?i)<(article|main)\b"))).select(F.col(f"`{markup}`").alias("m"), F.xxhash64(F.col(f"`{key}`")).alias("h"))
-    return fit([r.m for r in rows.orderBy("h", "m").limit(FIT_PAGES).collect()])
+    own = F.xxhash64(F.col(f"`{key}`"), F.md5(F.col(f"`{markup}`")))
+    rows = df.filter(F.rlike(F.col(f"`{markup}`"), F.lit(r"(?i)<(article|main)\b"))).select(F.col(f"`{markup}`").alias("m"), own.alias("h"))
+    # Hashes first: each task sends FIT_PAGES of them, and only then are that many pages fetched.
+    last = [r.h for r in rows.select("h").orderBy("h").limit(FIT_PAGES).collect()]
+    return fit([r.m for r in rows.filter(F.col("h") <= last[-1]).orderBy("h").limit(FIT_PAGES).collect()] if last else [])
