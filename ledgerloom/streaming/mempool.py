@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 MAX_BLOCK, BLOCKS, MOST_IN_CLUSTER = 1_000_000, 8, 64
 RETENTION = 3600
 
@@ -36,22 +38,23 @@ def replacement_roots(replaced: DataFrame, rounds: int = 32) -> DataFrame:
     links = replaced.select("txid", F.col("by").alias("root"))
     for _ in range(rounds.bit_length()):
         far = links.select(F.col("txid").alias("root"), F.col("root").alias("_far"))
-        links = links.join(far, "root", "left").select("txid", F.coalesce("_far", "root").alias("root"))
+        links = cut(links.join(far, "root", "left").select("txid", F.coalesce("_far", "root").alias("root")))
     return links
 
 
-def clusters(snapshot: DataFrame, rounds: int = MOST_IN_CLUSTER.bit_length() + 2) -> DataFrame:
-    """(txid, cluster): the smallest txid linked through parents. Clusters are bounded, so a fixed number of rounds of labels and
-    of labels' labels is enough."""
+def clusters(snapshot: DataFrame) -> DataFrame:
+    """(txid, cluster): the smallest txid linked through parents, by rounds of neighbours' labels and of labels' labels."""
     edges = snapshot.select("txid", F.explode("parents").alias("p")).join(snapshot.select(F.col("txid").alias("p")), "p")
-    both = edges.select(F.col("txid").alias("a"), F.col("p").alias("b")).unionByName(edges.select(F.col("p").alias("a"), F.col("txid").alias("b")))
-    labels = snapshot.select("txid", F.col("txid").alias("cluster"))
-    for _ in range(rounds):
+    both = cut(edges.select(F.col("txid").alias("a"), F.col("p").alias("b")).unionByName(edges.select(F.col("p").alias("a"), F.col("txid").alias("b"))))
+    labels = cut(snapshot.select("txid", F.col("txid").alias("cluster")))
+    while True:
         near = both.join(labels.withColumnRenamed("txid", "b"), "b").groupBy(F.col("a").alias("txid")).agg(F.min("cluster").alias("_near"))
-        stepped = labels.join(near, "txid", "left").select("txid", F.least("cluster", F.coalesce("_near", "cluster")).alias("cluster"))
+        stepped = cut(labels.join(near, "txid", "left").select("txid", F.least("cluster", F.coalesce("_near", "cluster")).alias("cluster"), F.col("cluster").alias("_old")))
         far = stepped.select(F.col("txid").alias("cluster"), F.col("cluster").alias("_far"))
-        labels = stepped.join(far, "cluster").select("txid", F.col("_far").alias("cluster"))
-    return labels
+        moved = cut(stepped.join(far, "cluster").select("txid", F.col("_far").alias("cluster"), "_old"))
+        labels = moved.select("txid", "cluster")
+        if moved.filter("cluster <> _old").isEmpty():
+            return labels
 
 
 def order_cluster(own: pd.DataFrame) -> pd.DataFrame:
