@@ -49,7 +49,10 @@ class Crf:
 def core(word: bytes) -> bytes:
     """A word in lower case without what isn't a letter at its ends; empty if it has no letter."""
     w = word.decode("utf-8", "replace").lower()
-    return (w if w.isalpha() else EDGE.sub("", w)).encode()
+    if w.isalpha():
+        return w.encode()
+    inner = EDGE.sub("", w)
+    return inner.encode() if any(map(str.isalpha, inner)) else b""
 
 
 def features(words: list[bytes], lexicon: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
