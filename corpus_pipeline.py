@@ -9,39 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import language_id, packing, quality_rules, secret_scans, simhash
-from ledgerloom.llm.common import checkpoint_dir, read
+from ledgerloom.llm.common import checkpoint_dir, cut, read
 from ledgerloom.llm.queries import tokenizer_file
 
 #: The language stage rejects documents without a letter and those whose best language has less than this share of the words.
 LEAST_SHARE = 0.3
 
 
-def _same_rows(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept_ids``; null ids match each other."""
-    ids = kept_ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+#: Ids up to which they are sent to all tasks, so that texts needn't be shuffled to them.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``ids`` (doc_id; null ids match each other)."""
+    ids = cut(ids.select(F.col("doc_id").alias("_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows that repeat a doc_id stay if any of them is kept."""
-    judged = quality_rules.judge(docs, read(spark, sf_dir, "labels"))
-    return _same_rows(docs, judged.filter("kept"))
+    """Documents that the quality rules keep."""
+    return quality_rules.keep(docs, read(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language, with ``lang`` as predicted."""
-    found = language_id.identify(docs, language_id.learn(docs))
-    fine = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    best = fine.groupBy(F.col("doc_id").alias("_id")).agg(F.max_by("lang_pred", F.struct("score", "lang_pred")).alias("_lang"))
-    joined = docs.join(best, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.select(*(F.col("_lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns))
+    return language_id.keep(docs, language_id.learn(docs), LEAST_SHARE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; of equal ids, one row."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _same_rows(docs, first).dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates, that with the smallest doc_id; of rows with one doc_id, one."""
+    groups = cut(simhash.near_duplicates(docs).select("doc_id", "component_id"))
+    first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = cut(groups.groupBy("doc_id").agg(first.alias("stays"), F.count("*").alias("n")))
+    kept = _without(docs, ids.filter("not stays"))
+    often = ids.filter("stays and n > 1")
+    if often.isEmpty():
+        return kept
+    repeated = kept.join(often.select(F.col("doc_id").alias("_id")), kept["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return _without(kept, often).unionByName(repeated.dropDuplicates(["doc_id"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

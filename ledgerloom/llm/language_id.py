@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .words import Memo, texts
+from .words import Memo, rows_where, texts
 
 #: The classifier is fitted on at most so many documents of each language (those with the smallest hashes, whole).
 DOCS_PER_LABEL = 80
@@ -247,23 +247,34 @@ def identify(df: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -
     """
 
     def run(batches):
-        memo = memo_of(crf)
         for part, chunk in texts(batches):
-            langs, scores = [], []
-            for (gamma, has), t in zip(label_batch(crf, memo, chunk), chunk, strict=True):
-                if has.any():
-                    mean = gamma[has].mean(0)
-                    langs.append(crf.labels[int(mean.argmax())])
-                    scores.append(min(1.0, float(mean.max())))
-                else:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
+            langs, scores = verdicts(crf, chunk)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["k", "lang_pred", "score"])
 
     rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("k", key)
 
 
+def verdicts(crf: Crf, chunk: list[bytes]) -> tuple[list[str], list[float]]:
+    """The languages of texts and their scores."""
+    langs, scores = [], []
+    for gamma, has in label_batch(crf, memo_of(crf), chunk):
+        mean = gamma[has].mean(0) if has.any() else np.zeros(1)
+        langs.append(crf.labels[int(mean.argmax())] if has.any() else UNKNOWN)
+        scores.append(min(1.0, float(mean.max())))
+    return langs, scores
+
+
+def keep(df: DataFrame, crf: Crf, least: float, text: str = "text", label: str = "lang") -> DataFrame:
+    """The rows of ``df`` whose language is known with a score of ``least`` or more, with ``label`` as predicted."""
+
+    def fine(chunk: list[bytes]) -> tuple[list[bool], dict]:
+        langs, scores = verdicts(crf, chunk)
+        return [x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], {label: langs}
+
+    return rows_where(df, fine, text)
+
+
 def label_words(df: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's key and ``runs``: array of (lang, first word, words) of neighbouring words with one most likely language."""
 

@@ -29,7 +29,7 @@ from .common import cut
 #: vectors of a block of a projection.
 DEGREE, GATHERED, ROUNDS, CHANGED, PROJECTIONS, BLOCK = 40, 24, 6, 0.03, 3, 256
 #: Candidates that a search keeps, nodes that it expands in a round, rounds at most.
-BREADTH, EXPANDED, SEARCH_ROUNDS = 120, 40, 6
+BREADTH, EXPANDED, SEARCH_ROUNDS = 200, 60, 6
 TOP, SEED = 20, 42
 
 
@@ -95,7 +95,7 @@ def nodes_of(rows: DataFrame, dim: int, keep: int) -> tuple[DataFrame, DataFrame
 
 def _best(pairs: DataFrame, degree: int) -> DataFrame:
     """(node, other, score, fresh): each node's best distinct others. A pair seen before isn't fresh."""
-    once = pairs.groupBy("node", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
+    once = pairs.repartition("node").groupBy("node", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
     return once.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.desc("score"), "other"))).filter(F.col("r") <= degree).drop("r")
 
 
@@ -133,7 +133,7 @@ def descend(nodes: DataFrame, width: int, degree: int = DEGREE) -> DataFrame:
         mine = graph.select(F.col("node").alias("centre"), F.col("other").alias("node"), "fresh", F.lit(0).alias("side"))
         theirs = graph.select(F.col("other").alias("centre"), "node", "fresh", F.lit(1).alias("side"))
         order = W.partitionBy("centre", "side").orderBy(F.desc("fresh"), F.xxhash64("centre", "node", F.lit(turn)))
-        gathered = mine.unionByName(theirs).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= GATHERED)
+        gathered = mine.unionByName(theirs).repartition("centre").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= GATHERED)
         gathered = cut(gathered.groupBy("centre", "node").agg(F.max("fresh").alias("fresh")))
         worst = graph.groupBy("node").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
         known = nodes.join(worst, "node", "left").select("node", "vec", F.when(F.col("n") >= degree, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
@@ -203,7 +203,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, width: int) -
         fetched = met.join(nodes, "node").join(wanted.select("query", "q"), "query").select("query", "node", "vec", "q")
         fresh = fetched.mapInArrow(score, "query long, node long, score float, done boolean")
         now = state.join(ahead.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "score", (F.col("done") | F.col("now").isNotNull()).alias("done"))
-        every = now.unionByName(fresh).withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node")))
+        every = now.unionByName(fresh).repartition("query").withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node")))
         state = cut(every.filter(F.col("r") <= BREADTH).drop("r"))
     return state.select("query", "node")
 

@@ -249,6 +249,9 @@ def solve(lengths: DataFrame, capacity: int) -> DataFrame:
     state = spread.select("region", F.explode(F.expr(f"sequence(0, {ISLANDS - 1})")).alias("island"), "lengths", nothing.alias("own_flat"), nothing.alias("own_counts"), nothing.alias("guest_flat"), nothing.alias("guest_counts"))
     for number in range(EPOCHS):
         ran = cut(epoch(state.repartition(tasks, "region", "island"), capacity, number))
+        least = F.ceil(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x) / capacity)
+        if ran.filter(F.col("n_bins") > least).isEmpty():
+            break  # no packing has fewer bins
         if number + 1 < EPOCHS:
             guests = ran.select("region", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("flat").alias("guest_flat"), F.col("counts").alias("guest_counts"))
             state = ran.join(guests, ["region", "island"]).select("region", "island", "lengths", F.col("flat").alias("own_flat"), F.col("counts").alias("own_counts"), "guest_flat", "guest_counts")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .words import texts
+from .words import rows_where, texts
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_upper", "n_letters", "n_digits", "n_stops", "n_lines", "n_bytes")
@@ -164,6 +164,27 @@ def judge(df: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     labelled good), the threshold is calibrated on all. Null and empty texts have no words, so they fail the base rules.
     Repeated rows and null keys stay (null keys have no label), other columns are ignored, no rows give no rows.
     """
+    scored, _, limit = calibrate(df, labels, key, text, quality)
+    kept = ~F.col("base_failed") & (F.col("anomaly") <= limit)
+    return scored.select(F.col("k").alias(key), *BASE, "anomaly", "base_failed", kept.alias("kept"))
+
+
+def keep(df: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps, as they are. The forest and threshold are the same; rows are judged where they are
+    read, so texts aren't shuffled."""
+    _, forest, limit = calibrate(df, labels, key, text, quality)
+
+    def fine(chunk: list[bytes]) -> tuple[list[bool], dict]:
+        stats = np.array([statistics(t) for t in chunk], np.int64).reshape(len(chunk), -1)
+        own = dict(zip((*BASE, *MORE), stats.T, strict=True))
+        passed = (own["n_words"] >= 50) & (100 * own["n_repeat_words"] <= 50 * own["n_words"])
+        return (passed & (anomaly(forest, shape(own)) <= limit)).tolist(), {}
+
+    return rows_where(df, fine, text)
+
+
+def calibrate(df: DataFrame, labels: DataFrame | None, key: str, text: str, quality: str) -> tuple[DataFrame, Forest, float]:
+    """(every row's key ``k``, counts, label and anomaly; the forest; the threshold)."""
     rows = measure(df, key, text)
     if labels is None:
         rows = rows.withColumn("good", F.lit(None).cast("boolean"))
@@ -184,9 +205,7 @@ def judge(df: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anomaly(forest, shape(own)))], names=[*b.schema.names, "anomaly"])
 
     scored = rows.mapInArrow(run, rows._jdf.schema().toDDL() + ", anomaly double")
-    limit = threshold(scored)
-    kept = ~F.col("base_failed") & (F.col("anomaly") <= limit)
-    return scored.select(F.col("k").alias(key), *BASE, "anomaly", "base_failed", kept.alias("kept"))
+    return scored, forest, threshold(scored)
 
 
 def threshold(scored: DataFrame) -> float:

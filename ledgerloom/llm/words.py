@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 class Memo(dict):
     """Values of words, worked out for many missing words at once. Beyond a bound, words that came in one batch only go."""
 
-    def __init__(self, work_out: Callable[[list[bytes]], Iterable], bound: int = 250_000, slice_: int = 8_000):
+    def __init__(self, work_out: Callable[[list[bytes]], Iterable], bound: int = 450_000, slice_: int = 8_000):
         super().__init__()
         self.work_out, self.bound, self.slice = work_out, bound, slice_
         self.again: set[bytes] = set()
@@ -45,3 +46,26 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 5
             part = batch.slice(at, end - at)
             yield part, [x or b"" for x in col.slice(at, end - at).to_pylist()]
             at = end
+
+
+def rows_where(df: DataFrame, judge: Callable[[list[bytes]], tuple[list[bool], dict[str, list]]], text: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps, by the bytes of their texts (null: empty), with the columns that it replaces.
+
+    Rows pass through the task that reads them, so nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            columns = list(batch.columns)
+            columns[at] = columns[at].cast(pa.binary())
+            plain = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            first = 0
+            for part, chunk in texts(iter([plain]), text):
+                kept, new = judge(chunk)
+                own = batch.slice(first, part.num_rows)
+                first += part.num_rows
+                cols = [pa.array(new[n], own.schema.field(i).type) if n in new else own.column(i) for i, n in enumerate(own.schema.names)]
+                yield pa.RecordBatch.from_arrays(cols, names=own.schema.names).filter(pa.array(kept, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
