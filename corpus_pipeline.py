@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import language_id, packing, quality_rules, secret_scans, simhash
@@ -16,15 +16,20 @@ from ledgerloom.llm.queries import tokenizer_file
 LEAST_SHARE = 0.3
 
 
-#: Ids up to which they are sent to all tasks, so that texts needn't be shuffled to them.
+#: Keys of rows up to which they are sent to all tasks, so that texts needn't be shuffled to them.
 BROADCAST_IDS = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``ids`` (doc_id; null ids match each other)."""
-    ids = cut(ids.select(F.col("doc_id").alias("_id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+def _row() -> Column:
+    """What tells rows apart: the doc_id, those that are null last, and the text. Rows equal in both are copies."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text"))
+
+
+def _among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows (with ``_row``) that are (left_semi) or aren't (left_anti) among the distinct ``keys`` (``_row``)."""
+    keys = cut(keys.select("_row"))
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return rows.join(keys, "_row", how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +43,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; of rows with one doc_id, one."""
-    groups = cut(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = cut(groups.groupBy("doc_id").agg(first.alias("stays"), F.count("*").alias("n")))
-    kept = _without(docs, ids.filter("not stays"))
-    often = ids.filter("stays and n > 1")
-    if often.isEmpty():
-        return kept
-    repeated = kept.join(often.select(F.col("doc_id").alias("_id")), kept["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return _without(kept, often).unionByName(repeated.dropDuplicates(["doc_id"]))
+    """One document of each group of near-duplicates, that with the smallest doc_id (null ids last; then by a hash of the text).
+
+    Groups go by text alone: of distinct texts that share a doc_id or have none, each group keeps one.
+    """
+    rows = docs.withColumn("_row", _row())
+    groups = cut(simhash.near_duplicates(rows, key="_row").select("_row", (F.col("_row") == F.col("component_id")).alias("stays")))
+    # Equal texts have equal fingerprints, so a key is in one group.
+    keys = cut(groups.groupBy("_row").agg(F.max("stays").alias("stays"), F.count("*").alias("n")))
+    kept = _among(rows, keys.filter("not stays"), "left_anti")
+    often = keys.filter("stays and n > 1")
+    if not often.isEmpty():
+        kept = _among(kept, often, "left_anti").unionByName(_among(kept, often, "left_semi").dropDuplicates(["_row"]))
+    return kept.drop("_row")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,3 +216,17 @@ def test_stages_take_effect(spark, tmp_path):
     assert row is None or ("[SECRET]" in row.text and row.n_chars == len(row.text))
     assert seen[4] == seen[3] == seen[2]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frame.count()
+
+
+def test_near_dedup_keeps_distinct_texts_of_one_or_no_id(spark):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(8)]
+    near = "x" + texts[1] + " more"
+    assert bin(plain_fingerprint(near) ^ plain_fingerprint(texts[1])).count("1") <= 4
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, near), (8, texts[5]), (2, texts[6]), (3, texts[6]), (None, texts[6]), (4, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    want = {(None, texts[0]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, near), (8, texts[5]), (2, texts[6]), (4, None)}
+    assert got.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
