@@ -13,19 +13,30 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: What may stand between the lines of a key: blanks and line ends, also escaped ones, quotes, commas, marks of comments.
+_BETWEEN = r"""(?:[\s"',>#*|]|\\[nrt]?)*+"""
+#: A line of a key without its end: long runs of base64, and shorter ones that fill a line.
+_LONG, _SHORT = r"[A-Za-z0-9+/]{16,}+={0,2}", r"[A-Za-z0-9+/]++={0,2}"
+_LINE = rf"""(?:{_BETWEEN}{_LONG}|[\t\x20"',]*+(?:\\r|\r)?(?:\\n|\n)[\t\x20"'>#*|]*+{_SHORT}(?=[\t\x20"',]*+(?:[\r\n\\]|(?![\s\S]))))"""
+_FIELD = rf"{_BETWEEN}(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\n\\]*+"
+_KEY = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: A private key up to its END, whatever is between; where another BEGIN or END or nothing follows, its fields and lines of
+#: base64. Repetitions are possessive, so long keys cost no stack.
+PEM = rf"-----BEGIN {_KEY}(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END {_KEY}|(?:{_FIELD})*+(?:(?:{_LINE})++(?:[\t\x20]++{_SHORT})?+)?+)"
+
 #: Kind, pattern, the group that a match is judged by, the characters that group needs. In this order ties are listed.
 RULES = (
     ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # as [0-9a-f]+ of 24 or more: a greedy run is maximal either way
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("pem", PEM, 0, 1),
     ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
 )
 #: The kinds of the contract; the others are what the method adds.
 BASE = ("assign", "access", "hex")
 #: Goes up when RULES change: then every blob is scanned again, and older findings stay under their version.
-VERSION = 1
+VERSION = 2
 #: Bytes of findings up to which they are sent to all tasks, so that texts needn't be shuffled to them.
 BROADCAST = 32 << 20
 
