@@ -33,13 +33,19 @@ def exhume(graveyard: DataFrame, now: int) -> DataFrame:
     return graveyard.filter(F.col("at") > now - RETENTION)
 
 
-def replacement_roots(replaced: DataFrame, rounds: int = 32) -> DataFrame:
-    """(txid, root): the last replacement of each replaced transaction, by pointer jumping over (txid, by)."""
-    links = replaced.select("txid", F.col("by").alias("root"))
-    for _ in range(rounds.bit_length()):
+def replacement_roots(replaced: DataFrame) -> DataFrame:
+    """(txid, root): the last replacement of each replaced transaction, by pointer jumping over (txid, by) until none moves.
+
+    A chain of n links takes about log2 n rounds; if pointers still move after that, some replace each other in a circle, which fails.
+    """
+    links = cut(replaced.select("txid", F.col("by").alias("root")))
+    for _ in range(links.count().bit_length() + 1):
         far = links.select(F.col("txid").alias("root"), F.col("root").alias("_far"))
-        links = cut(links.join(far, "root", "left").select("txid", F.coalesce("_far", "root").alias("root")))
-    return links
+        jumped = cut(links.join(far, "root", "left").select("txid", F.coalesce("_far", "root").alias("root"), F.col("_far").isNotNull().alias("_moved")))
+        links = jumped.select("txid", "root")
+        if jumped.filter("_moved").isEmpty():
+            return links
+    raise ValueError("transactions replace each other in a circle")
 
 
 def clusters(snapshot: DataFrame) -> DataFrame:

@@ -248,3 +248,13 @@ def test_clusters_and_blocks(spark):
 def test_fee_tiers():
     f = mempool.recommend([30.0, 20.0, 10.0])
     assert f["fastest"] >= f["half_hour"] >= f["hour"] >= f["economy"] >= f["minimum"] == 1.0
+
+
+def test_replacement_roots_of_long_chains(spark):
+    links = [(f"a{k}", f"a{k + 1}") for k in range(700)] + [("b0", "b1"), ("c0", "a699"), ("d0", None)]
+    df = spark.createDataFrame(links, "txid string, by string").repartition(4)
+    got = {r.txid: r.root for r in mempool.replacement_roots(df).collect()}
+    assert got == {**{f"a{k}": "a700" for k in range(700)}, "b0": "b1", "c0": "a700", "d0": None}
+    with pytest.raises(ValueError):
+        mempool.replacement_roots(spark.createDataFrame([("x", "y"), ("y", "x"), ("z", "x")], "txid string, by string"))
+    assert mempool.replacement_roots(df.limit(0)).count() == 0
