@@ -196,8 +196,7 @@ def calibrate(df: DataFrame, labels: DataFrame | None, key: str, text: str, qual
     by_hash = (F.coalesce("good", F.lit(False)).desc(), F.xxhash64("k", *BASE))
     sample = fit_on.orderBy(*by_hash).limit(FIT_ROWS).select(F.coalesce("good", F.lit(False)).alias("good"), *BASE, *MORE).toPandas()
     sample = sample[sample["good"]] if sample["good"].any() else sample
-    around = rows.filter(~F.col("base_failed")).orderBy(F.xxhash64("k", *BASE)).limit(FIT_ROWS).select(*BASE, *MORE).toPandas()
-    forest = grow(*(shape({c: x[c].to_numpy() for c in (*BASE, *MORE)}) for x in (sample, around)))
+    forest = grow(shape({c: sample[c].to_numpy() for c in (*BASE, *MORE)}), extremes(rows.filter(~F.col("base_failed"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,6 +207,24 @@ def calibrate(df: DataFrame, labels: DataFrame | None, key: str, text: str, qual
     return scored, forest, threshold(scored)
 
 
+def extremes(rows: DataFrame) -> np.ndarray:
+    """The least and the greatest value of each ratio over all ``rows`` of counts, as two rows; none, if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for b in batches:
+            if b.num_rows:
+                own = shape({c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (*BASE, *MORE)})
+                low = own.min(0) if low is None else np.minimum(low, own.min(0))
+                high = own.max(0) if high is None else np.maximum(high, own.max(0))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low), dtype=np.int32)), pa.array(low), pa.array(high)], names=["ratio", "low", "high"])
+
+    of_tasks = rows.select(*BASE, *MORE).mapInArrow(run, "ratio int, low double, high double")
+    found = of_tasks.groupBy("ratio").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("ratio").collect()  # a row a ratio
+    return np.array([[r.low for r in found], [r.high for r in found]]) if found else np.zeros((0, 0))
+
+
 def threshold(scored: DataFrame) -> float:
     """The lowest of STEPS levels that keep all but SPARED of the labelled good rows that pass the base rules."""
     counts = scored.filter(~F.col("base_failed") & F.col("good")).groupBy(F.ceil(F.col("anomaly") * STEPS).alias("level")).agg(F.count("*").alias("n")).orderBy("level").collect()

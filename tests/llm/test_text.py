@@ -166,6 +166,23 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert Q.judge(df.filter("doc_id < 50")).filter("kept").count() > 40  # without labels
 
 
+def test_margins_are_of_all_rows_that_pass(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["the", "ing", "on", "era", "anneal", "rest"]
+    texts_ = [" ".join("".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(60, 200))) + "." for _ in range(300)]
+    texts_ += ["too short", "# $ % & " * 3 + texts_[0], texts_[1].upper(), "x" * 5000 + " " + texts_[2], "1234 " * 3 + texts_[3], ("Line one.\n" * 2 + texts_[4]) * 2]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(5)
+    stats = [Q.statistics(t.encode()) for t in texts_]
+    passed = np.array([s for s in stats if s[0] >= 50 and 100 * s[4] <= 50 * s[0]], np.int64)
+    every = Q.shape(dict(zip((*Q.BASE, *Q.MORE), passed.T, strict=True)))
+    seen, grow = [], Q.grow
+    monkeypatch.setattr(Q, "FIT_ROWS", 8)
+    monkeypatch.setattr(Q, "grow", lambda rows, around: seen.append((rows, around)) or grow(rows, around))
+    Q.calibrate(df, None, "doc_id", "text", "quality")
+    (rows, around) = seen[0]
+    assert len(rows) == 8 and (around.min(0) == every.min(0)).all() and (around.max(0) == every.max(0)).all()
+
+
 # -------------------------------------------------------------------------------------------------------- HTML extraction
 
 ARTICLE = "First paragraph of a longer article, with words &amp; more words. It goes on for a while."
