@@ -256,8 +256,9 @@ def solve(lengths: DataFrame, capacity: int) -> DataFrame:
             guests = ran.select("region", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("flat").alias("guest_flat"), F.col("counts").alias("guest_counts"))
             state = ran.join(guests, ["region", "island"]).select("region", "island", "lengths", F.col("flat").alias("own_flat"), F.col("counts").alias("own_counts"), "guest_flat", "guest_counts")
     best = ran.groupBy("region").agg(F.max_by(F.struct("flat", "counts"), F.struct(-F.col("n_bins"), "shape", -F.col("island"))).alias("b")).select("region", "b.flat", "b.counts")
-    bins = best.select("region", F.posexplode(F.expr("aggregate(counts, cast(array(struct(0, 0)) as array<struct<at:int,c:int>>), (a, c) -> concat(a, array(named_struct('at', element_at(a, -1).at + element_at(a, -1).c, 'c', c))))")).alias("bin", "x"), "flat")
-    return bins.filter(F.col("x.c") > 0).select("region", "bin", F.explode(F.expr("slice(flat, x.at + 1, x.c)")).alias("length"))
+    bin_of = F.expr("flatten(transform(counts, (c, i) -> array_repeat(i + 1, c)))")  # of each piece of flat
+    pieces_ = best.select("region", F.explode(F.arrays_zip(bin_of.alias("bin"), F.col("flat").alias("length"))).alias("x"))
+    return pieces_.select("region", "x.bin", "x.length")
 
 
 def assign(sized: DataFrame, capacity: int = CAPACITY, region: int = REGION) -> DataFrame:
@@ -284,8 +285,9 @@ def assign(sized: DataFrame, capacity: int = CAPACITY, region: int = REGION) ->
         left = placed.filter(F.col("filled") < FULL * capacity).select("uid", "length")
         if left.isEmpty():
             return done
-        # Should hardly any bin be full, the rest wouldn't shrink: then larger and larger regions take it.
-        region = region if left.count() < 0.7 * n else region * 4
+        if left.count() >= 0.7 * n:
+            # Hardly any bin can be filled: other regions of such pieces would do no better, so the packing stays as it is.
+            return done.unionByName(placed.filter(F.col("filled") < FULL * capacity).select("uid", "sequence_id", "offset"))
         rest, turn = left, turn + 1
 
 

@@ -180,6 +180,22 @@ def test_many_regions_lose_little(spark):
     assert len(got) <= len(K.best_fit(sizes, 100)) * 1.01 + 1
 
 
+@pytest.mark.parametrize("few", [0, 40])
+def test_regions_stay_small_where_bins_cannot_be_filled(spark, monkeypatch, few):
+    sizes = [55] * 2000 + [30] * few  # two of 55 don't fit in 100
+    df = spark.createDataFrame(list(enumerate(sizes)), "uid long, length int").repartition(3)
+    seen, solve = [], K.solve
+
+    def watched(lengths, capacity):
+        seen.append(lengths.groupBy("region").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
+        return solve(lengths, capacity)
+
+    monkeypatch.setattr(K, "solve", watched)
+    got = K.assign(df, 100, region=200).join(df, "uid").groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("o"), F.count("*").alias("c")).collect()
+    assert max(seen) < 400
+    assert len(got) == 2000 and sum(r.c for r in got) == len(sizes) and all(r.n <= 100 and r.o == 0 for r in got)
+
+
 def test_crossover_and_mutation_keep_all_pieces():
     rng = random.Random(5)
     sizes = [rng.randint(1, 60) for _ in range(200)]
