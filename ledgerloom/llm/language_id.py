@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .words import Memo, rows_where, texts
+from .words import Memo, held, rows_where, texts
 
 #: The classifier is fitted on at most so many documents of each language (those with the smallest hashes, whole).
 DOCS_PER_LABEL = 80
@@ -223,20 +223,10 @@ def label_batch(crf: Crf, memo: Memo, batch: list[bytes]) -> Iterator[tuple[np.n
         yield gamma[a:b], e[a:b, m] > 0
 
 
-_MEMOS: dict[bytes, Memo] = {}
-
-
 def memo_of(crf: Crf) -> Memo:
-    """What a worker learned of words under the same weights, from task to task; of one model at a time."""
+    """What a worker learned of words under the same weights, from task to task."""
     key = hashlib.sha256(crf.weights.tobytes()).digest()
-    if key not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[key] = _new_memo(crf)
-    return _MEMOS[key]
-
-
-def _new_memo(crf: Crf) -> Memo:
-    return Memo(lambda words: [r.tobytes() for r in emissions(words, crf.weights, crf.lexicon)])
+    return held(key, lambda: Memo(lambda words: [r.tobytes() for r in emissions(words, crf.weights, crf.lexicon)]))
 
 
 def identify(df: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,7 +237,7 @@ def identify(df: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -
     """
 
     def run(batches):
-        for part, chunk in texts(batches):
+        for part, chunk in texts(batches, keep=True):
             langs, scores = verdicts(crf, chunk)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["k", "lang_pred", "score"])
 
@@ -272,7 +262,7 @@ def keep(df: DataFrame, crf: Crf, least: float, text: str = "text", label: str =
         langs, scores = verdicts(crf, chunk)
         return [x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], {label: langs}
 
-    return rows_where(df, fine, text)
+    return rows_where(df, fine, text, keep=True)
 
 
 def label_words(df: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,7 +270,7 @@ def label_words(df: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         memo = memo_of(crf)
-        for part, chunk in texts(batches):
+        for part, chunk in texts(batches, keep=True):
             out = []
             for gamma, _ in label_batch(crf, memo, chunk):
                 best = gamma.argmax(1)

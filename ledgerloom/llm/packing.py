@@ -15,7 +15,6 @@ until one region holds them all; so the loss of dealing pieces out doesn't grow
 from __future__ import annotations
 
 import bisect
-import functools
 import math
 import os
 import random
@@ -32,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
-from .words import Memo, texts
+from .words import Memo, held, release, texts
 
 CAPACITY = 2048
 #: Pieces of a region, islands of a region, individuals of an island, epochs, and crossovers of an island in an epoch.
@@ -44,7 +43,6 @@ FULL = 0.995
 # ------------------------------------------------------------------------------------------------- documents to pieces
 
 
-@functools.lru_cache(maxsize=1)  # a worker keeps what it learned from task to task
 def encoder(path: str):
     """bytes of whole texts to their ids as little-endian unsigned 32-bit integers.
 
@@ -113,8 +111,8 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "
     """
 
     def run(batches):
-        encode = encoder(tokenizer)
-        for part, chunk in texts(batches):
+        encode = held(("packing", tokenizer), lambda: encoder(tokenizer))  # a worker keeps what it learned from task to task
+        for part, chunk in texts(batches, keep=True):
             out: list[tuple] = []
             for k, ids in zip(part.column(0), encode(chunk), strict=True):
                 ids += b"\0\0\0\0"
@@ -226,6 +224,7 @@ def epoch(islands: DataFrame, capacity: int, number: int) -> DataFrame:
     """islands (region, island, lengths, and elites as two array columns) after one epoch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):

@@ -10,7 +10,6 @@ fall back to bytes. That gives exactly the ids of the model, which is of the BPE
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Memo, texts
+from .words import Memo, held, texts
 
 SPACE = "▁".encode()
 CHUNK = re.compile(rb"(?:\xe2\x96\x81)*(?:(?!\xe2\x96\x81).)*", re.S)
@@ -222,10 +221,14 @@ def encode_all(model: Model, memo: Memo, batch: list[bytes]) -> Iterator[bytes]:
         yield b"".join(map(memo.__getitem__, cs))
 
 
-@functools.lru_cache(maxsize=1)  # a worker keeps what it learned from task to task
 def loaded(path: str) -> tuple[Model, Memo]:
-    model = Model(path)
-    return model, memo_of(model)
+    """The model of a file and what this worker learned under it, kept from task to task."""
+
+    def load() -> tuple[Model, Memo]:
+        model = Model(path)
+        return model, memo_of(model)
+
+    return held(("pieces", path), load)
 
 
 def memo_of(model: Model) -> Memo:
@@ -241,7 +244,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -
 
     def run(batches):
         m, memo = loaded(model)
-        for part, chunk in texts(batches):
+        for part, chunk in texts(batches, keep=True):
             ids = [np.frombuffer(b, "<u4").astype(np.int32) for b in encode_all(m, memo, chunk)]
             back = [m.decode(i) == t.decode("utf-8", "replace") for i, t in zip(ids, chunk, strict=True)]
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)

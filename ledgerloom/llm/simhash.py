@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .words import texts
+from .words import release, texts
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Members of a tile, and of a group as it is meant to be.
@@ -172,6 +172,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = dealt.withColumn("other", other).select("fp", "band", "part", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for fp, counts, same in _groups(batches):
             if same:
                 i, j = within(fp, fp, radius, (counts, counts))

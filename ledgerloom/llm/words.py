@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Bytes of a memo, and what a word takes in it besides the letters of word and value: two objects, its slot, its mark in a set.
+MEMO_BYTES, WORD_BYTES = 64 << 20, 140
+
+#: What this worker keeps from task to task: one thing at a time, as workers outlive the stage that they were started for.
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps under ``key`` from task to task. Anything kept under another key is freed first."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Frees what this worker keeps, and gives the memory back."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another libc gives memory back in its own time
+            pass
+
 
 class Memo(dict):
-    """Values of words, worked out for many missing words at once. Beyond a bound, words that came in one batch only go."""
+    """Values of words, worked out for many missing words at once. Beyond a bound of bytes, words that came in one batch only go."""
 
-    def __init__(self, work_out: Callable[[list[bytes]], Iterable], bound: int = 450_000, slice_: int = 8_000):
+    def __init__(self, work_out: Callable[[list[bytes]], Iterable], bound: int = MEMO_BYTES, slice_: int = 8_000):
         super().__init__()
-        self.work_out, self.bound, self.slice = work_out, bound, slice_
+        self.work_out, self.bound, self.slice, self.size = work_out, bound, slice_, 0
         self.again: set[bytes] = set()
 
     def learn(self, words: list[bytes]) -> None:
@@ -21,19 +49,33 @@ class Memo(dict):
         known = every & self.keys()
         missing = list(every - known)
         self.again |= known
-        if len(self) + len(missing) > self.bound:
-            keep = self.again if len(self.again) <= self.bound // 2 else known
-            kept = {w: self[w] for w in keep}
+        if self.size > self.bound:
+            kept = {w: self[w] for w in self.again}
+            size = _size(kept)
+            if size > self.bound // 2:
+                kept = {w: self[w] for w in known}
+                size = _size(kept)
             self.clear()
             self.update(kept)
-            self.again = set()
+            self.size, self.again = size, set()
         for at in range(0, len(missing), self.slice):
             part = missing[at : at + self.slice]
-            self.update(zip(part, self.work_out(part), strict=True))
+            new = dict(zip(part, self.work_out(part), strict=True))
+            self.size += _size(new)
+            self.update(new)
+
+
+def _size(values: dict[bytes, Any]) -> int:
+    return sum(map(len, values)) + sum(map(len, values.values())) + WORD_BYTES * len(values)
 
 
-def texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512, octets: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Smaller batches of bounded bytes (one larger text is a batch of its own) with the texts (binary; null: empty) as bytes."""
+def texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512, octets: int = 2 << 20, keep: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Smaller batches of bounded bytes (one larger text is a batch of its own) with the texts (binary; null: empty) as bytes.
+
+    Unless it is to ``keep`` it, frees what the worker kept of another operator.
+    """
+    if not keep:
+        release()
     for batch in batches:
         at = 0
         col = batch.column(batch.schema.get_field_index(column))
@@ -48,7 +90,7 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 5
             at = end
 
 
-def rows_where(df: DataFrame, judge: Callable[[list[bytes]], tuple[list[bool], dict[str, list]]], text: str = "text") -> DataFrame:
+def rows_where(df: DataFrame, judge: Callable[[list[bytes]], tuple[list[bool], dict[str, list]]], text: str = "text", keep: bool = False) -> DataFrame:
     """The rows of ``df`` that ``judge`` keeps, by the bytes of their texts (null: empty), with the columns that it replaces.
 
     Rows pass through the task that reads them, so nothing is shuffled.
@@ -61,7 +103,7 @@ def rows_where(df: DataFrame, judge: Callable[[list[bytes]], tuple[list[bool], d
             columns[at] = columns[at].cast(pa.binary())
             plain = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
             first = 0
-            for part, chunk in texts(iter([plain]), text):
+            for part, chunk in texts(iter([plain]), text, keep=keep):
                 kept, new = judge(chunk)
                 own = batch.slice(first, part.num_rows)
                 first += part.num_rows
