@@ -1,233 +1,542 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search, for the largest inner product.
 
-Vectors get one more component that gives all the same length, so that for vectors of the table the largest inner product
-is the smallest angle. Equal vectors are one node, whose smallest ids stand for it. A neighbour graph starts from blocks of
-vectors that are close on random projections, and improves by joins of neighbours of neighbours: every node gathers its
-neighbours and those it is a neighbour of, compares new ones with all, and sends each pair to both ends, which keep the
-best. A query is a node of the graph: its search begins at its own neighbours and expands, round by round, the best nodes
-that weren't expanded yet, by a join with their neighbours, until its best candidates don't change. What is found is
-scored again in double precision on the original vectors.
-
-Vectors travel as 16-bit floats during the search. All steps are joins and groupings by node; no task sees more than a
-batch of rows, and the driver sees a few counts.
+The graph is one of inner products: a node's edges lead to the nodes with which its product is largest, whatever their
+lengths, so long vectors become the hubs that such searches need. Equal vectors are one node, whose smallest ids stand for
+it. Nodes are numbered part by part, a part being some thousand nodes that lie close on random hyperplanes. A first graph
+comes from blocks of nodes on the same sides of further hyperplanes, and from the products with the longest vectors. It
+improves by joins of neighbours of neighbours: every node gathers some of its neighbours and of those it is a neighbour of,
+compares new ones with all, and sends each better pair to both ends. A query is a node of the graph: its search begins at
+its own edges and expands, round by round, the best nodes that weren't expanded yet, until its best candidates don't change.
+What is found is scored again in double precision on the original vectors.
+
+Everything travels as a row a part and message: ids first, and a vector goes to each part that asks for it once. Directions
+are 16-bit floats, lengths and products 32-bit ones. A task holds one part and what it is sent, which is cut down to what
+can matter before it is sent; messages for a part that very many ask are dealt over several copies of the part. The driver
+sees counts, hyperplanes and the longest vectors, all of bounded number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
-
-#: Neighbours of a node, members that a node gathers of each kind (its own, and those it is a neighbour of), rounds of
-#: NN-descent at most, the share of the graph's edges that must change for another round, random projections, and the
-#: vectors of a block of a projection.
-DEGREE, GATHERED, ROUNDS, CHANGED, PROJECTIONS, BLOCK = 40, 24, 6, 0.03, 3, 256
+from .words import release
+
+#: Nodes of a part, bits of a node's number within its part, nodes of a block of the first graph, and such divisions into blocks.
+PART, BITS, BLOCK, TABLES = 4096, 16, 256, 6
+#: Edges of a node, edges that a block or the hubs give a node at first, hubs (the longest vectors).
+DEGREE, FIRST, HUBS = 40, 16, 512
+#: Members that a node gathers of each kind, rounds of NN-descent at most, and the share of edges that must change for another.
+GATHERED, ROUNDS, CHANGED = 22, 6, 0.03
 #: Candidates that a search keeps, nodes that it expands in a round, rounds at most.
-BREADTH, EXPANDED, SEARCH_ROUNDS = 200, 60, 6
+BREADTH, EXPANDED, SEARCH_ROUNDS = 160, 36, 7
+#: Asked nodes of a part beyond which the part is copied; ten thousand parts at most are.
+LOAD = 1 << 22
 TOP, SEED = 20, 42
 
+MESSAGE = "part long, kind int, n long, a binary, b binary, c binary, d binary, e binary, f binary"
+NAMES = ["part", "kind", "n", *"abcdef"]
+NODES, GRAPH, SENT = 0, 1, 2
+
+I8, I4, F4, F2, I1 = np.int64, np.int32, np.float32, np.float16, np.int8
+
+
+# ----------------------------------------------------------------------------------------------------------- messages
+
+
+def _row(part: int, kind: int, n: int, *columns: np.ndarray) -> pa.RecordBatch:
+    binary = [pa.array([c.tobytes()], pa.binary()) for c in columns] + [pa.nulls(1, pa.binary())] * (6 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([kind], pa.int32()), pa.array([n], pa.int64()), *binary], names=NAMES)
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of each run of equal ones of sorted keys."""
+    if len(keys):
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        yield from zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True)
+
+
+def _send(kind: int, to: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A message for each part of ``to`` (node numbers), with the rows of the columns that go to it."""
+    part = to >> BITS
+    by = np.argsort(part, kind="stable")
+    part, columns = part[by], [c[by] for c in columns]
+    for lo, hi in _runs(part):
+        yield _row(int(part[lo]), kind, hi - lo, *(c[lo:hi] for c in columns))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(part, its rows as (part, kind, a, b, ...)), the rows sorted by part and kind; columns are bytes."""
+    release()
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            at = [b.schema.get_field_index(n) for n in NAMES]
+            for i in range(b.num_rows):
+                yield (b.column(at[0])[i].as_py(), b.column(at[1])[i].as_py(), *(b.column(k)[i].as_buffer() for k in at[3:]))
+
+    return ((key[0], group) for key, group in itertools.groupby(rows(), key=lambda r: (r[0],)))
+
+
+def _exchange(frames: list[DataFrame], run: Callable, parts: int, spread: bool = False) -> DataFrame:
+    """The frames' rows by part, sorted by kind, through ``run``. ``spread``: the last frame's messages for parts that very many
+    ask are dealt over copies of the other frames' rows."""
+    *still, sent = (f.withColumn("salt", F.lit(0)) for f in frames)
+    spark = sent.sparkSession
+    hot = []
+    if spread:
+        sent = cut(sent)
+        loads = sent.groupBy("part").agg(F.sum("n").alias("n"))
+        total = loads.agg(F.sum("n")).first()[0] or 0
+        bound = max(LOAD, total // 10_000)
+        hot = loads.filter(F.col("n") > bound).collect() if total > bound else []  # 10,000 rows at most
+    if hot:
+        copies = F.broadcast(spark.createDataFrame([(r.part, math.ceil(r.n / bound)) for r in hot], "part long, copies int"))
+        n = F.coalesce("copies", F.lit(1))
+        sent = sent.join(copies, "part", "left").withColumn("salt", F.pmod(F.xxhash64("a"), n).cast("int")).drop("copies")
+        still = [f.join(copies, "part", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("copies") for f in still]
+    every = reduce(DataFrame.unionByName, [*still, sent])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 4)
+    return every.repartition(tasks, "part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(run, MESSAGE)
+
+
+def _as(buffer: pa.Buffer | None, kind: type, width: int | None = None) -> np.ndarray:
+    out = np.frombuffer(buffer, kind) if buffer is not None and buffer.size else np.zeros(0, kind)
+    return out if width is None else out.reshape(-1, width)
 
-def usable(df: DataFrame, key: str, vector: str, dim: int | None) -> tuple[DataFrame, int]:
-    """(id, v array<double>) of the rows that take part, and the number of components: ``dim``, or the commonest."""
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The place of each row within its run of equal sorted keys."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+
+
+def _best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, mark: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Each owner's ``most`` best distinct others, the best first; of equal pairs the one with the smaller mark stays."""
+    by = np.lexsort((mark, other, owner))
+    owner, other, score, mark = owner[by], other[by], score[by], mark[by]
+    once = np.ones(len(by), bool)
+    once[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
+    owner, other, score, mark = owner[once], other[once], score[once], mark[once]
+    by = np.lexsort((other, -score, owner))
+    by = by[_ranks(owner[by]) < most]
+    return owner[by], other[by], score[by], mark[by]
+
+
+def _lists(rows: int, width: int, owner: np.ndarray, other: np.ndarray, score: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted edges as arrays of ``rows`` lines; lines that aren't full end in -1, minus infinity and 0."""
+    at = (owner, _ranks(owner))
+    others, scores, marks = np.full((rows, width), -1, I8), np.full((rows, width), -np.inf, F4), np.zeros((rows, width), I1)
+    others[at], scores[at], marks[at] = other, score, mark
+    return others, scores, marks
+
+
+# -------------------------------------------------------------------------------------------------------------- nodes
+
+
+def usable(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
+    """(id, v array<double>) of the rows that take part, and the number of components; shorter vectors end in zeros."""
     v = F.col(f"`{vector}`").cast("array<double>")
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(fine)
-    if dim is None:
-        common = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-        dim = common.n if common else 1
-    return rows.filter(F.size("v") == dim), dim
-
-
-def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
-
-
-def _batches(frames: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for b in frames:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
-def _runs(frames: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
-    """Rows sorted by ``key`` as tables of whole groups, of about ``rows`` rows."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for b in frames:
-        held.append(b)
-        count += b.num_rows
-        if count < rows:
-            continue
-        table = pa.Table.from_batches(held)
-        k = table.column(key).to_numpy()
-        last = int(np.searchsorted(k, k[-1])) if len(k) else 0
-        if last:
-            yield table.slice(0, last)
-        held = table.slice(last).to_batches()
-        count = table.num_rows - last
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def nodes_of(rows: DataFrame, dim: int, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes: node, vec binary of dim + 1 halves, v; members: node, id, at most ``keep`` smallest ids of each)."""
+    least, most = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    dim = most or 1
+    return rows if least == most else rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))), dim
+
+
+def members_of(rows: DataFrame, keep: int) -> DataFrame:
+    """(node, id, v, r): of each vector its ``keep`` smallest ids, numbered; the first is the node's name."""
     same = W.partitionBy("v")
-    few = cut(rows.withColumn("r", F.row_number().over(same.orderBy("id"))).filter(F.col("r") <= keep).withColumn("node", F.min("id").over(same)))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    longest = few.agg(F.max(norm)).first()[0] or 1.0
+    few = rows.withColumn("r", F.row_number().over(same.orderBy("id"))).filter(F.col("r") <= keep)
+    return cut(few.withColumn("node", F.min("id").over(same)))
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, dim) / longest
-            more = np.sqrt(np.maximum(0, 1 - (v * v).sum(1)))
-            half = np.concatenate([v, more[:, None]], 1).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in half], pa.binary())], names=["node", "vec"])
 
-    nodes = few.filter("r = 1").select("node", "v")
-    return cut(nodes.mapInArrow(run, "node long, vec binary")), few.select("node", "id", "v", "r")
+def _planes(vectors: DataFrame, bits: int, tables: int, dim: int) -> np.ndarray:
+    """Hyperplanes (tables x bits x dim + 1) halfway between directions of random vectors, of which the driver sees so many."""
+    need = 2 * bits * tables
+    sample = np.array([r.v for r in vectors.orderBy(F.xxhash64("node")).limit(need).collect()], float).reshape(-1, dim)
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    rng = np.random.default_rng(SEED)
+    a, b = (sample[rng.integers(len(sample), size=need // 2)] for _ in range(2))
+    normal = a - b + 1e-3 * rng.standard_normal((need // 2, dim))
+    return np.concatenate([normal, -(normal * (a + b) / 2).sum(1, keepdims=True)], 1).reshape(tables, bits, dim + 1).astype(F4)
 
 
-def _best(pairs: DataFrame, degree: int) -> DataFrame:
-    """(node, other, score, fresh): each node's best distinct others. A pair seen before isn't fresh."""
-    once = pairs.repartition("node").groupBy("node", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
-    return once.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.desc("score"), "other"))).filter(F.col("r") <= degree).drop("r")
+def _places(x: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the sides of all hyperplanes as one number, the distance from the last) of directions."""
+    d = x @ planes[:, :-1].T + planes[:, -1]
+    return ((d[:, :-1] > 0) @ (1 << np.arange(planes.shape[0] - 1, dtype=I8))).astype(I8), d[:, -1]
 
 
-def start(nodes: DataFrame, width: int, degree: int) -> DataFrame:
-    """A first graph: within blocks of nodes that lie close on random projections, everyone's best others."""
-    rng = np.random.default_rng(SEED)
-    directions = rng.standard_normal((PROJECTIONS, width)).astype(np.float32)
+def nodes_of(members: DataFrame, asked: DataFrame, planes: np.ndarray, dim: int, size: int) -> DataFrame:
+    """Parts (kind NODES): directions, lengths, names of nodes, and whether each is in ``asked`` (node)."""
 
-    def project(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
-            p = _vectors(b.column(1), width) @ directions.T
-            for k in range(PROJECTIONS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, k, np.int32)), pa.array(p[:, k]), b.column(0), b.column(1)], names=["k", "p", "node", "vec"])
+            v = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, dim)
+            length = np.linalg.norm(v, axis=1)
+            unit = v / length[:, None]
+            code, far = _places(unit.astype(F4), planes)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(far), b.column(0), pa.array(length.astype(F4)), b.column(2), pa.array([r.tobytes() for r in unit.astype(F2)], pa.binary())], names=["code", "far", "node", "length", "asked", "vec"])
+
+    def number(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        task, turn, held = TaskContext.get().partitionId(), 0, []
+        for b in itertools.chain(frames, [None]):
+            held += [] if b is None else [b]
+            have = sum(x.num_rows for x in held)
+            while have >= PART or (b is None and have):
+                t = pa.Table.from_batches(held)
+                own, held = t.slice(0, PART), t.slice(PART).to_batches()
+                vec = np.frombuffer(b"".join(own.column("vec").to_pylist()), F2)
+                yield _row(task << 24 | turn, NODES, own.num_rows, vec, own.column("length").to_numpy(), own.column("node").to_numpy(), own.column("asked").to_numpy().astype(I1))
+                turn, have = turn + 1, have - own.num_rows
+
+    once = members.filter("r = 1").select("node", "v").join(asked.withColumn("asked", F.lit(True)), "node", "left").select("node", "v", F.coalesce("asked", F.lit(False)).alias("asked"))
+    placed = once.mapInArrow(place, "code long, far float, node long, length float, asked boolean, vec binary")
+    return cut(placed.repartitionByRange(math.ceil(size / (0.85 * PART)), "code", "far", "node").sortWithinPartitions("code", "far", "node").mapInArrow(number, MESSAGE))
+
+
+def _hubs(nodes: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, vectors) of the HUBS longest vectors."""
+
+    def longest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _parts(frames):
+            for _, _, a, b, *_ in rows:
+                length = _as(b, F4)
+                top = np.argsort(-length, kind="stable")[:HUBS]
+                for i in top.tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([part << BITS | i], pa.int64()), pa.array([length[i]], pa.float32()), pa.array([_as(a, F2, dim)[i].tobytes()], pa.binary())], names=["id", "length", "vec"])
+
+    found = nodes.mapInArrow(longest, "id long, length float, vec binary").orderBy(F.desc("length"), "id").limit(HUBS).collect()
+    vec = np.frombuffer(b"".join(r.vec for r in found), F2).reshape(-1, dim).astype(F4)
+    return np.array([r.id for r in found], I8), vec * np.array([r.length for r in found], F4)[:, None]
+
+
+# -------------------------------------------------------------------------------------------------------------- graph
+
+
+def start(nodes: DataFrame, planes: np.ndarray, dim: int, degree: int, parts: int) -> DataFrame:
+    """A first graph: everyone's best others in blocks of nodes on the same sides of hyperplanes, and among the hubs."""
+    hub_ids, hubs = _hubs(nodes, dim)
+
+    def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _parts(frames):
+            for _, _, a, b, *_ in rows:
+                x, length = _as(a, F2, dim), _as(b, F4)
+                vec = pa.array([r.tobytes() for r in x], pa.binary())
+                for k, own in enumerate(planes):
+                    code, far = _places(x.astype(F4), own)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, I4)), pa.array(code), pa.array(far), pa.array(part << BITS | np.arange(len(x))), pa.array(length), vec], names=["k", "code", "far", "id", "length", "vec"])
 
     def block(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _batches(frames, BLOCK):
-            ids, x = t.column(2).to_numpy(), _vectors(t.column(3), width)
-            s = x @ x.T
-            np.fill_diagonal(s, -np.inf)
-            n = min(degree, len(ids) - 1)
-            if n > 0:
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(ids[top.ravel()]), pa.array(np.take_along_axis(s, top, 1).ravel()), pa.array(np.ones(len(ids) * n, np.int32))], names=["node", "other", "score", "fresh"])
-
-    dealt = nodes.mapInArrow(project, "k int, p float, node long, vec binary").repartitionByRange("k", "p", "node").sortWithinPartitions("k", "p", "node")
-    return _best(dealt.mapInArrow(block, "node long, other long, score float, fresh int"), degree)
-
-
-def descend(nodes: DataFrame, width: int, degree: int = DEGREE) -> DataFrame:
-    """The neighbour graph (node, other, score) after NN-descent."""
-    graph = cut(start(nodes, width, degree))
-    size = graph.count()
+        for b in frames:
+            found = []
+            for at in range(0, b.num_rows, BLOCK):
+                t = b.slice(at, BLOCK)
+                ids = t.column(3).to_numpy()
+                x = np.frombuffer(b"".join(t.column(5).to_pylist()), F2).reshape(-1, dim).astype(F4) * t.column(4).to_numpy()[:, None]
+                s = x @ x.T
+                np.fill_diagonal(s, -np.inf)
+                n = min(FIRST, len(ids) - 1)
+                if n > 0:
+                    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                    found.append((np.repeat(ids, n), ids[top.ravel()], np.take_along_axis(s, top, 1).ravel()))
+            if found:
+                i, j, s = (np.concatenate(z) for z in zip(*found, strict=True))
+                yield from _send(SENT, i, i, j, s)
+
+    def merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _parts(frames):
+            i, j, s, size = [], [], [], 0
+            for _, kind, a, b, c, *_ in rows:
+                if kind == NODES:
+                    x = _as(a, F2, dim).astype(F4) * _as(b, F4)[:, None]
+                    size, n = len(x), min(FIRST, len(hub_ids))
+                    products = x @ hubs.T
+                    top = np.argpartition(-products, n - 1, axis=1)[:, :n]
+                    own = np.repeat(part << BITS | np.arange(size), n)
+                    j.append(hub_ids[top.ravel()])
+                    i.append(own)
+                    s.append(np.take_along_axis(products, top, 1).ravel())
+                else:
+                    i.append(_as(a, I8))
+                    j.append(_as(b, I8))
+                    s.append(_as(c, F4))
+            owner, other, score = np.concatenate(i), np.concatenate(j), np.concatenate(s)
+            fine = owner != other
+            owner, other, score = owner[fine] & ((1 << BITS) - 1), other[fine], score[fine]
+            lists = _lists(size, degree, *_best(owner, other, score, np.ones(len(owner), I1), degree))
+            yield _row(part, GRAPH, int(lists[2].sum()), *lists)
+
+    dealt = nodes.mapInArrow(place, "k int, code long, far float, id long, length float, vec binary").repartitionByRange("k", "code", "far", "id").sortWithinPartitions("k", "code", "far", "id")
+    return cut(_exchange([nodes, dealt.mapInArrow(block, MESSAGE)], merge, parts))
+
+
+def _gathered(part: int, turn: int, others: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Which edges of a part are gathered in a round: of each node at most GATHERED, fresh ones first, else at random."""
+    order = np.random.default_rng((SEED, part, turn)).random(others.shape, F4) + np.where(others < 0, F4(9), 1 - fresh)
+    chosen = np.zeros(others.shape, bool)
+    n = min(GATHERED, others.shape[1])
+    np.put_along_axis(chosen, np.argpartition(order, n - 1, axis=1)[:, :n], True, 1)
+    return chosen & (others >= 0)
+
+
+MEMBER = np.dtype([("centre", "<i8"), ("at", "<i4"), ("fresh", "i1"), ("side", "i1")])
+
+
+def descend(nodes: DataFrame, graph: DataFrame, dim: int, degree: int, parts: int, edges: int) -> DataFrame:
+    """The graph after NN-descent."""
     for turn in range(ROUNDS):
-        # Each node's gathering: a sample of its neighbours and of those it is a neighbour of, fresh ones first.
-        mine = graph.select(F.col("node").alias("centre"), F.col("other").alias("node"), "fresh", F.lit(0).alias("side"))
-        theirs = graph.select(F.col("other").alias("centre"), "node", "fresh", F.lit(1).alias("side"))
-        order = W.partitionBy("centre", "side").orderBy(F.desc("fresh"), F.xxhash64("centre", "node", F.lit(turn)))
-        gathered = mine.unionByName(theirs).repartition("centre").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= GATHERED)
-        gathered = cut(gathered.groupBy("centre", "node").agg(F.max("fresh").alias("fresh")))
-        worst = graph.groupBy("node").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
-        known = nodes.join(worst, "node", "left").select("node", "vec", F.when(F.col("n") >= degree, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        sent = gathered.join(known, "node").repartition("centre").sortWithinPartitions("centre")
+
+        def gather(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in _parts(frames):
+                for _, _, a, b, c, *_ in rows:
+                    others, scores, fresh = _as(a, I8, degree), _as(b, F4, degree), _as(c, I1, degree)
+                    yield _row(part, GRAPH, 0, scores[:, -1].copy())
+                    chosen = _gathered(part, turn, others, fresh)
+                    i = (part << BITS | np.arange(len(others)))[np.nonzero(chosen)[0]]
+                    j, new = others[chosen], fresh[chosen]
+                    yield from _send(SENT, j, j, i, new, np.zeros(len(i), I1))
+                    # The other way round: of one part's nodes, a centre hears of at most GATHERED, whatever their number.
+                    by = np.lexsort((np.random.default_rng((turn, part)).random(len(j)), 1 - new, j))
+                    by = by[_ranks(j[by]) < GATHERED]
+                    i, j, new = i[by], j[by], new[by]
+                    yield from _send(SENT, i, i, j, new, np.ones(len(i), I1))
+
+        def fetch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in _parts(frames):
+                asked = []
+                for _, kind, a, b, c, d, *_ in rows:
+                    if kind == NODES:
+                        vec, length = _as(a, F2, dim), _as(b, F4)
+                    elif kind == GRAPH:
+                        worst = _as(a, F4)
+                    else:
+                        asked.append((_as(a, I8), _as(b, I8), _as(c, I1), _as(d, I1)))
+                if not asked:
+                    continue
+                node, centre, fresh, side = (np.concatenate(z) for z in zip(*asked, strict=True))
+                by = np.argsort(centre >> BITS, kind="stable")
+                node, centre, fresh, side = node[by], centre[by], fresh[by], side[by]
+                for lo, hi in _runs(centre >> BITS):
+                    once, at = np.unique(node[lo:hi], return_inverse=True)
+                    own = once & ((1 << BITS) - 1)
+                    members = np.zeros(hi - lo, MEMBER)
+                    members["centre"], members["at"], members["fresh"], members["side"] = centre[lo:hi], at, fresh[lo:hi], side[lo:hi]
+                    yield _row(int(centre[lo] >> BITS), SENT, hi - lo, once, vec[own], length[own], worst[own], members)
 
         def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide = 2 * GATHERED
-            for t in _runs(frames, "centre", 1 << 15):
-                c, ids, fresh = (t.column(k).to_numpy() for k in ("centre", "node", "fresh"))
-                worst, x = t.column("worst").to_numpy(), _vectors(t.column("vec").combine_chunks(), width)
-                starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                group = np.cumsum(np.concatenate([[0], (c[1:] != c[:-1]).astype(int)]))
-                slot = np.arange(len(c)) - starts[group]
-                who = np.full((len(starts), wide), -1)
-                who[group, slot] = np.arange(len(c))
+            for part, rows in _parts(frames):
+                got = [(_as(a, I8), _as(b, F2, dim), _as(c, F4), _as(d, F4), _as(e, MEMBER)) for _, _, a, b, c, d, e, _ in rows]
+                ids, unit, length, worst = (np.concatenate([g[k] for g in got]) for k in range(4))
+                shift = np.cumsum([0, *(len(g[0]) for g in got)])[:-1]
+                members = np.concatenate([g[4] for g in got])
+                at = members["at"] + np.repeat(shift, [len(g[4]) for g in got])
+                x = unit.astype(F4) * length[:, None]
+                by = np.lexsort((np.random.default_rng((turn, part)).random(len(at)), 1 - members["fresh"], members["side"], members["centre"]))
+                members, at = members[by], at[by]
+                keep = _ranks(members["centre"] * 2 + members["side"]) < GATHERED
+                members, at = members[keep], at[keep]
+                slot = _ranks(members["centre"])
+                group = np.cumsum(slot == 0) - 1
+                who, new = np.full((group[-1] + 1, wide), -1), np.zeros((group[-1] + 1, wide), bool)
+                who[group, slot], new[group, slot] = at, members["fresh"] > 0
                 out: list[tuple[np.ndarray, ...]] = []
-                for at in range(0, len(who), 128):
-                    w = who[at : at + 128]
+                for lo in range(0, len(who), 128):
+                    w, n = who[lo : lo + 128], new[lo : lo + 128]
                     v = np.where((w >= 0)[:, :, None], x[w], 0)
                     s = v @ v.transpose(0, 2, 1)
-                    fine = (w[:, :, None] >= 0) & (w[:, None, :] >= 0) & (w[:, :, None] != w[:, None, :])
-                    fine &= (fresh[w] > 0)[:, :, None] | (fresh[w] > 0)[:, None, :]
-                    fine &= s > worst[w][:, :, None]
+                    fine = (w[:, :, None] >= 0) & (w[:, None, :] >= 0) & (ids[w][:, :, None] != ids[w][:, None, :])
+                    fine &= (n[:, :, None] | n[:, None, :]) & (s > worst[w][:, :, None])
                     g, i, j = np.nonzero(fine)
                     out.append((ids[w[g, i]], ids[w[g, j]], s[g, i, j]))
-                a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
-                # Of a batch's pairs only a node's best distinct ones can matter.
-                by = np.lexsort((b, -s, a))
-                a, b, s = a[by], b[by], s[by]
-                keep = np.ones(len(a), bool)
-                keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                a, b, s = a[keep], b[keep], s[keep]
-                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
-                rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-                keep = rank < degree
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep]), pa.array(np.ones(int(keep.sum()), np.int32))], names=["node", "other", "score", "fresh"])
-
-        found = sent.mapInArrow(compare, "node long, other long, score float, fresh int")
-        # Edges that were gathered as fresh have met each other; the others keep their turn.
-        met = gathered.select(F.col("centre").alias("node"), F.col("node").alias("other"), F.lit(1).alias("met"))
-        old = graph.join(met, ["node", "other"], "left").select("node", "other", "score", F.when(F.col("met").isNull(), F.col("fresh")).otherwise(F.lit(0)).alias("fresh"))
-        graph = cut(_best(old.unionByName(found), degree))
-        changed = graph.filter("fresh = 1").count()
-        if changed <= CHANGED * size:
+                i, j, s = (np.concatenate(z) for z in zip(*out, strict=True))
+                i, j, s, _ = _best(i, j, s, np.zeros(len(i), I1), degree)
+                yield from _send(SENT, i, i, j, s)
+
+        def merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in _parts(frames):
+                more, size = [], 0
+                for _, kind, a, b, c, *_ in rows:
+                    if kind == GRAPH:
+                        others, scores, fresh = _as(a, I8, degree), _as(b, F4, degree), _as(c, I1, degree)
+                        # Edges that were gathered have met each other; the others keep their turn.
+                        fresh = np.where(_gathered(part, turn, others, fresh), 0, fresh)
+                        size, real = len(others), others >= 0
+                        best = (np.nonzero(real)[0], others[real], scores[real], fresh[real].astype(I1))
+                    else:
+                        own = _as(a, I8) & ((1 << BITS) - 1)
+                        more.append((own, _as(b, I8), _as(c, F4), np.ones(len(own), I1)))
+                        if sum(len(m[0]) for m in more) > 1 << 21:
+                            best, more = _best(*(np.concatenate(z) for z in zip(best, *more, strict=True)), degree), []
+                best = _best(*(np.concatenate(z) for z in zip(best, *more, strict=True)), degree)
+                lists = _lists(size, degree, *best)
+                yield _row(part, GRAPH, int(lists[2].sum()), *lists)
+
+        asked = graph.mapInArrow(gather, MESSAGE)
+        told = _exchange([_exchange([nodes, asked], fetch, parts)], compare, parts)
+        graph = cut(_exchange([graph, told], merge, parts))
+        if (graph.agg(F.sum("n")).first()[0] or 0) <= CHANGED * edges:
             break
-    return graph.select("node", "other", "score")
-
-
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, width: int) -> DataFrame:
-    """(query, node): the candidates of greedy searches for ``queries`` (query long, node), from the query's own node."""
-    wanted = cut(queries.select("query", "node").join(nodes, "node").select("query", "node", F.col("vec").alias("q")))
-    state = wanted.select("query", "node", F.lit(2.0).cast("float").alias("score"), F.lit(False).alias("done"))
+    return graph
+
+
+# ------------------------------------------------------------------------------------------------------------- search
+
+
+def search(nodes: DataFrame, graph: DataFrame, dim: int, degree: int, parts: int) -> DataFrame:
+    """(query, node): numbers of the candidates of greedy searches from the nodes that are asked for."""
+    wide = max(BREADTH, degree)
+
+    def begin(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _parts(frames):
+            for _, kind, a, b, c, d, *_ in rows:
+                if kind == NODES:
+                    own = np.flatnonzero(_as(d, I1))
+                    unit, length = _as(a, F2, dim)[own], _as(b, F4)[own]
+                elif len(own):
+                    others, scores = np.full((len(own), wide), -1, I8), np.full((len(own), wide), -np.inf, F4)
+                    others[:, :degree], scores[:, :degree] = _as(a, I8, degree)[own], _as(b, F4, degree)[own]
+                    yield _row(part, GRAPH, int((others >= 0).sum()), part << BITS | own, others, scores, np.zeros(others.shape, I1), unit, length)
+
+    def ahead(others: np.ndarray, done: np.ndarray) -> np.ndarray:
+        """Which candidates are expanded next: the best that weren't."""
+        todo = (others >= 0) & (done == 0)
+        return todo & (np.cumsum(todo, 1) <= EXPANDED)
+
+    def ask(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _parts(frames):
+            for _, _, a, b, c, d, e, f in rows:
+                query, others, scores, done = _as(a, I8), _as(b, I8, wide), _as(c, F4, wide), _as(d, I1, wide)
+                i, k = np.nonzero(ahead(others, done))
+                yield from deliver(others[i, k], i, query, scores[:, -1], _as(e, F2, dim), _as(f, F4))
+
+    def deliver(to: np.ndarray, i: np.ndarray, query: np.ndarray, worst: np.ndarray, unit: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Messages for nodes from the queries ``i``, each with its queries' vectors once."""
+        by = np.argsort(to >> BITS, kind="stable")
+        to, i = to[by], i[by]
+        for lo, hi in _runs(to >> BITS):
+            own, at = np.unique(i[lo:hi], return_inverse=True)
+            yield _row(int(to[lo] >> BITS), SENT, hi - lo, to[lo:hi], at.astype(I4), query[own], worst[own], unit[own], length[own])
+
+    def hop(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _parts(frames):
+            for _, kind, a, b, c, d, e, f in rows:
+                if kind == GRAPH:
+                    others = _as(a, I8, degree)
+                    continue
+                query = _as(c, I8)
+                i, j = np.repeat(_as(b, I4).astype(I8), degree), others[_as(a, I8) & ((1 << BITS) - 1)].ravel()
+                fine = (j >= 0) & (j != query[i])
+                i, j = i[fine], j[fine]
+                by = np.lexsort((i, j))
+                i, j = i[by], j[by]
+                once = np.ones(len(i), bool)
+                once[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+                yield from deliver(j[once], i[once], query, _as(d, F4), _as(e, F2, dim), _as(f, F4))
+
+    def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _parts(frames):
+            for _, kind, a, b, c, d, e, f in rows:
+                if kind == NODES:
+                    x = _as(a, F2, dim).astype(F4) * _as(b, F4)[:, None]
+                    continue
+                node, at, query, worst, q = _as(a, I8), _as(b, I4), _as(c, I8), _as(d, F4), _as(e, F2, dim).astype(F4) * _as(f, F4)[:, None]
+                own = node & ((1 << BITS) - 1)
+                s = np.concatenate([np.einsum("ij,ij->i", x[own[k : k + 8192]], q[at[k : k + 8192]]) for k in range(0, len(own), 8192)])
+                fine = s > worst[at]
+                yield from _send(SENT, query[at[fine]], query[at[fine]], node[fine], s[fine])
+
+    def update(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _parts(frames):
+            more, query = [], np.zeros(0, I8)
+            for _, kind, a, b, c, d, e, f in rows:
+                if kind == GRAPH:
+                    query, others, scores, done, rest = _as(a, I8), _as(b, I8, wide), _as(c, F4, wide), _as(d, I1, wide), (_as(e, F2), _as(f, F4))
+                    # Marks: -1 for expanded ones, so that they stay so if they are found again.
+                    mark = np.where(ahead(others, done), -1, -done)
+                    real = others >= 0
+                    best = (np.nonzero(real)[0], others[real], scores[real], mark[real].astype(I1))
+                else:
+                    own = np.searchsorted(query, _as(a, I8))
+                    more.append((own, _as(b, I8), _as(c, F4), np.zeros(len(own), I1)))
+                    if sum(len(m[0]) for m in more) > 1 << 21:
+                        best, more = _best(*(np.concatenate(z) for z in zip(best, *more, strict=True)), wide), []
+            if len(query):
+                best = _best(*(np.concatenate(z) for z in zip(best, *more, strict=True)), wide)
+                others, scores, marks = _lists(len(query), wide, *best)
+                yield _row(part, GRAPH, int(((others >= 0) & (marks == 0)).sum()), query, others, scores, -marks, *rest)
+
+    state = cut(_exchange([nodes, graph], begin, parts))
     for _ in range(SEARCH_ROUNDS):
-        ahead = state.filter(~F.col("done")).withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node"))).filter(F.col("r") <= EXPANDED)
-        ahead = cut(ahead.select("query", "node"))
-        if ahead.isEmpty():
+        if not state.agg(F.sum("n")).first()[0]:
             break
+        met = _exchange([graph, state.mapInArrow(ask, MESSAGE)], hop, parts, spread=True)
+        scored = _exchange([nodes, met], score, parts, spread=True)
+        state = cut(_exchange([state, scored], update, parts))
 
-        def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _batches(frames, 8192):
-                s = np.einsum("ij,ij->i", _vectors(b.column(2), width)[:, :-1], _vectors(b.column(3), width)[:, :-1])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float32)), pa.array(np.zeros(len(s), bool))], names=["query", "node", "score", "done"])
+    def pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _parts(frames):
+            for _, _, a, b, *_ in rows:
+                query, others = _as(a, I8), _as(b, I8, wide)
+                i, k = np.nonzero(others >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(query[i]), pa.array(others[i, k])], names=["query", "node"])
 
-        # Ids first: each query meets a node once, and only then are vectors fetched.
-        met = ahead.join(graph.select("node", "other"), "node").select("query", F.col("other").alias("node")).distinct()
-        met = met.join(state.select("query", "node"), ["query", "node"], "left_anti")
-        fetched = met.join(nodes, "node").join(wanted.select("query", "q"), "query").select("query", "node", "vec", "q")
-        fresh = fetched.mapInArrow(score, "query long, node long, score float, done boolean")
-        now = state.join(ahead.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "score", (F.col("done") | F.col("now").isNotNull()).alias("done"))
-        every = now.unionByName(fresh).repartition("query").withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node")))
-        state = cut(every.filter(F.col("r") <= BREADTH).drop("r"))
-    return state.select("query", "node")
+    return state.mapInArrow(pairs, "query long, node long")
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = TOP, key: str = "vec_id", vector: str = "embedding", dim: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = TOP, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each id of ``queries`` (column of name ``key``).
 
-    Queries are rows of ``df``. Vectors that are null, zero, of another length than ``dim`` (by default the commonest) or hold
-    null or non-finite components take no part, nor do rows without an id. Of equal scores the smaller id comes first; equal
-    vectors are different candidates; a row is no candidate of its own query. Rows repeated with their id are one row. Other
-    columns are ignored; no rows, or one alone, give no rows.
+    Queries are rows of ``df``. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
+    rows without an id; where vectors differ in length, shorter ones count as ended by zeros. Of equal scores the smaller id
+    comes first; equal vectors are different candidates; a row is no candidate of its own query. Rows repeated with their id
+    are one row, of several vectors of an id the first in order of components stands. Other columns are ignored; no rows, or
+    one alone, give no rows.
     """
-    rows, dim = usable(df, key, vector, dim)
-    # Should an id have several vectors, its first in order of components stands.
+    rows, dim = usable(df, key, vector)
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-    nodes, members = nodes_of(rows, dim, k + 1)
+    members = members_of(rows, k + 1)
     wanted = queries.select(F.col(f"`{key}`").cast("long").alias("id")).filter("id is not null").distinct()
     asked = cut(rows.join(wanted, "id").select(F.col("id").alias("query"), F.col("v").alias("q")))
-    of = nodes.join(members.filter("r = 1").select("node", "v"), "node").select("node", "v")
-    started = asked.join(of, asked["q"] == of["v"]).select("query", "node")
-    graph = descend(nodes, dim + 1)
-    found = search(nodes, graph, cut(started), dim + 1)
+    of = members.filter("r = 1").select(F.col("node").alias("_node"), "v")
+    asked = cut(asked.join(of, asked["q"] == of["v"]).select("query", "q", F.col("_node").alias("start")))
+    once = members.filter("r = 1").select("node", "v")
+    size = once.count()
+    found = asked.select("query", F.col("start").alias("node"))
+    if size > 1:
+        bits = max(2, math.ceil(math.log2(size / BLOCK)) + 2) if size > BLOCK else 2
+        planes = _planes(once, bits, TABLES + 1, dim)
+        nodes = nodes_of(members, asked.select(F.col("start").alias("node")).distinct(), planes[0], dim, size)
+        parts = nodes.count()
+        graph = descend(nodes, start(nodes, planes[1:], dim, DEGREE, parts), dim, DEGREE, parts, size * min(DEGREE, size - 1))
+
+        def names(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, own in _parts(frames):
+                for _, _, _, _, c, *_ in own:
+                    name = _as(c, I8)
+                    yield pa.RecordBatch.from_arrays([pa.array(part << BITS | np.arange(len(name))), pa.array(name)], names=["id", "name"])
+
+        named = nodes.mapInArrow(names, "id long, name long")
+        pairs = search(nodes, graph, dim, DEGREE, parts).join(named.select(F.col("id").alias("node"), F.col("name").alias("to")), "node").join(named.select(F.col("id").alias("query"), F.col("name").alias("start")), "query")
+        found = found.unionByName(asked.join(pairs.select("start", "to"), "start").select("query", F.col("to").alias("node")))
     inner = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    exact = found.join(members.select("node", "id", "v"), "node").join(asked, "query").filter(F.col("id") != F.col("query"))
+    exact = found.join(members.select("node", "id", "v"), "node").join(asked.select("query", "q"), "query").filter(F.col("id") != F.col("query"))
     exact = exact.select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), inner.alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -31,7 +31,7 @@ def test_recall_order_and_exact_scores(spark):
     got = defaultdict(list)
     for r in N.nearest(df, df.filter("vec_id % 20 = 0").select("vec_id")).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    have = dict((i, np.array(v, float)) for i, v in rows[:560])
+    have = dict((i, np.array(v, float)) for i, v in rows[:560]) | {903: np.eye(16)[0]}  # a shorter vector ends in zeros
     ids = np.array(sorted(have))
     all_ = np.stack([have[i] for i in ids])
     hits = total = 0
@@ -46,6 +46,39 @@ def test_recall_order_and_exact_scores(spark):
     assert hits / total >= 0.95 and set(got) == {i for i in ids.tolist() if i % 20 == 0}
 
 
+def recall(spark, x, extra=()):
+    """Of the 20 largest products of every 20th vector with the others, the share that is found."""
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = N.nearest(df, df.filter("vec_id % 20 = 0").select("vec_id")).toPandas()
+    have = x.astype(np.float32).astype(float)
+    q = np.arange(0, len(x), 20)
+    s = have[q] @ have.T
+    s[np.arange(len(q)), q] = -np.inf
+    least = np.partition(s, -20, axis=1)[:, -20]
+    assert len(got) == 20 * len(q) and not got.duplicated(["query_id", "vec_id"]).any()
+    assert np.allclose(got["score"], s[got["query_id"] // 20, got["vec_id"]])
+    return float((got["score"].to_numpy() >= least[got["query_id"] // 20] - 1e-9).mean())
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.1, 0.7, "outlier"])
+def test_recall_whatever_the_lengths(spark, sigma):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if sigma == "outlier":
+        x[77] *= 3000
+    else:
+        x *= np.exp(sigma * rng.normal(size=(2000, 1)))
+    assert recall(spark, x) >= 0.95
+
+
+def test_recall_of_fifty_thousand(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 24))[rng.integers(400, size=50_000)] + 0.7 * rng.normal(size=(50_000, 24))
+    assert recall(spark, x * np.exp(0.3 * rng.normal(size=(50_000, 1)))) >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     q = df.filter("vec_id % 20 = 0").select("vec_id")
