@@ -6,9 +6,11 @@ may hold the article), main (it is of the article) and waste. The decoding takes
 which outside may lead to anything, main only to main or waste, and waste only to waste, so a choice for a node never
 contradicts one for its ancestors or descendants.
 
-The trees are fitted on a bounded sample of pages that mark their article themselves (``article`` or ``main``). The sample's
-copies are varied: containers get other tags and attributes, and blocks of the kinds that surround articles elsewhere
-(menus, comments, notices, forms and so on) are put in, so the model knows layouts that the sample itself lacks.
+The trees are fitted on a bounded sample of pages, those first that mark their article themselves (``article`` or ``main``).
+Of pages that don't, the article is taken to be the innermost element that holds most of the page's text outside links. The
+sample's copies are varied: containers get other tags and attributes, in some copies all telling tags become ``div`` without
+a name, and blocks of the kinds that surround articles elsewhere (menus, comments, notices, forms and so on) are put in, so
+the model knows layouts that the sample itself lacks.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +32,9 @@ from .words import texts
 
 #: Pages that the trees are fitted on (those with the smallest hashes), varied copies of each, boosting rounds, depth,
 #: learning rate, and candidate splits of a feature.
-FIT_PAGES, COPIES, ROUNDS, DEPTH, RATE, SPLITS = 100, 3, 20, 4, 0.3, 12
+FIT_PAGES, COPIES, ROUNDS, DEPTH, RATE, SPLITS = 100, 4, 20, 4, 0.3, 12
+#: Bytes of a page that the trees may be fitted on, so that the driver gets so many pages of a bounded size.
+FIT_BYTES = 256 << 10
 SEED = 42
 OUTSIDE, MAIN, WASTE = 0, 1, 2
 
@@ -44,12 +49,10 @@ SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 #: Elements of text.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote figcaption caption".split())
 
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+RAW = frozenset("script style textarea title noscript template iframe svg".split())
+NAME = re.compile(r"/?([a-z][a-z0-9:-]*)", re.I)
+#: The rest of a tag, in which a quoted ">" doesn't end it, and the same where quotes are broken. Both never go back.
+REST, LOOSE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), re.compile("[^>]*+>")
 ATTR = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 TAGS = "html body div section article main nav aside header footer form p ul ol li h1 h2 h3 h4 table tr td blockquote figure dl".split()
@@ -69,13 +72,54 @@ class Node:
     mark: str = ""
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before it, name, whether it ends an element, attributes) of each tag in page order, and the last text without a
+    name. Comments, declarations and the contents of raw elements have no name. Passes over a page once, however broken."""
+    at = look = 0  # where the text so far begins, and where the next tag may
+    rest, low = REST, page.lower()
+    if len(low) != len(page):  # a few letters grow in lower case
+        low = "".join(c.lower() if c.isascii() else c for c in page)
+    last = page.rfind(">")
+    while (begin := page.find("<", look)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            yield page[at:begin], "", False, ""
+            at = look = len(page) if end < 0 else end + 3
+            continue
+        if begin > last:  # no tag ends any more
+            break
+        name = NAME.match(page, begin + 1)
+        if name is None:
+            look = begin + 1
+            if page[look : look + 1] in ("!", "?", "/"):
+                yield page[at:begin], "", False, ""
+                at = look = page.index(">", look) + 1
+            continue
+        end = rest.match(page, name.end())
+        if end is None:  # quotes don't close: from here on they are characters like any other
+            rest = LOOSE
+            end = rest.match(page, name.end())
+        tag, ends = name[1].lower(), page[begin + 1] == "/"
+        stop = end.end()
+        if tag in RAW and not ends and not page.endswith("/", 0, stop - 1):
+            close = low.find("</" + tag, stop)
+            yield page[at:begin], "", False, ""
+            close = len(page) if close < 0 else page.find(">", close)
+            at = look = len(page) if close < 0 else close + 1
+            continue
+        yield page[at:begin], tag, ends, page[name.end() : stop - 1]
+        at = look = stop
+    yield page[at:], "", False, ""
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(block elements in page order, texts with the element each is in). Text in skipped elements is left out, inline
     elements only count as link text, a line break is a space, and elements that HTML lets end by themselves do."""
     nodes = [Node("#", -1, 0, frozenset())]
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("#", 0)]  # open elements with the block element that text in them belongs to
-    at, link, skip = 0, 0, 0
+    open_: Counter[str] = Counter()
+    link, skip = 0, 0
 
     def text(s: str) -> None:
         if s and not skip:
@@ -88,30 +132,28 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal link, skip
         while True:
             name, _ = stack.pop()
+            open_[name] -= 1
             link -= name == "a"
             skip -= name in SKIPPED
             if name == tag:
                 return
 
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for before, tag, ends, attrs in tokens(page):
+        text(before)
+        if not tag:
             continue
-        tag = tag.lower()
-        if m["end"]:
-            if any(name == tag for name, _ in stack):
+        if ends:
+            if open_[tag]:
                 close(tag)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             for name, _ in reversed(stack):
                 if name == "p":
                     close("p")
                     break
                 if name not in INLINE:
                     break
-        if tag in SAME:
+        if tag in SAME and any(open_[name] for name in SAME[tag][0]):
             group, bound = SAME[tag]
             for name, _ in reversed(stack):
                 if name in group:
@@ -124,20 +166,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             text(" ")
             continue
         if tag in INLINE:
-            if not m["attrs"].endswith("/"):
+            if not attrs.endswith("/"):
                 stack.append((tag, stack[-1][1]))
+                open_[tag] += 1
                 link += tag == "a"
             continue
         parent = stack[-1][1]
-        tokens = frozenset(zlib.crc32(w.encode()) % TOKENS for g in ATTR.findall(m["attrs"]) for x in g for w in PARTS.findall(x.lower())) if m["attrs"] else frozenset()
-        nodes.append(Node(tag, parent, nodes[parent].depth + 1, tokens, len(nodes[parent].children)))
-        if "data-" in m["attrs"]:  # marks of varied copies
-            nodes[-1].mark = "waste" if "data-waste" in m["attrs"] else "main" if "data-main" in m["attrs"] else ""
+        names = frozenset(zlib.crc32(w.encode()) % TOKENS for g in ATTR.findall(attrs) for x in g for w in PARTS.findall(x.lower())) if attrs else frozenset()
+        nodes.append(Node(tag, parent, nodes[parent].depth + 1, names, len(nodes[parent].children)))
+        if "data-" in attrs:  # marks of varied copies
+            nodes[-1].mark = "waste" if "data-waste" in attrs else "main" if "data-main" in attrs else ""
         nodes[parent].children.append(len(nodes) - 1)
-        if not m["attrs"].endswith("/"):
+        if not attrs.endswith("/"):
             stack.append((tag, len(nodes) - 1))
+            open_[tag] += 1
             skip += tag in SKIPPED
-    text(page[at:])
     return nodes, runs
 
 
@@ -169,21 +212,21 @@ def features(nodes: list[Node], runs: list[tuple[int, str]]) -> np.ndarray:
         np.array([x.depth for x in nodes], float), np.log1p(chars), chars / total, link / np.maximum(chars, 1), np.log1p(chars / size), marks / np.maximum(chars, 1) * 100,
         paragraphs, np.log1p(own), siblings, index / np.maximum(siblings - 1, 1), chars / np.maximum(chars[up], 1), np.log1p(chars[up]), link[up] / np.maximum(chars[up], 1), before / total, size,
     ], 1)
-    tags = np.zeros((n, len(TAGS)))
-    tokens = np.zeros((n, TOKENS))
+    tags = np.zeros((n, len(TAGS)), np.uint8)
+    names = np.zeros((n, TOKENS), np.uint8)
     for i, x in enumerate(nodes):
         if x.tag in _TAG_AT:
             tags[i, _TAG_AT[x.tag]] = 1
         if x.tokens:
-            tokens[i, list(x.tokens)] = 1
+            names[i, list(x.tokens)] = 1
     # What the ancestors are called counts as well: the nearest with a name, handed down.
-    above_tags, above_tokens = np.zeros_like(tags), np.zeros_like(tokens)
+    above_tags, above_tokens = np.zeros_like(tags), np.zeros_like(names)
     for i in range(1, n):
         p = parent[i]
         above_tags[i] = above_tags[p]
-        above_tokens[i] = above_tokens[p] if not nodes[p].tokens else tokens[p]
+        above_tokens[i] = above_tokens[p] if not nodes[p].tokens else names[p]
         above_tags[i] = np.maximum(above_tags[p], tags[p])
-    return np.concatenate([numbers, tags, tokens, above_tags, above_tokens], 1).astype(np.float32)
+    return np.concatenate([x.astype(np.float32) for x in (numbers, tags, names, above_tags, above_tokens)], 1)
 
 
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
@@ -311,10 +354,14 @@ WASTE_KINDS = {
 }
 
 
-def varied(page: str, rng: random.Random, other: list[str], whole: bool) -> str:
+#: Pages that mark their article, and the share of the text that the article is taken to have over in those that don't.
+MARKED, MOST = re.compile(r"<(article|main)\b", re.I), 0.5
+
+
+def varied(page: str, rng: random.Random, other: list[str], whole: bool, short: bool = False) -> str:
     """A copy of a page whose article has another container and which has more blocks around and in the article.
 
-    ``whole``: leave the page as it is. Every added block carries a mark that ``labels`` reads, and that no feature sees.
+    ``whole``: leave the page as it is. ``short``: leave of the article some words of a block or two. Every added block carries a mark that ``labels`` reads, and that no feature sees.
     """
     if whole or not (m := re.search(r"<(article|main)\b[^>]*>(.*)</\1\s*>", page, re.S | re.I)):
         return page
@@ -340,6 +387,9 @@ def varied(page: str, rng: random.Random, other: list[str], whole: bool) -> str:
         return f"<{t}{named} data-waste>{body}</{t}>"
 
     pieces = re.split(r"(?=<p\b)", inner)
+    if short:
+        some = rng.randint(2, 6)
+        pieces = [re.sub(r"[^<>]{20,}(?=<|$)", lambda t: " ".join(t[0].split()[:some]), x) for x in pieces[: rng.randint(1, 2)]]
     for _ in range(rng.choice([0, 0, 1, 2])):
         pieces.insert(rng.randint(1, len(pieces)) if len(pieces) > 1 else len(pieces), block())
     body = f"<{tag}{attrs} data-main>{''.join(pieces)}</{tag}>"
@@ -351,6 +401,40 @@ def varied(page: str, rng: random.Random, other: list[str], whole: bool) -> str:
     return page[: m.start()] + around[0] + body + around[1] + page[m.end() :]
 
 
+def stripped(page: str, rng: random.Random) -> str:
+    """A copy of a page in which telling tags are ``div`` (their meaning goes into marks), and most names of elements are gone."""
+    main = "data-main" in page
+
+    def opening(m: re.Match) -> str:
+        tag, attrs = m[1].lower(), m[2]
+        mark = "" if "data-" in attrs or tag == "section" else " data-main" if tag in ("article", "main") and not main else " data-waste" if tag not in ("article", "main") else ""
+        kept = attrs if "data-" in attrs and rng.random() < 0.3 else " data-main" if "data-main" in attrs else " data-waste" if "data-waste" in attrs else ""
+        return f"<div{kept}{mark}>"
+
+    page = re.sub(r"<(article|main|nav|aside|footer|header|section|form)\b([^>]*)>", opening, page, flags=re.I)
+    return re.sub(r"</(?:article|main|nav|aside|footer|header|section|form)\s*>", "</div>", page, flags=re.I)
+
+
+def likely(nodes: list[Node], runs: list[tuple[int, str]]) -> list[str]:
+    """Marks for a page that has none: the innermost element with over MOST of the text outside links is main, and in and around
+    it lists and blocks that are mostly links are waste."""
+    n = len(nodes)
+    chars, links = np.zeros(n), np.array([x.links for x in nodes], float)
+    for i, t in runs:
+        chars[i] += len(t.strip())
+    for i in range(n - 1, 0, -1):
+        chars[nodes[i].parent] += chars[i]
+        links[nodes[i].parent] += links[i]
+    plain = np.maximum(chars - links, 0)
+    marks = ["waste" if chars[i] and links[i] > 0.5 * chars[i] else "" for i in range(n)]
+    at = 0
+    while inner := [c for c in nodes[at].children if plain[c] > MOST * plain[0] and nodes[c].tag not in TEXTUAL and nodes[c].tag not in SKIPPED]:
+        at = inner[0]
+    if at:
+        marks[at] = "main"
+    return marks
+
+
 def labels(nodes: list[Node], marks: list[str]) -> np.ndarray:
     """The states that a page's own marks say: its article is main, what isn't text of an article is waste."""
     state = [OUTSIDE] * len(nodes)
@@ -372,16 +456,18 @@ def labels(nodes: list[Node], marks: list[str]) -> np.ndarray:
 
 
 def fit(pages: list[str]) -> Trees:
-    """Trees from pages with an ``article`` or ``main`` element, in themselves and in varied copies."""
+    """Trees from pages, in themselves and in varied copies."""
     rng = random.Random(SEED)
-    pages = [p for p in pages if re.search(r"<(article|main)\b", p, re.I)]
     other = [" ".join(t.split())[:400] for p in pages for t in re.findall(r"<p>([^<]{40,})", p)[:5]] or ["Some words of another page, to fill a block."]
     xs, ys = [np.zeros((0, len(TAGS) * 2 + TOKENS * 2 + 15), np.float32)], [np.zeros(0, int)]
     for page in pages:
         for k in range(COPIES + 1):
-            nodes, runs = parse(varied(page, rng, other, whole=k == 0))
-            xs.append(features(nodes, runs)[1:])
-            ys.append(labels(nodes, [x.mark for x in nodes])[1:])
+            copy = varied(page, rng, other, whole=k == 0, short=k == 1)
+            nodes, runs = parse(stripped(copy, rng) if k == COPIES and MARKED.search(page) else copy)
+            marks = [x.mark for x in nodes] if MARKED.search(page) else likely(nodes, runs)
+            if "main" in marks or MARKED.search(page):
+                xs.append(features(nodes, runs)[1:])
+                ys.append(labels(nodes, marks)[1:])
     return boost(np.concatenate(xs), np.concatenate(ys))
 
 
@@ -411,9 +497,12 @@ def extract(df: DataFrame, trees: Trees, key: str = "page_id", keep: tuple[str,
 
 
 def learn(df: DataFrame, markup: str = "html", key: str = "page_id") -> Trees:
-    """Trees fitted on FIT_PAGES pages that mark their article, those with the smallest hashes."""
+    """Trees fitted on FIT_PAGES pages of FIT_BYTES bytes at most: those that mark their article before others, then those with
+    the smallest hashes. Null and empty pages teach nothing."""
     own = F.xxhash64(F.col(f"`{key}`"), F.md5(F.col(f"`{markup}`")))
-    rows = df.filter(F.rlike(F.col(f"`{markup}`"), F.lit(r"(?i)<(article|main)\b"))).select(F.col(f"`{markup}`").alias("m"), own.alias("h"))
+    marks = F.rlike(F.col(f"`{markup}`"), F.lit(r"(?i)<(article|main)\b")).cast("int")
+    rows = df.filter(F.octet_length(F.col(f"`{markup}`")).between(1, FIT_BYTES)).select(F.col(f"`{markup}`").alias("m"), F.struct((-marks).alias("marks"), own.alias("h")).alias("h"))
     # Hashes first: each task sends FIT_PAGES of them, and only then are that many pages fetched.
-    last = [r.h for r in rows.select("h").orderBy("h").limit(FIT_PAGES).collect()]
-    return fit([r.m for r in rows.filter(F.col("h") <= last[-1]).orderBy("h").limit(FIT_PAGES).collect()] if last else [])
+    last = rows.select("h").orderBy("h").limit(FIT_PAGES).agg(F.max("h").alias("h")).first().h
+    bound = F.struct(F.lit(last.marks).alias("marks"), F.lit(last.h).alias("h")) if last else None
+    return fit([r.m for r in rows.filter(F.col("h") <= bound).orderBy("h").limit(FIT_PAGES).collect()] if last else [])

@@ -224,6 +224,53 @@ def test_other_layouts(trees):
     assert not any(x in got for x in ("Site", "Buy", "liked", "Other pages"))
 
 
+def plain(markup):
+    import re
+
+    return re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", markup)
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_pages_without_telling_tags(trees, marked):
+    import html
+    import re
+    from collections import Counter
+
+    rng = random.Random(13)
+    learned = trees if marked else H.fit([plain(page(i, rng)) for i in range(40)])
+    hit = found = want = 0
+    for i in range(40):
+        p = page(i, rng)
+        truth = Counter(html.unescape(re.sub("<[^>]+>", " ", re.search("<article>(.*)</article>", p)[1])).split())
+        got = Counter(text_of(learned, plain(p)).split())
+        hit, found, want = hit + (truth & got).total(), found + got.total(), want + truth.total()
+    assert hit / found >= 0.98 and hit / want >= 0.95
+
+
+@pytest.mark.parametrize("odd", ["<a ", '<a ">', "<!", "<!--", "<script>", "<script x='", "</x", "<b><hr>", "<p>"])
+def test_long_broken_pages_take_time_in_proportion(odd):
+    import time
+
+    began = time.perf_counter()
+    H.parse("<article><p>One." + odd * (1_000_000 // len(odd)))
+    assert time.perf_counter() - began < 8
+
+
+def test_query_on_whole_pages(spark, tmp_path):
+    import html
+    import re
+
+    from ledgerloom.llm.queries import op8_html_extraction
+
+    rng = random.Random(14)
+    rows = [(i, f"u{i}", page(i, rng)) for i in range(60)] + [(100, None, None), (101, "v", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in op8_html_extraction(spark, str(tmp_path)).collect()}
+    for i, url, p in rows:
+        want = " ".join(html.unescape(re.sub("<[^>]+>", " ", re.search("<article>(.*)</article>", p)[1])).split()) if p else ""
+        assert (got[i].url, got[i].text, got[i].n_chars) == (url, want, len(want))
+
+
 def test_decoding_never_contradicts(trees):
     rng = np.random.default_rng(2)
     nodes, _ = H.parse("<div><p>a<p>b<div><p>c</div></div><section><p>d</section>")
