@@ -1,15 +1,16 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands with elite migration.
 
 Documents become pieces of at most ``capacity`` ids. Pieces are dealt by a hash into regions of about REGION pieces, and
-each region is solved by ISLANDS islands. An island's individuals are packings (groups of pieces, a group a bin), of which
-the first is best-fit decreasing. Crossover injects the best filled bins of one parent into the other, removes the bins
-that held the same pieces, and puts the displaced pieces back by best fit. After each epoch every island's elite migrates
+each region is solved by ISLANDS islands. An island's individuals are packings (groups of pieces, a group a bin): one is
+best-fit decreasing, the others best fit in other orders. Crossover injects the best filled bins of one parent into the other,
+removes the bins that held the same pieces, lets displaced pieces replace shorter ones where they fill a bin better, and puts
+the rest back by best fit. After each epoch every island's elite migrates
 to the next island of its region (a Spark join), and the best packing of a region wins in the end. Pieces of equal length
 are interchangeable, so an individual is a list of bins of lengths and the pieces' identities never leave Spark until the
 lengths are dealt out again.
 
-Bins that stay below FULL of the capacity are opened again, and their pieces packed together with those of other regions,
-until one region holds them all; so the loss of dealing pieces out doesn't grow with the number of regions.
+Bins that stay below FULL of the capacity are opened again, and their pieces packed together with those of other regions, as
+long as they take fewer bins then; so the loss of dealing pieces out doesn't grow with the number of regions, which stay small.
 """
 
 from __future__ import annotations
@@ -34,10 +35,16 @@ from .common import cut
 from .words import Memo, held, release, texts
 
 CAPACITY = 2048
-#: Pieces of a region, islands of a region, individuals of an island, epochs, and crossovers of an island in an epoch.
-REGION, ISLANDS, INDIVIDUALS, EPOCHS, CROSSOVERS = 8192, 3, 4, 2, 3
+#: Pieces of a region, islands of a region, individuals of an island, and epochs.
+REGION, ISLANDS, INDIVIDUALS, EPOCHS = 8192, 3, 8, 4
+#: Crossovers of an island in an epoch: so many pieces are handled, but for these bounds.
+BUDGET, FEWEST, MOST = 100_000, 10, 200
+#: An island ends its epoch after so many crossovers in a row that don't better its elite.
+IDLE = 25
 #: A bin below this share of the capacity is opened again while there is more than one region.
 FULL = 0.995
+#: Further deals of loosely filled bins that are tried after one that gained nothing.
+DEALS = 2
 
 
 # ------------------------------------------------------------------------------------------------- documents to pieces
@@ -68,7 +75,7 @@ def encoder(path: str):
         out: list[bytes] = [b""] * len(words)
         easy, accented, rest = [], [], []
         for i, w in enumerate(words):
-            text = w.decode()
+            text = w.decode("utf-8", "replace")
             core = text.rstrip(".,")
             if text.isascii() and core.isalpha():
                 easy.append((i, core.lower(), text[len(core) :]))
@@ -131,14 +138,14 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "
 # ------------------------------------------------------------------------------------- the genetic algorithm of an island
 
 
-def best_fit(lengths: list[int], capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
-    """``bins`` with ``lengths`` added, longest first, each to the fullest bin that still takes it."""
+def best_fit(lengths: list[int], capacity: int, bins: list[list[int]] | None = None, as_given: bool = False) -> list[list[int]]:
+    """``bins`` with ``lengths`` added, longest first or ``as_given``, each to the fullest bin that still takes it."""
     bins = [] if bins is None else bins
     room: dict[int, list[int]] = {}
     for i, b in enumerate(bins):
         room.setdefault(capacity - sum(b), []).append(i)
     spaces = sorted(room)
-    for n in sorted(lengths, reverse=True):
+    for n in lengths if as_given else sorted(lengths, reverse=True):
         at = bisect.bisect_left(spaces, n)
         if at == len(spaces):
             bins.append([n])
@@ -158,15 +165,30 @@ def best_fit(lengths: list[int], capacity: int, bins: list[list[int]] | None = N
     return bins
 
 
+def fewest(lengths: list[int], capacity: int) -> int:
+    """A bound that no packing can have fewer bins than: by the sum of lengths, by how many pieces of over a j-th of the capacity a
+    bin can hold, and by the room that long pieces leave for others."""
+    x = np.sort(np.asarray(lengths, np.int64))
+    if not len(x):
+        return 0
+    total = np.concatenate([[0], np.cumsum(x)])
+    over = [-(-(len(x) - int(np.searchsorted(x, capacity // (j + 1), "right"))) // j) for j in range(1, 9)]
+    k = np.unique(x[2 * x <= capacity])  # pieces of k or more and up to half a bin, beside those that leave room for k
+    low, half, high = np.searchsorted(x, k), np.searchsorted(x, capacity // 2, "right"), np.searchsorted(x, capacity - k, "right")
+    room = (high - half) * capacity - (total[high] - total[half])
+    beside = len(x) - half + np.maximum(0, -(-(total[half] - total[low] - room) // capacity))
+    return max(math.ceil(int(total[-1]) / capacity), *over, *beside.tolist())
+
+
 def fitness(bins: list[list[int]], capacity: int) -> tuple[int, float]:
     """Fewer bins are better, then unevenly filled ones, whose emptiest bins are the next to vanish."""
     return -len(bins), sum((sum(b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
 def crossover(a: list[list[int]], b: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """``a`` with a share of ``b``'s best filled bins injected whole; what they displace is put back by best fit."""
+    """``a`` with a share of ``b``'s best filled bins injected whole; what they displace is put back by replacement and best fit."""
     ranked = sorted(range(len(b)), key=lambda i: (-sum(b[i]), rng.random()))
-    injected = [b[i] for i in sorted(ranked[: max(1, int(len(b) * rng.uniform(0.2, 0.6)))])]
+    injected = [b[i] for i in sorted(ranked[: max(1, int(len(b) * rng.uniform(0.1, 0.5)))])]
     double = Counter(n for x in injected for n in x)
     kept, displaced = [], []
     order = sorted(range(len(a)), key=lambda i: (sum(a[i]), rng.random()))  # worst filled bins give up their pieces first
@@ -178,34 +200,68 @@ def crossover(a: list[list[int]], b: list[list[int]], capacity: int, rng: random
                 else:
                     displaced.append(n)
         else:
-            kept.append(a[i])
-    return best_fit(displaced, capacity, [list(x) for x in injected] + [list(x) for x in kept])
+            kept.append(list(a[i]))
+    replace(kept, displaced, capacity)
+    return best_fit(displaced, capacity, [list(x) for x in injected] + kept)
+
+
+def replace(bins: list[list[int]], displaced: list[int], capacity: int) -> None:
+    """In place: where a displaced piece fills a bin better than a shorter one in it, they change places; the emptiest bins first."""
+    displaced.sort()
+    for own in bins:
+        room = capacity - sum(own)
+        if not room or not displaced:
+            continue
+        gain, piece, at = 0, 0, 0
+        for n in set(own):
+            k = bisect.bisect_right(displaced, n + room) - 1
+            if k >= 0 and displaced[k] - n > gain:
+                gain, piece, at = displaced[k] - n, n, k
+        if gain:
+            own[own.index(piece)] = displaced.pop(at)
+            bisect.insort(displaced, piece)
 
 
 def mutate(bins: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Some of the emptiest bins and as many others are opened and their pieces put back in random order of bins."""
+    """Some of the emptiest bins and as many others are opened; their pieces go back by replacement and best fit."""
     order = sorted(range(len(bins)), key=lambda i: sum(bins[i]))
-    n = max(1, len(bins) // 50)
+    n = max(2, len(bins) // 50)
     opened = set(order[:n]) | set(rng.sample(range(len(bins)), min(len(bins), n)))
-    return best_fit([x for i in opened for x in bins[i]], capacity, [list(b) for i, b in enumerate(bins) if i not in opened])
+    kept, loose = [list(bins[i]) for i in order if i not in opened], [x for i in opened for x in bins[i]]
+    replace(kept, loose, capacity)
+    return best_fit(loose, capacity, kept)
+
+
+def varied(lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+    """A packing by best fit in an order that is only roughly from the longest to the shortest."""
+    noise = rng.choice([0.05, 0.2, 1.0])
+    return best_fit(sorted(lengths, key=lambda n: -n * (1 + noise * rng.random())), capacity, as_given=True)
 
 
 def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int, rng: random.Random) -> list[list[int]]:
     """The elite of an island after an epoch. Stops as soon as no packing can have fewer bins."""
-    least = math.ceil(sum(lengths) / capacity)
-    population = population or [best_fit(lengths, capacity)]
-    if max(map(len, population)) == least:
-        return population[0]
-    while len(population) < INDIVIDUALS:
-        population.append(mutate(population[0], capacity, rng))
-    for _ in range(CROSSOVERS):
-        population.sort(key=lambda p: fitness(p, capacity), reverse=True)
-        if len(population[0]) == least:
-            break
-        a, b = rng.sample(population[:3], 2) if len(population) > 2 else population[:2]
+    least, idle = fewest(lengths, capacity), 0
+    own = [(fitness(p, capacity), p) for p in population or [best_fit(lengths, capacity)]]
+    best = lambda some: max(some, key=lambda x: x[0])
+    first = best(own)[1]  # stays the elite until a packing takes fewer bins
+    if len(first) == least:
+        return first
+    while len(own) < INDIVIDUALS:
+        own.append((fitness(p := varied(lengths, capacity, rng), capacity), p))
+    for _ in range(min(MOST, max(FEWEST, BUDGET // len(lengths)))):
+        a, b = (best(rng.sample(own, 2))[1] for _ in range(2))  # tournaments
         child = crossover(a, b, capacity, rng)
-        population[-1] = max(child, mutate(child, capacity, rng), key=lambda p: fitness(p, capacity))
-    return max(population, key=lambda p: fitness(p, capacity))
+        if rng.random() < 0.5:
+            child = mutate(child, capacity, rng)
+        fit = fitness(child, capacity)
+        worst = min(range(len(own)), key=lambda k: own[k][0])
+        idle = 0 if fit > best(own)[0] else idle + 1
+        if fit > own[worst][0] and all(fit != x[0] for x in own):
+            own[worst] = (fit, child)
+        if len(child) == least or idle == IDLE:
+            break
+    elite = best(own)[1]
+    return first if len(first) == len(elite) else elite
 
 
 def _flat(bins: list[list[int]]) -> tuple[list[int], list[int]]:
@@ -232,10 +288,10 @@ def epoch(islands: DataFrame, capacity: int, number: int) -> DataFrame:
                 lengths = [int(x) for x in r.lengths]
                 guests = [_bins(f, c) for f, c in ((r.own_flat, r.own_counts), (r.guest_flat, r.guest_counts)) if f is not None and len(f)]
                 bins = evolve(lengths, guests, capacity, rng)
-                rows.append((r.region, r.island, lengths, *_flat(bins), len(bins), fitness(bins, capacity)[1]))
-            yield pd.DataFrame(rows, columns=["region", "island", "lengths", "flat", "counts", "n_bins", "shape"])
+                rows.append((r.region, r.island, lengths, *_flat(bins), len(bins), fitness(bins, capacity)[1], len(bins) > fewest(lengths, capacity)))
+            yield pd.DataFrame(rows, columns=["region", "island", "lengths", "flat", "counts", "n_bins", "shape", "open"])
 
-    return islands.mapInPandas(run, "region long, island int, lengths array<int>, flat array<int>, counts array<int>, n_bins int, shape double")
+    return islands.mapInPandas(run, "region long, island int, lengths array<int>, flat array<int>, counts array<int>, n_bins int, shape double, open boolean")
 
 
 def solve(lengths: DataFrame, capacity: int) -> DataFrame:
@@ -246,11 +302,13 @@ def solve(lengths: DataFrame, capacity: int) -> DataFrame:
     # An island a task: each is some seconds of work and small to send.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     state = spread.select("region", F.explode(F.expr(f"sequence(0, {ISLANDS - 1})")).alias("island"), "lengths", nothing.alias("own_flat"), nothing.alias("own_counts"), nothing.alias("guest_flat"), nothing.alias("guest_counts"))
+    had = None
     for number in range(EPOCHS):
         ran = cut(epoch(state.repartition(tasks, "region", "island"), capacity, number))
-        least = F.ceil(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x) / capacity)
-        if ran.filter(F.col("n_bins") > least).isEmpty():
-            break  # no packing has fewer bins
+        bins = ran.groupBy("region").agg(F.min("n_bins").alias("n"), F.min("open").alias("open")).agg(F.sum("n").alias("n"), F.max("open").alias("open")).first()
+        if not bins.open or bins.n == had:
+            break  # no packing has fewer bins, or the last epoch found none
+        had = bins.n
         if number + 1 < EPOCHS:
             guests = ran.select("region", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("flat").alias("guest_flat"), F.col("counts").alias("guest_counts"))
             state = ran.join(guests, ["region", "island"]).select("region", "island", "lengths", F.col("flat").alias("own_flat"), F.col("counts").alias("own_counts"), "guest_flat", "guest_counts")
@@ -264,11 +322,12 @@ def assign(sized: DataFrame, capacity: int = CAPACITY, region: int = REGION) ->
     """``sized`` (uid long, unique; length int, at most ``capacity``) with ``sequence_id`` and ``offset`` for each."""
     whole = sized.filter(F.col("length") == capacity)  # alone in any packing
     done = whole.select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, turn = cut(sized.filter(F.col("length") < capacity).select("uid", F.col("length").cast("int"))), 0
+    rest, turn, before = cut(sized.filter(F.col("length") < capacity).select("uid", F.col("length").cast("int"))), 0, None
+    tried = 0
     while True:
         n = rest.count()
-        regions = max(1, math.ceil(n / region))
-        dealt = rest.withColumn("region", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(regions)))
+        regions = math.ceil(n / region) if n > 3 * region else 1
+        dealt = rest.select("uid", "length").withColumn("region", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(regions)))
         packed = solve(dealt.groupBy("region", "length").agg(F.count("*").cast("int").alias("n")), capacity)
         same = W.partitionBy("region", "length")  # within a region, so bounded
         slots = packed.withColumn("nth", F.row_number().over(same.orderBy("bin")))
@@ -277,17 +336,20 @@ def assign(sized: DataFrame, capacity: int = CAPACITY, region: int = REGION) ->
         inside = W.partitionBy("sequence_id")
         placed = cut(placed.withColumn("filled", F.sum("length").over(inside)).withColumn("offset", F.sum("length").over(inside.orderBy(F.desc("length"), "uid").rowsBetween(W.unboundedPreceding, -1))))
         placed = placed.withColumn("offset", F.coalesce("offset", F.lit(0)).cast("long"))
-        keep = placed if regions == 1 else placed.filter(F.col("filled") >= FULL * capacity)
-        done = done.unionByName(keep.select("uid", "sequence_id", "offset"))
+        bins = placed.filter("offset = 0")
+        if before is not None and bins.count() >= before:  # packed together, they take no fewer; another deal is tried
+            if regions == 1 or tried == DEALS:
+                return done.unionByName(rest.select("uid", "sequence_id", "offset"))
+            turn, tried = turn + 1, tried + 1
+            continue
         if regions == 1:
+            return done.unionByName(placed.select("uid", "sequence_id", "offset"))
+        loose = F.col("filled") < FULL * capacity
+        done = done.unionByName(placed.filter(~loose).select("uid", "sequence_id", "offset"))
+        tried = 0
+        rest, before, turn = placed.filter(loose).select("uid", "length", "sequence_id", "offset"), bins.filter(loose).count(), turn + 1
+        if not before:
             return done
-        left = placed.filter(F.col("filled") < FULL * capacity).select("uid", "length")
-        if left.isEmpty():
-            return done
-        if left.count() >= 0.7 * n:
-            # Hardly any bin can be filled: other regions of such pieces would do no better, so the packing stays as it is.
-            return done.unionByName(placed.filter(F.col("filled") < FULL * capacity).select("uid", "sequence_id", "offset"))
-        rest, turn = left, turn + 1
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:

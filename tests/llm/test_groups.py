@@ -239,6 +239,54 @@ def test_crossover_and_mutation_keep_all_pieces():
         assert sorted(n for g in x for n in g) == sorted(sizes) and all(sum(g) <= 100 for g in x)
 
 
+def test_bound_on_bins():
+    assert [K.fewest(x, 100) for x in ([], [100], [51] * 7, [34] * 7, [60] * 4 + [45] * 3, [30] * 10)] == [0, 1, 7, 4, 6, 4]
+    rng = random.Random(9)
+    for _ in range(50):
+        sizes = [rng.randint(1, 100) for _ in range(rng.randint(1, 60))]
+        assert -(-sum(sizes) // 100) <= K.fewest(sizes, 100) <= len(K.best_fit(sizes, 100))
+
+
+def test_the_genetic_algorithm_beats_best_fit(spark, monkeypatch):
+    rng = random.Random(3)
+    sizes = []
+    for _ in range(60):  # three pieces fill a bin to the brim, which best fit hardly ever finds
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    seen, crossover = [], K.crossover
+    monkeypatch.setattr(K, "crossover", lambda *x: seen.append(1) or crossover(*x))
+    alone = K.evolve(sizes, [], 1000, random.Random(1))
+    assert len(seen) >= K.FEWEST and len(alone) < len(K.best_fit(sizes, 1000))
+    monkeypatch.undo()
+    df = spark.createDataFrame(list(enumerate(sizes)), "uid long, length int").repartition(3)
+    got = K.assign(df, 1000).join(df, "uid").groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert all(r.n <= 1000 for r in got) and 60 <= len(got) <= len(K.best_fit(sizes, 1000)) - 4
+
+
+def test_many_pieces_that_cannot_share_a_bin_stay_in_small_regions(spark):
+    df = spark.range(100_000).select(F.col("id").alias("uid"), F.lit(1100).alias("length"))
+    got = K.assign(df, 2048)
+    assert got.count() == 100_000 and got.select("sequence_id").distinct().count() == 100_000 and got.filter("offset <> 0").isEmpty()
+
+
+def test_query_packs_whole_documents(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from ledgerloom.llm.queries import op10_best_fit_packing
+
+    tok, rng = Tokenizer.from_file(TOKENIZER), random.Random(8)
+    texts = [" ".join(rng.choice(["one", "two,", "three"]) for _ in range(rng.choice([3, 50, 900]))) for _ in range(80)] + [None, "word " * 7000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op10_best_fit_packing(spark, str(tmp_path)).toPandas()
+    for d, t in enumerate(texts):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        mine = got[got.doc_id == d].sort_values("piece")
+        assert mine.start.tolist() == list(range(0, len(ids), 2048)) and mine.ids_crc32.tolist() == [zlib.crc32(ids[a : a + 2048].tobytes()) for a in mine.start]
+    whole = got.groupby("sequence_id").length.sum()
+    assert whole.max() <= 2048 and len(whole) <= -(-got.length.sum() // 2048) + 1
+
+
 # ----------------------------------------------------------------------------------------------------------------- pipeline
 
 
