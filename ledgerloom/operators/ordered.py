@@ -60,16 +60,8 @@ def in_rows(df: DataFrame, back: int, columns: Callable[[object], dict[str, Colu
     return dealt.withColumns(columns(w)).filter("_own = _chunk").drop("_own", "_chunk")
 
 
-def in_time(df: DataFrame, seconds: int, columns: Callable[[object, object], dict[str, Column]], by: list[str] | None = None, idx: str = "idx", ts: str = "ts", chunk: int = CHUNK) -> DataFrame:
-    """``df`` with window columns whose frames reach less than ``seconds`` back in ``ts`` (whole seconds, nondecreasing).
-
-    ``columns`` gets two windows without frames: one by ``ts`` for RANGE frames, in which rows of one second are peers, and one
-    of the row's own second by ``idx``.
-    """
-    by = by or []
+def dealt_in_time(df: DataFrame, seconds: int, ts: str = "ts", chunk: int = CHUNK) -> DataFrame:
+    """``df`` with ``_own``, each row's chunk of time, once for each ``_chunk`` whose rows reach back to it in less than ``seconds``."""
     width = max(seconds, chunk)
     own = F.floor(F.col(ts) / width)
-    dealt = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, F.floor((F.col(ts) + seconds) / width))))
-    wide = W.partitionBy(*by, "_chunk").orderBy(ts)
-    peers = W.partitionBy(*by, "_chunk", ts).orderBy(idx)
-    return dealt.withColumns(columns(wide, peers)).filter("_own = _chunk").drop("_own", "_chunk")
+    return df.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, F.floor((F.col(ts) + seconds) / width))))

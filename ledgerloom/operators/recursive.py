@@ -27,7 +27,7 @@ def linear(df: DataFrame, a: Column, b: Column, out: str, by: list[str] | None =
     def pair(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(idx)
         x, p = 0.0, 1.0
-        for s, t in zip(own["_a"].to_numpy(), own["_b"].to_numpy(), strict=True):
+        for s, t in zip(own["_a"].tolist(), own["_b"].tolist(), strict=True):
             x, p = s * x + t, p * s
         return pd.DataFrame([[*own[keys].iloc[0], p, x]], columns=[*keys, "_p", "_x"])
 
@@ -37,7 +37,7 @@ def linear(df: DataFrame, a: Column, b: Column, out: str, by: list[str] | None =
     def chain(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("_chunk")
         starts, x = [], 0.0
-        for p, y in zip(own["_p"], own["_x"], strict=True):
+        for p, y in zip(own["_p"].tolist(), own["_x"].tolist(), strict=True):
             starts.append(x)
             x = p * x + y
         return own[keys].assign(_from=starts)
@@ -48,7 +48,7 @@ def linear(df: DataFrame, a: Column, b: Column, out: str, by: list[str] | None =
     def fold(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(idx)
         x, xs = float(own["_from"].iloc[0]), np.empty(len(own))
-        for i, (s, t) in enumerate(zip(own["_a"].to_numpy(), own["_b"].to_numpy(), strict=True)):
+        for i, (s, t) in enumerate(zip(own["_a"].tolist(), own["_b"].tolist(), strict=True)):
             xs[i] = x = s * x + t
         return own[names].assign(**{out: xs})
 

@@ -2,20 +2,25 @@
 
 A time window of a row ends at the row and starts at the first row that is less than ``seconds`` old. Rows of one second
 come in order of their index, and a row's window doesn't hold later rows of its own second; a plain RANGE frame would.
-Each result is therefore put together from a frame over earlier seconds and one over the row's own second up to the row.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scalars as S
 from ..functions.lineage import cut
-from .ordered import CHUNK, in_rows, in_time, running
+from .ordered import CHUNK, dealt_in_time, in_rows, running
 
 QUANTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 
@@ -25,51 +30,105 @@ def monotonic(df: DataFrame, ts: str = "ts", out: str = "mono", by: list[str] |
     return running(df, {out: ("max", F.col(ts))}, by, idx, chunk)
 
 
-def _frames(wide, peers, seconds: int):
-    return wide.rangeBetween(-(seconds - 1), -1), peers.rowsBetween(W.unboundedPreceding, 0)
-
-
 def window_start(df: DataFrame, seconds: int, out: str = "start", by: list[str] | None = None, idx: str = "idx", ts: str = "ts") -> DataFrame:
     """The index of the first row of each row's time window."""
-    return in_time(df, seconds, lambda wide, peers: {out: F.min(idx).over(wide.rangeBetween(-(seconds - 1), 0))}, by, idx, ts)
+    return rolling_time(df, seconds, idx, ["first"], by, idx, ts).withColumnRenamed("first", out)
 
 
 def rolling_time(df: DataFrame, seconds: int, value: str, what: list[str], by: list[str] | None = None, idx: str = "idx", ts: str = "ts") -> DataFrame:
     """Columns named after ``what`` over each row's time window: sum, count, average, sd (of the population), min, max, first
-    (the value at the window's start), median, and distribution (min, p10 to p90, max by linear interpolation)."""
-    v = F.col(value)
+    (the value at the window's start), median, and distribution (p10 to p90 by linear interpolation, low, high).
 
-    def columns(wide, peers) -> dict[str, Column]:
-        old, same = _frames(wide, peers, seconds)
-        total = lambda x: F.coalesce(F.sum(x).over(old), F.lit(0)) + F.coalesce(F.sum(x).over(same), F.lit(0))
-        n = F.count(F.lit(1)).over(old) + F.count(F.lit(1)).over(same)
-        low = F.least(F.min(v).over(old), F.min(v).over(same))
-        high = F.greatest(F.max(v).over(old), F.max(v).over(same))
-        out: dict[str, Column] = {}
-        if {"median", "distribution"} & {*what}:
-            out["_sorted"] = F.array_sort(F.concat(F.collect_list(v).over(old), F.collect_list(v).over(same)))
-        simple = {
-            "sum": total(v), "count": n, "average": F.try_divide(total(v), n), "min": low, "max": high,
-            "sd": F.sqrt(F.greatest(F.try_divide(total(v.cast("double") * v), n) - F.pow(F.try_divide(total(v), n), F.lit(2)), F.lit(0.0))),
-            "first": F.coalesce(F.first(v).over(old), F.first(v).over(same)),
-        }
-        return out | {k: c for k, c in simple.items() if k in what} | ({"low": low, "high": high} if "distribution" in what else {})
-
-    frame = in_time(df, seconds, columns, by, idx, ts)
-    if "median" in what:
-        frame = frame.withColumn("median", interpolated(F.col("_sorted"), 0.5))
-    if "distribution" in what:
-        frame = frame.withColumns({k: interpolated(F.col("_sorted"), p) for k, p in QUANTILES.items()})
-    return frame.drop("_sorted")
-
-
-def interpolated(values: Column, p: float) -> Column:
-    """The quantile at (n - 1) p of sorted values, between neighbours by linear interpolation; 0 of nothing."""
-    at = (F.size(values) - 1) * F.lit(p)
-    low = F.floor(at).cast("int")
-    a = F.get(values, low).cast("double")
-    b = F.coalesce(F.get(values, low + 1).cast("double"), a)
-    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(a + (b - a) * (at - low))
+    Nulls count as rows without a value. A chunk of time and what windows reach back to is one pass: sums are differences of
+    running sums, extremes come from ranges of powers of two, quantiles from a list that is kept sorted as the window moves.
+    """
+    exact = df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
+    kind = df.schema[value].dataType
+    kinds = {"sum": T.LongType() if exact else T.DoubleType(), "count": T.LongType(), "min": kind, "max": kind, "first": kind, "low": kind, "high": kind}
+    names = [n for w in what for n in ((*QUANTILES, "low", "high") if w == "distribution" else (w,))]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, kinds.get(n, T.DoubleType())) for n in names)])
+    fields, columns = {n: to_arrow_type(kinds.get(n, T.DoubleType())) for n in names}, df.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(ts, "ascending"), (idx, "ascending")])
+        at, own = table.column(ts).to_numpy(), np.flatnonzero(pc.equal(table.column("_own"), table.column("_chunk")).to_numpy(zero_copy_only=False))
+        start, end = np.searchsorted(at, at[own] - (seconds - 1)), own + 1
+        mine = table.select(columns).take(pa.array(own))
+        for n, x in zip(names, _over_windows(table.column(value), start, end, names, exact), strict=True):
+            mine = mine.append_column(n, x.cast(fields[n], safe=False))
+        return mine
+
+    return dealt_in_time(df, seconds, ts).groupBy(*(by or []), "_chunk").applyInArrow(run, schema)
+
+
+def _over_windows(column: pa.ChunkedArray, start: np.ndarray, end: np.ndarray, names: list[str], exact: bool) -> list:
+    """A result for each of ``names`` over the rows ``start`` up to, without, ``end``."""
+    null = column.is_null().to_numpy()
+    v = column.cast(pa.int64() if exact else pa.float64()).fill_null(0).to_numpy()
+    n = end - start
+
+    def total(x: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])
+        return sums[end] - sums[start]
+
+    odd = None if exact else ~np.isfinite(v)
+    plain = v if exact or not odd.any() else np.where(odd, 0.0, v)
+    bad = None if exact or not odd.any() else total(odd.astype(np.int64)) > 0
+    out: dict[str, object] = {}
+    if {"sum", "average", "sd"} & {*names}:
+        sums = total(plain)
+        sums = sums if bad is None else np.where(bad, np.nan, sums)
+        mean = sums / n
+        out |= {"sum": pa.array(sums), "average": pa.array(mean)}
+        if "sd" in names:
+            spread = total(plain.astype(float) ** 2) / n - mean * mean
+            out["sd"] = pa.array(np.where(np.isnan(spread), np.nan, np.sqrt(np.maximum(spread, 0.0))))
+    out["count"] = pa.array(n.astype(np.int64))
+    if "first" in names:
+        out["first"] = column.take(pa.array(start))
+    some = total((~null).astype(np.int64)) > 0
+    for name, pick, worst in (("min", np.minimum, np.iinfo(np.int64).max if exact else np.inf), ("max", np.maximum, np.iinfo(np.int64).min if exact else -np.inf)):
+        also = "low" if name == "min" else "high"
+        if {name, also} & {*names}:
+            out[name] = out[also] = pa.array(_range(np.where(null, worst, v), start, end, pick), mask=~some)
+    if {"median", *QUANTILES} & {*names}:
+        asked = [q for q in ("median", *QUANTILES) if q in names]
+        found = _quantiles(v, null, start, end, [0.5 if q == "median" else QUANTILES[q] for q in asked])
+        out |= {q: pa.array(found[:, k]) for k, q in enumerate(asked)}
+    return [out[n] for n in names]
+
+
+def _range(v: np.ndarray, start: np.ndarray, end: np.ndarray, pick) -> np.ndarray:
+    """The extreme of rows ``start`` up to ``end``: of the two ranges of a power of two rows that cover them."""
+    out, level, size = np.empty(len(start), v.dtype), v, 1
+    power = np.floor(np.log2(end - start)).astype(int)
+    for k in range(int(power.max(initial=-1)) + 1):
+        here = power == k
+        out[here] = pick(level[start[here]], level[end[here] - size])
+        level, size = pick(level[:-size], level[size:]), size * 2
+    return out
+
+
+def _quantiles(v: np.ndarray, null: np.ndarray, start: np.ndarray, end: np.ndarray, shares: list[float]) -> np.ndarray:
+    """Interpolated quantiles (windows x shares) of windows whose ends never go back; 0 of nothing."""
+    out = np.zeros((len(start), len(shares)))
+    values, gone, kept = v.tolist(), null.tolist(), []
+    low = high = int(start[0]) if len(start) else 0
+    for row, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+        for i in range(high, b):
+            if not gone[i]:
+                bisect.insort(kept, values[i])
+        for i in range(low, a):
+            if not gone[i]:
+                del kept[bisect.bisect_left(kept, values[i])]
+        low, high = a, b
+        if kept:
+            for k, p in enumerate(shares):
+                place = (len(kept) - 1) * p
+                i = int(place)
+                x = kept[i]
+                out[row, k] = x + (kept[min(i + 1, len(kept) - 1)] - x) * (place - i)
+    return out
 
 
 def rolling_ratio(df: DataFrame, seconds: int, numerator: str, denominator: str, out: str, by: list[str] | None = None, idx: str = "idx", ts: str = "ts") -> DataFrame:
