@@ -39,7 +39,7 @@ DEGREE, FIRST, HUBS = 40, 16, 512
 #: Members that a node gathers of each kind, rounds of NN-descent at most, and the share of edges that must change for another.
 GATHERED, ROUNDS, CHANGED = 22, 6, 0.03
 #: Candidates that a search keeps, nodes that it expands in a round, rounds at most.
-BREADTH, EXPANDED, SEARCH_ROUNDS = 160, 36, 7
+BREADTH, EXPANDED, SEARCH_ROUNDS = 160, 80, 4
 #: Asked nodes of a part beyond which the part is copied; ten thousand parts at most are.
 LOAD = 1 << 22
 TOP, SEED = 20, 42
@@ -107,7 +107,9 @@ def _exchange(frames: list[DataFrame], run: Callable, parts: int, spread: bool =
         still = [f.join(copies, "part", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("copies") for f in still]
     every = reduce(DataFrame.unionByName, [*still, sent])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 4)
-    return every.repartition(tasks, "part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(run, MESSAGE)
+    # No more tasks than parts have rows, as each starts a Python worker.
+    dealt = every.repartition(tasks, "part", "salt").coalesce(min(tasks, 2 * parts + 4))
+    return dealt.sortWithinPartitions("part", "salt", "kind").mapInArrow(run, MESSAGE)
 
 
 def _as(buffer: pa.Buffer | None, kind: type, width: int | None = None) -> np.ndarray:
