@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of a memo, and what a word takes in it besides the letters of word and value: two objects, its slot, its mark in a set.
-MEMO_BYTES, WORD_BYTES = 64 << 20, 140
+MEMO_BYTES, WORD_BYTES = 96 << 20, 140
 
 #: What this worker keeps from task to task: one thing at a time, as workers outlive the stage that they were started for.
 _HELD: dict[Hashable, Any] = {}
