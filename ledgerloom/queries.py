@@ -16,6 +16,7 @@ from .functions import calendar, scalars as S
 from .operators import aggregates as A
 from .operators import chain, lookups, recursive, resample
 from .operators import windows as Win
+from .operators.ordered import running
 from .plans import catalogue, frameworks, market, network
 from .sources import tables
 from .streaming import incremental, mempool
@@ -431,10 +432,10 @@ def since_a_day(spark, sf_dir):
 # -------------------------------------------------------------------------------------------------------------------- 2.10
 
 
-@query(f"WITH {EV}, p AS (SELECT idx AS id, 1704067200 + idx * 97 AS t FROM ev) SELECT id, t, (SELECT min(idx) FROM ev WHERE ts >= t) AS at FROM p WHERE id < 500")
+@query(f"WITH {EV}, p AS (SELECT idx AS id, 1704067200 + idx * 97 AS t FROM ev), m AS (SELECT ts, min(idx) AS h FROM ev GROUP BY ts) SELECT id, t, h AS at FROM p ASOF LEFT JOIN m ON p.t <= m.ts")
 def height_at_or_after_time(spark, sf_dir):
     b = blocks(spark, sf_dir)
-    points = b.filter("idx < 500").select(F.col("idx").alias("id"), (1_704_067_200 + F.col("idx") * 97).alias("t"))
+    points = b.select(F.col("idx").alias("id"), (1_704_067_200 + F.col("idx") * 97).alias("t"))
     return lookups.as_of(points, b.select(F.col("ts").alias("t"), "idx"), "t", F.col("idx"), "at", forward=True)
 
 
@@ -445,7 +446,7 @@ def height_at_or_before_time(spark, sf_dir):
     return lookups.as_of(points, b.select(F.col("ts").alias("t"), "idx"), "t", F.col("idx"), "at")
 
 
-@query(f"WITH {LI}, o AS (SELECT row_number() OVER (ORDER BY parent, part, supplier, qty, cents) - 1 AS txout_idx, * FROM li WHERE parent < 2000), i AS (SELECT txout_idx, txout_idx // 2 AS txin_idx FROM o WHERE part % 3 = 0) SELECT o.txout_idx, txin_idx FROM o LEFT JOIN i USING (txout_idx)")
+@query(f"WITH {LI}, o AS (SELECT row_number() OVER (ORDER BY parent, part, supplier, qty, cents) - 1 AS txout_idx, * FROM li), i AS (SELECT txout_idx, txout_idx // 2 AS txin_idx FROM o WHERE part % 3 = 0) SELECT o.txout_idx, txin_idx FROM o LEFT JOIN i USING (txout_idx)")
 def output_spenders(spark, sf_dir):
     o = _numbered(spark, sf_dir)
     i = o.filter("part % 3 = 0").select("txout_idx", F.floor(F.col("txout_idx") / 2).alias("txin_idx"))
@@ -453,12 +454,14 @@ def output_spenders(spark, sf_dir):
 
 
 def _numbered(spark, sf_dir) -> DataFrame:
-    """Numbered outputs: lines of the first 2000 orders, so one task numbers them."""
-    order = W.partitionBy().orderBy("parent", "part", "supplier", "qty", "cents")
-    return lines(spark, sf_dir).filter("parent < 2000").withColumn("txout_idx", F.row_number().over(order).cast("long") - 1)
+    """Numbered outputs: each order's lines are numbered, and start where those of the orders before end."""
+    li = lines(spark, sf_dir)
+    first = running(li.groupBy("parent").agg(F.count("*").alias("_n")), {"_upto": ("sum", F.col("_n"))}, None, "parent").select("parent", (F.col("_upto") - F.col("_n")).alias("_first"))
+    nth = F.row_number().over(W.partitionBy("parent").orderBy("part", "supplier", "qty", "cents"))
+    return li.withColumn("_nth", nth).join(first, "parent").withColumn("txout_idx", (F.col("_first") + F.col("_nth") - 1).cast("long")).drop("_nth", "_first")
 
 
-@query(f"WITH {LI}, o AS (SELECT row_number() OVER (ORDER BY parent, part, supplier, qty, cents) - 1 AS txout_idx, * FROM li WHERE parent < 2000) SELECT flag, count(*) AS n, sum(cents)::BIGINT AS sats FROM o WHERE part % 3 <> 0 GROUP BY flag")
+@query(f"WITH {LI}, o AS (SELECT row_number() OVER (ORDER BY parent, part, supplier, qty, cents) - 1 AS txout_idx, * FROM li) SELECT flag, count(*) AS n, sum(cents)::BIGINT AS sats FROM o WHERE part % 3 <> 0 GROUP BY flag")
 def unspent_outputs(spark, sf_dir):
     o = _numbered(spark, sf_dir)
     return lookups.unspent(o, o.filter("part % 3 = 0").select("txout_idx")).groupBy("flag").agg(F.count("*").alias("n"), F.sum("cents").alias("sats"))
@@ -646,10 +649,10 @@ def dollar_cost_averaging(spark, sf_dir):
 
 
 @query(f"""WITH {STARTED}, r AS (SELECT a.idx, a.ts, CASE WHEN b.price = 0 THEN 0 ELSE (a.price - b.price) / b.price END AS ret FROM started a JOIN ev b ON b.idx = a.start), w AS (SELECT *, min(idx) OVER (ORDER BY ts RANGE BETWEEN {7 * DAY - 1} PRECEDING AND CURRENT ROW) AS s7 FROM r)
-    SELECT a.idx, {sc("stddev_pop(b.ret) * sqrt(7)", 100)} AS volatility_e2 FROM w a JOIN w b ON b.idx BETWEEN a.s7 AND a.idx WHERE a.idx < 1000 GROUP BY a.idx""")
+    SELECT a.idx, {sc("stddev_pop(b.ret) * sqrt(7)", 100)} AS volatility_e2 FROM w a JOIN w b ON b.idx BETWEEN a.s7 AND a.idx GROUP BY a.idx""")
 def volatility(spark, sf_dir):
     v = market.volatility(blocks(spark, sf_dir), 7)
-    return v.filter("idx < 1000").select("idx", scaled(F.col("volatility"), 100).alias("volatility_e2"))
+    return v.select("idx", scaled(F.col("volatility"), 100).alias("volatility_e2"))
 
 
 @query(None)
@@ -694,13 +697,13 @@ def spent_output_profit_ratio(spark, sf_dir):
 
 def _snapshot(spark, sf_dir, shift: int) -> DataFrame:
     """Orders as unconfirmed transactions: parents are the order ten before, an outpoint is a part."""
-    o = read(spark, sf_dir, "orders").filter(F.col("o_orderkey") < 3000).select(F.col("o_orderkey").alias("k")).filter(f"(k + {shift}) % 5 <> 0")
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).filter(f"(k + {shift}) % 5 <> 0")
     spends = lines(spark, sf_dir).groupBy(F.col("parent").alias("k")).agg(F.sort_array(F.collect_set(F.concat(F.col("part").cast("string"), F.lit(":0")))).alias("spends"))
     none = F.array().cast("array<string>")
     return o.join(spends, "k", "left").select(F.col("k").cast("string").alias("txid"), (F.col("k") * 7919 % 5000 + 100).alias("fee"), (100 + F.col("k") % 400).alias("vsize"), F.when(F.col("k") % 10 != 0, F.array((F.col("k") - 1).cast("string"))).otherwise(none).alias("parents"), F.coalesce("spends", none).alias("spends"))
 
 
-@query(f"""WITH {LI}, o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey < 3000), a AS (SELECT k FROM o WHERE (k + 0) % 5 <> 0), b AS (SELECT k FROM o WHERE (k + 1) % 5 <> 0), added AS (SELECT k, k % 3 = 0 AS known FROM b WHERE k NOT IN (FROM a)), removed AS (SELECT k FROM a WHERE k NOT IN (FROM b)),
+@query(f"""WITH {LI}, o AS (SELECT o_orderkey AS k FROM orders), a AS (SELECT k FROM o WHERE (k + 0) % 5 <> 0), b AS (SELECT k FROM o WHERE (k + 1) % 5 <> 0), added AS (SELECT k, k % 3 = 0 AS known FROM b WHERE k NOT IN (FROM a)), removed AS (SELECT k FROM a WHERE k NOT IN (FROM b)),
     sp AS (SELECT DISTINCT parent AS k, part FROM li), hit AS (SELECT DISTINCT r.k FROM removed r JOIN sp s ON s.k = r.k JOIN sp t ON t.part = s.part JOIN added d ON d.k = t.k AND NOT d.known)
     SELECT k::VARCHAR AS txid, CASE WHEN known THEN 'revived' ELSE 'fresh' END AS change FROM added UNION ALL SELECT k::VARCHAR, CASE WHEN k IN (FROM hit) THEN 'replaced' ELSE 'vanished' END FROM removed""")
 def mempool_diff(spark, sf_dir):
@@ -716,14 +719,14 @@ def mempool_blocks(spark, sf_dir):
     return mempool.pack_blocks(mempool.linearize(s), s, most=20_000).select("txid", "block", scaled(F.col("chunk_rate")).alias("rate_e4"))
 
 
-@query("WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey < 3000), a AS (FROM o WHERE k % 5 <> 0), b AS (FROM o WHERE (k + 1) % 5 <> 0) SELECT coalesce(a.k, b.k)::VARCHAR AS txid, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'removed' ELSE 'retained' END AS state FROM a FULL JOIN b ON a.k = b.k")
+@query("WITH o AS (SELECT o_orderkey AS k FROM orders), a AS (FROM o WHERE k % 5 <> 0), b AS (FROM o WHERE (k + 1) % 5 <> 0) SELECT coalesce(a.k, b.k)::VARCHAR AS txid, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'removed' ELSE 'retained' END AS state FROM a FULL JOIN b ON a.k = b.k")
 def template_diff(spark, sf_dir):
     return mempool.template_diff(_snapshot(spark, sf_dir, 0), _snapshot(spark, sf_dir, 1))
 
 
-@query("WITH RECURSIVE l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 < 9 THEN o_orderkey + 1 END AS nxt FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 10 < 9) SELECT k::VARCHAR AS txid, (k // 10 * 10 + 9)::VARCHAR AS root FROM l")
+@query("WITH RECURSIVE l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 < 9 THEN o_orderkey + 1 END AS nxt FROM orders WHERE o_orderkey % 10 < 9) SELECT k::VARCHAR AS txid, (k // 10 * 10 + 9)::VARCHAR AS root FROM l")
 def replacement_roots(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_orderkey < 3000 and o_orderkey % 10 < 9")
+    o = read(spark, sf_dir, "orders").filter("o_orderkey % 10 < 9")
     return mempool.replacement_roots(o.select(F.col("o_orderkey").cast("string").alias("txid"), (F.col("o_orderkey") + 1).cast("string").alias("by")))
 
 
