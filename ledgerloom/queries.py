@@ -369,21 +369,21 @@ def monotonic_times(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {EV}, e AS (SELECT idx, price::DOUBLE AS ema, price::DOUBLE AS rma FROM ev WHERE idx = 0 UNION ALL
-    SELECT v.idx, CASE WHEN v.idx < 10 THEN (e.ema * v.idx + v.price) / (v.idx + 1) ELSE v.price * (2.0 / 11) + e.ema * (1 - 2.0 / 11) END, CASE WHEN v.idx < 10 THEN (e.rma * v.idx + v.price) / (v.idx + 1) ELSE v.price * 0.1 + e.rma * 0.9 END FROM e JOIN ev v ON v.idx = e.idx + 1 WHERE v.idx < 600)
+    SELECT v.idx, CASE WHEN v.idx < 10 THEN (e.ema * v.idx + v.price) / (v.idx + 1) ELSE v.price * (2.0 / 11) + e.ema * (1 - 2.0 / 11) END, CASE WHEN v.idx < 10 THEN (e.rma * v.idx + v.price) / (v.idx + 1) ELSE v.price * 0.1 + e.rma * 0.9 END FROM e JOIN ev v ON v.idx = e.idx + 1)
     SELECT idx, {sc("ema", 1000)} AS ema_e3, {sc("rma", 1000)} AS rma_e3 FROM e""")
 def exponential_averages(spark, sf_dir):
     b = blocks(spark, sf_dir).select("idx", "price")
     r = recursive.ema_rows(recursive.ema_rows(b, 10, "price", "ema", chunk=1000), 10, "price", "rma", wilder=True, chunk=1000)
-    return r.filter("idx < 600").select("idx", scaled(F.col("ema"), 1000).alias("ema_e3"), scaled(F.col("rma"), 1000).alias("rma_e3"))
+    return r.select("idx", scaled(F.col("ema"), 1000).alias("ema_e3"), scaled(F.col("rma"), 1000).alias("rma_e3"))
 
 
 @query(f"""WITH RECURSIVE {STARTED}, e AS (SELECT idx, price::DOUBLE AS ema, price::DOUBLE AS rma FROM started WHERE idx = 0 UNION ALL
-    SELECT v.idx, v.price * (2.0 / (v.idx - v.start + 2)) + e.ema * (1 - 2.0 / (v.idx - v.start + 2)), v.price * (1.0 / (v.idx - v.start + 1)) + e.rma * (1 - 1.0 / (v.idx - v.start + 1)) FROM e JOIN started v ON v.idx = e.idx + 1 WHERE v.idx < 600)
+    SELECT v.idx, v.price * (2.0 / (v.idx - v.start + 2)) + e.ema * (1 - 2.0 / (v.idx - v.start + 2)), v.price * (1.0 / (v.idx - v.start + 1)) + e.rma * (1 - 1.0 / (v.idx - v.start + 1)) FROM e JOIN started v ON v.idx = e.idx + 1)
     SELECT idx, {sc("ema", 1000)} AS ema_e3, {sc("rma", 1000)} AS rma_e3 FROM e""")
 def exponential_averages_by_time(spark, sf_dir):
     b = Win.window_start(blocks(spark, sf_dir), DAY).select("idx", "price", "start")
     r = recursive.ema_time(recursive.ema_time(b, "start", "price", "ema", chunk=1000), "start", "price", "rma", wilder=True, chunk=1000)
-    return r.filter("idx < 600").select("idx", scaled(F.col("ema"), 1000).alias("ema_e3"), scaled(F.col("rma"), 1000).alias("rma_e3"))
+    return r.select("idx", scaled(F.col("ema"), 1000).alias("ema_e3"), scaled(F.col("rma"), 1000).alias("rma_e3"))
 
 
 @query(f"""WITH {EV}, t AS (SELECT idx, CASE WHEN price < 500 THEN false WHEN price > 20000 THEN true END AS turn FROM ev) SELECT idx, coalesce(last_value(turn IGNORE NULLS) OVER (ORDER BY idx), false) AS active FROM t""")
