@@ -5,6 +5,8 @@ A snapshot is (txid, fee, vsize, parents array, spends array of "txid:vout").
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -113,13 +115,53 @@ def pack_blocks(lines: DataFrame, sizes: DataFrame, most: int = MAX_BLOCK, block
     return lines.join(placed.select("cluster", "chunk", block.alias("block")), ["cluster", "chunk"]).select("txid", "block", "chunk_rate")
 
 
-def recommend(medians: list[float], least: float = 1.0) -> dict[str, float]:
-    """Fees by urgency from the median rates of the first three blocks to come."""
-    first, second, third = (max(least, x) for x in (medians + [least] * 3)[:3])
-    fastest = first
-    half_hour = max(least, min(fastest, (first + second) / 2 if second > least else second))
-    hour = max(least, min(half_hour, third))
-    return {"fastest": fastest, "half_hour": half_hour, "hour": hour, "economy": max(least, min(hour, 2 * least)), "minimum": least}
+#: Fixed values of fee advice: the unit that rates are rounded to, what urgency adds to the first tier (the second gets half), the
+#: least of those two tiers, and the sizes up to which a projected block says nothing and from which it counts in full.
+UNIT, URGENCY, LEAST_FASTEST, LEAST_HALF_HOUR, EMPTY_SIZE, FULL_SIZE = 0.001, 0.5, 1.0, 0.5, 500_000, 950_000
+
+
+def _up(rate: float) -> float:
+    """A rate rounded up to the unit; what is above a multiple by an error of floating point only stays."""
+    return math.ceil(round(rate / UNIT, 6)) * UNIT
+
+
+def recommend(blocks: list[tuple[float, int]], least: float = 1.0) -> dict[str, float]:
+    """Fees by urgency from (median rate, size) of the projected blocks in order, and the least rate that is relayed.
+
+    A block's rate is smoothed by the mean with that of the block before; a small last block counts in proportion to what it
+    holds beyond EMPTY_SIZE. Each tier is at least the one that is less urgent, and economy at most twice the minimum.
+    """
+    floor = max(_up(least), UNIT)
+    rates: list[float] = []
+    for k in range(3):
+        if k >= len(blocks):
+            rates.append(floor)
+            continue
+        median, size = blocks[k]
+        smooth = (median + rates[-1]) / 2 if rates else median
+        if size <= EMPTY_SIZE or median < floor:
+            rate = floor
+        elif size <= FULL_SIZE and k + 1 == len(blocks):
+            rate = round(smooth * (size - EMPTY_SIZE) / EMPTY_SIZE / UNIT) * UNIT
+        else:
+            rate = _up(smooth)
+        rates.append(max(rate, floor))
+    economy = min(max(rates[2], floor), 2 * floor)
+    hour = max(rates[2], economy)
+    half_hour = max(rates[1], hour)
+    tiers = {
+        "fastest": max(max(rates[0], half_hour) + URGENCY, LEAST_FASTEST), "half_hour": max(half_hour + URGENCY / 2, LEAST_HALF_HOUR), "hour": hour,
+        "economy": economy, "minimum": floor,
+    }
+    return {k: round(v, 3) for k, v in tiers.items()}
+
+
+def block_stats(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(block, median, size): each projected block's median rate by size, and its size, from ``pack_blocks`` and (txid, vsize)."""
+    per_rate = placed.join(sizes.select("txid", "vsize"), "txid").groupBy("block", "chunk_rate").agg(F.sum("vsize").alias("_s"))
+    w = W.partitionBy("block")
+    run = per_rate.withColumn("_upto", F.sum("_s").over(w.orderBy("chunk_rate"))).withColumn("_all", F.sum("_s").over(w))
+    return run.groupBy("block").agg(F.min(F.when(2 * F.col("_upto") >= F.col("_all"), F.col("chunk_rate"))).alias("median"), F.max("_all").alias("size"))
 
 
 def template_diff(old: DataFrame, new: DataFrame) -> DataFrame:

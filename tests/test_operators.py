@@ -245,9 +245,17 @@ def test_clusters_and_blocks(spark):
     assert placed == {"e": 0, "a": 0, "b": 0, "c": 1, "d": 1}
 
 
-def test_fee_tiers():
-    f = mempool.recommend([30.0, 20.0, 10.0])
-    assert f["fastest"] >= f["half_hour"] >= f["hour"] >= f["economy"] >= f["minimum"] == 1.0
+def test_fee_tiers(spark):
+    r = mempool.recommend
+    assert r([], 2.0) == {"fastest": 2.5, "half_hour": 2.25, "hour": 2.0, "economy": 2.0, "minimum": 2.0}
+    assert r([], 0.0)["minimum"] == 0.001 and r([], 0.0)["fastest"] == 1.0
+    assert r([(12.5, 400_000)])["hour"] == r([(12.5, 400_000)])["economy"] == 1.0
+    full = r([(25.0, 1_000_000), (10.0, 1_000_000)])
+    assert (full["fastest"], full["half_hour"], full["hour"]) == (25.5, 17.75, 1.0)
+    assert r([(10.0, 725_000)])["fastest"] == 5.0  # a last block of which 225,000 of 500,000 count
+    placed = spark.createDataFrame([("a", 0, 9.0), ("b", 0, 4.0), ("c", 0, 2.0), ("d", 1, 1.0)], "txid string, block int, chunk_rate double")
+    sizes = spark.createDataFrame([("a", 10), ("b", 10), ("c", 15), ("d", 7)], "txid string, vsize int")
+    assert [tuple(x) for x in mempool.block_stats(placed, sizes).orderBy("block").collect()] == [(0, 4.0, 35), (1, 1.0, 7)]
 
 
 def test_replacement_roots_of_long_chains(spark):
