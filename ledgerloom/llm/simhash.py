@@ -27,6 +27,8 @@ from .words import release, texts
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Members of a tile, and of a group as it is meant to be.
 GROUP, CROWD = 4096, 256
+#: Rows of a fingerprint over which it may be sent to all tasks.
+HOT = 500
 
 
 # --------------------------------------------------------------------------------------------------------- fingerprints
@@ -246,10 +248,15 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, key: str = "doc_id", te
     has no other); other columns are ignored; no rows give no rows.
     """
     prints = cut(fingerprints(df, key, text, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
+    classes = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     of = components(links(classes.select("fp"), radius))
     named = classes.join(of, classes["fp"] == of["node"]).select("fp", "label", "least")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     linked = named.select("fp", "label").join(least, "label").select("fp", "component_id")
-    every = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(every, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    every = cut(classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    # Fingerprints of very many rows, of which there are 10,000 at most, go to the rows; the others' rows go to them.
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    often = (F.col("n") > HOT) & (F.col("n") * 10_000 > total)
+    hot, cold = F.broadcast(every.filter(often).select("fp", "component_id")), every.filter(~often).select("fp", "component_id")
+    named = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+    return named.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

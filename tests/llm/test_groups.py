@@ -123,6 +123,7 @@ def brute_components(fps):
 def test_components_against_all_pairs(spark, monkeypatch, tile, crowd):
     monkeypatch.setattr(H, "GROUP", tile)
     monkeypatch.setattr(H, "CROWD", crowd)  # 0: bands as for a very large table
+    monkeypatch.setattr(H, "HOT", 10)
     rng = random.Random(7)
     base = [" ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(rng.randint(3, 120))) for _ in range(40)]
     texts = []
