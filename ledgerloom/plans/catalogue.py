@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import GRAINS, HEIGHTS, ORIGIN
@@ -114,12 +114,18 @@ class Catalogue:
         return max(0, length - MARGINS.get(index, 1))
 
 
-def as_json(df: DataFrame, names: list[str], index: str, version: int = 1) -> DataFrame:
-    """One row a series (name, json): {version, index, type, start, end, data} with the data in order."""
+def as_json(df: DataFrame, names: list[str], index: str, version: int = 1, stamp: Column | None = None) -> DataFrame:
+    """One row a series (name, json): {version, index, type, start, end, stamp, data} with the data in order. ``stamp``: when it
+    was made, now unless given, in ISO 8601. A range of more than MOST_CELLS cells fails, as it becomes one row."""
+    if stamp is None:
+        stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    cells = df.count() * len(names)
+    if cells > MOST_CELLS:
+        raise ValueError(f"{cells} cells asked for; {MOST_CELLS} are the most")
     span = [F.min("idx").alias("start"), (F.max("idx") + 1).alias("end")]
     lists = [F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col(n).alias("v")))), lambda x: x["v"]).alias(n) for n in names]
     whole = df.agg(*span, *lists)
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.to_json(F.struct(F.lit(version).alias("version"), F.lit(index).alias("index"), F.lit(df.schema[n].dataType.simpleString()).alias("type"), "start", "end", F.col(n).alias("data")), {"ignoreNullFields": "false"}).alias("json")) for n in names)))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.to_json(F.struct(F.lit(version).alias("version"), F.lit(index).alias("index"), F.lit(df.schema[n].dataType.simpleString()).alias("type"), "start", "end", stamp.alias("stamp"), F.col(n).alias("data")), {"ignoreNullFields": "false"}).alias("json")) for n in names)))
     return whole.select(each.alias("x")).select("x.*")
 
 

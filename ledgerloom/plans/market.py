@@ -87,9 +87,30 @@ def dca(prices: DataFrame, days: int) -> DataFrame:
     return bought.withColumn("basis", basis).withColumn("dca_return", S.ratio_difference(F.col("price"), F.col("basis")))
 
 
+#: The codes of the phases.
+PHASES = {
+    "raging_bull": 1, "bull": 2, "cautious_bull": 3, "hopeful_bull": 4, "early_bull": 5, "weak_bull": 6, "limbo": 7,
+    "deep_bear": 8, "bear": 9, "early_bear": 10,
+}
+
+
 def sentiment(price: Column, whole: Column, short: Column, long: Column, average: Column) -> Column:
-    """How many of the references, the cost of all, of short-term and of long-term holders and the moving average, the price is
-    above, with which of the holders lead: a phase of 0 to 9."""
-    above = sum(((price >= c).cast("int") for c in (whole, short, long, average)), F.lit(0))
-    lead = (short >= long).cast("int")
-    return F.when(above == 0, lead).when(above == 4, F.lit(8) + lead).otherwise(above * 2 + lead)
+    """The code of the phase that a price is in, against the capitalised prices of all, of short-term and of long-term holders and
+    the yearly moving average (null while there is none). Null where a price but the average is null."""
+    on_whole, on_short, on_long = price >= whole, price >= short, price >= long
+    known, on_average = average.isNotNull(), F.coalesce(price >= average, F.lit(False))
+    slow, rising = on_whole & on_long, short > long
+    below = sum((F.coalesce((c > price).cast("int"), F.lit(0)) for c in (whole, short, long, average)), F.lit(0))
+    phase = {name: F.lit(code) for name, code in PHASES.items()}
+    bull = F.when(whole > average, phase["raging_bull"]).otherwise(phase["bull"])
+    bear = F.when(long > whole, phase["deep_bear"]).otherwise(phase["bear"])
+    without = (
+        F.when(on_short & slow, bull).when(on_short & (rising | on_whole | on_long), phase["early_bull"]).when(on_short, phase["cautious_bull"])
+        .when(rising & slow, phase["weak_bull"]).when(rising & (on_whole | on_long), phase["early_bear"]).otherwise(bear)
+    )
+    confirmed = (
+        F.when(~(on_whole | on_short | on_long | on_average), bear).when(~on_short & (below == 2), phase["limbo"]).when(rising & ~(slow & on_average), phase["early_bear"])
+        .when(on_average & on_short, F.when(slow, bull).otherwise(phase["early_bull"])).when(on_average & slow, phase["weak_bull"])
+        .when(on_short, phase["cautious_bull"]).when(on_average, phase["hopeful_bull"]).otherwise(phase["early_bear"])
+    )
+    return F.when(price.isNull() | whole.isNull() | short.isNull() | long.isNull(), F.lit(None)).when(known, confirmed).otherwise(without)

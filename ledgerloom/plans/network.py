@@ -110,18 +110,37 @@ def nonstandard(height: Column, version: Column, n_op_return: Column, op_return_
     return data | dusty | odd | (weight > 400_000) | (size < 65)
 
 
+#: How the first data of a data output begin, by kind, as patterns of hexadecimal digits; the first that fits
+#: counts.
+DATA_KINDS = {
+    "omni": b"omni".hex(), "stacks": f"({b'X2'.hex()}|{b'X1'.hex()})", "blockstack": b"id".hex(), "colu": b"CC".hex(), "open_assets": b"OA\x01\x00".hex(), "coinspark": b"SPK".hex(),
+    "poet": b"POET".hex(), "docproof": b"DOCPROOF".hex(), "opentimestamps": "0588960d73d71901", "factom": b"Factom!!".hex(), "eternity_wall": b"EW".hex(), "memo": "6d(0[1-7]|0c)",
+    "bitproof": b"BP".hex(), "ascribe": b"ASCRIBE\0".hex(), "stampery": b"Stampery".hex(), "epobc": b"EPOBC".hex(),
+}
+
+
+def first_data(script: Column) -> Column:
+    """The hexadecimal digits of the first push of a data output that isn't empty; empty where there is none or it is cut off."""
+    # Behind the first opcode, what pushes nothing: empty pushes and other opcodes.
+    rest = F.regexp_replace(F.lower(F.hex(script)), r"^..(?:00|4c00|4d0000|4e00000000|(?:4f|[5-9a-f].))*+", "")
+    digits = lambda *at: F.conv(F.concat(*(F.substring(rest, a, 2) for a in at)), 16, 10).cast("long")
+    code = F.substring(rest, 1, 2)
+    head = F.when(code == "4c", 4).when(code == "4d", 6).when(code == "4e", 10).otherwise(2)
+    size = F.when(code == "4c", digits(3)).when(code == "4d", digits(5, 3)).when(code == "4e", digits(9, 7, 5, 3)).otherwise(digits(1))
+    return F.when((F.length(rest) > head) & (F.length(rest) >= head + 2 * size), F.substring(rest, head + 1, (2 * size).cast("int"))).otherwise("")
+
+
 def op_return_kind(script: Column) -> Column:
-    """The kind of a data output from its script (binary), by the first rule that fits."""
-    body = F.substring(script, F.lit(2), F.length(script))
-    n = F.length(script)
-    first = F.hex(F.substring(script, F.lit(2), F.lit(1)))
-    payload = F.substring(script, F.lit(3), F.length(script))
-    printable = F.length(F.regexp_replace(F.decode(payload, "ISO-8859-1"), r"[^\x20-\x7e]", ""))
-    push = F.conv(first, 16, 10).cast("int")
-    return (
-        F.when(first == "5D", "runes").when(F.length(body) == 0, "empty").when(F.startswith(payload, F.unhex(F.lit("6F6D6E69"))), "omni").when((push == F.length(payload)) & push.isin(20, 32), "hash")
-        .when((n == 82), "veriblock").when(n.between(36, 38), "komodo").when((F.length(payload) >= 4) & (printable * 10 >= F.length(payload) * 9), "text").otherwise("unknown")
-    )
+    """The kind of a data output from its script (binary), by the first rule that fits; null for a null script."""
+    data, size = first_data(script), F.length(script) - 1
+    n = F.length(data) / 2
+    printable = F.length(F.regexp_replace(F.decode(F.unhex(data), "ISO-8859-1"), r"[^\x20-\x7e]", ""))
+    kind = F.when(F.hex(F.substring(script, 2, 1)) == "5D", "runes").when(data == "", "empty")
+    for name, pattern in DATA_KINDS.items():
+        kind = kind.when(F.rlike(data, F.lit(f"^{pattern}")), name)
+    kind = kind.when(size == 82, "veriblock").when(size.between(36, 38), "komodo").when(n.isin(20, 32), "bare_hash")
+    kind = kind.when((n >= 4) & (printable * 10 >= n * 9), "text").otherwise("unknown")
+    return F.when(script.isNotNull(), kind)
 
 
 def by_type(rows: DataFrame, group: str, kind: str) -> DataFrame:

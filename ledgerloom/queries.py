@@ -57,14 +57,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lives of order lines as outputs: a line is made at event (order mod 1009 x 7) and spent some events later, if that is before
-    the last."""
+    """Lives of order lines as outputs, over all events: a line is made at event (order x 7919 mod their number) and spent up to
+    211 events later, if that is before the last."""
     ev = blocks(spark, sf_dir)
-    made = lines(spark, sf_dir).withColumn("height", F.col("parent") % 1009 * 7 % 900).withColumn("spent", F.col("height") + 1 + F.col("part") % 211)
+    many = ev.agg((F.max("idx") + 1).alias("_n"))
+    height = F.col("parent") * 7919 % F.col("_n")
+    made = lines(spark, sf_dir).crossJoin(F.broadcast(many)).withColumn("created_h", height)  # one row
+    spent = F.col("created_h") + 1 + F.col("part") % 211
+    rows = made.select("created_h", F.when(spent < F.col("_n"), spent).alias("spent_h"), F.col("cents").alias("sats"), F.col("supplier").alias("addr"), F.col("flag").alias("kind"), "part")
     born = ev.select(F.col("idx").alias("created_h"), F.col("ts").alias("created_ts"), F.col("price").alias("price_in"))
-    dead = ev.select(F.col("idx").alias("spent_h"), F.col("ts").alias("spent_ts"), F.col("price").alias("price_out")).filter("spent_h < 1000")
-    rows = made.select(F.col("height").alias("created_h"), F.when(F.col("spent") < 1000, F.col("spent")).alias("spent_h"), F.col("cents").alias("sats"), F.col("supplier").alias("addr"), F.col("flag").alias("kind"), "part")
-    return rows.join(F.broadcast(born.filter("created_h < 1000")), "created_h").join(F.broadcast(dead), "spent_h", "left")  # 1000 blocks each
+    dead = ev.select(F.col("idx").alias("spent_h"), F.col("ts").alias("spent_ts"), F.col("price").alias("price_out"))
+    return rows.join(born, "created_h").join(dead, "spent_h", "left")
 
 
 def scaled(c: Column, by: int = 10_000) -> Column:
@@ -75,11 +78,11 @@ def scaled(c: Column, by: int = 10_000) -> Column:
 
 EV = "ev AS (SELECT event_id AS idx, (epoch_us(ts) // 1000000)::BIGINT AS ts, floor(value * 100 + 0.5)::BIGINT AS price, event_type AS kind, user_id FROM events)"
 LI = "li AS (SELECT l_orderkey AS parent, l_quantity::BIGINT AS qty, floor(l_extendedprice * 100 + 0.5)::BIGINT AS cents, l_partkey AS part, l_suppkey AS supplier, l_returnflag AS flag FROM lineitem)"
-OUT = f"""{EV}, {LI},
-    made AS (SELECT *, parent % 1009 * 7 % 900 AS created_h, parent % 1009 * 7 % 900 + 1 + part % 211 AS spent FROM li),
-    lives AS (SELECT m.created_h, CASE WHEN m.spent < 1000 THEN m.spent END AS spent_h, m.cents AS sats, m.supplier AS addr, m.flag AS kind, m.part,
+OUT = f"""{EV}, {LI}, many AS (SELECT max(idx) + 1 AS n FROM ev),
+    made AS (SELECT *, parent * 7919 % n AS created_h, parent * 7919 % n + 1 + part % 211 AS spent FROM li, many),
+    lives AS (SELECT m.created_h, CASE WHEN m.spent < m.n THEN m.spent END AS spent_h, m.cents AS sats, m.supplier AS addr, m.flag AS kind, m.part,
                      b.ts AS created_ts, b.price AS price_in, d.ts AS spent_ts, d.price AS price_out
-              FROM made m JOIN ev b ON b.idx = m.created_h LEFT JOIN ev d ON d.idx = m.spent AND m.spent < 1000)"""
+              FROM made m JOIN ev b ON b.idx = m.created_h LEFT JOIN ev d ON d.idx = m.spent AND m.spent < m.n)"""
 #: The window of each row: the first row that is less than a day old.
 STARTED = f"{EV}, started AS (SELECT *, min(idx) OVER (ORDER BY ts RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW) AS start FROM ev)"
 
@@ -151,10 +154,10 @@ def reorganisation(spark, sf_dir):
     return incremental.replace_from(b, b.filter("idx >= 500 and idx < 700").withColumn("price", F.col("price") + 1))
 
 
-@query(f"""WITH {EV} SELECT 'price' AS name, '{{"version":1,"index":"height","type":"bigint","start":10,"end":40,"data":[' || string_agg(price::VARCHAR, ',' ORDER BY idx) || ']}}' AS json FROM ev WHERE idx >= 10 AND idx < 40""")
+@query(f"""WITH {EV} SELECT 'price' AS name, '{{"version":1,"index":"height","type":"bigint","start":10,"end":40,"stamp":"2024-02-01T00:00:00Z","data":[' || string_agg(price::VARCHAR, ',' ORDER BY idx) || ']}}' AS json FROM ev WHERE idx >= 10 AND idx < 40""")
 def series_json(spark, sf_dir):
     b = blocks(spark, sf_dir).select("idx", "price").filter("idx >= 10 and idx < 40")
-    return catalogue.as_json(b, ["price"], "height")
+    return catalogue.as_json(b, ["price"], "height", stamp=F.lit("2024-02-01T00:00:00Z"))
 
 
 def _catalogue(spark, sf_dir) -> catalogue.Catalogue:
@@ -505,27 +508,30 @@ def realized_profit_and_loss(spark, sf_dir):
     return r.select("height", *(F.col(c).cast("long") for c in ("profit", "loss", "transfer_value", "value_destroyed")), "sent_in_profit", "sent_in_loss", scaled(F.col("satdays_destroyed"), 1).alias("satdays_destroyed"))
 
 
-@query(f"WITH {OUT}, s AS (SELECT spent_h, sats, price_out, (SELECT max(price) FROM ev WHERE idx BETWEEN created_h AND spent_h) AS peak FROM lives WHERE spent_h IS NOT NULL AND part % 50 = 1) SELECT spent_h::BIGINT AS height, (sum((peak - price_out)::HUGEINT * sats) // 100000000)::BIGINT AS peak_regret FROM s GROUP BY 1")
+@query(f"""WITH {OUT}, k AS (SELECT DISTINCT created_h, spent_h FROM lives WHERE spent_h IS NOT NULL), u AS (SELECT created_h, spent_h, unnest(range(created_h, spent_h + 1)) AS idx FROM k),
+    p AS (SELECT created_h, spent_h, max(price) AS peak FROM u JOIN ev USING (idx) GROUP BY ALL)
+    SELECT spent_h::BIGINT AS height, (sum((peak - price_out)::HUGEINT * sats) // 100000000)::BIGINT AS peak_regret FROM lives JOIN p USING (created_h, spent_h) GROUP BY 1""")
 def peak_regret(spark, sf_dir):
-    b = blocks(spark, sf_dir).filter("idx < 1000").select("idx", "price")
-    return chain.peak_regret(outputs(spark, sf_dir).filter("part % 50 = 1"), b).select("height", F.col("peak_regret").cast("long"))
+    return chain.peak_regret(outputs(spark, sf_dir), blocks(spark, sf_dir).select("idx", "price")).select("height", F.col("peak_regret").cast("long"))
 
 
 _BANDS = [("under_6h", 0, 6), ("6h_1d", 6, 24), ("over_1d", 24, None)]
 
 
-@query(f"""WITH {OUT}, bands(cohort, lo, hi) AS (VALUES ('under_6h', 0, 6), ('6h_1d', 6, 24), ('over_1d', 24, NULL)), a AS (SELECT cohort, e.idx AS height, sum(CASE WHEN l.sats IS NULL THEN 0 ELSE sats END)::BIGINT AS supply
-    FROM ev e, bands LEFT JOIN (SELECT created_h, created_ts, spent_h, sum(sats) AS sats FROM lives GROUP BY ALL) l ON l.created_h <= e.idx AND (l.spent_h IS NULL OR l.spent_h > e.idx) AND e.ts - l.created_ts >= lo * 3600 AND (hi IS NULL OR e.ts - l.created_ts < hi * 3600) WHERE e.idx < 1000 GROUP BY ALL)
-    SELECT cohort, height, supply FROM a WHERE height % 10 = 0""")
+@query(f"""WITH {OUT}, bands(cohort, lo, hi) AS (VALUES ('under_6h', 0, 6), ('6h_1d', 6, 24), ('over_1d', 24, NULL)), t AS (SELECT ts, min(idx) AS idx FROM ev GROUP BY ts),
+    g AS (SELECT cohort, created_h, spent_h, created_ts + lo * 3600 AS young, created_ts + hi * 3600 AS old, sum(sats) AS sats FROM lives, bands GROUP BY ALL),
+    y AS (SELECT g.*, t.idx AS enters FROM g ASOF JOIN t ON g.young <= t.ts), z AS (SELECT y.*, t.idx AS leaves FROM y ASOF LEFT JOIN t ON y.old <= t.ts),
+    d AS (SELECT cohort, greatest(enters, created_h) AS a, least(leaves, spent_h) AS b, sats FROM z),
+    c AS (SELECT cohort, a AS height, sats FROM d WHERE b IS NULL OR b > a UNION ALL SELECT cohort, b, -sats FROM d WHERE b > a UNION ALL SELECT cohort, idx, 0 FROM ev, bands),
+    s AS (SELECT cohort, height, sum(sats) AS sats FROM c GROUP BY ALL)
+    SELECT cohort, height::BIGINT AS height, (sum(sats) OVER (PARTITION BY cohort ORDER BY height))::BIGINT AS supply FROM s""")
 def supply_by_age(spark, sf_dir):
-    b = blocks(spark, sf_dir).filter("idx < 1000").select(F.col("idx").alias("height"), "ts")
-    changes = chain.age_supply(outputs(spark, sf_dir), b, _BANDS)
-    every = b.filter("height % 10 = 0").select("height").crossJoin(F.broadcast(spark.createDataFrame([(n,) for n, _, _ in _BANDS], "cohort string")))
-    keyed = every.withColumn("at", F.concat_ws("|", "cohort", F.lpad(F.col("height").cast("string"), 9, "0")))
-    known = changes.select("cohort", "height", "supply")
-    both = keyed.select("cohort", "height", F.lit(None).cast("long").alias("supply"), F.lit(True).alias("asked")).unionByName(known.withColumn("asked", F.lit(False)))
-    w = W.partitionBy("cohort").orderBy("height", "asked")
-    return both.withColumn("supply", F.coalesce(F.last("supply", ignorenulls=True).over(w), F.lit(0))).filter("asked").select("cohort", "height", "supply")
+    """The supply of each band at every height."""
+    b = blocks(spark, sf_dir).select(F.col("idx").alias("height"), "ts")
+    known = chain.age_supply(outputs(spark, sf_dir), b, _BANDS).select("cohort", "height", "supply")
+    every = b.select("height").crossJoin(F.broadcast(spark.createDataFrame([(n,) for n, _, _ in _BANDS], "cohort string")))
+    held = running(every.join(known, ["cohort", "height"], "left"), {"held": ("last", F.col("supply"))}, ["cohort"], "height")
+    return held.select("cohort", "height", F.coalesce("held", F.lit(0)).alias("supply"))
 
 
 @query(f"""WITH {OUT} SELECT addr, count(*) AS funded_txos, count(spent_h) AS spent_txos, sum(sats)::BIGINT AS received, sum(CASE WHEN spent_h IS NULL THEN 0 ELSE sats END)::BIGINT AS sent, min(created_h)::BIGINT AS first_h, sum(CASE WHEN spent_h IS NULL THEN sats ELSE 0 END)::BIGINT AS balance, count(*) = count(spent_h) AS is_empty, count(*) > 1 AS reused FROM lives GROUP BY addr""")
@@ -684,10 +690,12 @@ def floor_price(spark, sf_dir):
     return frameworks.floor_price(chain.inventory(outputs(spark, sf_dir), 800, ["kind"]), F.lit(0.3), ["kind"])
 
 
-@query(f"""WITH {OUT}, r AS (SELECT spent_h AS idx, (sum(price_out::HUGEINT * sats) // 100000000)::BIGINT AS tv, (sum(price_in::HUGEINT * sats) // 100000000)::BIGINT AS vd FROM lives WHERE spent_h IS NOT NULL GROUP BY 1), t AS (SELECT r.*, ev.ts FROM r JOIN ev USING (idx)),
-    s AS (SELECT *, min(idx) OVER (ORDER BY ts RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW) AS start FROM t) SELECT a.idx::BIGINT AS idx, {sc("CASE WHEN sum(b.vd) = 0 THEN 0 ELSE sum(b.tv) / sum(b.vd) END")} AS sopr_e4 FROM s a JOIN s b ON b.idx BETWEEN a.start AND a.idx GROUP BY a.idx""")
+@query(f"""WITH {OUT}, r AS (SELECT spent_h AS idx, (sum(price_out::HUGEINT * sats) // 100000000)::BIGINT AS tv, (sum(price_in::HUGEINT * sats) // 100000000)::BIGINT AS vd FROM lives WHERE spent_h IS NOT NULL GROUP BY 1),
+    t AS (SELECT r.*, ev.ts, row_number() OVER (ORDER BY idx) AS n, sum(tv) OVER (ORDER BY idx) AS ct, sum(vd) OVER (ORDER BY idx) AS cv FROM r JOIN ev USING (idx)),
+    s AS (SELECT *, min(n) OVER (ORDER BY ts RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW) AS start FROM t), w AS (SELECT a.idx, a.ct - coalesce(b.ct, 0) AS tv, a.cv - coalesce(b.cv, 0) AS vd FROM s a LEFT JOIN t b ON b.n = a.start - 1)
+    SELECT idx::BIGINT AS idx, {sc("CASE WHEN vd = 0 THEN 0 ELSE tv / vd END")} AS sopr_e4 FROM w""")
 def spent_output_profit_ratio(spark, sf_dir):
-    r = chain.realized(outputs(spark, sf_dir)).withColumnRenamed("height", "idx").join(F.broadcast(blocks(spark, sf_dir).filter("idx < 1000").select("idx", "ts")), "idx")
+    r = chain.realized(outputs(spark, sf_dir)).withColumnRenamed("height", "idx").join(blocks(spark, sf_dir).select("idx", "ts"), "idx")
     r = r.select("idx", "ts", *(F.col(c).cast("long") for c in ("transfer_value", "value_destroyed", "profit", "loss")), F.lit(1).alias("realized_cap"), F.lit(1).alias("supply"), F.lit(1).alias("price"), F.col("sent_in_profit").alias("satdays_destroyed"), F.col("sent_in_loss").alias("volume"))
     return frameworks.realized_metrics(r, DAY).select("idx", scaled(F.col("sopr")).alias("sopr_e4"))
 
