@@ -35,13 +35,16 @@ RULES = (
 )
 #: The kinds of the contract; the others are what the method adds.
 BASE = ("assign", "access", "hex")
-#: Goes up when RULES change: then every blob is scanned again, and older findings stay under their version.
-VERSION = 2
+#: The version of each rule; goes up when its pattern changes. Then every blob is scanned again by that rule alone.
+VERSIONS = {"assign": 1, "access": 1, "hex": 1, "pem": 2, "forge": 1, "jwt": 1}
+#: Matches that a fold appends to one array; the arrays are then joined, so that time doesn't grow with the square of matches.
+FOLDED = 512
 #: Bytes of findings up to which they are sent to all tasks, so that texts needn't be shuffled to them.
 BROADCAST = 32 << 20
 
 SPAN = "array<struct<start:bigint,rule:int,stop:bigint,kind:string>>"
-LEDGER = f"blob binary, rule_version int, spans {SPAN}"
+#: ``pairs``: the rule versions (``kind:version``) by which the blob was scanned in a run; ``spans``: all that they found.
+LEDGER = f"blob binary, pairs array<string>, spans {SPAN}"
 
 
 def spans_of(text: Column, rule: int) -> Column:
@@ -50,7 +53,8 @@ def spans_of(text: Column, rule: int) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)  # n matches leave n + 1 gaps
     pairs = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / FOLDED).cast("int")), lambda k: F.slice(pairs, k * FOLDED + 1, FOLDED))
+    nothing = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["g"])
@@ -59,14 +63,40 @@ def spans_of(text: Column, rule: int) -> Column:
         span = F.struct(begin.cast("bigint").alias("start"), F.lit(rule).alias("rule"), end.cast("bigint").alias("stop"), F.lit(kind).alias("kind"))
         return F.struct(end.cast("bigint").alias("at"), F.when(F.length(judged) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
+    def part(acc: Column, own: Column) -> Column:
+        folded = F.aggregate(own, F.struct(acc["at"].alias("at"), nothing.alias("out")), step)
+        return F.transform(F.array(folded), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    found = F.aggregate(parts, start, part, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(nothing)
+
+
+def rule_versions() -> list[str]:
+    """The pairs' halves of today: kind:version of every rule, as listed."""
+    return [f"{kind}:{VERSIONS[kind]}" for kind, *_ in RULES]
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
-    """(blob, text) to LEDGER rows of the current rule version."""
-    spans = F.array_sort(F.concat(*(spans_of(F.col("text"), i) for i in range(len(RULES)))))
-    return blobs.select("blob", F.lit(VERSION).alias("rule_version"), spans.alias("spans"))
+    """(blob, text, pairs) to LEDGER rows: each text is scanned by the rules that its ``pairs`` name."""
+    due = lambda i: F.array_contains("pairs", rule_versions()[i])
+    spans = F.array_sort(F.concat(*(F.when(due(i), spans_of(F.col("text"), i)).otherwise(F.array().cast(SPAN)) for i in range(len(RULES)))))
+    return blobs.select("blob", "pairs", spans.alias("spans"))
+
+
+def known_of(ledger: DataFrame) -> DataFrame:
+    """(blob, pairs, spans), a row a blob: of today's rule versions those it was scanned by, and what they found. Rows of other
+    versions, and pairs that a ledger holds twice, count for nothing."""
+    versions = rule_versions()
+    today = F.array(*map(F.lit, versions))
+    # A span's place among today's rules; 0 for kinds that are gone.
+    place = lambda s: F.array_position(F.array(*(F.lit(kind) for kind, *_ in RULES)), s["kind"])
+    own = ledger.select("blob", F.array_intersect("pairs", today).alias("pairs"), "spans").filter(F.size("pairs") > 0)
+    fitting = F.filter("spans", lambda s: F.array_contains("pairs", F.concat_ws(":", s["kind"], F.try_element_at(F.create_map(*(F.lit(x) for k, v in VERSIONS.items() for x in (k, str(v)))), s["kind"]))))
+    placed = F.transform(fitting, lambda s: F.struct(s["start"].alias("start"), (place(s) - 1).cast("int").alias("rule"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    rows = own.select("blob", "pairs", placed.alias("spans"))
+    merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    return rows.groupBy("blob").agg(merged("pairs").alias("pairs"), F.array_sort(merged("spans")).alias("spans"))
 
 
 def blob_of(text: Column) -> Column:
@@ -74,14 +104,18 @@ def blob_of(text: Column) -> Column:
 
 
 def ledger_of(df: DataFrame, ledger: DataFrame | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(the ledger rows of the current rule version, the rows among them that this run added) for the blobs of ``df``."""
+    """(LEDGER rows for the blobs of ``df`` and of ``ledger``, the rows among them that this run added)."""
     texts = df.select(blob_of(F.col(f"`{text}`")).alias("blob"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    today = F.array(*map(F.lit, rule_versions()))
     if ledger is None:
-        added = cut(scan_blobs(texts.dropDuplicates(["blob"])))
+        added = cut(scan_blobs(texts.dropDuplicates(["blob"]).withColumn("pairs", today)))
         return added, added
-    current = ledger.filter(F.col("rule_version") == VERSION).select("blob", "rule_version", "spans")
-    added = cut(scan_blobs(texts.join(current.select("blob"), "blob", "left_anti").dropDuplicates(["blob"])))
-    return current.unionByName(added), added
+    known = cut(known_of(ledger))
+    seen = known.select("blob", F.col("pairs").alias("_seen"))
+    # Copies go before the join, each task its own first, so that a text that very many paths share is no hot key.
+    unseen = texts.dropDuplicates(["blob"]).join(seen, "blob", "left").select("blob", "text", F.array_except(today, F.coalesce("_seen", F.array().cast("array<string>"))).alias("pairs"))
+    added = cut(scan_blobs(unseen.filter(F.size("pairs") > 0)))
+    return known.unionByName(added), added
 
 
 def scan(df: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -90,11 +124,24 @@ def scan(df: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", te
     ``ledger``: LEDGER rows of earlier runs, or None. Null texts are empty texts; an empty text has no spans. Repeated rows
     and null keys stay as they are, other columns are ignored, no rows give no rows.
     """
-    known, added = ledger_of(df, ledger, text)
-    paths = df.select(F.col(f"`{key}`").alias("path"), blob_of(F.col(f"`{text}`")).alias("blob"))
+    return scan_runs([df], ledger, key, text)
+
+
+def scan_runs(runs: list[DataFrame], ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """As ``scan``, for paths that come in several runs, the oldest first: each run scans what the ledger lacks after those
+    before it, and in the end the findings are joined back to the paths of all runs."""
+    known, added, paths = ledger, None, None
+    for df in runs:
+        known, new = ledger_of(df, known, text)
+        added = new if added is None else added.unionByName(new)
+        own = df.select(F.col(f"`{key}`").alias("path"), blob_of(F.col(f"`{text}`")).alias("blob"))
+        paths = own if paths is None else paths.unionByName(own)
+    # A blob that was scanned by some rules in one run and by others later has several rows.
+    found = known.filter(F.size("spans") > 0)
+    found = found.select("blob", "spans") if ledger is None else known_of(found).select("blob", "spans")
     # Blobs without findings needn't be joined. A blob that very many paths share is one key of a sort-merge join, whose
     # long side adaptive execution splits.
-    joined = paths.join(known.filter(F.size("spans") > 0).select("blob", "spans"), "blob", "left")
+    joined = paths.join(found, "blob", "left")
     return joined.select(F.col("path").alias(key), "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), added
 
 

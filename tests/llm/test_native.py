@@ -116,9 +116,37 @@ def test_ledger_scans_only_what_is_new(spark):
     b = spark.createDataFrame([(4, "token=abcdef"), (None, "secret=zyxwvu"), (None, "secret=zyxwvu")], "doc_id long, text string")
     found, added = X.scan(b, ledger)
     assert added.count() == 1 and found.filter(F.size("spans") == 1).count() == 3
-    stale = ledger.withColumn("rule_version", F.lit(X.VERSION - 1))
-    assert X.scan(b, stale)[1].count() == 2
-    assert X.scan(a.limit(0))[0].count() == 0
+    assert X.scan(a.limit(0))[0].count() == 0 and X.scan(a.limit(0), ledger)[0].count() == 0
+
+
+def test_only_changed_rules_scan_again(spark, monkeypatch):
+    text = "token=abcdef 0123456789abcdef01234567"
+    a = spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "doc_id long, text string")
+    found, ledger = X.scan(a)
+    want = sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in found.collect())
+    assert want[0] == (1, brute(text))
+    # A ledger that holds everything twice changes nothing, and nothing is left to scan.
+    found, added = X.scan(a, ledger.unionByName(ledger))
+    assert added.count() == 0 and sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in found.collect()) == want
+    monkeypatch.setitem(X.VERSIONS, "hex", 9)
+    found, added = X.scan(a, ledger)
+    assert {tuple(r.pairs) for r in added.collect()} == {("hex:9",)} and added.count() == 3
+    assert sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in found.collect()) == want
+
+
+def test_runs_scan_each_blob_once(spark):
+    rows = [(1, "token=abcdef"), (2, None), (3, "token=abcdef"), (4, "secret=zyxwvu"), (4, "secret=zyxwvu"), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, added = X.scan_runs([df.filter("doc_id < 3"), df.filter("doc_id >= 3 or doc_id is null")])
+    assert added.count() == 3
+    got = sorted(((r.doc_id or 0, [tuple(s) for s in r.spans]) for r in found.collect()), key=repr)
+    assert got == sorted(((d or 0, brute(t)) for d, t in rows), key=repr)
+
+
+def test_very_many_matches(spark):
+    text = "token=abcdef " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [tuple(s) for s in X.scan(df)[0].first().spans] == brute(text)
 
 
 def test_redaction_and_digest(spark, tmp_path):
