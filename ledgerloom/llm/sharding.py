@@ -66,16 +66,18 @@ def shard(df: DataFrame, max_bytes: int = 16 << 20, key: str = "doc_id", text: s
     rows = df.select(F.col(f"`{key}`").alias("k"), octets(F.col(f"`{text}`")).alias("n_bytes"), row_hash(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
     rows = cut(rows)
     buckets = cut(directory(rows.select("h", "n_bytes"), max_bytes))
-    deepest = buckets.agg(F.max("depth")).first()[0] or 0
-    # The directory proper: an entry for each prefix of as many bits as the deepest bucket, but for buckets of the last
-    # bit, of which there is one entry each. It has about total bytes / max_bytes rows and Spark broadcasts it if small.
-    reach = min(deepest, 24)
+    depths = {r.depth: r.n for r in buckets.groupBy("depth").agg(F.count("*").alias("n")).collect()}  # at most BITS + 1 rows
+    deepest = max(depths, default=0)
+    # The directory proper: an entry for each prefix of as many bits as the deepest bucket, so long as that is a small multiple
+    # of the buckets; the few rows of deeper ones are looked up by the depths there are. It has about total bytes / max_bytes
+    # rows and Spark broadcasts it if small.
+    reach = min(deepest, max(12, (16 * sum(depths.values())).bit_length() - 1))
     span = F.expr(f"shiftleft(1L, greatest({reach} - depth, 0))")
     shallow = buckets.filter(F.col("depth") <= reach).select("depth", "bucket", "bytes", "n_rows", F.explode(F.sequence(F.col("bucket") * span, (F.col("bucket") + 1) * span - 1)).alias("entry"))
     placed = rows.withColumn("entry", prefix(F.col("h"), F.lit(reach))).join(shallow, "entry", "left")
     if deepest > reach:
         deep = buckets.filter(F.col("depth") > reach)
-        homeless = placed.filter(F.col("depth").isNull()).select("k", "n_bytes", "h", F.explode(F.sequence(F.lit(reach + 1), F.lit(deepest))).alias("depth"))
+        homeless = placed.filter(F.col("depth").isNull()).select("k", "n_bytes", "h", F.explode(F.array(*(F.lit(d) for d in sorted(depths) if d > reach))).alias("depth"))
         homeless = homeless.withColumn("bucket", F.expr(f"shiftright(h, {BITS} - depth)")).join(deep, ["depth", "bucket"])
         placed = placed.filter(F.col("depth").isNotNull()).select("k", "n_bytes", "h", "depth", "bucket", "bytes", "n_rows").unionByName(homeless.select("k", "n_bytes", "h", "depth", "bucket", "bytes", "n_rows"))
     crowded = (F.col("depth") == BITS) & (F.col("bytes") > max_bytes)
