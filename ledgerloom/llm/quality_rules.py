@@ -2,8 +2,8 @@
 
 Each text gives a few counts that fixed rules judge directly (too few words, too much repetition), and ratios of such
 counts that describe its shape. A forest of random trees is grown on a bounded sample of those ratios; a text that few random splits
-set apart from the sample is an anomaly. How anomalous a text may be is calibrated on all labelled rows: the threshold is
-the lowest at which at most SPARED of the good ones would go.
+set apart from the sample is an anomaly. How anomalous a text may be is calibrated on all labelled rows: at most
+SPARED of the good ones may go, as few bad ones as possible stay, and the threshold lies midway between both.
 """
 
 from __future__ import annotations
@@ -226,11 +226,15 @@ def extremes(rows: DataFrame) -> np.ndarray:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The lowest of STEPS levels that keep all but SPARED of the labelled good rows that pass the base rules."""
-    counts = scored.filter(~F.col("base_failed") & F.col("good")).groupBy(F.ceil(F.col("anomaly") * STEPS).alias("level")).agg(F.count("*").alias("n")).orderBy("level").collect()
-    total, seen = sum(r.n for r in counts), 0
-    for r in counts:  # at most STEPS rows
+    """One of STEPS levels, from the labelled rows that pass the base rules: of the levels that keep all but SPARED of the good
+    ones, those at which the fewest bad ones stay, and of these the middle one. Without bad ones above them, the lowest."""
+    level = F.ceil(F.col("anomaly") * STEPS)
+    counts = scored.filter(~F.col("base_failed") & F.col("good").isNotNull()).groupBy("good", level.alias("level")).agg(F.count("*").alias("n")).orderBy("level").collect()
+    good, bad = ([r for r in counts if r.good == kind] for kind in (True, False))  # at most STEPS rows each
+    total, seen = sum(r.n for r in good), 0
+    for r in good:
         seen += r.n
         if seen >= (1 - SPARED) * total:
-            return r.level / STEPS
+            above = [b.level for b in bad if b.level > r.level]
+            return (r.level + min(above) - 1) // 2 / STEPS if above else r.level / STEPS
     return WITHOUT_LABELS

@@ -296,3 +296,12 @@ def test_extract_handles_odd_rows(spark, trees):
     assert [r.text for r in got if r.page_id in (None, 2)] == ["", ""]
     assert H.extract(df.limit(0), trees).count() == 0
     assert math.isfinite(H.learn(df).bias.sum())
+
+
+def test_threshold_heeds_bad_labels(spark):
+    rows = [(0.30, True)] * 10 + [(0.40, True), (0.35, False), (0.60, False), (0.9, None)]
+    df = spark.createDataFrame([(a, g, False) for a, g in rows] + [(0.45, False, True)], "anomaly double, good boolean, base_failed boolean")
+    step = 1.5 / Q.STEPS  # the middle is cut off to a whole level
+    assert 0.40 < Q.threshold(df) < 0.60 and abs(Q.threshold(df) - 0.50) <= step
+    assert abs(Q.threshold(df.filter("good or anomaly < 0.4")) - 0.40) <= step
+    assert Q.threshold(df.limit(0)) == Q.WITHOUT_LABELS
