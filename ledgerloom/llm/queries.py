@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table with production parameters, and their SQL."""
+"""The queries of the thirteen operators, each over its whole table with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, neighbours, packing, pieces, quality_rules, secret_scans, sharding, simhash, url_filters
-from .common import read
+from . import compression, html_extraction, language_id, neighbours, packing, periodic_runs, pieces, quality_rules, secret_scans, sharding, simhash, url_filters, whitening
+from .common import WORD, read
 
 #: Rules of op3: verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -90,11 +90,44 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    out = compression.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter(~held_out()))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def planted_runs(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text) in which, of a tenth of the ids, the words from some place on are repeated periodically."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+    g, n = F.floor(h / 10).cast("long"), F.size("_words")
+    some = documents.select("doc_id", "text", h.alias("_h"), F.when(h % 10 == 0, words).alias("_words"))
+    some = some.withColumn("_a", F.when(n > 0, g % n)).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + g % 8)))
+    place = lambda i: F.when(i >= F.col("_a"), F.col("_a") + (i - F.col("_a")) % F.col("_p")).otherwise(i).cast("int")
+    planted = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.get("_words", place(i))), " ")
+    return some.select("doc_id", F.when(F.col("_a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.detect(planted_runs(read(spark, sf_dir, "documents"))).withColumn("_best", periodic_runs.longest())
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = {c: F.col(f"_best.{c}") for c in ("start", "length", "period")}
+    exponent = F.floor(1000 * best["length"] / best["period"]).cast("long")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(c.alias(k) for k, c in best.items()), exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` as a long; null where it is beyond one."""
+    out = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_nearest_neighbours, op2_quality_rules, op3_url_filters, op4_sentencepiece, op5_language_id, op6_sharding,
-        op7_secret_scans, op8_html_extraction, op9_simhash_near_dedup, op10_best_fit_packing,
+        op7_secret_scans, op8_html_extraction, op9_simhash_near_dedup, op10_best_fit_packing, op11_quality_classifier, op12_periodic_runs, op13_embedding_whitening,
     )
 }
 
