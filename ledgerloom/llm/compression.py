@@ -1,9 +1,10 @@
 """Quality by compression: what a text costs under a dictionary of good texts against what it costs under one of bad texts.
 
 Both zstandard dictionaries are built from a bounded sample of blocks of labelled texts. A whole text is compressed block by
-block under either, so that each block is held against the dictionary and not against the text before it; the difference of
-both sizes over the text's own is turned into a probability by a logistic curve, fitted to all labelled texts that gave no
-blocks.
+block under either, so that each block is held against the dictionary and not against the text before it. The difference of
+both sizes over the text's own becomes a probability by a logistic curve, fitted to all labelled texts that gave no blocks.
+A difference counts by how well the text compresses at all, as one that repeats itself costs next to nothing under either
+dictionary, so the curve also has the size under the good one over the text's own.
 """
 
 from __future__ import annotations
@@ -22,20 +23,21 @@ from .words import texts
 
 #: Bytes of a block; blocks that a dictionary is built from at most (those with the smallest hashes); its bytes; the level.
 BLOCK, FIT_BLOCKS, DICT_BYTES, LEVEL = 512, 8192, 65_536, 3
-#: Parts that a difference is rounded to for the fit, and the weight that holds the slope back where labels are few.
-STEPS, RIDGE = 4096, 1e-3
+#: Steps of a difference and of a size (over the text's own) for the fit, which is thus over a bounded number of cells, and the
+#: weight that holds the slopes back where labels are few.
+STEPS, SIZE_STEPS, RIDGE = 2048, 256, 1e-3
 #: Fixed parameters of the dictionary builder: bytes of a segment and of a d-mer.
 SEGMENT, MER = 64, 8
 
 
 @dataclass
 class Classifier:
-    """Dictionaries of good and bad texts (empty: none), the curve's slope and offset, and what a text without evidence gets."""
+    """Dictionaries of good and bad texts (empty: none), the curve (slopes of difference and size, offset; none: flat), and what a
+    text without evidence gets."""
 
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    curve: tuple[float, float, float] | None
     prior: float
 
 
@@ -109,25 +111,31 @@ def difference() -> Column:
     return (F.col("b") - F.col("g")) / F.col("n")
 
 
-def fit_curve(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """(slope, offset) of the logistic curve through counts of good and bad texts at differences x, by Newton's method.
+def good_share() -> Column:
+    """The size under the good dictionary, over n."""
+    return F.col("g") / F.col("n")
 
-    Targets are drawn in by one text a class, so the curve stays finite where a difference parts the classes.
+
+def fit_curve(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Slopes of the columns of ``x`` and offset of the logistic curve through counts of good and bad texts, by Newton's method.
+
+    Targets are drawn in by one text a class, so the curve stays finite where the classes part.
     """
-    hits, misses = good.sum(), bad.sum()
-    weight = good + bad
+    hits, misses, weight = good.sum(), bad.sum(), good + bad
     target = (good * (hits + 1) / (hits + 2) + bad / (misses + 2)) / weight
-    rows, w = np.stack([x, np.ones(len(x))], 1), np.zeros(2)
-    spread = max(float(np.sqrt(np.average((x - np.average(x, weights=weight)) ** 2, weights=weight))), 1e-9)
-    rows[:, 0] /= spread
-    for _ in range(50):
+    centre = np.average(x, axis=0, weights=weight)
+    spread = np.maximum(np.sqrt(np.average((x - centre) ** 2, axis=0, weights=weight)), 1e-9)
+    rows = np.concatenate([(x - centre) / spread, np.ones((len(x), 1))], 1)
+    w = np.zeros(rows.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        slope = rows.T @ (weight * (target - p)) - RIDGE * w
-        step = np.linalg.solve((rows * (weight * p * (1 - p))[:, None]).T @ rows + RIDGE * np.eye(2), slope)
+        uphill = rows.T @ (weight * (target - p)) - RIDGE * w
+        step = np.linalg.solve((rows * (weight * p * (1 - p))[:, None]).T @ rows + RIDGE * np.eye(len(w)), uphill)
         w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / spread), float(w[1])
+    slopes = w[:-1] / spread
+    return np.append(slopes, w[-1] - slopes @ centre)
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
@@ -149,17 +157,19 @@ def learn(df: DataFrame, labels: DataFrame, key: str, text: str, quality: str) -
     prior = of.get(True, 0) / sum(of.values()) if of else 0.5
     good, bad = map(dictionary, sample(df, known, key, text))
     measured = cut(measure(df, good, bad, key, text))
-    step = F.round(F.greatest(F.least(difference(), F.lit(1.0)), F.lit(-1.0)) * STEPS).cast("int")
+    inside = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0))
+    cell = [F.round(inside(difference()) * STEPS).cast("int").alias("step"), F.round(inside(good_share()) * SIZE_STEPS).cast("int").alias("size")]
     once = measured.filter("n > 0").groupBy("h").agg(*(F.max(c).alias(c) for c in "ngb"))
-    rows = once.join(known.filter(~gives_blocks(F.col("h"))).select("h", "good"), "h").groupBy(step.alias("step")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    counts = np.array([tuple(r) for r in rows.orderBy("step").collect()], np.float64).reshape(-1, 3)  # a row a step
-    slope, offset = 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    if good and bad and counts[:, 1].any() and counts[:, 2].any():
-        slope, offset = fit_curve(counts[:, 0] / STEPS, counts[:, 1], counts[:, 2])
-    return measured, Classifier(good, bad, slope, offset, prior)
+    rows = once.join(known.filter(~gives_blocks(F.col("h"))).select("h", "good"), "h").groupBy(*cell).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    counts = np.array(sorted(tuple(r) for r in rows.collect()), np.float64).reshape(-1, 4)  # a row a cell
+    curve = None
+    if good and bad and counts[:, 2].any() and counts[:, 3].any():
+        curve = tuple(fit_curve(counts[:, :2] / [STEPS, SIZE_STEPS], counts[:, 2], counts[:, 3]).tolist())
+    return measured, Classifier(good, bad, curve, prior)
 
 
 def score(measured: DataFrame, model: Classifier, key: str) -> DataFrame:
-    p = 1 / (1 + F.exp(-(difference() * model.slope + model.offset)))
-    flat = model.slope == 0
-    return measured.select(F.col("k").alias(key), F.col("n").alias("n_bytes"), F.col("g").alias("good_bytes"), F.col("b").alias("bad_bytes"), F.when(F.lit(flat) | (F.col("n") == 0), F.lit(float(model.prior))).otherwise(p).alias("score"))
+    by_difference, by_size, offset = model.curve or (0.0, 0.0, 0.0)
+    p = 1 / (1 + F.exp(-(difference() * by_difference + good_share() * by_size + offset)))
+    known = F.when((F.col("n") > 0) & F.lit(model.curve is not None), p).otherwise(F.lit(float(model.prior)))
+    return measured.select(F.col("k").alias(key), F.col("n").alias("n_bytes"), F.col("g").alias("good_bytes"), F.col("b").alias("bad_bytes"), known.alias("score"))

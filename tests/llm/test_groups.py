@@ -285,7 +285,8 @@ def test_query_packs_whole_documents(spark, tmp_path):
         mine = got[got.doc_id == d].sort_values("piece")
         assert mine.start.tolist() == list(range(0, len(ids), 2048)) and mine.ids_crc32.tolist() == [zlib.crc32(ids[a : a + 2048].tobytes()) for a in mine.start]
     whole = got.groupby("sequence_id").length.sum()
-    assert whole.max() <= 2048 and len(whole) <= -(-got.length.sum() // 2048) + 1
+    # No two pieces over half a sequence share one, and the sequences hold all ids.
+    assert whole.max() <= 2048 and len(whole) == max((2 * got.length > 2048).sum(), -(-got.length.sum() // 2048))
 
 
 # ----------------------------------------------------------------------------------------------------------------- pipeline

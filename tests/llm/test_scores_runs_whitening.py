@@ -73,12 +73,24 @@ def test_few_labels_of_one_kind_or_none(spark):
 
 
 def test_logistic_curve_against_its_own_likelihood():
-    x = np.linspace(-1, 1, 21)
-    good = np.round(1000 / (1 + np.exp(-(3 * x + 0.7))))
-    slope, offset = C.fit_curve(x, good, 1000 - good)
-    assert slope == pytest.approx(3, abs=0.05) and offset == pytest.approx(0.7, abs=0.02)
-    slope, offset = C.fit_curve(np.array([-0.5, 0.5]), np.array([0.0, 50.0]), np.array([50.0, 0.0]))  # parted: stays finite
-    assert 5 < slope < 20 and abs(offset) < 0.1
+    x = np.array([(a, b) for a in np.linspace(-1, 1, 21) for b in np.linspace(0, 1, 5)])
+    good = np.round(10_000 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1] + 0.7))))
+    assert C.fit_curve(x, good, 10_000 - good) == pytest.approx([3, -2, 0.7], abs=0.02)
+    parted = C.fit_curve(np.array([[-0.5], [0.5]]), np.array([0.0, 50.0]), np.array([50.0, 0.0]))  # stays finite
+    assert 5 < parted[0] < 20 and abs(parted[1]) < 0.1
+
+
+def test_texts_that_repeat_themselves_are_told_by_their_size(spark):
+    rng = random.Random(8)
+
+    def repeats():
+        return " ".join(" ".join([w] * rng.randint(20, 60)) for w in prose(rng, 8).split())
+
+    rows = [(i, prose(rng, rng.randint(30, 400)), 1) for i in range(300)] + [(i, repeats(), 0) for i in range(300, 400)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 3], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in C.classify(df, labels).collect()}
+    assert np.mean([(got[d] >= 0.3) == (q == 1) for d, _, q in rows if d % 3 == 0]) >= 0.98
 
 
 # ------------------------------------------------------------------------------------------------------------ periodic runs
