@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import calendar, scalars as S
+from .functions.lineage import cut, shared_folder
 from .operators import aggregates as A
 from .operators import chain, lookups, recursive, resample
 from .operators import windows as Win
 from .operators.ordered import running
 from .plans import catalogue, frameworks, market, network
 from .sources import tables
-from .streaming import incremental, mempool
+from .streaming import incremental, mempool, pool, price
 
 DAY = 86_400
 Query = Callable[[SparkSession, str], DataFrame]
@@ -738,8 +740,75 @@ def replacement_roots(spark, sf_dir):
     return mempool.replacement_roots(o.select(F.col("o_orderkey").cast("string").alias("txid"), (F.col("o_orderkey") + 1).cast("string").alias("by")))
 
 
-@query(f"WITH {LI}, t AS (SELECT parent, count(*) AS n, max((flag = 'A')::INT) AS d FROM li GROUP BY 1 HAVING n <= 5 AND d = 0) SELECT round(log10(cents) * 200)::INTEGER AS bin, count(*) AS n FROM li WHERE parent IN (SELECT parent FROM t) AND flag <> 'R' AND cents >= 1000 AND cents % 100000 <> 0 GROUP BY 1")
+_SIZE = "(10 ** (length(cents::VARCHAR) - 1))::BIGINT"
+_PAID = f"""{LI}, t AS (SELECT parent FROM li GROUP BY 1 HAVING count(*) <= 5 AND max((flag = 'A')::INT) = 0),
+    m AS (SELECT parent, cents, flag, {_SIZE} AS size, (cents + {_SIZE} // 2) // {_SIZE} AS near FROM li),
+    paid AS (SELECT parent, round(log10(cents) * 200)::INTEGER AS bin FROM m WHERE parent IN (FROM t) AND flag <> 'R' AND cents >= 1000 AND NOT (near IN (1, 2, 3, 5, 6, 10) AND abs(cents - near * size) * 1000 <= near * size))"""
+
+
+def _payments(spark, sf_dir) -> DataFrame:
+    """Order lines as outputs, 20 orders a block, of orders of at most five lines and none of them data."""
+    kind = F.when(F.col("flag") == "A", "op_return").when(F.col("flag") == "R", "p2tr").otherwise("p2wpkh")
+    o = lines(spark, sf_dir).select(F.floor(F.col("parent") / 20).alias("height"), F.col("parent").alias("tx_idx"), F.col("cents").alias("sats"), kind.alias("output_type"))
+    return price.payments(o, few=5)
+
+
+@query(f"WITH {_PAID} SELECT bin, count(*) AS n FROM paid GROUP BY 1")
 def price_histogram(spark, sf_dir):
-    o = lines(spark, sf_dir).select(F.col("parent").alias("tx_idx"), F.col("cents").alias("sats"), F.when(F.col("flag") == "A", "op_return").when(F.col("flag") == "R", "p2tr").otherwise("p2wpkh").alias("output_type"))
-    fine = mempool.eligible(o, F.lit(0), early=5)
-    return fine.groupBy(S.log_bin(F.col("sats")).alias("bin")).agg(F.count("*").alias("n"))
+    return _payments(spark, sf_dir).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def price_from_outputs(spark, sf_dir):
+    """The price of every block, the first 400 by the search that learns a shape; tests hold it against a fold written out."""
+    rows = cut(price.histograms(_payments(spark, sf_dir)))
+    out, _ = price.estimate(rows, rows.agg(F.max("height")).first()[0] + 1, price.State(0, 1200.0), fast_from=400)
+    return out.select("height", scaled(F.col("bin")).alias("bin_e4"), "cents")
+
+
+_STAYS = """c AS (SELECT o_orderkey AS k, o_orderkey % 40 AS a, 1 + o_orderkey % 6 AS s FROM orders),
+    snap AS (SELECT DISTINCT k, unnest(range(a, a + s)) AS c FROM c UNION SELECT k, unnest(range(a + s + 1 + k % 5 * 20, a + s + 2 + k % 5 * 20 + k % 4)) FROM c WHERE k % 3 = 0),
+    n AS (SELECT *, lag(c) OVER w AS b, lead(c) OVER w AS e, max(c) OVER () AS last FROM snap WINDOW w AS (PARTITION BY k ORDER BY c)),
+    changes AS (SELECT k, c AS cycle, CASE WHEN c - b < 62 THEN 'revived' ELSE 'fresh' END AS change FROM n WHERE b IS NULL OR c > b + 1
+                UNION ALL SELECT k, c + 1, 'vanished' FROM n WHERE (e IS NULL OR e > c + 1) AND c + 1 <= last)"""
+
+
+def _pool_snapshots(spark, sf_dir) -> DataFrame:
+    """Orders as unconfirmed transactions, a snapshot a minute: each stays for some, every third comes back a while later."""
+    li = lines(spark, sf_dir).groupBy(F.col("parent").alias("k")).agg(F.sort_array(F.collect_list(S.log_bin(F.col("cents")))).alias("raw"))
+    k = F.col("k")
+    a, s = k % 40, 1 + k % 6
+    again = a + s + 1 + k % 5 * 20
+    stays = F.concat(F.sequence(a, a + s - 1), F.when(k % 3 == 0, F.sequence(again, again + k % 4)).otherwise(F.array().cast("array<bigint>")))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).join(li, "k", "left")
+    at = F.timestamp_add("MINUTE", F.col("c").cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    return o.select(k.cast("string").alias("txid"), "raw", F.explode(F.array_distinct(stays)).alias("c")).select("txid", at.alias("at"), "raw")
+
+
+def _by_cycle(found: DataFrame) -> DataFrame:
+    cycle = F.timestamp_diff("MINUTE", F.lit("2024-01-01").cast("timestamp"), F.col("at"))
+    return found.select("txid", cycle.alias("cycle"), "change")
+
+
+@query(f"WITH {_STAYS} SELECT k::VARCHAR AS txid, cycle::BIGINT AS cycle, change FROM changes")
+def pool_changes(spark, sf_dir):
+    return _by_cycle(pool.changes(_pool_snapshots(spark, sf_dir), 60))
+
+
+@query(f"WITH {_STAYS} SELECT k::VARCHAR AS txid, cycle::BIGINT AS cycle, change FROM changes")
+def pool_changes_streamed(spark, sf_dir):
+    """The same from a stream of four files of snapshots, with state by transaction."""
+    rows = _pool_snapshots(spark, sf_dir)
+    to = f"{shared_folder(spark)}/pool-{uuid.uuid4()}"
+    late = F.timestamp_diff("MINUTE", F.lit("2024-01-01").cast("timestamp"), F.col("at"))
+    for a, z in ((0, 20), (20, 40), (40, 60), (60, 1 << 30)):
+        rows.filter((late >= a) & (late < z)).coalesce(1).write.mode("append").parquet(f"{to}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
+    pool.run_changes(stream, 60, f"{to}/out", f"{to}/marks")
+    return _by_cycle(pool.stored_changes(spark, f"{to}/out"))
+
+
+@query(f"""WITH {LI}, {_STAYS}, here AS (SELECT k, arg_max(change, cycle) AS change FROM changes GROUP BY k) SELECT 'raw' AS kind, round(log10(cents) * 200)::BIGINT AS bin, count(*) AS n FROM here JOIN li ON li.parent = k WHERE change <> 'vanished' GROUP BY 2""")
+def live_histograms(spark, sf_dir):
+    """The bins of what is in the pool at the end, by adding and taking what came and went."""
+    return pool.live_counts(pool.changes(_pool_snapshots(spark, sf_dir), 60), ["raw"]).filter("n <> 0")
