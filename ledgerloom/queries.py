@@ -19,7 +19,7 @@ from .operators import aggregates as A
 from .operators import chain, lookups, recursive, resample
 from .operators import windows as Win
 from .operators.ordered import running
-from .plans import catalogue, frameworks, market, network
+from .plans import catalogue, frameworks, market, network, transactions
 from .sources import tables
 from .streaming import incremental, mempool, pool, price
 
@@ -812,3 +812,63 @@ def pool_changes_streamed(spark, sf_dir):
 def live_histograms(spark, sf_dir):
     """The bins of what is in the pool at the end, by adding and taking what came and went."""
     return pool.live_counts(pool.changes(_pool_snapshots(spark, sf_dir), 60), ["raw"]).filter("n <> 0")
+
+
+# -------------------------------------------------------------------------------------------------------------------- 2.14
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_orderkey * 7919 % 5000 + 100 AS fee, 100 + o_orderkey % 400 AS vsize FROM orders),
+    e AS (SELECT k AS a, k - d AS b FROM o, (VALUES (1), (3)) v(d) WHERE k % 10 >= d AND k - d IN (SELECT k FROM o)),
+    r AS (SELECT a AS seed, b AS member FROM e UNION SELECT r.seed, e.b FROM r JOIN e ON e.a = r.member),
+    up AS (SELECT seed AS k, count(*) AS n, sum(fee) AS f, sum(vsize) AS v FROM r JOIN o ON o.k = r.member GROUP BY 1),
+    down AS (SELECT r.member AS k, count(*) AS n, sum(fee) AS f, sum(vsize) AS v, arg_min(o.k::VARCHAR, (-fee / vsize, o.k::VARCHAR)) AS best FROM r JOIN o ON o.k = r.seed GROUP BY 1)
+    SELECT o.k::VARCHAR AS txid, fee, vsize, coalesce(up.n, 0) AS n_ancestors, coalesce(up.f, 0)::BIGINT AS ancestor_fee, coalesce(up.v, 0)::BIGINT AS ancestor_vsize, coalesce(down.n, 0) AS n_descendants, coalesce(down.f, 0)::BIGINT AS descendant_fee, coalesce(down.v, 0)::BIGINT AS descendant_vsize, best AS best_descendant
+    FROM o LEFT JOIN up USING (k) LEFT JOIN down ON down.k = o.k""")
+def transaction_packages(spark, sf_dir):
+    """Ancestors and descendants of every order, whose parents are the first and the third before it in its ten."""
+    k = F.col("o_orderkey")
+    parents = F.array_compact(F.array(*(F.when(k % 10 >= d, (k - d).cast("string")) for d in (1, 3))))
+    o = read(spark, sf_dir, "orders").select(k.cast("string").alias("txid"), (k * 7919 % 5000 + 100).alias("fee"), (100 + k % 400).alias("vsize"), parents.alias("parents"))
+    return transactions.packages(o, o.select("txid"))
+
+
+_LEAVES = """leaf AS (SELECT o_custkey // 7 AS block, row_number() OVER (PARTITION BY o_custkey // 7 ORDER BY o_orderkey) - 1 AS pos, unhex(sha256(unhex(sha256(o_orderkey::VARCHAR)))) AS hash FROM orders),
+    tree AS (SELECT block, 0 AS level, pos, hash, count(*) OVER (PARTITION BY block) AS n FROM leaf
+             UNION ALL SELECT block, level + 1, pos // 2, unhex(sha256(unhex(sha256(hash || coalesce(lead(hash) OVER (PARTITION BY block ORDER BY pos), hash))))), (n + 1) // 2 FROM tree WHERE n > 1 QUALIFY pos % 2 = 0)"""
+
+
+def _leaves(spark, sf_dir) -> DataFrame:
+    """Orders as transactions of blocks of seven customers each."""
+    block = F.floor(F.col("o_custkey") / 7)
+    pos = F.row_number().over(W.partitionBy(block).orderBy("o_orderkey")) - 1
+    key = F.col("o_orderkey").cast("string").cast("binary")
+    return read(spark, sf_dir, "orders").select(block.alias("block"), pos.cast("long").alias("pos"), transactions.double_sha(key).alias("hash"))
+
+
+@query(f"WITH RECURSIVE {_LEAVES} SELECT block, level::INTEGER AS level, pos, lower(hex(hash)) AS hash FROM tree")
+def merkle_levels(spark, sf_dir):
+    return transactions.merkle_levels(_leaves(spark, sf_dir)).withColumn("hash", F.lower(F.hex("hash")))
+
+
+@query(f"""WITH RECURSIVE {_LEAVES}, sizes AS (SELECT block, level, max(pos) AS last FROM tree GROUP BY ALL),
+    asked AS (SELECT l.block, l.pos, s.level, least(xor(l.pos >> s.level, 1), s.last) AS at FROM leaf l JOIN sizes s ON s.block = l.block AND s.last > 0),
+    p AS (SELECT a.block, a.pos, count(*) AS n, sha256(string_agg(lower(hex(t.hash)), ',' ORDER BY a.level)) AS sha FROM asked a JOIN tree t ON t.block = a.block AND t.level = a.level AND t.pos = a.at GROUP BY ALL)
+    SELECT l.block, l.pos, coalesce(n, 0)::INTEGER AS n_hashes, coalesce(sha, sha256('')) AS proof_sha256, true AS folds FROM leaf l LEFT JOIN p ON p.block = l.block AND p.pos = l.pos""")
+def merkle_proofs(spark, sf_dir):
+    """The proof of every transaction, and whether it folds to its block's root."""
+    leaves = _leaves(spark, sf_dir)
+    levels = transactions.merkle_levels(leaves)
+    proofs = transactions.merkle_proofs(levels, leaves).join(leaves, ["block", "pos"])
+    root = levels.groupBy("block").agg(F.max_by("hash", "level").alias("root"))
+    folds = transactions.fold_proof(F.col("hash"), F.col("pos"), F.col("proof")) == F.col("root")
+    listed = F.array_join(F.transform("proof", lambda h: F.lower(F.hex(h))), ",")
+    return proofs.join(root, "block").select("block", "pos", F.size("proof").alias("n_hashes"), F.sha2(listed, 256).alias("proof_sha256"), folds.alias("folds"))
+
+
+@query(f"""WITH {OUT}, h AS (SELECT addr, created_h AS height, row_number() OVER (ORDER BY created_h, addr, part, sats) AS pos FROM lives), c AS (SELECT addr, CASE WHEN addr % 3 > 0 THEN max(height) // 2 END AS upto FROM h GROUP BY addr),
+    r AS (SELECT addr, height, row_number() OVER (PARTITION BY addr ORDER BY height DESC, pos DESC) AS nth FROM h JOIN c USING (addr) WHERE upto IS NULL OR height < upto) SELECT addr, height::BIGINT AS height, nth::INTEGER AS nth FROM r WHERE nth <= 25""")
+def address_pages(spark, sf_dir):
+    """The newest 25 entries of each address, or, of two thirds of them, the 25 before the middle of their history."""
+    h = outputs(spark, sf_dir).select("addr", F.col("created_h").alias("height"), F.struct("part", "sats").alias("pos"))
+    c = h.groupBy("addr").agg(F.when(F.col("addr") % 3 > 0, F.floor(F.max("height") / 2)).alias("height")).withColumn("pos", F.lit(None).cast(h.schema["pos"].dataType))
+    return transactions.history_pages(h, c, 25).select("addr", "height", "nth")
