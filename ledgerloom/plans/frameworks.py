@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import cut
 from ..operators import windows as Win
 from ..operators.ordered import running
 
@@ -93,32 +94,101 @@ def floor_price(inv: DataFrame, threshold: Column, by: list[str]) -> DataFrame:
     return run.groupBy(*by).agg(F.min(F.when(left <= threshold, F.col("price"))).alias("floor"))
 
 
-def expanding_quantile(daily: DataFrame, value: str, p: float, out: str, order: str) -> DataFrame:
-    """The interpolated quantile of all days up to each day: a row a day, so one task's window."""
-    return daily.withColumn(out, F.percentile(value, F.lit(p)).over(W.partitionBy().orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+def expanding_quantile(daily: DataFrame, value: str, p: float, out: str, order: str, by: list[str] | None = None, least: int = 1) -> DataFrame:
+    """The interpolated quantile of all days before each day; null before ``least`` of them. Null and NaN values don't count.
+
+    Rows are days, so a series is short; it is one pass over a list kept in order, and series run side by side.
+    """
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(order)
+        return own.assign(**{out: own[value].astype(float).expanding(max(least, 1)).quantile(p).shift(1)})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in daily.schema) + f", `{out}` double"
+    found = daily.groupBy(*(by or [])).applyInPandas(run, schema)
+    return found.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+
+
+#: Fixed shares of all coins above a floor of which levels are told.
+LEVELS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+def levels_above(inv: DataFrame, floors: DataFrame, by: list[str], shares: tuple[float, ...] = LEVELS) -> DataFrame:
+    """(by, floor, level_10, ...): of the coins (by, price, sats) that came in at a floor (by, floor) or above, the first prices up to
+    which at least a share of them did. A null floor, or no coins above, gives null levels."""
+    kept = floors.join(inv, by, "left").filter((F.col("price") >= F.col("floor")) & (F.col("sats") > 0))
+    w = W.partitionBy(*by)
+    run = kept.groupBy(*by, "price").agg(F.sum("sats").alias("sats")).withColumn("_cum", F.sum("sats").over(w.orderBy("price"))).withColumn("_all", F.sum("sats").over(w))
+    cols = [F.min(F.when(F.col("_cum") >= F.col("_all") * F.lit(p), F.col("price"))).alias(f"level_{round(100 * p)}") for p in shares]
+    return floors.join(run.groupBy(*by).agg(*cols), by, "left")
+
+
+#: Fixed values of rarity bands: blocks in which a weight doubles, the height from which it grows, the width of a bin and its top.
+HALF_LIFE, GROWS_FROM, BAND_WIDTH, BAND_TOP = 210_000, 210_000, 0.001, 43.0
+#: Quantiles of the five lower and five upper bands.
+BANDS = {"p0_5": 0.005, "p1": 0.01, "p2": 0.02, "p5": 0.05, "p10": 0.10, "p90": 0.90, "p95": 0.95, "p98": 0.98, "p99": 0.99, "p99_5": 0.995}
 
 
-def decayed_bands(rows: DataFrame, value: str, quantiles: dict[str, float], by: list[str], half_life: int, width: float, top: float, idx: str = "idx") -> DataFrame:
-    """Quantiles of a ratio's past with weights that halve every ``half_life`` rows, over bins of ``width`` up to ``top``.
+def decayed_bands(
+    rows: DataFrame, value: str, quantiles: dict[str, float], by: list[str], half_life: int = HALF_LIFE, width: float = BAND_WIDTH, top: float = BAND_TOP, since: int = GROWS_FROM,
+    idx: str = "idx", chunk: int = 50_000,
+) -> DataFrame:
+    """Quantiles of a ratio's past, each row included, with weights that double every ``half_life`` positions from ``since`` on: the
+    lower bounds of bins of ``width``, up to ``top``. Null and NaN values don't count; without any before, quantiles are 0.
 
-    A sequential fold per series over a bounded histogram; series run side by side.
+    Histograms add up: each chunk of positions sums its own, a prefix sum over chunks a bin gives what a chunk begins with, and the
+    rows of a chunk are folded onto that, all chunks side by side. A chunk's task holds its rows and one number a bin. Weights stay
+    doubles for 1,000 half-lives.
     """
-    n = int(round(top / width)) + 1
-    grow = 2.0 ** (1 / half_life)
-
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(idx)
-        mass, w, out = np.zeros(n), 1.0, np.zeros((len(own), len(quantiles)))
-        for i, v in enumerate(own[value].to_numpy()):
-            if np.isfinite(v):
-                mass[min(n - 1, max(0, int(v / width)))] += w
-            cum = mass.cumsum()
-            out[i] = np.searchsorted(cum, np.array(list(quantiles.values())) * cum[-1]) * width
-            w *= grow
-            if w > 1e100:
-                mass /= w
-                w = 1.0
-        return own.assign(**dict(zip(quantiles, out.T, strict=True)))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {q} double" for q in quantiles)
-    return rows.groupBy(*by).applyInPandas(fold, schema)
+    n, base = int(top / width) + 1, list(dict.fromkeys(by))
+    weight = F.pow(F.lit(2.0), F.greatest(F.col(idx) - since, F.lit(0)) / F.lit(half_life))
+    v = F.col(value).cast("double")
+    bucket = F.least(F.greatest(F.floor(v / width + 0.5), F.lit(0)), F.lit(n - 1)).cast("int")
+    kept = cut(rows.withColumn("_chunk", F.floor(F.col(idx) / chunk)).withColumn("_b", F.when(v.isNotNull() & ~F.isnan(v), bucket)).withColumn("_w", weight))
+    own = kept.filter("_b is not null").groupBy(*base, "_chunk", "_b").agg(F.sum("_w").alias("_w"))
+    order = W.partitionBy(*base, "_b").orderBy("_chunk")
+    last = kept.groupBy(*base).agg(F.max("_chunk").alias("_last"))
+    sums = own.select(*base, "_b", "_chunk", F.sum("_w").over(order).alias("_sum"), F.lead("_chunk").over(order).alias("_next")).join(last, base)
+    until = F.least(F.coalesce("_next", "_last"), F.col("_last"))
+    held = cut(sums.filter(F.col("_chunk") + 1 <= until).select(*base, "_b", "_sum", F.explode(F.sequence(F.col("_chunk") + 1, until)).alias("_chunk")))
+    side, names, shares = int(n**0.5) + 1, list(quantiles), np.array(list(quantiles.values()))
+
+    def fold(mine: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty:  # a chunk without rows of its own
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in rows.schema} | {q: pd.Series(dtype=float) for q in names})
+        mine = mine.sort_values(idx)
+        mass = np.zeros(side * side)
+        if not before.empty:
+            mass[before["_b"].to_numpy(np.int64)] = before["_sum"].to_numpy()
+        mass = mass.reshape(side, side)
+        groups = mass.sum(1)
+        out = np.zeros((len(mine), len(names)))
+        for i, (b, w) in enumerate(zip(mine["_b"].to_numpy(float), mine["_w"].to_numpy(), strict=True)):
+            if b == b:
+                mass[int(b) // side, int(b) % side] += w
+                groups[int(b) // side] += w
+            upto = groups.cumsum()
+            if upto[-1] > 0:
+                want = np.nextafter(shares * upto[-1], 0)
+                g = np.minimum(np.searchsorted(upto, want, "right"), side - 1)
+                inner = (upto[g] - groups[g])[:, None] + mass[g].cumsum(1)
+                out[i] = (g * side + np.minimum((inner <= want[:, None]).sum(1), side - 1)) * width
+        return mine.drop(columns=["_chunk", "_b", "_w"]).assign(**dict(zip(names, out.T, strict=True)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", `{q}` double" for q in names)
+    keys = [*base, "_chunk"]
+    return kept.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(fold, schema)
+
+
+def inner_percentile(lower: Column, upper: Column, percentile: int) -> Column:
+    """A price between those of the 5th and 95th percentiles, even in its logarithm; in itself where one of them isn't positive."""
+    at = (percentile - 5) / 90
+    low, high = lower.cast("double"), upper.cast("double")
+    both = F.when((low > 0) & (high > 0), F.exp(F.ln(low) + at * (F.ln(high) - F.ln(low)))).otherwise(low + at * (high - low))
+    return F.floor(both + 0.5).cast("long")
+
+
+def rarity_score(price: Column, lower: list[Column], upper: list[Column]) -> Column:
+    """How many upper bands the price is above, less how many lower ones it's below."""
+    count = lambda cs: sum((F.coalesce(c, F.lit(False)).cast("int") for c in cs), F.lit(0))
+    return count([price > b for b in upper]) - count([price < b for b in lower])

@@ -19,7 +19,7 @@ from .operators import aggregates as A
 from .operators import chain, lookups, recursive, resample
 from .operators import windows as Win
 from .operators.ordered import running
-from .plans import catalogue, frameworks, market, network, transactions
+from .plans import catalogue, frameworks, market, network, search, transactions
 from .sources import tables
 from .streaming import incremental, mempool, pool, price
 
@@ -692,6 +692,37 @@ def floor_price(spark, sf_dir):
     return frameworks.floor_price(chain.inventory(outputs(spark, sf_dir), 800, ["kind"]), F.lit(0.3), ["kind"])
 
 
+_FLOORS = f"""{LI}, inv AS (SELECT supplier, cents // 10000 AS price, sum(qty) AS sats FROM li GROUP BY ALL),
+    f AS (SELECT supplier, min(CASE WHEN (a - cum) / a <= 0.3 THEN price END) AS floor FROM (SELECT *, sum(sats) OVER (PARTITION BY supplier ORDER BY price) AS cum, sum(sats) OVER (PARTITION BY supplier) AS a FROM inv) GROUP BY supplier),
+    k AS (SELECT supplier, floor, price, sum(sats) OVER (PARTITION BY supplier ORDER BY price) AS cum, sum(sats) OVER (PARTITION BY supplier) AS a FROM inv JOIN f USING (supplier) WHERE price >= floor)"""
+
+
+@query(f"""WITH {_FLOORS} SELECT supplier, floor, {", ".join(f"min(CASE WHEN cum >= a * {p}::DOUBLE THEN price END) AS level_{round(100 * p)}" for p in frameworks.LEVELS)} FROM k GROUP BY ALL""")
+def floor_levels(spark, sf_dir):
+    """The floor of each supplier's amounts, and levels of what lies above."""
+    inv = lines(spark, sf_dir).groupBy("supplier", F.floor(F.col("cents") / 10_000).alias("price")).agg(F.sum("qty").alias("sats"))
+    return frameworks.levels_above(inv, frameworks.floor_price(inv, F.lit(0.3), ["supplier"]), ["supplier"])
+
+
+@query(f"""WITH {EV}, d AS (SELECT ((ts - 1230768000) // 86400)::BIGINT AS day, max_by(price, idx)::DOUBLE AS price, count(*) AS n FROM ev GROUP BY 1)
+    SELECT day, {sc("CASE WHEN row_number() OVER (ORDER BY day) > 5 THEN quantile_cont(price, 0.95) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END")} AS p95_e4 FROM d""")
+def expanding_quantiles(spark, sf_dir):
+    """Of each day, the 95th percentile of the closing prices of the days before, once there are five."""
+    d = blocks(spark, sf_dir).groupBy(calendar.bucket(F.col("ts"), "day1").alias("day")).agg(F.max_by("price", "idx").cast("double").alias("price"))
+    return frameworks.expanding_quantile(d, "price", 0.95, "q", "day", least=5).select("day", scaled(F.col("q")).alias("p95_e4"))
+
+
+@query(None)
+def rarity_bands(spark, sf_dir):
+    """Ten bands of the price over 10,000 for each kind of event, and the score; tests hold the bands against a fold."""
+    rows = blocks(spark, sf_dir).select("kind", "idx", "price", (F.col("price") / 10_000).alias("ratio"))
+    r = frameworks.decayed_bands(rows, "ratio", frameworks.BANDS, ["kind"], half_life=2000, since=1000)
+    price = {q: F.floor(F.col(q) * 10_000 + 0.5).cast("long") for q in frameworks.BANDS}
+    names = list(frameworks.BANDS)
+    score = frameworks.rarity_score(F.col("price"), [price[q] for q in names[:5]], [price[q] for q in names[5:]])
+    return r.select("kind", "idx", *(price[q].alias(q) for q in names), frameworks.inner_percentile(price["p5"], price["p95"], 50).alias("inner_50"), score.alias("score"))
+
+
 @query(f"""WITH {OUT}, r AS (SELECT spent_h AS idx, (sum(price_out::HUGEINT * sats) // 100000000)::BIGINT AS tv, (sum(price_in::HUGEINT * sats) // 100000000)::BIGINT AS vd FROM lives WHERE spent_h IS NOT NULL GROUP BY 1),
     t AS (SELECT r.*, ev.ts, row_number() OVER (ORDER BY idx) AS n, sum(tv) OVER (ORDER BY idx) AS ct, sum(vd) OVER (ORDER BY idx) AS cv FROM r JOIN ev USING (idx)),
     s AS (SELECT *, min(n) OVER (ORDER BY ts RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW) AS start FROM t), w AS (SELECT a.idx, a.ct - coalesce(b.ct, 0) AS tv, a.cv - coalesce(b.cv, 0) AS vd FROM s a LEFT JOIN t b ON b.n = a.start - 1)
@@ -872,3 +903,13 @@ def address_pages(spark, sf_dir):
     h = outputs(spark, sf_dir).select("addr", F.col("created_h").alias("height"), F.struct("part", "sats").alias("pos"))
     c = h.groupBy("addr").agg(F.when(F.col("addr") % 3 > 0, F.floor(F.max("height") / 2)).alias("height")).withColumn("pos", F.lit(None).cast(h.schema["pos"].dataType))
     return transactions.history_pages(h, c, 25).select("addr", "height", "nth")
+
+
+@query(None)
+def name_search(spark, sf_dir):
+    """The ten best names for what one may type for each of them: words in another form, joined, and with a letter missing."""
+    part = read(spark, sf_dir, "part")
+    names = part.select(F.lower(F.regexp_replace(F.concat_ws("_", "p_name", "p_type", "p_brand"), "[ #]", "_")).alias("name"))
+    n = F.col("p_name")
+    typed = F.array(F.upper(n), F.regexp_replace(n, " ", ""), F.concat(F.substring(n, 1, 2), F.expr("substring(p_name, 4)")), F.concat(n, F.lit(" "), F.lower("p_type")))
+    return search.search(names, part.select(F.explode(typed).alias("query")), limit=10)
