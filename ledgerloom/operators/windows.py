@@ -6,7 +6,6 @@ come in order of their index, and a row's window doesn't hold later rows of its
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
@@ -39,8 +38,10 @@ def rolling_time(df: DataFrame, seconds: int, value: str, what: list[str], by: l
     """Columns named after ``what`` over each row's time window: sum, count, average, sd (of the population), min, max, first
     (the value at the window's start), median, and distribution (p10 to p90 by linear interpolation, low, high).
 
-    Nulls count as rows without a value. A chunk of time and what windows reach back to is one pass: sums are differences of
-    running sums, extremes come from ranges of powers of two, quantiles from a list that is kept sorted as the window moves.
+    Nulls count as rows without a value. NaN and infinite values make a window's sum, average and sd NaN; NaN is no value to min,
+    max, median and distribution. A chunk of time and what windows reach back to is one pass: sums and deviations are put together
+    from ranges of powers of two rows, so what has left a window leaves no error behind; extremes come from such ranges, too, and
+    quantiles from counts of ranks that follow the window, in time that hardly depends on its length.
     """
     exact = df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
     kind = df.schema[value].dataType
@@ -71,21 +72,22 @@ def _over_windows(column: pa.ChunkedArray, start: np.ndarray, end: np.ndarray, n
         sums = np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])
         return sums[end] - sums[start]
 
-    odd = None if exact else ~np.isfinite(v)
-    plain = v if exact or not odd.any() else np.where(odd, 0.0, v)
-    bad = None if exact or not odd.any() else total(odd.astype(np.int64)) > 0
+    odd = np.zeros(len(v), bool) if exact else ~np.isfinite(v)
+    plain = np.where(odd, 0, v)
+    bad = total(odd.astype(np.int64)) > 0
     out: dict[str, object] = {}
     if {"sum", "average", "sd"} & {*names}:
-        sums = total(plain)
-        sums = sums if bad is None else np.where(bad, np.nan, sums)
-        mean = sums / n
-        out |= {"sum": pa.array(sums), "average": pa.array(mean)}
+        sums = total(plain) if exact else _gathered([plain], start, end, lambda a, b: [a[0] + b[0]])[0]
+        sums = np.where(bad, np.nan, sums) if bad.any() else sums
+        out |= {"sum": pa.array(sums), "average": pa.array(sums / n)}
         if "sd" in names:
-            spread = total(plain.astype(float) ** 2) / n - mean * mean
-            out["sd"] = pa.array(np.where(np.isnan(spread), np.nan, np.sqrt(np.maximum(spread, 0.0))))
+            ones = np.ones(len(v))
+            many, _, spread = _gathered([ones, plain.astype(float), np.zeros(len(v))], start, end, _merged)
+            out["sd"] = pa.array(np.where(bad, np.nan, np.sqrt(np.maximum(spread, 0.0) / many)))
     out["count"] = pa.array(n.astype(np.int64))
     if "first" in names:
         out["first"] = column.take(pa.array(start))
+    null = null if exact else null | np.isnan(v)
     some = total((~null).astype(np.int64)) > 0
     for name, pick, worst in (("min", np.minimum, np.iinfo(np.int64).max if exact else np.inf), ("max", np.maximum, np.iinfo(np.int64).min if exact else -np.inf)):
         also = "low" if name == "min" else "high"
@@ -109,25 +111,60 @@ def _range(v: np.ndarray, start: np.ndarray, end: np.ndarray, pick) -> np.ndarra
     return out
 
 
+def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """(count, mean, sum of squares around it) of two sets together."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    apart = b[1] - a[1]
+    return [n, np.where(a[0] > 0, a[1] + apart * share, b[1]), a[2] + b[2] + np.where((a[0] > 0) & (b[0] > 0), apart * apart * a[0] * share, 0.0)]
+
+
+def _gathered(level: list[np.ndarray], start: np.ndarray, end: np.ndarray, join) -> list[np.ndarray]:
+    """``join`` of the rows ``start`` up to ``end``: of the few aligned ranges of a power of two rows that make them up."""
+    out = [np.zeros(len(start)) for _ in level]
+    a, b = start.copy(), end.copy()
+    while (a < b).any():
+        for at, here in ((a, (a < b) & (a % 2 == 1)), (b - 1, (a < b) & (b % 2 == 1))):
+            if here.any():
+                joined = join([x[here] for x in out], [x[at[here]] for x in level])
+                for x, y in zip(out, joined, strict=True):
+                    x[here] = y
+            if at is a:
+                a = a + here
+            else:
+                b = b - here
+        a, b = a // 2, b // 2
+        even = [np.append(x, 0.0) if len(x) % 2 else x for x in level]
+        level = join([x[::2] for x in even], [x[1::2] for x in even])
+    return out
+
+
 def _quantiles(v: np.ndarray, null: np.ndarray, start: np.ndarray, end: np.ndarray, shares: list[float]) -> np.ndarray:
     """Interpolated quantiles (windows x shares) of windows whose ends never go back; 0 of nothing."""
-    out = np.zeros((len(start), len(shares)))
-    values, gone, kept = v.tolist(), null.tolist(), []
+    out, p = np.zeros((len(start), len(shares))), np.array(shares)
+    known = np.unique(v[~null])
+    side = math.isqrt(max(len(known) - 1, 0)) + 1
+    rank, gone = np.searchsorted(known, v).tolist(), null.tolist()
+    counts, groups, kept = np.zeros((side, side), np.int64), np.zeros(side, np.int64), 0
     low = high = int(start[0]) if len(start) else 0
     for row, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
-        for i in range(high, b):
-            if not gone[i]:
-                bisect.insort(kept, values[i])
-        for i in range(low, a):
-            if not gone[i]:
-                del kept[bisect.bisect_left(kept, values[i])]
+        for first, last, step in ((high, b, 1), (low, a, -1)):
+            for i in range(first, last):
+                if not gone[i]:
+                    g, r = divmod(rank[i], side)
+                    counts[g, r] += step
+                    groups[g] += step
+                    kept += step
         low, high = a, b
         if kept:
-            for k, p in enumerate(shares):
-                place = (len(kept) - 1) * p
-                i = int(place)
-                x = kept[i]
-                out[row, k] = x + (kept[min(i + 1, len(kept) - 1)] - x) * (place - i)
+            place = (kept - 1) * p
+            i = place.astype(np.int64)
+            wanted = np.concatenate([i, np.minimum(i + 1, kept - 1)])
+            upto = groups.cumsum()
+            g = np.searchsorted(upto, wanted, "right")
+            r = ((upto[g] - groups[g])[:, None] + counts[g].cumsum(1) <= wanted[:, None]).sum(1)
+            x, y = np.split(known[g * side + r], 2)
+            out[row] = x + (y - x) * (place - i)
     return out
 
 

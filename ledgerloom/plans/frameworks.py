@@ -152,10 +152,11 @@ def decayed_bands(
     until = F.least(F.coalesce("_next", "_last"), F.col("_last"))
     held = cut(sums.filter(F.col("_chunk") + 1 <= until).select(*base, "_b", "_sum", F.explode(F.sequence(F.col("_chunk") + 1, until)).alias("_chunk")))
     side, names, shares = int(n**0.5) + 1, list(quantiles), np.array(list(quantiles.values()))
+    columns = rows.columns
 
     def fold(mine: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         if mine.empty:  # a chunk without rows of its own
-            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in rows.schema} | {q: pd.Series(dtype=float) for q in names})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in columns} | {q: pd.Series(dtype=float) for q in names})
         mine = mine.sort_values(idx)
         mass = np.zeros(side * side)
         if not before.empty:

@@ -50,6 +50,30 @@ def test_time_windows_against_a_loop(spark, seconds):
         assert math.isclose(r["sd"], math.sqrt(sum((x - mean) ** 2 for x in own) / len(own)), abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("kind", ["nan", "steps", "large", "long"])
+def test_time_windows_of_doubles_against_exact_loops(spark, kind):
+    rng = random.Random(3)
+    n, seconds = (1200, 900) if kind == "long" else (250, 40)
+    v = {"nan": [rng.choice([float("nan"), None, rng.random()]) for _ in range(n)], "steps": [1e17 if i % 60 == 7 else float(rng.randrange(9)) for i in range(n)], "large": [1e9 + rng.random() for _ in range(n)], "long": [float(rng.randrange(50)) for _ in range(n)]}[kind]
+    ts = [i - i % 3 for i in range(n)]
+    df = spark.createDataFrame(list(zip(range(n), ts, v)), "idx long, ts long, v double")
+    for i, r in enumerate(Win.rolling_time(df, seconds, "v", ["sum", "count", "average", "sd", "min", "max", "distribution"]).orderBy("idx").collect()):
+        window = [v[j] for j in range(i + 1) if ts[i] - ts[j] < seconds]
+        if any(x is not None and x != x for x in window):
+            assert all(math.isnan(r[c]) for c in ("sum", "average", "sd"))
+        elif None not in window:
+            total = math.fsum(window)
+            mean = total / len(window)
+            assert math.isclose(r["sum"], total, rel_tol=1e-12) and math.isclose(r["average"], mean, rel_tol=1e-12)
+            assert math.isclose(r["sd"], math.sqrt(math.fsum((x - mean) ** 2 for x in window) / len(window)), rel_tol=1e-6, abs_tol=1e-7)
+        s = sorted(x for x in window if x is not None and x == x)
+        assert (r["count"], r["min"], r["max"]) == (len(window), s[0] if s else None, s[-1] if s else None)
+        for q, p in Win.QUANTILES.items():
+            place = (len(s) - 1) * p
+            want = s[int(place)] + (s[min(int(place) + 1, len(s) - 1)] - s[int(place)]) * (place - int(place)) if s else 0
+            assert math.isclose(r[q], want, rel_tol=1e-12, abs_tol=1e-12)
+
+
 def test_running_folds_over_chunks(spark):
     v = [5, 3, 9, 9, 1, 0, 12, 4, 4, 7]
     df = series(spark, v)
