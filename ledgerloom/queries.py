@@ -760,6 +760,22 @@ def mempool_blocks(spark, sf_dir):
     return mempool.pack_blocks(mempool.linearize(s), s, most=20_000).select("txid", "block", scaled(F.col("chunk_rate")).alias("rate_e4"))
 
 
+_BLOCK_AT = lambda p: f"min(CASE WHEN upto >= floor(total * {p / 100} + 0.5) THEN rate END)"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey::VARCHAR AS txid, o_orderkey * 7919 % 5000 + 100 AS fee, 100 + o_orderkey % 400 AS vsize FROM orders), r AS (SELECT *, fee / vsize AS rate FROM t),
+    p AS (SELECT *, least((sum(vsize) OVER (ORDER BY rate DESC, txid ROWS UNBOUNDED PRECEDING) - vsize) // 500000, 7) AS block FROM r),
+    c AS (SELECT *, sum(vsize) OVER (PARTITION BY block ORDER BY rate) AS upto, sum(vsize) OVER (PARTITION BY block) AS total FROM p)
+    SELECT block::INTEGER AS block, count(*) AS n, sum(fee)::BIGINT AS fee, sum(vsize)::BIGINT AS size, {sc(_BLOCK_AT(50))} AS median_e4, CASE WHEN block = 0 THEN {sc(_BLOCK_AT(0))} ELSE {sc(_BLOCK_AT(5))} END AS low_e4, {sc(_BLOCK_AT(25))} AS p25_e4, {sc(_BLOCK_AT(90))} AS p90_e4, CASE WHEN block = 0 THEN {sc(_BLOCK_AT(100))} ELSE {sc(_BLOCK_AT(95))} END AS high_e4 FROM c GROUP BY block""")
+def projected_blocks(spark, sf_dir):
+    """Statistics of the blocks to come of all orders, none of them with a parent."""
+    k = F.col("o_orderkey")
+    t = read(spark, sf_dir, "orders").select(k.cast("string").alias("txid"), (k * 7919 % 5000 + 100).alias("fee"), (100 + k % 400).alias("vsize"), F.array().cast("array<string>").alias("parents"))
+    r = mempool.block_stats(mempool.pack_blocks(mempool.linearize(t), t, most=500_000), t)
+    at = {"median_e4": F.col("median"), "low_e4": F.col("fee_range")[0], "p25_e4": F.col("fee_range")[2], "p90_e4": F.col("fee_range")[5], "high_e4": F.col("fee_range")[6]}
+    return r.select("block", "n", "fee", "size", *(scaled(c).alias(n) for n, c in at.items()))
+
+
 @query("WITH o AS (SELECT o_orderkey AS k FROM orders), a AS (FROM o WHERE k % 5 <> 0), b AS (FROM o WHERE (k + 1) % 5 <> 0) SELECT coalesce(a.k, b.k)::VARCHAR AS txid, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'removed' ELSE 'retained' END AS state FROM a FULL JOIN b ON a.k = b.k")
 def template_diff(spark, sf_dir):
     return mempool.template_diff(_snapshot(spark, sf_dir, 0), _snapshot(spark, sf_dir, 1))
@@ -828,11 +844,11 @@ def pool_changes(spark, sf_dir):
 
 @query(f"WITH {_STAYS} SELECT k::VARCHAR AS txid, cycle::BIGINT AS cycle, change FROM changes")
 def pool_changes_streamed(spark, sf_dir):
-    """The same from a stream of four files of snapshots, with state by transaction."""
+    """The same from a stream of two files of snapshots, with state by transaction."""
     rows = _pool_snapshots(spark, sf_dir)
     to = f"{shared_folder(spark)}/pool-{uuid.uuid4()}"
     late = F.timestamp_diff("MINUTE", F.lit("2024-01-01").cast("timestamp"), F.col("at"))
-    for a, z in ((0, 20), (20, 40), (40, 60), (60, 1 << 30)):
+    for a, z in ((0, 30), (30, 1 << 30)):
         rows.filter((late >= a) & (late < z)).coalesce(1).write.mode("append").parquet(f"{to}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
     pool.run_changes(stream, 60, f"{to}/out", f"{to}/marks")

@@ -5,9 +5,11 @@ A snapshot is (txid, fee, vsize, parents array, spends array of "txid:vout").
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,52 +67,101 @@ def clusters(snapshot: DataFrame) -> DataFrame:
             return labels
 
 
-def order_cluster(own: pd.DataFrame) -> pd.DataFrame:
-    """A cluster's transactions in chunks: again and again, of all transactions with their unplaced ancestors, the set of the
-    highest fee rate (ties: the smaller txid)."""
-    fee, size = dict(zip(own.txid, own.fee, strict=True)), dict(zip(own.txid, own.vsize, strict=True))
-    parents = {t: [p for p in ps if p in fee] for t, ps in zip(own.txid, own.parents, strict=True)}
-    left, out, chunk = set(fee), [], 0
+def order_cluster(ids: list[str], fees: list[int], sizes: list[int], parents: list[list[str]]) -> list[tuple[str, int, float]]:
+    """(txid, chunk, rate) of a cluster: again and again, of all transactions with their unplaced ancestors, the set of the highest
+    fee rate (ties: the smaller txid). A later chunk never has a higher rate than an earlier one.
 
-    def ancestors(t: str) -> set[str]:
-        seen, todo = set(), [t]
+    Sets are bit masks; a placed set's fees and sizes are taken from each transaction that had it among its ancestors, which is
+    quadratic in the cluster at most.
+    """
+    at = {t: i for i, t in enumerate(ids)}
+    direct = [[at[p] for p in ps if p in at] for ps in parents]
+    above: list[int] = [0] * len(ids)
+    done = [False] * len(ids)
+    for first in range(len(ids)):
+        todo = [first]
         while todo:
-            x = todo.pop()
-            if x in left and x not in seen:
-                seen.add(x)
-                todo += parents[x]
-        return seen
-
+            i = todo[-1]
+            waits = [] if done[i] else [p for p in direct[i] if not done[p]]
+            if waits:
+                todo += waits
+                continue
+            if not done[i]:
+                above[i], done[i] = 1 << i, True
+                for p in direct[i]:
+                    above[i] |= above[p]
+            todo.pop()
+
+    def members(mask: int) -> list[int]:
+        out = []
+        while mask:
+            low = mask & -mask
+            out.append(low.bit_length() - 1)
+            mask ^= low
+        return out
+
+    fee = [sum(fees[j] for j in members(m)) for m in above]
+    size = [sum(sizes[j] for j in members(m)) for m in above]
+    left, out, chunk, least = set(range(len(ids))), [], 0, math.inf
     while left:
-        sets = {t: ancestors(t) for t in left}
-        best = min(left, key=lambda t: (-sum(fee[x] for x in sets[t]) / sum(size[x] for x in sets[t]), t))
-        members = sorted(sets[best], key=lambda x: (len(sets[x]), x))
-        rate = sum(fee[x] for x in members) / sum(size[x] for x in members)
-        out += [(own.cluster.iloc[0], x, chunk, rate) for x in members]
-        left -= sets[best]
+        best = min(left, key=lambda i: (-fee[i] / size[i], ids[i]))
+        placed, least = above[best], min(least, fee[best] / size[best])
+        out += [(ids[i], chunk, least) for i in sorted(members(placed), key=lambda i: (above[i].bit_count(), ids[i]))]
+        left.difference_update(members(placed))
+        for i in left:
+            if gone := above[i] & placed:
+                for j in members(gone):
+                    fee[i] -= fees[j]
+                    size[i] -= sizes[j]
+                above[i] ^= gone
         chunk += 1
-    frame = pd.DataFrame(out, columns=["cluster", "txid", "chunk", "chunk_rate"])
-    # A later chunk never has a higher rate than an earlier one.
-    frame["chunk_rate"] = frame["chunk_rate"].cummin()
-    return frame
+    return out
 
 
 def linearize(snapshot: DataFrame) -> DataFrame:
-    """(cluster, txid, chunk, chunk_rate); clusters are at most MOST_IN_CLUSTER transactions."""
-    named = snapshot.join(clusters(snapshot), "txid").select("cluster", "txid", "fee", "vsize", "parents")
-    return named.groupBy("cluster").applyInPandas(order_cluster, "cluster string, txid string, chunk int, chunk_rate double")
+    """(cluster, txid, chunk, chunk_rate). Transactions without relatives are a chunk each, without Python; the others come sorted by
+    cluster, and a task orders one cluster after the other. A cluster is handled whole, whatever its size; nodes let it grow to
+    MOST_IN_CLUSTER."""
+    rows = cut(snapshot.select("txid", "fee", "vsize", "parents"))
+    edges = rows.select("txid", F.explode("parents").alias("p")).join(rows.select(F.col("txid").alias("p")), "p", "left_semi")
+    linked = cut(edges.select("txid").unionByName(edges.select(F.col("p").alias("txid"))).distinct())
+    alone = rows.join(linked, "txid", "left_anti").select(F.col("txid").alias("cluster"), "txid", F.lit(0).alias("chunk"), (F.col("fee") / F.col("vsize")).alias("chunk_rate"))
+    related = cut(rows.join(linked, "txid", "left_semi"))
+    named = related.join(clusters(related), "txid").select("cluster", "txid", "fee", "vsize", "parents")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ordered(own: list[dict]) -> list[tuple]:
+            lines = order_cluster([r["txid"] for r in own], [r["fee"] for r in own], [r["vsize"] for r in own], [r["parents"] or [] for r in own])
+            return [(own[0]["cluster"], *x) for x in lines]
+
+        open_: list[dict] = []
+        for batch in itertools.chain(batches, [None]):
+            out: list[tuple] = []
+            for r in batch.to_pylist() if batch is not None else [None]:
+                if open_ and (r is None or r["cluster"] != open_[0]["cluster"]):
+                    out += ordered(open_)
+                    open_ = []
+                if r is not None:
+                    open_.append(r)
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())], names=["cluster", "txid", "chunk", "chunk_rate"])
+
+    sorted_ = named.repartition("cluster").sortWithinPartitions("cluster")
+    return sorted_.mapInArrow(run, "cluster string, txid string, chunk int, chunk_rate double").unionByName(alone)
 
 
 def pack_blocks(lines: DataFrame, sizes: DataFrame, most: int = MAX_BLOCK, blocks: int = BLOCKS) -> DataFrame:
     """(txid, block): chunks by falling rate (ties: cluster, chunk) by cumulated size; the last block takes the rest.
 
-    A chunk starts in the block in which the size before it falls. Sizes are summed per rate first, so the window is over rates.
+    A chunk starts in the block in which the size before it falls. Sizes are summed for steps of a hundredth of the rate's
+    logarithm first, so no window is over more than those steps or the chunks of one.
     """
-    chunks = lines.join(sizes.select("txid", "vsize"), "txid").groupBy("cluster", "chunk", "chunk_rate").agg(F.sum("vsize").alias("size"))
-    rates = chunks.groupBy("chunk_rate").agg(F.sum("size").alias("s"))
-    before = rates.withColumn("_ahead", F.coalesce(F.sum("s").over(W.partitionBy().orderBy(F.desc("chunk_rate")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    inside = W.partitionBy("chunk_rate").orderBy("cluster", "chunk").rowsBetween(W.unboundedPreceding, -1)
-    placed = chunks.join(before, "chunk_rate").withColumn("_start", F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    lines = cut(lines.join(sizes.select("txid", "vsize"), "txid"))
+    chunks = lines.groupBy("cluster", "chunk", "chunk_rate").agg(F.sum("vsize").alias("size")).withColumn("_step", F.when(F.col("chunk_rate") > 0, F.floor(F.ln("chunk_rate") * 100)).otherwise(-(1 << 40)))
+    steps = chunks.groupBy("_step").agg(F.sum("size").alias("s"))
+    before = steps.withColumn("_ahead", F.coalesce(F.sum("s").over(W.partitionBy().orderBy(F.desc("_step")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    inside = W.partitionBy("_step").orderBy(F.desc("chunk_rate"), "cluster", "chunk").rowsBetween(W.unboundedPreceding, -1)
+    placed = chunks.join(F.broadcast(before), "_step").withColumn("_start", F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))  # some thousand steps
     block = F.least(F.floor(F.col("_start") / most), F.lit(blocks - 1)).cast("int")
     return lines.join(placed.select("cluster", "chunk", block.alias("block")), ["cluster", "chunk"]).select("txid", "block", "chunk_rate")
 
@@ -156,12 +207,24 @@ def recommend(blocks: list[tuple[float, int]], least: float = 1.0) -> dict[str,
     return {k: round(v, 3) for k, v in tiers.items()}
 
 
+#: Percentiles of a block's fee range: of the next block, and of those after it, whose extremes say little.
+FEE_RANGE, LATER_RANGE = (0, 10, 25, 50, 75, 90, 100), (5, 10, 25, 50, 75, 90, 95)
+
+
 def block_stats(placed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(block, median, size): each projected block's median rate by size, and its size, from ``pack_blocks`` and (txid, vsize)."""
-    per_rate = placed.join(sizes.select("txid", "vsize"), "txid").groupBy("block", "chunk_rate").agg(F.sum("vsize").alias("_s"))
+    """A row a projected block, from ``pack_blocks`` and (txid, fee, vsize): how many transactions, their fees and size, the median
+    rate, and ``fee_range``: the rates at FEE_RANGE in block 0, at LATER_RANGE in the others.
+
+    The rate at a percentile is the first, from the lowest, up to which the rounded share of the size lies.
+    """
+    per = placed.join(sizes.select("txid", "fee", "vsize"), "txid").groupBy("block", "chunk_rate").agg(F.count("*").alias("_n"), F.sum("fee").alias("_f"), F.sum("vsize").alias("_s"))
     w = W.partitionBy("block")
-    run = per_rate.withColumn("_upto", F.sum("_s").over(w.orderBy("chunk_rate"))).withColumn("_all", F.sum("_s").over(w))
-    return run.groupBy("block").agg(F.min(F.when(2 * F.col("_upto") >= F.col("_all"), F.col("chunk_rate"))).alias("median"), F.max("_all").alias("size"))
+    run = per.withColumn("_upto", F.sum("_s").over(w.orderBy("chunk_rate"))).withColumn("_all", F.sum("_s").over(w))
+    every = sorted({*FEE_RANGE, *LATER_RANGE})
+    at = [F.min(F.when(F.col("_upto") >= F.floor(F.col("_all") * F.lit(p / 100) + 0.5), F.col("chunk_rate"))).alias(f"_p{p}") for p in every]
+    out = run.groupBy("block").agg(F.sum("_n").alias("n"), F.sum("_f").alias("fee"), F.max("_all").alias("size"), *at)
+    fees = F.when(F.col("block") == 0, F.array(*(f"_p{p}" for p in FEE_RANGE))).otherwise(F.array(*(f"_p{p}" for p in LATER_RANGE)))
+    return out.select("block", "n", "fee", "size", F.col("_p50").alias("median"), fees.alias("fee_range"))
 
 
 def template_diff(old: DataFrame, new: DataFrame) -> DataFrame:

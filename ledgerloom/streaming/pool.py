@@ -14,10 +14,10 @@ is cut into batches, so a stream that starts again gives what it would have give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -62,19 +62,13 @@ class _Pool(StatefulProcessor):
     def init(self, handle: Any) -> None:
         self.handle, self.state = handle, handle.getValueState("own", "seen long, live boolean, body string")
 
-    def _timer(self, at: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+    def _rows(self, key: Any, out: list[tuple[int, str, str]]) -> Iterator[Row]:
+        for at, change, body in out:
+            yield Row(txid=key[0], at=datetime.fromtimestamp(at / 1000), change=change, body=body)
 
-    def _frame(self, key: Any, out: list[tuple[int, str, str]]) -> pd.DataFrame:
-        at = pd.to_datetime([t for t, _, _ in out], unit="ms")
-        words = lambda xs: pd.Series(xs, dtype=object)
-        return pd.DataFrame({"txid": words([key[0]] * len(out)), "at": at, "change": words([c for _, c, _ in out]), "body": words([b for _, _, b in out])})
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = sorted({(int(t.value // 1_000_000), b) for frame in rows for t, b in zip(frame["at"], frame["body"], strict=True)})
-        seen, live, body = self.state.get() if self.state.exists() else (None, False, None)
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        new = sorted({(round(r["at"].timestamp() * 1000), r["body"]) for r in rows})
+        seen, live, body = self.state.get() or (None, False, None)
         out = []
         for at, b in new:
             if seen is not None and at <= seen:
@@ -86,20 +80,20 @@ class _Pool(StatefulProcessor):
                 out.append((at, "revived" if seen is not None and at < seen + 2 * self.every + self.retention else "fresh", b))
             seen, live, body = at, True, b
         self.state.update((seen, live, body))
-        self._timer(seen + self.every if live else seen + 2 * self.every + self.retention)
-        yield self._frame(key, out)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.state.exists():
-            seen, live, body = self.state.get()
-            if live:
-                out = [(seen + self.every, "vanished", body)]
+        self.handle.registerTimer(seen + self.every)  # older ones are ignored when they go off
+        yield from self._rows(key, out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        out, own, now = [], self.state.get(), expiredTimerInfo.getExpiryTimeInMs()
+        if own is not None:
+            seen, live, body = own
+            if live and now == seen + self.every:
+                out = [(now, "vanished", body)]
                 self.state.update((seen, False, body))
                 self.handle.registerTimer(seen + 2 * self.every + self.retention)
-            else:
+            elif not live and now == seen + 2 * self.every + self.retention:
                 self.state.clear()
-        yield self._frame(key, out)
+        yield from self._rows(key, out)
 
     def close(self) -> None:
         pass
@@ -109,7 +103,7 @@ def changes_stream(snapshots: DataFrame, every: int, retention: int = RETENTION)
     """The changes of a stream of snapshots, which come in order of time; a vanished transaction is told when a later batch begins
     or the stream is idle. Needs ROCKS, or another store that has timers, as the session's state store."""
     rows = _body(snapshots).withWatermark("at", "0 seconds")
-    return rows.groupBy("txid").transformWithStateInPandas(_Pool(every, retention), CHANGES, "append", "eventTime")
+    return rows.groupBy("txid").transformWithState(_Pool(every, retention), CHANGES, "append", "eventTime")
 
 
 def run_changes(snapshots: DataFrame, every: int, to: str, checkpoint: str, retention: int = RETENTION) -> StreamingQuery:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,16 @@ def test_time_windows_of_doubles_against_exact_loops(spark, kind):
             assert math.isclose(r[q], want, rel_tol=1e-12, abs_tol=1e-12)
 
 
+def test_quantiles_by_counts_are_those_of_the_list(monkeypatch):
+    rng = random.Random(9)
+    v = np.array([rng.choice([float("nan"), 1.0, 2.0, rng.random(), rng.random()]) for _ in range(700)])
+    end = np.sort(np.array([rng.randrange(1, 701) for _ in range(400)]))
+    start = np.maximum.accumulate(np.maximum(end - np.array([rng.randrange(1, 200) for _ in range(400)]), 0))
+    by_list = Win._quantiles(v, np.isnan(v), start, end, [0.1, 0.5, 0.9])
+    monkeypatch.setattr(Win, "SHORT", 0)
+    assert np.array_equal(Win._quantiles(v, np.isnan(v), start, end, [0.1, 0.5, 0.9]), by_list)
+
+
 def test_running_folds_over_chunks(spark):
     v = [5, 3, 9, 9, 1, 0, 12, 4, 4, 7]
     df = series(spark, v)
@@ -269,6 +280,59 @@ def test_clusters_and_blocks(spark):
     assert placed == {"e": 0, "a": 0, "b": 0, "c": 1, "d": 1}
 
 
+def plain_order(fee, size, parents):
+    """(cluster, chunk, rate) by txid, set by set over the whole pool."""
+    cluster = {t: t for t in fee}
+    moved = True
+    while moved:
+        moved = False
+        for t, ps in parents.items():
+            for p in ps:
+                low = min(cluster[t], cluster[p])
+                moved |= cluster[t] != low or cluster[p] != low
+                cluster[t] = cluster[p] = low
+    out = {}
+    for c in set(cluster.values()):
+        left, chunk, least = {t for t in fee if cluster[t] == c}, 0, math.inf
+        while left:
+
+            def above(t):
+                return {t}.union(*(above(p) for p in parents[t] if p in left))
+
+            rate = {t: sum(fee[x] for x in above(t)) / sum(size[x] for x in above(t)) for t in left}
+            best = min(left, key=lambda t: (-rate[t], t))
+            least = min(least, rate[best])
+            placed = above(best)
+            out |= {t: (c, chunk, least) for t in placed}
+            left, chunk = left - placed, chunk + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_of_random_parents_against_a_loop(spark, seed):
+    rng = random.Random(seed)
+    ids = [f"t{i:03d}" for i in range(150)]
+    rng.shuffle(ids)
+    parents = {t: sorted({rng.choice(ids[max(0, i - 9) : i]) for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 3]))} if i % 13 else set()) for i, t in enumerate(ids)}
+    fee, size = {t: rng.randrange(1, 40) for t in ids}, {t: rng.choice([1, 2, 5]) for t in ids}
+    df = spark.createDataFrame([(t, fee[t], size[t], parents[t] + ["elsewhere"]) for t in ids], "txid string, fee long, vsize long, parents array<string>").repartition(5)
+    lines = mempool.linearize(df)
+    want = plain_order(fee, size, parents)
+    assert {r.txid: (r.cluster, r.chunk, r.chunk_rate) for r in lines.collect()} == want
+    chunks = sorted({(-rate, c, k) for c, k, rate in want.values()})
+    start, at = 0, {}
+    for rate, c, k in chunks:
+        at[c, k] = min(start // 60, 3)
+        start += sum(size[t] for t in ids if want[t][:2] == (c, k))
+    assert {r.txid: r.block for r in mempool.pack_blocks(lines, df, most=60, blocks=4).collect()} == {t: at[want[t][:2]] for t in ids}
+
+
+def test_a_long_chain_is_ordered_at_once():
+    n = 1000
+    out = mempool.order_cluster([f"{i:04d}" for i in range(n)], list(range(1, n + 1)), [1] * n, [[f"{i - 1:04d}"] if i else [] for i in range(n)])
+    assert len(out) == n and {x[1] for x in out} == {0}
+
+
 def test_fee_tiers(spark):
     r = mempool.recommend
     assert r([], 2.0) == {"fastest": 2.5, "half_hour": 2.25, "hour": 2.0, "economy": 2.0, "minimum": 2.0}
@@ -278,8 +342,9 @@ def test_fee_tiers(spark):
     assert (full["fastest"], full["half_hour"], full["hour"]) == (25.5, 17.75, 1.0)
     assert r([(10.0, 725_000)])["fastest"] == 5.0  # a last block of which 225,000 of 500,000 count
     placed = spark.createDataFrame([("a", 0, 9.0), ("b", 0, 4.0), ("c", 0, 2.0), ("d", 1, 1.0)], "txid string, block int, chunk_rate double")
-    sizes = spark.createDataFrame([("a", 10), ("b", 10), ("c", 15), ("d", 7)], "txid string, vsize int")
-    assert [tuple(x) for x in mempool.block_stats(placed, sizes).orderBy("block").collect()] == [(0, 4.0, 35), (1, 1.0, 7)]
+    sizes = spark.createDataFrame([("a", 90, 10), ("b", 40, 10), ("c", 30, 15), ("d", 7, 7)], "txid string, fee long, vsize int")
+    stats = [tuple(x) for x in mempool.block_stats(placed, sizes).orderBy("block").collect()]
+    assert stats == [(0, 3, 160, 35, 4.0, [2.0, 2.0, 2.0, 4.0, 9.0, 9.0, 9.0]), (1, 1, 7, 7, 1.0, [1.0] * 7)]
 
 
 def test_replacement_roots_of_long_chains(spark):
