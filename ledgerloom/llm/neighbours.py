@@ -169,14 +169,19 @@ def members_of(rows: DataFrame, keep: int) -> DataFrame:
 def _planes(vectors: DataFrame, bits: int, tables: int, dim: int) -> np.ndarray:
     """Hyperplanes (tables x bits x dim + 1) halfway between directions of random vectors, of which the driver sees so many."""
     need = 2 * bits * tables
-    sample = np.array([r.v for r in vectors.orderBy(F.xxhash64("node")).limit(need).collect()], float).reshape(-1, dim)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    sample = _units(np.array([r.v for r in vectors.orderBy(F.xxhash64("node")).limit(need).collect()], float).reshape(-1, dim))
     rng = np.random.default_rng(SEED)
     a, b = (sample[rng.integers(len(sample), size=need // 2)] for _ in range(2))
     normal = a - b + 1e-3 * rng.standard_normal((need // 2, dim))
     return np.concatenate([normal, -(normal * (a + b) / 2).sum(1, keepdims=True)], 1).reshape(tables, bits, dim + 1).astype(F4)
 
 
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1, whatever the size of their components."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _places(x: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the sides of all hyperplanes as one number, the distance from the last) of directions."""
     d = x @ planes[:, :-1].T + planes[:, -1]
@@ -184,13 +189,18 @@ def _places(x: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nodes_of(members: DataFrame, asked: DataFrame, planes: np.ndarray, dim: int, size: int) -> DataFrame:
-    """Parts (kind NODES): directions, lengths, names of nodes, and whether each is in ``asked`` (node)."""
+    """Parts (kind NODES): directions, lengths, names of nodes, and whether each is in ``asked`` (node).
+
+    Lengths are over a power of two near the greatest component of all, which changes no order of products and keeps them in the
+    range of small floats.
+    """
+    greatest = members.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    exponent = math.frexp(greatest or 1.0)[1]
 
     def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, dim)
-            length = np.linalg.norm(v, axis=1)
-            unit = v / length[:, None]
+            v = b.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+            length, unit = np.linalg.norm(np.ldexp(v, -exponent), axis=1), _units(v)
             code, far = _places(unit.astype(F4), planes)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(far), b.column(0), pa.array(length.astype(F4)), b.column(2), pa.array([r.tobytes() for r in unit.astype(F2)], pa.binary())], names=["code", "far", "node", "length", "asked", "vec"])
 

@@ -73,6 +73,19 @@ def test_recall_whatever_the_lengths(spark, sigma):
     assert recall(spark, x) >= 0.95
 
 
+@pytest.mark.parametrize("size", [1e20, 1e-25, 1e150, 1e-160])
+def test_recall_whatever_the_scale(spark, size):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(1500, 32)) * np.exp(0.3 * rng.normal(size=(1500, 1)))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x * size)], "vec_id long, embedding array<double>").repartition(4)
+    got = N.nearest(df, df.filter("vec_id % 20 = 0").select("vec_id")).toPandas()
+    q = np.arange(0, len(x), 20)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    least = np.partition(s, -20, axis=1)[:, -20]
+    assert len(got) == 20 * len(q) and (s[got["query_id"] // 20, got["vec_id"]] >= least[got["query_id"] // 20] - 1e-9).mean() >= 0.95
+
+
 def test_recall_of_fifty_thousand(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(400, 24))[rng.integers(400, size=50_000)] + 0.7 * rng.normal(size=(50_000, 24))
