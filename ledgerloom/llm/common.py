@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
+
 #: A word: a run of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where it names none, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
+    """The shared folder that the session names; a temporary one only where it names none and all is one process, as in tests."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
