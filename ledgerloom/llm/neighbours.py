@@ -42,6 +42,8 @@ GATHERED, ROUNDS, CHANGED = 22, 6, 0.03
 BREADTH, EXPANDED, SEARCH_ROUNDS = 160, 80, 4
 #: Asked nodes of a part beyond which the part is copied; ten thousand parts at most are.
 LOAD = 1 << 22
+#: Rows of a key up to which it is never joined apart, and keys that are at most.
+HOT_ROWS, HOT_KEYS = 4096, 1000
 TOP, SEED = 20, 42
 
 MESSAGE = "part long, kind int, n long, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -166,6 +168,19 @@ def members_of(rows: DataFrame, keep: int) -> DataFrame:
     return cut(few.withColumn("node", F.min("id").over(same)))
 
 
+def joined(many: DataFrame, once: DataFrame, key: str) -> DataFrame:
+    """``many`` joined with ``once`` (a row a key). Keys of very many rows, HOT_KEYS of them at most, are joined by broadcast, so
+    that no task gets all rows of one."""
+    counts = many.groupBy(key).agg(F.count("*").alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= bound:
+        return many.join(once, key)
+    hot = cut(once.join(F.broadcast(counts.filter(F.col("n") > bound).select(key)), key, "left_semi"))
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.join(F.broadcast(hot), key).unionByName(rest.join(once, key))
+
+
 def _planes(vectors: DataFrame, bits: int, tables: int, dim: int) -> np.ndarray:
     """Hyperplanes (tables x bits x dim + 1) halfway between directions of random vectors, of which the driver sees so many."""
     need = 2 * bits * tables
@@ -219,7 +234,9 @@ def nodes_of(members: DataFrame, asked: DataFrame, planes: np.ndarray, dim: int,
 
     once = members.filter("r = 1").select("node", "v").join(asked.withColumn("asked", F.lit(True)), "node", "left").select("node", "v", F.coalesce("asked", F.lit(False)).alias("asked"))
     placed = once.mapInArrow(place, "code long, far float, node long, length float, asked boolean, vec binary")
-    return cut(placed.repartitionByRange(math.ceil(size / (0.85 * PART)), "code", "far", "node").sortWithinPartitions("code", "far", "node").mapInArrow(number, MESSAGE))
+    tasks = math.ceil(size / (0.85 * PART))
+    dealt = placed.repartitionByRange(tasks, "code", "far", "node")
+    return cut(dealt.sortWithinPartitions("code", "far", "node").mapInArrow(number, MESSAGE))
 
 
 def _hubs(nodes: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -525,16 +542,16 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = TOP, key: str = "vec_id"
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     members = members_of(rows, k + 1)
     wanted = queries.select(F.col(f"`{key}`").cast("long").alias("id")).filter("id is not null").distinct()
-    asked = cut(rows.join(wanted, "id").select(F.col("id").alias("query"), F.col("v").alias("q")))
-    of = members.filter("r = 1").select(F.col("node").alias("_node"), "v")
-    asked = cut(asked.join(of, asked["q"] == of["v"]).select("query", "q", F.col("_node").alias("start")))
     once = members.filter("r = 1").select("node", "v")
+    mine = cut(rows.join(wanted, "id").select(F.col("id").alias("query"), "v"))
+    asked = cut(joined(mine, once, "v").select("query", F.col("node").alias("start")))
     size = once.count()
-    found = asked.select("query", F.col("start").alias("node"))
+    starts = asked.select("start").distinct()
+    found = starts.select("start", F.col("start").alias("node"))
     if size > 1:
         bits = max(2, math.ceil(math.log2(size / BLOCK)) + 2) if size > BLOCK else 2
         planes = _planes(once, bits, TABLES + 1, dim)
-        nodes = nodes_of(members, asked.select(F.col("start").alias("node")).distinct(), planes[0], dim, size)
+        nodes = nodes_of(members, starts.select(F.col("start").alias("node")), planes[0], dim, size)
         parts = nodes.count()
         graph = descend(nodes, start(nodes, planes[1:], dim, DEGREE, parts), dim, DEGREE, parts, size * min(DEGREE, size - 1))
 
@@ -546,9 +563,13 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = TOP, key: str = "vec_id"
 
         named = nodes.mapInArrow(names, "id long, name long")
         pairs = search(nodes, graph, dim, DEGREE, parts).join(named.select(F.col("id").alias("node"), F.col("name").alias("to")), "node").join(named.select(F.col("id").alias("query"), F.col("name").alias("start")), "query")
-        found = found.unionByName(asked.join(pairs.select("start", "to"), "start").select("query", F.col("to").alias("node")))
+        found = found.unionByName(pairs.select("start", F.col("to").alias("node")))
+    # Each distinct vector is scored once, whatever the number of its queries; one place more than asked for, as a query may find itself.
     inner = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    exact = found.join(members.select("node", "id", "v"), "node").join(asked.select("query", "q"), "query").filter(F.col("id") != F.col("query"))
-    exact = exact.select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), inner.alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    exact = found.join(members.select("node", "id", "v"), "node").join(starts.join(once.select(F.col("node").alias("start"), F.col("v").alias("q")), "start"), "start")
+    best = W.partitionBy("start").orderBy(F.desc("score"), "id")
+    ranked = exact.select("start", "id", inner.alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+    lists = ranked.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("r", "id", "score"))).alias("found"))
+    others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query")), 1, k)
+    rows = joined(asked, cut(lists), "start").select("query", F.posexplode(others).alias("r", "x"))
+    return rows.select(F.col("query").alias("query_id"), (F.col("r") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
