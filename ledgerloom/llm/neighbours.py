@@ -234,8 +234,9 @@ def nodes_of(members: DataFrame, asked: DataFrame, planes: np.ndarray, dim: int,
 
     once = members.filter("r = 1").select("node", "v").join(asked.withColumn("asked", F.lit(True)), "node", "left").select("node", "v", F.coalesce("asked", F.lit(False)).alias("asked"))
     placed = once.mapInArrow(place, "code long, far float, node long, length float, asked boolean, vec binary")
+    # Parts are of some thousand nodes however many tasks the session deals rows to: each part may send a message to every other.
     tasks = math.ceil(size / (0.85 * PART))
-    dealt = placed.repartitionByRange(tasks, "code", "far", "node")
+    dealt = placed.repartitionByRange(tasks, "code", "far", "node").coalesce(tasks)
     return cut(dealt.sortWithinPartitions("code", "far", "node").mapInArrow(number, MESSAGE))
 
 
