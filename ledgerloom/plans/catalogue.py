@@ -119,9 +119,7 @@ def as_json(df: DataFrame, names: list[str], index: str, version: int = 1, stamp
     was made, now unless given, in ISO 8601. A range of more than MOST_CELLS cells fails, as it becomes one row."""
     if stamp is None:
         stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    cells = df.count() * len(names)
-    if cells > MOST_CELLS:
-        raise ValueError(f"{cells} cells asked for; {MOST_CELLS} are the most")
+    _bounded(df, names)
     span = [F.min("idx").alias("start"), (F.max("idx") + 1).alias("end")]
     lists = [F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col(n).alias("v")))), lambda x: x["v"]).alias(n) for n in names]
     whole = df.agg(*span, *lists)
@@ -129,6 +127,34 @@ def as_json(df: DataFrame, names: list[str], index: str, version: int = 1, stamp
     return whole.select(each.alias("x")).select("x.*")
 
 
+def _bounded(df: DataFrame, names: list[str]) -> int:
+    """How many rows are asked for; more than MOST_CELLS cells fail, as they become one row."""
+    rows = df.count()
+    if rows * len(names) > MOST_CELLS:
+        raise ValueError(f"{rows * len(names)} cells asked for; {MOST_CELLS} are the most")
+    return rows
+
+
+def _lists(df: DataFrame, names: list[str]) -> list[Column]:
+    """Each series' values in order, as JSON."""
+    return [F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col(f"`{n}`").alias("v")))), lambda x: x["v"])) for n in names]
+
+
+def as_raw_json(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row (json): the bare values of one series in order, or a list of such lists for several. No rows give empty lists."""
+    _bounded(df, names)
+    lists = _lists(df, names)
+    return df.agg((lists[0] if len(names) == 1 else F.concat(F.lit("["), F.concat_ws(",", *lists), F.lit("]"))).alias("json"))
+
+
+def as_legacy_json(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row (json) in the older form: the value alone for one row of one series, else as ``as_raw_json``; no series give []."""
+    if not names:
+        return df.limit(0).agg(F.lit("[]").alias("json"))
+    raw = as_raw_json(df, names)
+    return raw.select(F.expr("substring(json, 2, length(json) - 2)").alias("json")) if len(names) == 1 and _bounded(df, names) == 1 else raw
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One column a series under a header, ordered by position."""
     df.orderBy("idx").drop("idx").write.mode("overwrite").csv(path, header=True)

@@ -61,6 +61,14 @@ def hash_rate(blocks: DataFrame, difficulty: str = "difficulty", days: tuple[int
     return Win.extremes(rated, "hash_rate", skip_zero=True).withColumnsRenamed({"ath": "hash_rate_ath", "atl": "hash_rate_atl", "drawdown": "hash_rate_drawdown"})
 
 
+def block_sizes(blocks: DataFrame, weight: str = "weight", seconds: int = DAY) -> DataFrame:
+    """Blocks (idx, ts, weight) with ``vbytes`` (quarters of the weight, rounded down), ``fullness`` (share of the largest weight),
+    and the sum of vbytes over the last ``seconds`` (``vbytes_sum``) and the average weight (``weight_average``)."""
+    b = blocks.withColumns({"vbytes": F.floor(F.col(weight) / 4).cast("long"), "fullness": F.col(weight) / MAX_WEIGHT})
+    b = Win.rolling_time(b, seconds, "vbytes", ["sum"]).withColumnRenamed("sum", "vbytes_sum")
+    return Win.rolling_time(b, seconds, weight, ["average"]).withColumnRenamed("average", "weight_average")
+
+
 def rewards(coinbase: DataFrame, fees: DataFrame, height: str = "height") -> DataFrame:
     """coinbase (height, coinbase), fees (height, fees): with the subsidy, what is unclaimed, and the fees' share. A coinbase
     below the fees fails."""

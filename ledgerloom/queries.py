@@ -19,7 +19,7 @@ from .operators import aggregates as A
 from .operators import chain, lookups, recursive, resample
 from .operators import windows as Win
 from .operators.ordered import running
-from .plans import catalogue, frameworks, market, network, search, transactions
+from .plans import catalogue, frameworks, market, network, scripts, search, transactions
 from .sources import tables
 from .streaming import incremental, mempool, pool, price
 
@@ -162,6 +162,17 @@ def series_json(spark, sf_dir):
     return catalogue.as_json(b, ["price"], "height", stamp=F.lit("2024-02-01T00:00:00Z"))
 
 
+@query(f"""WITH {EV} SELECT 'raw' AS form, '[[' || string_agg(price, ',' ORDER BY idx) || '],[' || string_agg(ts, ',' ORDER BY idx) || ']]' AS json FROM ev WHERE idx >= 10 AND idx < 40
+    UNION ALL SELECT 'raw_one', '[' || string_agg(price, ',' ORDER BY idx) || ']' FROM ev WHERE idx >= 10 AND idx < 40
+    UNION ALL SELECT 'legacy_one', price::VARCHAR FROM ev WHERE idx = 10""")
+def series_json_forms(spark, sf_dir):
+    """A range of two series and of one without an envelope, and one value in the older form."""
+    b = blocks(spark, sf_dir).select("idx", "price", "ts").filter("idx >= 10 and idx < 40")
+    forms = {"raw": catalogue.as_raw_json(b, ["price", "ts"]), "raw_one": catalogue.as_raw_json(b, ["price"]), "legacy_one": catalogue.as_legacy_json(b.filter("idx = 10"), ["price"])}
+    one, two, three = (df.select(F.lit(form).alias("form"), "json") for form, df in forms.items())
+    return one.unionByName(two).unionByName(three)
+
+
 def _catalogue(spark, sf_dir) -> catalogue.Catalogue:
     c = catalogue.Catalogue()
     b = blocks(spark, sf_dir)
@@ -929,3 +940,82 @@ def name_search(spark, sf_dir):
     n = F.col("p_name")
     typed = F.array(F.upper(n), F.regexp_replace(n, " ", ""), F.concat(F.substring(n, 1, 2), F.expr("substring(p_name, 4)")), F.concat(n, F.lit(" "), F.lower("p_type")))
     return search.search(names, part.select(F.explode(typed).alias("query")), limit=10)
+
+
+# ------------------------------------------------------------------------------------------------ sizes, scripts, features
+
+
+@query(f"""WITH {STARTED}, w AS (SELECT *, price * 97 % 4000001 AS weight FROM started), c AS (SELECT *, weight // 4 AS vbytes, sum(weight // 4) OVER o AS cv, sum(weight) OVER o AS cw FROM w WINDOW o AS (ORDER BY idx))
+    SELECT a.idx, a.vbytes::BIGINT AS vbytes, {sc("a.weight / 4000000", 1_000_000)} AS fullness_ppm, (a.cv - coalesce(b.cv, 0))::BIGINT AS vbytes_24h, {sc("(a.cw - coalesce(b.cw, 0)) / (a.idx - a.start + 1)", 100)} AS weight_average_e2 FROM c a LEFT JOIN c b ON b.idx = a.start - 1""")
+def block_sizes(spark, sf_dir):
+    """Virtual size, fullness, and both over a day, with weights made of prices."""
+    b = blocks(spark, sf_dir).withColumn("weight", F.col("price") * 97 % 4_000_001)
+    r = network.block_sizes(b)
+    return r.select("idx", "vbytes", scaled(F.col("fullness"), 1_000_000).alias("fullness_ppm"), F.col("vbytes_sum").alias("vbytes_24h"), scaled(F.col("weight_average"), 100).alias("weight_average_e2"))
+
+
+#: Hexadecimal digits of an order line in Spark and DuckDB.
+LINE_DIGITS = "md5(concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)))"
+LINE_MD5 = "md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR)"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT l_orderkey AS parent, l_linenumber AS line, translate(left({LINE_MD5}, 24), 'b9d4', 'a5c0') AS h FROM lineitem),
+    w AS (SELECT parent, line, h, 0 AS spot, 0 AS num, 0 AS legacy, 0 AS accurate, 0 AS pushes, true AS clean FROM (SELECT DISTINCT parent, line, h FROM s)
+          UNION ALL
+          SELECT parent, line, h, CASE WHEN b > 78 THEN spot + 1 WHEN spot + head + n <= 12 THEN spot + head + n ELSE 99 END,
+                 CASE WHEN b BETWEEN 81 AND 96 THEN b - 80 WHEN b BETWEEN 172 AND 175 THEN num ELSE 0 END,
+                 legacy + CASE WHEN b IN (172, 173) THEN 1 WHEN b IN (174, 175) THEN 20 ELSE 0 END,
+                 accurate + CASE WHEN b IN (172, 173) THEN 1 WHEN b IN (174, 175) THEN CASE WHEN num > 0 THEN num ELSE 20 END ELSE 0 END,
+                 pushes + CASE WHEN b <= 78 AND spot + head + n <= 12 THEN 1 ELSE 0 END, clean AND b <= 96 AND (b > 78 OR spot + head + n <= 12)
+          FROM (SELECT *, CASE WHEN b < 76 THEN 1 WHEN b = 76 THEN 2 WHEN b = 77 THEN 3 ELSE 5 END AS head,
+                       CASE WHEN b < 76 THEN b WHEN spot + b - 75 + CASE WHEN b = 78 THEN 1 ELSE 0 END >= 12 THEN 99 WHEN b = 76 THEN x1 WHEN b = 77 THEN x1 + 256 * x2 ELSE x1 + 256 * x2 + 65536 * x3 + 16777216 * x4 END AS n
+                FROM (SELECT *, ('0x' || substr(h, 2 * spot + 1, 2))::BIGINT AS b, coalesce(try_cast('0x' || substr(h, 2 * spot + 3, 2) AS BIGINT), 0) AS x1, coalesce(try_cast('0x' || substr(h, 2 * spot + 5, 2) AS BIGINT), 0) AS x2,
+                             coalesce(try_cast('0x' || substr(h, 2 * spot + 7, 2) AS BIGINT), 0) AS x3, coalesce(try_cast('0x' || substr(h, 2 * spot + 9, 2) AS BIGINT), 0) AS x4 FROM w WHERE spot < 12)))
+    SELECT parent, line, legacy, accurate, pushes, push_only FROM (SELECT parent, line, max(legacy)::BIGINT AS legacy, max(accurate)::BIGINT AS accurate, max(pushes)::BIGINT AS pushes, bool_and(clean) AS push_only FROM w GROUP BY parent, line) JOIN lineitem ON l_orderkey = parent AND l_linenumber = line""")
+def script_instructions(spark, sf_dir):
+    """Instructions of a script of twelve bytes for each order line, its bytes drawn so that checks are frequent."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("line"), F.expr(f"unhex(translate(left({LINE_DIGITS}, 24), 'b9d4', 'a5c0'))").alias("script"))
+    w = li.select("parent", "line", scripts.walk(F.col("script")).alias("w"))
+    return w.select("parent", "line", "w.legacy", "w.accurate", "w.pushes", "w.push_only")
+
+
+#: Output scripts of order lines by part modulo 12, from their digits m (32) and n (64), with the type each is made to have.
+MADE = ["unhex('')", "unhex('51024e73')", "unhex(concat('0014', left(n, 40)))", "unhex(concat('a914', left(n, 40), '87'))", "unhex(concat('76a914', left(n, 40), '88ac'))", "unhex(concat('0020', n))", "unhex(concat('5120', n))",
+        "unhex(concat('2102', n, 'ac'))", "unhex(concat('4104', n, n, 'ac'))", "unhex(concat('6a20', n, 'acac'))", "unhex(concat('512102', n, '2103', n, '52ae'))", "unhex(concat('ae10', m, '52afac'))"]
+MADE_TYPES = ["empty", "p2a", "p2wpkh", "p2sh", "p2pkh", "p2wsh", "p2tr", "p2pk33", "p2pk65", "op_return", "p2ms", "unknown"]
+MADE_SIGOPS = [0, 0, 0, 0, 1, 0, 0, 1, 1, 2, 20, 41]
+MADE_BITS = [9, 7, 4, 3, 2, 5, 6, 0, 0, 8, 1, 10]
+
+
+def _made(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Inputs and outputs of orders: a line makes an output, and spends one of the type of its supplier modulo 12; where that is a
+    script's hash, it shows a script of two of three keys."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx_idx"), "l_partkey", "l_suppkey", F.floor(F.col("l_quantity") * 20).cast("long").alias("sats"), F.expr(LINE_DIGITS).alias("m")).withColumn("n", F.concat("m", "m"))
+    script = F
+    for k, x in enumerate(MADE):
+        script = script.when(F.col("l_partkey") % 12 == k, F.expr(x))
+    outputs = li.select("tx_idx", "sats", script.alias("script"))
+    kind = F.element_at(F.array(*(F.lit(t) for t in MADE_TYPES)), (F.col("l_suppkey") % 12 + 1).cast("int"))
+    keys = F.expr("unhex(concat('522102', n, '2103', n, '2102', n, '53ae'))")
+    sig = F.when(F.col("prev_type") == "p2sh", F.concat(F.unhex(F.lit("4c69")), keys)).when(F.col("prev_type") == "unknown", F.unhex(F.lit("ac"))).otherwise(F.unhex(F.lit("")))
+    witness = F.when(F.col("prev_type") == "p2wsh", F.array(F.unhex(F.lit("01")), keys)).when(F.col("prev_type") == "p2tr", F.array(F.unhex(F.lit("01")), F.unhex(F.lit("5001")))).otherwise(F.array().cast("array<binary>"))
+    inputs = li.withColumn("prev_type", kind).select("tx_idx", (F.col("tx_idx") < 0).alias("is_coinbase"), "prev_type", sig.alias("script_sig"), witness.alias("witness"))
+    return inputs, outputs
+
+
+@query(f"""SELECT l_orderkey AS tx_idx, sum(4 * ({MADE_SIGOPS}[l_partkey % 12 + 1]) + CASE l_suppkey % 12 WHEN 3 THEN 12 WHEN 11 THEN 4 WHEN 2 THEN 1 WHEN 5 THEN 3 ELSE 0 END)::BIGINT AS sigops FROM lineitem GROUP BY 1""")
+def signature_operations(spark, sf_dir):
+    """The cost in signature operations of each order as a transaction."""
+    return scripts.signature_operations(*_made(spark, sf_dir))
+
+
+DUST_LIMITS = [network.DUST.get(t, 0) for t in MADE_TYPES]
+
+
+@query(f"""WITH m AS (SELECT l_orderkey AS tx, bit_or((1 << ({MADE_BITS}[l_partkey % 12 + 1])) | (1 << ({MADE_BITS}[l_suppkey % 12 + 1])) | CASE WHEN l_suppkey % 12 = 6 THEN 1 << 14 ELSE 0 END
+        | CASE WHEN floor(l_quantity * 20) < {DUST_LIMITS}[l_partkey % 12 + 1] THEN 1 << 21 ELSE 0 END) AS mask FROM lineitem GROUP BY 1)
+    SELECT tx // 100 AS height, {", ".join(f"count(*) FILTER ((mask & {1 << bit}) <> 0) AS {name}" for name, bit in scripts.FEATURES.items())} FROM m GROUP BY 1""")
+def features_by_block(spark, sf_dir):
+    """How many orders of each hundred have each feature."""
+    masks = scripts.features(*_made(spark, sf_dir)).withColumn("height", F.floor(F.col("tx_idx") / 100).cast("long"))
+    return scripts.features_by_block(masks)
