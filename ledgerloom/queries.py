@@ -1019,3 +1019,43 @@ def features_by_block(spark, sf_dir):
     """How many orders of each hundred have each feature."""
     masks = scripts.features(*_made(spark, sf_dir)).withColumn("height", F.floor(F.col("tx_idx") / 100).cast("long"))
     return scripts.features_by_block(masks)
+
+
+#: Beginnings of data outputs in hexadecimal digits, with the kind each has, and bare scripts up to the digits m of an order line.
+BEGINNINGS = {
+    "omni": "6f6d6e69", "stacks": "5831", "blockstack": "6964", "colu": "4343", "open_assets": "4f410100", "coinspark": "53504b", "poet": "504f4554", "docproof": "444f4350524f4f46",
+    "opentimestamps": "0588960d73d71901", "factom": "466163746f6d2121", "eternity_wall": "4557", "memo": "6d0c", "bitproof": "4250", "ascribe": "4153435249424500", "stampery": "5374616d70657279", "epobc": "45504f4243",
+}
+BARE = {"runes": "6a5d02ff", "empty": "6a00", "veriblock": f"6a4c50{'ff' * 64}", "komodo": f"6a24{'ff' * 20}", "bare_hash": "6a14ffffffff", "unknown": "6a11ff"}
+BEGUN = [f"6a{len(x) // 2 + 16:02x}{x}" for x in BEGINNINGS.values()] + list(BARE.values())
+BEGUN_KINDS = [*BEGINNINGS, *BARE]
+#: How many digits of the line follow.
+FOLLOWING = [32] * len(BEGINNINGS) + [2, 0, 32, 32, 32, 32]
+
+
+@query(f"SELECT l_orderkey // 100 AS height, {BEGUN_KINDS}[l_partkey % {len(BEGUN_KINDS)} + 1] AS kind, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def data_output_kinds(spark, sf_dir):
+    """How many order lines of each hundred orders have each kind of data, read from a script made for each."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("l_partkey") % len(BEGUN_KINDS) + 1).cast("int"))
+    li = read(spark, sf_dir, "lineitem")
+    script = F.unhex(F.concat(pick(BEGUN), F.substring(F.expr(LINE_DIGITS), F.lit(1), pick(FOLLOWING))))
+    return li.select(F.floor(F.col("l_orderkey") / 100).cast("long").alias("height"), network.op_return_kind(script).alias("kind")).groupBy("height", "kind").agg(F.count("*").alias("n"))
+
+
+PHASE_SQL = """CASE WHEN average IS NULL THEN
+        CASE WHEN price >= short THEN CASE WHEN price >= whole AND price >= long THEN 2 WHEN short > long OR price >= whole OR price >= long THEN 5 ELSE 3 END
+             WHEN short > long AND price >= whole AND price >= long THEN 6 WHEN short > long AND (price >= whole OR price >= long) THEN 10
+             WHEN long > whole THEN 8 ELSE 9 END
+    WHEN price < least(whole, short, long, average) THEN CASE WHEN long > whole THEN 8 ELSE 9 END
+    WHEN price < short AND (whole > price)::INT + (short > price)::INT + (long > price)::INT + (average > price)::INT = 2 THEN 7
+    WHEN short > long AND NOT (price >= whole AND price >= long AND price >= average) THEN 10
+    WHEN price >= average AND price >= short THEN CASE WHEN NOT (price >= whole AND price >= long) THEN 5 WHEN whole > average THEN 1 ELSE 2 END
+    WHEN price >= average AND price >= whole AND price >= long THEN 6 WHEN price >= short THEN 3 WHEN price >= average THEN 4 ELSE 10 END"""
+
+
+@query(f"WITH {EV}, p AS (SELECT idx, price, idx * 7919 % 20011 AS whole, idx * 104729 % 20021 AS short, idx * 1299709 % 20023 AS long, CASE WHEN idx % 5 > 0 THEN idx * 15485863 % 20029 END AS average FROM ev) SELECT idx, ({PHASE_SQL})::INTEGER AS phase FROM p")
+def sentiment_phases(spark, sf_dir):
+    """The phase of each price against four levels drawn for each event; every fifth has no yearly average."""
+    drawn = lambda by, mod: F.col("idx") * by % mod
+    average = F.when(F.col("idx") % 5 > 0, drawn(15_485_863, 20_029))
+    return blocks(spark, sf_dir).select("idx", market.sentiment(F.col("price"), drawn(7919, 20_011), drawn(104_729, 20_021), drawn(1_299_709, 20_023), average).alias("phase"))
