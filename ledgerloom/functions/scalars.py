@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -175,3 +176,8 @@ def bin_price(b: Column, per_decade: int = 200) -> Column:
 
 def series_name(name: Column) -> Column:
     return F.lower(F.translate(name, "-", "_"))
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once a row however often f uses it."""
+    return F.transform(F.array(x), f)[0]

@@ -130,7 +130,11 @@ DATA_KINDS = {
 def first_data(script: Column) -> Column:
     """The hexadecimal digits of the first push of a data output that isn't empty; empty where there is none or it is cut off."""
     # Behind the first opcode, what pushes nothing: empty pushes and other opcodes.
-    rest = F.regexp_replace(F.lower(F.hex(script)), r"^..(?:00|4c00|4d0000|4e00000000|(?:4f|[5-9a-f].))*+", "")
+    return S.once(F.regexp_replace(F.lower(F.hex(script)), r"^..(?:00|4c00|4d0000|4e00000000|(?:4f|[5-9a-f].))*+", ""), _first_push)
+
+
+def _first_push(rest: Column) -> Column:
+    """The data of the push that hexadecimal digits begin with; empty where it is cut off."""
     digits = lambda *at: F.conv(F.concat(*(F.substring(rest, a, 2) for a in at)), 16, 10).cast("long")
     code = F.substring(rest, 1, 2)
     head = F.when(code == "4c", 4).when(code == "4d", 6).when(code == "4e", 10).otherwise(2)
@@ -140,8 +144,11 @@ def first_data(script: Column) -> Column:
 
 def op_return_kind(script: Column) -> Column:
     """The kind of a data output from its script (binary), by the first rule that fits; null for a null script."""
-    data, size = first_data(script), F.length(script) - 1
-    n = F.length(data) / 2
+    return S.once(script, lambda s: S.once(first_data(s), lambda data: _kind_of(s, data)))
+
+
+def _kind_of(script: Column, data: Column) -> Column:
+    n, size = F.length(data) / 2, F.length(script) - 1
     printable = F.length(F.regexp_replace(F.decode(F.unhex(data), "ISO-8859-1"), r"[^\x20-\x7e]", ""))
     kind = F.when(F.hex(F.substring(script, 2, 1)) == "5D", "runes").when(data == "", "empty")
     for name, pattern in DATA_KINDS.items():

@@ -6,11 +6,10 @@ the script's length. Null scripts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import once
 from .network import dust
 
 #: Features of transactions by their bit.
@@ -24,11 +23,6 @@ SHAPES = {
 SCALE = 4
 
 
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x), with x worked out once."""
-    return F.transform(F.array(x), f)[0]
-
-
 def walk(script: Column) -> Column:
     """What the instructions of a script (binary) say, up to one that is cut off.
 
@@ -52,7 +46,7 @@ def walk(script: Column) -> Column:
             size = F.when(code < 76, code).when(code == 76, byte(i + 1)).when(code == 77, byte(i + 1) + 256 * byte(i + 2)).otherwise(little)
             first = i + F.when(code < 76, long(1)).when(code == 76, long(2)).when(code == 77, long(3)).otherwise(long(5))
             in_keys = s["stage"] == 1
-            push = _let(size, lambda n: F.when(first + n - 1 <= length, to(next=first + n, number=long(0), pushes=s["pushes"] + 1, at=first, size=n, stage=F.when(in_keys, long(1)).otherwise(long(-1)), keys=s["keys"] + in_keys.cast("long"))).otherwise(to(next=length + 1, barred=long(1), at=long(0), stage=long(-1))))
+            push = once(size, lambda n: F.when(first + n - 1 <= length, to(next=first + n, number=long(0), pushes=s["pushes"] + 1, at=first, size=n, stage=F.when(in_keys, long(1)).otherwise(long(-1)), keys=s["keys"] + in_keys.cast("long"))).otherwise(to(next=length + 1, barred=long(1), at=long(0), stage=long(-1))))
             number = F.when(code.between(81, 96), code - 80).otherwise(long(0))
             single, many = code.isin(172, 173), code.isin(174, 175)
             counted = F.when(s["number"] > 0, s["number"]).otherwise(long(20))
@@ -66,7 +60,7 @@ def walk(script: Column) -> Column:
             )
             return F.when(code > 78, op).otherwise(push)
 
-        return F.when(i < s["next"], s).otherwise(_let(byte(i), read))
+        return F.when(i < s["next"], s).otherwise(once(byte(i), read))
 
     def result(s: Column) -> Column:
         last = F.when(s["at"] > 0, F.substring(script, s["at"].cast("int"), s["size"].cast("int")))
