@@ -136,21 +136,32 @@ def decayed_bands(
     """Quantiles of a ratio's past, each row included, with weights that double every ``half_life`` positions from ``since`` on: the
     lower bounds of bins of ``width``, up to ``top``. Null and NaN values don't count; without any before, quantiles are 0.
 
-    Histograms add up: each chunk of positions sums its own, a prefix sum over chunks a bin gives what a chunk begins with, and the
-    rows of a chunk are folded onto that, all chunks side by side. A chunk's task holds its rows and one number a bin. Weights stay
-    doubles for 1,000 half-lives.
+    Histograms add up: each chunk of positions sums its own, a fold over the chunks of each bin gives what a chunk begins with, and
+    the rows of a chunk are folded onto that, all chunks side by side. A chunk's task holds its rows and one number a bin. Weights
+    are against those at the chunk's start, so they stay small however long a series is.
     """
-    n, base = int(top / width) + 1, list(dict.fromkeys(by))
-    weight = F.pow(F.lit(2.0), F.greatest(F.col(idx) - since, F.lit(0)) / F.lit(half_life))
+    n, base, chunk = int(top / width) + 1, list(dict.fromkeys(by)), min(chunk, 500 * half_life)
+    age = lambda at: F.greatest(at - since, F.lit(0)) / F.lit(half_life)
+    starts = lambda c: age(c * chunk)
     v = F.col(value).cast("double")
     bucket = F.least(F.greatest(F.floor(v / width + 0.5), F.lit(0)), F.lit(n - 1)).cast("int")
-    kept = cut(rows.withColumn("_chunk", F.floor(F.col(idx) / chunk)).withColumn("_b", F.when(v.isNotNull() & ~F.isnan(v), bucket)).withColumn("_w", weight))
-    own = kept.filter("_b is not null").groupBy(*base, "_chunk", "_b").agg(F.sum("_w").alias("_w"))
-    order = W.partitionBy(*base, "_b").orderBy("_chunk")
+    kept = rows.withColumn("_chunk", F.floor(F.col(idx) / chunk)).withColumn("_b", F.when(v.isNotNull() & ~F.isnan(v), bucket))
+    kept = cut(kept.withColumn("_w", F.pow(F.lit(2.0), age(F.col(idx)) - starts(F.col("_chunk")))))
+    own = kept.filter("_b is not null").groupBy(*base, "_b", "_chunk").agg(F.sum("_w").alias("_w"))
     last = kept.groupBy(*base).agg(F.max("_chunk").alias("_last"))
-    sums = own.select(*base, "_b", "_chunk", F.sum("_w").over(order).alias("_sum"), F.lead("_chunk").over(order).alias("_next")).join(last, base)
-    until = F.least(F.coalesce("_next", "_last"), F.col("_last"))
-    held = cut(sums.filter(F.col("_chunk") + 1 <= until).select(*base, "_b", "_sum", F.explode(F.sequence(F.col("_chunk") + 1, until)).alias("_chunk")))
+    bins = own.groupBy(*base, "_b").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_w"))).alias("_own"))  # a chunk an entry
+
+    def add(acc: Column, x: Column) -> Column:
+        total = acc["sum"] * F.pow(F.lit(2.0), starts(acc["chunk"]) - starts(x["_chunk"])) + x["_w"]
+        return F.struct(x["_chunk"].alias("chunk"), total.alias("sum"), F.concat(acc["sums"], F.array(F.struct(x["_chunk"].alias("chunk"), total.alias("sum")))).alias("sums"))
+
+    none = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<chunk:bigint,sum:double>>").alias("sums"))
+    sums = bins.withColumn("_sums", F.aggregate("_own", none, add, lambda acc: acc["sums"]))
+    sums = sums.select(*base, "_b", "_sums", F.posexplode("_sums").alias("_nth", "_s")).join(last, base)
+    until = F.least(F.coalesce(F.get("_sums", F.col("_nth") + 1)["chunk"], "_last"), F.col("_last"))
+    held = sums.filter(F.col("_s.chunk") + 1 <= until).select(*base, "_b", "_s", F.explode(F.sequence(F.col("_s.chunk") + 1, until)).alias("_chunk"))
+    # Columns of its own: what a checkpoint returns shares the ids of what went in, and ``kept`` has them, too.
+    held = cut(held).select(*(F.col(c).alias(c) for c in base), F.col("_chunk").alias("_chunk"), F.col("_b").alias("_bin"), F.col("_s.sum").alias("_sum"), (starts(F.col("_s.chunk")) - starts(F.col("_chunk"))).alias("_power"))
     side, names, shares = int(n**0.5) + 1, list(quantiles), np.array(list(quantiles.values()))
     columns = rows.columns
 
@@ -158,14 +169,20 @@ def decayed_bands(
         if mine.empty:  # a chunk without rows of its own
             return pd.DataFrame({c: pd.Series(dtype=object) for c in columns} | {q: pd.Series(dtype=float) for q in names})
         mine = mine.sort_values(idx)
-        mass = np.zeros(side * side)
-        if not before.empty:
-            mass[before["_b"].to_numpy(np.int64)] = before["_sum"].to_numpy()
+        mass, scale = np.zeros(side * side), 0.0
+        if not before.empty:  # against the newest of them, until a row of this chunk's own counts
+            powers = before["_power"].to_numpy()
+            scale = float(powers.max())
+            mass[before["_bin"].to_numpy(np.int64)] = before["_sum"].to_numpy() * 2.0 ** (powers - scale)
         mass = mass.reshape(side, side)
         groups = mass.sum(1)
         out = np.zeros((len(mine), len(names)))
         for i, (b, w) in enumerate(zip(mine["_b"].to_numpy(float), mine["_w"].to_numpy(), strict=True)):
             if b == b:
+                if scale:
+                    mass *= 2.0**scale
+                    groups *= 2.0**scale
+                    scale = 0.0
                 mass[int(b) // side, int(b) % side] += w
                 groups[int(b) // side] += w
             upto = groups.cumsum()

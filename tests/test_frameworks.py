@@ -44,6 +44,21 @@ def test_decayed_bands_against_a_fold(spark, chunk):
         assert [r[q] for q in K.BANDS] == pytest.approx(want[r.s][r.idx]), (r.s, r.idx)
 
 
+def test_decayed_bands_beyond_a_thousand_half_lives(spark):
+    """Chunks hold more rows than an Arrow batch, weights would leave doubles, and one series ends in nulls."""
+    n, half_life = 33_000, 30
+    rng = random.Random(5)
+    values = {s: [None if s == "b" and i >= 12_000 else round(rng.uniform(0.2, 5), 2) for i in range(n)] for s in "ab"}
+    df = spark.createDataFrame([(s, i, v) for s, vs in values.items() for i, v in enumerate(vs)], "s string, idx long, v double")
+    got = {(r.s, r.idx): r for r in K.decayed_bands(df, "v", K.BANDS, ["s"], half_life=half_life, width=0.01, since=100, chunk=11_000).select("s", "idx", *K.BANDS).collect()}
+    assert len(got) == 2 * n
+    for s, i in (("a", 150), ("a", 20_000), ("a", n - 1), ("b", 11_999), ("b", n - 1)):
+        until = min(i, 11_999) if s == "b" else i
+        near = values[s][max(0, until - 2700) : until + 1]  # older ones weigh less than 2**-89
+        want = plain_bands(near, K.BANDS.values(), half_life, 0.01, 43.0, max(100 - max(0, until - 2700), 0))[-1]
+        assert [got[s, i][q] for q in K.BANDS] == pytest.approx(want), (s, i)
+
+
 def test_scores_and_inner_percentiles(spark):
     rows = [(100, 90, 95, 110, 120), (130, 90, 95, 110, 120), (92, 90, 95, 110, 120), (80, 90, 95, 110, 120), (None, 1, 2, 3, 4)]
     df = spark.createDataFrame(rows, "p long, l1 long, l2 long, u1 long, u2 long")
