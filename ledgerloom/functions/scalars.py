@@ -33,11 +33,19 @@ def ratio_difference(a: Column, b: Column) -> Column:
 
 
 def percentage(a: Column, b: Column) -> Column:
-    return divide(a, b) * 100
+    """100 a / b; whole numbers are multiplied first, so that only the quotient is rounded."""
+    return divide(a.cast("double") * 100, b)
 
 
 def percentage_difference(a: Column, b: Column) -> Column:
-    return divide(a, b) * 100 - 100
+    return percentage(a, b) - 100
+
+
+def floor_div(a: Column, b: int) -> Column:
+    """The whole part, rounded down, of a decimal of 38 digits without fraction over a whole number. A plain quotient keeps six
+    digits of the fraction, so that .9999995 and more would come out as the next whole number."""
+    by = F.lit(b).cast("decimal(10,0)")
+    return F.floor((a - F.pmod(a, by)) / by)
 
 
 def saturating_add(a: Column, b: Column, most: int = MAX_LONG) -> Column:
