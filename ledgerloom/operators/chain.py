@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import floor_div
 from .lookups import as_of
 from .ordered import running
 
@@ -56,7 +57,7 @@ def state_by_height(lives_: DataFrame, by: list[str] | None = None) -> DataFrame
     )
     folds = {"supply": "d_sats", "utxo_count": "d_n", "spent_count": "d_spent", "_cap": "d_cap", "_cap2": "d_cap2"}
     run = running(deltas, {n: ("sum", F.col(c)) for n, c in folds.items()}, by, "height")
-    cut_off = lambda c: F.floor(F.col(c) / F.lit(SATS)).cast(WIDE)
+    cut_off = lambda c: floor_div(F.col(c), SATS).cast(WIDE)
     return run.select(*by, "height", "supply", "utxo_count", "spent_count", cut_off("_cap").alias("realized_cap"), cut_off("_cap2").alias("capitalized_cap"))
 
 
@@ -65,12 +66,12 @@ def realized(lives_: DataFrame, by: list[str] | None = None) -> DataFrame:
     in profit (ties are profit) and in loss, and satdays destroyed."""
     spent = lives_.filter("spent_h is not null")
     now, then, sats = F.col("price_out"), F.col("price_in"), F.col("sats")
-    cents = lambda c: F.floor(F.coalesce(F.sum(c), F.lit(0)) / F.lit(SATS)).cast(WIDE)
+    cents = lambda c: floor_div(F.coalesce(F.sum(c), F.lit(0)).cast(WIDE), SATS).cast(WIDE)
     return spent.groupBy(*(by or []), F.col("spent_h").alias("height")).agg(
         cents(F.when(now > then, wide_product(now - then, sats))).alias("profit"), cents(F.when(now < then, wide_product(then - now, sats))).alias("loss"),
         cents(wide_product(now, sats)).alias("transfer_value"), cents(wide_product(then, sats)).alias("value_destroyed"),
         F.sum(F.when(now >= then, sats).otherwise(0)).alias("sent_in_profit"), F.sum(F.when(now < then, sats).otherwise(0)).alias("sent_in_loss"),
-        F.sum(wide_product(sats, F.col("spent_ts") - F.col("created_ts")) / F.lit(DAY)).cast("double").alias("satdays_destroyed"),
+        (F.sum(wide_product(sats, F.col("spent_ts") - F.col("created_ts"))).cast("double") / DAY).alias("satdays_destroyed"),
     )
 
 
@@ -81,7 +82,7 @@ def peak_regret(lives_: DataFrame, prices: DataFrame) -> DataFrame:
     spans = lives_.filter("spent_h is not null").select("*", F.col("created_h").alias("a"), F.col("spent_h").alias("b"))
     peaks = range_max(prices, spans.select("a", "b").distinct(), "price")
     held = spans.join(peaks, ["a", "b"])
-    return held.groupBy(F.col("spent_h").alias("height")).agg(F.floor(F.sum(wide_product(F.col("peak") - F.col("price_out"), F.col("sats"))) / F.lit(SATS)).cast(WIDE).alias("peak_regret"))
+    return held.groupBy(F.col("spent_h").alias("height")).agg(floor_div(F.sum(wide_product(F.col("peak") - F.col("price_out"), F.col("sats"))).cast(WIDE), SATS).cast(WIDE).alias("peak_regret"))
 
 
 def age_supply(lives_: DataFrame, blocks: DataFrame, bands: list[tuple[str, int, int | None]]) -> DataFrame:
@@ -211,7 +212,7 @@ def urpd(inv: DataFrame, spot: int, floor: Column, by: list[str] | None = None)
     value = wide_product(F.col("price"), F.col("sats"))
     grouped = inv.groupBy(*(by or []), floor.alias("bucket")).agg(F.sum("sats").alias("sats"), F.sum(value).cast(WIDE).alias("_v"))
     now = (F.lit(spot).cast("decimal(19,0)") * F.col("sats").cast("decimal(19,0)")).cast(WIDE)
-    return grouped.select(*(by or []), "bucket", "sats", F.floor(F.col("_v") / F.lit(SATS)).cast("long").alias("realized_cap"), F.floor((now - F.col("_v")) / F.lit(SATS)).cast("long").alias("unrealized"))
+    return grouped.select(*(by or []), "bucket", "sats", floor_div(F.col("_v"), SATS).cast("long").alias("realized_cap"), floor_div((now - F.col("_v")).cast(WIDE), SATS).cast("long").alias("unrealized"))
 
 
 #: Percent of profit (above 0) and loss (below) at which profitability ranges part.
@@ -229,7 +230,7 @@ def unrealized(inv: DataFrame, spot: Column, by: list[str] | None = None) -> Dat
     """Supply and value in profit and loss at the spot price (ties are profit), and the unrealised profit and loss."""
     price, sats = F.col("price"), F.col("sats")
     up = spot >= price
-    cents = lambda c: F.floor(F.coalesce(F.sum(c), F.lit(0)) / F.lit(SATS)).cast(WIDE)
+    cents = lambda c: floor_div(F.coalesce(F.sum(c), F.lit(0)).cast(WIDE), SATS).cast(WIDE)
     return inv.groupBy(*(by or [])).agg(
         F.sum(F.when(up, sats).otherwise(0)).alias("supply_in_profit"), F.sum(F.when(~up, sats).otherwise(0)).alias("supply_in_loss"),
         cents(F.when(up, wide_product(price, sats))).alias("invested_in_profit"), cents(F.when(~up, wide_product(price, sats))).alias("invested_in_loss"),
