@@ -73,9 +73,9 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaled(c: Column, by: int = 10_000) -> Column:
-    """A double as a whole number of parts, so that results compare exactly; null for NaN."""
+    """A double as a whole number of parts, so that results compare exactly; null for NaN and where it's infinite."""
     c = c.cast("double")
-    return F.when(~F.isnan(c), F.floor(c * by + 0.5).cast("long"))
+    return F.when(F.abs(c) < float("inf"), F.floor(c * by + 0.5).cast("long"))
 
 
 EV = "ev AS (SELECT event_id AS idx, (epoch_us(ts) // 1000000)::BIGINT AS ts, floor(value * 100 + 0.5)::BIGINT AS price, event_type AS kind, user_id FROM events)"

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import calendar, scalars as S
 from ledgerloom.operators import aggregates as A
-from ledgerloom.operators import lookups, recursive, resample
+from ledgerloom.operators import chain, lookups, recursive, resample
 from ledgerloom.operators import ordered as O
 from ledgerloom.operators import windows as Win
 from ledgerloom.plans import market, network
 from ledgerloom.plans.catalogue import Catalogue
+from ledgerloom.queries import scaled
 from ledgerloom.sources.tables import SeriesTable
 from ledgerloom.streaming import incremental, mempool
 
@@ -355,3 +356,24 @@ def test_replacement_roots_of_long_chains(spark):
     with pytest.raises(ValueError):
         mempool.replacement_roots(spark.createDataFrame([("x", "y"), ("y", "x"), ("z", "x")], "txid string, by string"))
     assert mempool.replacement_roots(df.limit(0)).count() == 0
+
+
+def test_whole_parts_of_decimals_and_percentages(spark):
+    """.99999999 of a fraction isn't rounded up, and a percentage is rounded once."""
+    df = spark.createDataFrame([("12399999999",), ("-1",), ("123456789012345678901234567899999999",)], "a string").select(F.col("a").cast("decimal(38,0)").alias("a"))
+    assert [int(r[0]) for r in df.select(S.floor_div(F.col("a"), 10**8)).collect()] == [123, -1, 1234567890123456789012345678]
+    p = spark.createDataFrame([(5138, 1280)], "a long, b long").select(S.percentage(F.col("a"), F.col("b")), S.percentage_difference(F.col("a"), F.col("b"))).first()
+    assert [math.floor(x * 10_000 + 0.5) for x in p] == [4014063, 3014063]
+
+
+def test_infinite_parts_are_null(spark):
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (1.5,), (None,)], "x double")
+    assert [r[0] for r in df.select(scaled(F.col("x"), 10)).collect()] == [None, None, None, 15, None]
+
+
+def test_realised_values_are_cut_off_after_summing(spark):
+    kind = "created_h long, created_ts long, spent_h long, spent_ts long, sats long, price_in long, price_out long"
+    rows = [(0, 0, 2, 43_200, 99_999_999, 1, 3), (1, 0, 2, 21_600, 3, 100_000_000, 4)]
+    r = chain.realized(spark.createDataFrame(rows, kind)).first()
+    assert int(r.value_destroyed) == 3 and int(r.transfer_value) == 3 and int(r.profit) == 1 and int(r.loss) == 2
+    assert r.satdays_destroyed == (99_999_999 * 43_200 + 3 * 21_600) / 86_400
