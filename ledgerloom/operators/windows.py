@@ -273,34 +273,48 @@ def since_peak(df: DataFrame, value: str, ts: str = "ts", by: list[str] | None =
     return running(df, {"most_days": ("max", F.col("days_since"))}, by, idx, chunk).drop("_ath", "_at")
 
 
-def range_max(df: DataFrame, ranges: DataFrame, value: str, idx: str = "idx", block: int = 512) -> DataFrame:
-    """``ranges`` (a, b) with ``peak``, the largest value at positions a to b.
+def peaks(df: DataFrame, ranges: DataFrame, value: str, idx: str = "idx", block: int = 512) -> DataFrame:
+    """The distinct rows of ``ranges`` (a, b, and more) with ``peak``, the largest value at positions a to b; a range without any
+    has no row.
 
-    A range is two ends and the whole blocks between, so it needs its own rows of at most two blocks and the maxima of
-    blocks of ``block`` positions, and of ``block`` such blocks.
+    ``block`` positions are one row with an array of their values, so many blocks are a block of the next level, which holds their
+    maxima, and so on up to a single one. A range is its parts in its first and its last block and, a level higher, the whole
+    blocks between: two rows a level however long it is.
     """
-    one = df.select(F.lit(0).alias("level"), F.col(idx).alias("at"), F.col(value).alias("m"))
-    levels = one
-    for level in (1, 2):
-        size = block**level
-        levels = levels.unionByName(df.groupBy(F.floor(F.col(idx) / size).alias("at")).agg(F.max(value).alias("m")).select(F.lit(level).alias("level"), "at", "m"))
-
-    def spans(lo: Column, hi: Column, size: int) -> tuple[Column, Column]:
-        return F.ceil(lo / size).cast("long"), F.floor((hi + 1) / size).cast("long") - 1
-
-    a, b = F.col("a"), F.col("b")
-    a1, b1 = spans(a, b, block)
-    a2, b2 = spans(a, b, block * block)
-
-    def steps(level: int, lo: Column, hi: Column) -> Column:
-        return F.transform(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")), lambda x: F.struct(F.lit(level).alias("level"), x.alias("at")))
-
-    some1, some2 = a1 <= b1, a2 <= b2
-    cover = F.concat(
-        F.when(some1, F.concat(steps(0, a, a1 * block - 1), steps(0, (b1 + 1) * block, b))).otherwise(steps(0, a, b)),
-        F.when(~some1, F.array().cast("array<struct<level:int,at:bigint>>")).when(some2, F.concat(steps(1, a1, a2 * block - 1), steps(1, (b2 + 1) * block, b1))).otherwise(steps(1, a1, b1)),
-        F.when(some1 & some2, steps(2, a2, b2)).otherwise(F.array().cast("array<struct<level:int,at:bigint>>")),
-    )
-    asked = ranges.select("a", "b").distinct().withColumn("x", F.explode(cover)).select("a", "b", "x.level", "x.at")
-    peaks = asked.join(levels, ["level", "at"]).groupBy("a", "b").agg(F.max("m").alias("peak"))
-    return ranges.join(peaks, ["a", "b"], "left")
+    ends = df.agg(F.min(idx), F.max(idx)).first()
+    first, last = (0, 0) if ends[0] is None else ends  # positions are counted from the first
+    carried, kind = ranges.columns, df.schema[value].dataType
+    none = F.array().cast("array<struct<level:int,block:bigint,lo:bigint,hi:bigint>>")
+
+    def down(c: Column) -> Column:
+        return F.floor(c / block).cast("long")
+
+    def part(level: Column, at: Column, lo: Column, hi: Column) -> Column:
+        return F.struct(level.alias("level"), at.alias("block"), (lo - at * block).alias("lo"), (hi - at * block).alias("hi"))
+
+    def rise(acc: Column, level: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        at, upto = down(lo), down(hi)
+        here = F.when(lo > hi, none).when(at == upto, F.array(part(level, at, lo, hi))).otherwise(F.array(part(level, at, lo, at * block + block - 1), part(level, upto, upto * block, hi)))
+        return F.struct((at + 1).alias("lo"), (upto - 1).alias("hi"), F.concat(acc["parts"], here).alias("parts"))
+
+    levels, level = None, 0
+    left = ranges.withColumns({"_lo": F.greatest(F.col("a"), F.lit(first)), "_hi": F.least(F.col("b"), F.lit(last))}).filter("_lo <= _hi")
+    while True:
+        cells = df.groupBy(F.floor((F.col(idx) - first) / block**level).cast("long").alias("_at")).agg(F.max(value).alias("_m"))
+        named = cells.groupBy(down(F.col("_at")).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("_at", F.lit(block)), "_m"))).alias("_of"))
+        blocks = named.select(F.lit(level).alias("level"), "block", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long")), lambda i: F.try_element_at(F.col("_of"), i)).cast(T.ArrayType(kind)).alias("_values"))
+        levels = blocks if levels is None else levels.unionByName(blocks)
+        if last - first < block ** (level + 1):
+            break
+        level += 1
+    begin = F.struct((F.col("_lo") - first).cast("long").alias("lo"), (F.col("_hi") - first).cast("long").alias("hi"), none.alias("parts"))
+    cover = F.aggregate(F.array(*(F.lit(k) for k in range(level + 1))), begin, rise, lambda acc: acc["parts"])
+    asked = left.select(*carried, F.explode(cover).alias("_p")).select(*carried, "_p.*")
+    found = asked.join(levels, ["level", "block"]).select(*carried, F.array_max(F.slice("_values", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).alias("_m"))
+    return found.groupBy(*carried).agg(F.max("_m").alias("peak")).filter("peak is not null")
+
+
+def range_max(df: DataFrame, ranges: DataFrame, value: str, idx: str = "idx", block: int = 512) -> DataFrame:
+    """``ranges`` (a, b) with ``peak``, the largest value at positions a to b."""
+    return ranges.join(peaks(df, ranges.select("a", "b").distinct(), value, idx, block), ["a", "b"], "left")

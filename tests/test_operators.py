@@ -377,3 +377,15 @@ def test_realised_values_are_cut_off_after_summing(spark):
     r = chain.realized(spark.createDataFrame(rows, kind)).first()
     assert int(r.value_destroyed) == 3 and int(r.transfer_value) == 3 and int(r.profit) == 1 and int(r.loss) == 2
     assert r.satdays_destroyed == (99_999_999 * 43_200 + 3 * 21_600) / 86_400
+
+
+def test_peaks_of_ranges_over_many_levels(spark):
+    """Positions with gaps and nulls, ranges beyond them, and what else a range carries; each is two rows a level at most."""
+    rng = random.Random(3)
+    v = {i: rng.choice([None, rng.randrange(10**6)]) for i in range(-50, 3000) if rng.random() < 0.8}
+    df = spark.createDataFrame(list(v.items()), "idx long, v long").repartition(3)
+    pairs = [(a, a + rng.choice([-1, 0, 1, 7, 300, 5000]), n) for n, a in enumerate(rng.choices(range(-80, 3010), k=150))]
+    want = {p: max((v[i] for i in range(p[0], p[1] + 1) if v.get(i) is not None), default=None) for p in pairs}
+    got = {(r.a, r.b, r.n): r.peak for r in Win.peaks(df, spark.createDataFrame(pairs, "a long, b long, n long"), "v", block=6).collect()}
+    assert got == {p: m for p, m in want.items() if m is not None}
+    assert Win.peaks(df.filter("idx < -50"), spark.createDataFrame(pairs, "a long, b long, n long"), "v").count() == 0
