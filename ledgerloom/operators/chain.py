@@ -77,12 +77,12 @@ def realized(lives_: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def peak_regret(lives_: DataFrame, prices: DataFrame) -> DataFrame:
     """Per height, (peak price while held - price at spending) x sats / 1e8, cut off after summing. ``prices``: idx, price."""
-    from .windows import range_max
+    from .windows import peaks
 
-    spans = lives_.filter("spent_h is not null").select("*", F.col("created_h").alias("a"), F.col("spent_h").alias("b"))
-    peaks = range_max(prices, spans.select("a", "b").distinct(), "price")
-    held = spans.join(peaks, ["a", "b"])
-    return held.groupBy(F.col("spent_h").alias("height")).agg(floor_div(F.sum(wide_product(F.col("peak") - F.col("price_out"), F.col("sats"))).cast(WIDE), SATS).cast(WIDE).alias("peak_regret"))
+    spent = lives_.filter("spent_h is not null")
+    held = spent.groupBy(F.col("created_h").alias("a"), F.col("spent_h").alias("b"), "price_out").agg(F.sum("sats").alias("sats"))
+    regret = F.sum(wide_product(F.col("peak") - F.col("price_out"), F.col("sats"))).cast(WIDE)
+    return peaks(prices, held, "price").groupBy(F.col("b").alias("height")).agg(floor_div(regret, SATS).cast(WIDE).alias("peak_regret"))
 
 
 def age_supply(lives_: DataFrame, blocks: DataFrame, bands: list[tuple[str, int, int | None]]) -> DataFrame:
