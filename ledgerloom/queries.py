@@ -855,14 +855,13 @@ def pool_changes(spark, sf_dir):
 
 @query(f"WITH {_STAYS} SELECT k::VARCHAR AS txid, cycle::BIGINT AS cycle, change FROM changes")
 def pool_changes_streamed(spark, sf_dir):
-    """The same from a stream of two files of snapshots, with state by transaction."""
+    """The same from a stream of snapshots that stops after half an hour of them and starts again."""
     rows = _pool_snapshots(spark, sf_dir)
     to = f"{shared_folder(spark)}/pool-{uuid.uuid4()}"
     late = F.timestamp_diff("MINUTE", F.lit("2024-01-01").cast("timestamp"), F.col("at"))
     for a, z in ((0, 30), (30, 1 << 30)):
-        rows.filter((late >= a) & (late < z)).coalesce(1).write.mode("append").parquet(f"{to}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
-    pool.run_changes(stream, 60, f"{to}/out", f"{to}/marks")
+        rows.filter((late >= a) & (late < z)).write.mode("append").parquet(f"{to}/in")
+        pool.run_changes(spark.readStream.schema(rows.schema).parquet(f"{to}/in"), 60, f"{to}/out", f"{to}/marks")
     return _by_cycle(pool.stored_changes(spark, f"{to}/out"))
 
 

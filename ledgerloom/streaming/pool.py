@@ -6,26 +6,22 @@ the pool forgets after each snapshot, so the first one after that still finds it
 revived. Later it's fresh again.
 
 Both forms give the same rows (txid, at, change, body), change being fresh, revived or vanished and body the other columns as
-JSON: ``changes`` over a table by windows, ``changes_stream`` as state by txid with timers of event time, so that a transaction
-that is never seen again costs nothing until its timer. What is known depends on rows and their times alone, not on how a stream
-is cut into batches, so a stream that starts again gives what it would have given.
+JSON: ``changes`` over a table by windows, ``run_changes`` over a stream by the same windows, each batch of snapshots together with
+a table of what is known from those before. That depends on rows and their times alone, not on how a stream is cut into batches, so
+a stream that starts again gives what it would have given.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime
-from typing import Any
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-#: Seconds that a vanished transaction is remembered, and the state store that keeps more keys than memory holds.
+#: Seconds that a vanished transaction is remembered.
 RETENTION = 3600
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "txid string, at timestamp, change string, body string"
+KNOWN = "txid string, at timestamp, body string, live boolean"
 
 
 def _body(snapshots: DataFrame) -> DataFrame:
@@ -38,88 +34,72 @@ def _later(at: Column, seconds: int) -> Column:
     return F.timestamp_add("SECOND", F.lit(seconds), at)
 
 
-def changes(snapshots: DataFrame, every: int, retention: int = RETENTION) -> DataFrame:
-    """Changes (txid, at, change, body) up to the last snapshot of a table of them. Repeated rows count once."""
-    rows = _body(snapshots).groupBy("txid", "at").agg(F.first("body").alias("body"))
+def _steps(rows: DataFrame, every: int, retention: int, last: DataFrame) -> DataFrame:
+    """Rows (txid, at, body, live) with ``_last`` (a row of ``last``) and ``_told``: the changes that each brings. ``live`` is null for
+    rows of snapshots; for what was known before (at being when it was last seen) it says whether it was in the pool then."""
     w = W.partitionBy("txid").orderBy("at")
-    near = rows.select("*", F.lag("at").over(w).alias("_before"), F.lead("at").over(w).alias("_after"))
-    last = snapshots.agg(F.max("at").alias("_last"))
-    near = near.crossJoin(F.broadcast(last))  # one row
+    near = rows.select("*", F.lag("at").over(w).alias("_before"), F.lead("at").over(w).alias("_after")).crossJoin(F.broadcast(last))  # one row
     known = _later(F.col("_before"), 2 * every + retention) > F.col("at")
-    comes = F.when(F.col("_before").isNull() | (_later(F.col("_before"), every) < F.col("at")), F.struct("at", F.when(known, "revived").otherwise("fresh").alias("change")))
+    new = F.col("live").isNull() & (F.col("_before").isNull() | (_later(F.col("_before"), every) < F.col("at")))
+    comes = F.when(new, F.struct("at", F.when(known, "revived").otherwise("fresh").alias("change")))
     gone = _later(F.col("at"), every)
-    goes = F.when((F.col("_after").isNull() | (gone < F.col("_after"))) & (gone <= F.col("_last")), F.struct(gone.alias("at"), F.lit("vanished").alias("change")))
-    both = near.select("txid", "body", F.explode(F.array_compact(F.array(comes, goes))).alias("_c"))
-    return both.select("txid", "_c.at", "_c.change", "body")
-
-
-class _Pool(StatefulProcessor):
-    """State of a txid: when it was last seen, whether it's in the pool, and its body."""
-
-    def __init__(self, every: int, retention: int):
-        self.every, self.retention = every * 1000, retention * 1000
-
-    def init(self, handle: Any) -> None:
-        self.handle, self.state = handle, handle.getValueState("own", "seen long, live boolean, body string")
-
-    def _rows(self, key: Any, out: list[tuple[int, str, str]]) -> Iterator[Row]:
-        for at, change, body in out:
-            yield Row(txid=key[0], at=datetime.fromtimestamp(at / 1000), change=change, body=body)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new = sorted({(round(r["at"].timestamp() * 1000), r["body"]) for r in rows})
-        seen, live, body = self.state.get() or (None, False, None)
-        out = []
-        for at, b in new:
-            if seen is not None and at <= seen:
-                continue
-            if live and at > seen + self.every:
-                out.append((seen + self.every, "vanished", body))
-                live = False
-            if not live:
-                out.append((at, "revived" if seen is not None and at < seen + 2 * self.every + self.retention else "fresh", b))
-            seen, live, body = at, True, b
-        self.state.update((seen, live, body))
-        self.handle.registerTimer(seen + self.every)  # older ones are ignored when they go off
-        yield from self._rows(key, out)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        out, own, now = [], self.state.get(), expiredTimerInfo.getExpiryTimeInMs()
-        if own is not None:
-            seen, live, body = own
-            if live and now == seen + self.every:
-                out = [(now, "vanished", body)]
-                self.state.update((seen, False, body))
-                self.handle.registerTimer(seen + 2 * self.every + self.retention)
-            elif not live and now == seen + 2 * self.every + self.retention:
-                self.state.clear()
-        yield from self._rows(key, out)
-
-    def close(self) -> None:
-        pass
-
-
-def changes_stream(snapshots: DataFrame, every: int, retention: int = RETENTION) -> DataFrame:
-    """The changes of a stream of snapshots, which come in order of time; a vanished transaction is told when a later batch begins
-    or the stream is idle. Needs ROCKS, or another store that has timers, as the session's state store."""
-    rows = _body(snapshots).withWatermark("at", "0 seconds")
-    return rows.groupBy("txid").transformWithState(_Pool(every, retention), CHANGES, "append", "eventTime")
+    left = F.coalesce("live", F.lit(True)) & (F.col("_after").isNull() | (gone < F.col("_after"))) & (gone <= F.col("_last"))
+    goes = F.when(left, F.struct(gone.alias("at"), F.lit("vanished").alias("change")))
+    return near.withColumn("_told", F.array_compact(F.array(comes, goes)))
+
+
+def _told(steps: DataFrame) -> DataFrame:
+    return steps.select("txid", "body", F.explode("_told").alias("_c")).select("txid", "_c.at", "_c.change", "body")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Repeated rows count once. Dealt by txid alone, so that the windows by txid need no further shuffle."""
+    return rows.repartition("txid").groupBy("txid", "at").agg(F.first("body").alias("body"))
+
+
+def changes(snapshots: DataFrame, every: int, retention: int = RETENTION) -> DataFrame:
+    """Changes (txid, at, change, body) up to the last snapshot of a table of them. Repeated rows count once."""
+    rows = _once(_body(snapshots)).withColumn("live", F.lit(None).cast("boolean"))
+    return _told(_steps(rows, every, retention, snapshots.agg(F.max("at").alias("_last"))))
+
+
+def fold_batch(rows: DataFrame, known: DataFrame | None, every: int, retention: int = RETENTION) -> tuple[DataFrame, DataFrame]:
+    """The changes that a batch of whole snapshots brings, and what is known after it, as (txid, at, body, live).
+
+    ``known`` is what was known after the batch before. Rows no newer than its last snapshot are too late and don't count.
+    """
+    rows = _body(rows)
+    if known is not None:
+        seen = known.agg(F.max("at").alias("_seen"))
+        rows = rows.crossJoin(F.broadcast(seen)).filter(F.col("_seen").isNull() | (F.col("at") > F.col("_seen"))).drop("_seen")  # one row
+    every_row = _once(rows).withColumn("live", F.lit(None).cast("boolean"))
+    last = rows.agg(F.max("at").alias("_last"))
+    if known is not None:
+        every_row = every_row.unionByName(known)
+        last = last.crossJoin(F.broadcast(seen)).select(F.coalesce("_last", "_seen").alias("_last"))
+    steps = _steps(every_row, every, retention, last)
+    newest = steps.filter(F.col("_after").isNull() & (_later(F.col("at"), 2 * every + retention) > F.col("_last")))
+    return _told(steps), newest.select("txid", "at", "body", (_later(F.col("at"), every) > F.col("_last")).alias("live"))
 
 
 def run_changes(snapshots: DataFrame, every: int, to: str, checkpoint: str, retention: int = RETENTION) -> StreamingQuery:
-    """Runs a stream over all that is there and stops. Each batch overwrites its own folder under ``to``, so a batch that runs again
-    after a loss doesn't count twice."""
-    conf = snapshots.sparkSession.conf
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name, None)
-    conf.set(name, ROCKS)
-    try:
-        out = changes_stream(snapshots, every, retention).writeStream
-        q = out.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{to}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return q
-    finally:
-        conf.set(name, before) if before is not None else conf.unset(name)
+    """Runs a stream over all that is there and stops. A batch holds whole snapshots, in order of time.
+
+    What is known is a table beside the stream's marks, written anew by each batch from that of the batch before, so a batch is one
+    join by txid. Each batch overwrites its own folder under ``to`` and never the table it reads, so one that runs again after a
+    loss doesn't count twice.
+    """
+    spark = snapshots.sparkSession
+
+    def batch(rows: DataFrame, n: int) -> None:
+        known = spark.read.schema(KNOWN).parquet(f"{checkpoint}/known/{(n - 1) % 2}") if n else None
+        found, after = fold_batch(rows, known, every, retention)
+        found.write.mode("overwrite").parquet(f"{to}/batch={n}")
+        after.write.mode("overwrite").parquet(f"{checkpoint}/known/{n % 2}")
+
+    q = snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
 
 
 def stored_changes(spark: SparkSession, to: str) -> DataFrame:

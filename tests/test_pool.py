@@ -82,5 +82,18 @@ def test_a_stream_that_is_stopped_and_started_again(spark, tmp_path):
     assert {(r.kind, r.bin): r.n for r in spark.table("bins").collect() if r.n} == left
 
 
+def test_batches_are_joined_with_what_is_known(spark):
+    """However snapshots are cut into batches; rows of a snapshot that was told already are too late."""
+    sets = history(5, cycles=16)
+    known, told, df = None, [], spark.createDataFrame([], pool.CHANGES)
+    for a, z in ((0, 1), (1, 7), (7, 16)):
+        late = rows(sets[:a])[:3]
+        found, after = pool.fold_batch(spark.createDataFrame(rows(sets[a:z], a) + late, KIND), known, EVERY, KEPT)
+        told += [tuple(r) for r in found.collect()]
+        known = spark.createDataFrame([tuple(r) for r in after.collect()], pool.KNOWN)
+    assert plain(spark.createDataFrame(told, df.schema)) == sorted(loop(sets)[0], key=repr)
+    assert {r.txid for r in known.collect() if r.live} == loop(sets)[1]
+
+
 def test_no_snapshots(spark):
     assert pool.changes(spark.createDataFrame([], KIND), EVERY).count() == 0
