@@ -1,12 +1,14 @@
 """Recurrences: exponential and Wilder smoothing, and state machines.
 
 A smoothing is linear in its state, x[i] = a[i] x[i-1] + b[i], so a chunk of a series is one pair (a, b): chunks are folded
-side by side in Arrow batches, their pairs are chained (a row a chunk), and each chunk starts from what came before.
+side by side in Arrow batches, their pairs are chained (a row a chunk), and each chunk starts from what came before. Chained
+pairs differ from a fold row by row in the last bits, so chunks are folded from the doubles around such a start, too, and the
+true one is picked.
 """
 
 from __future__ import annotations
 
-
+import math
 
 import numpy as np
 import pandas as pd
@@ -16,13 +18,44 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from .ordered import CHUNK, running
 
+#: Doubles on each side of a chunk's presumed start from which it is folded.
+REACH = 32
+
+
+def _around(x: float) -> np.ndarray:
+    below = [math.nextafter(x, -math.inf, steps=k) for k in range(REACH, 0, -1)]
+    return np.array([*below, x, *(math.nextafter(x, math.inf, steps=k) for k in range(1, REACH + 1))])
+
+
+def _ends(starts: np.ndarray, a: list[float], b: list[float]) -> np.ndarray:
+    """What the fold makes of each of ``starts``, which are in order: a single value as soon as the outer two have met, since
+    every step keeps or turns their order."""
+    x, i = starts, 0
+    with np.errstate(all="ignore"):
+        while i < len(a) and len(x) > 1:
+            for s, t in zip(a[i : i + 256], b[i : i + 256], strict=True):
+                x = s * x + t
+            i += 256
+            x = x[:1] if x[0] == x[-1] else x
+    if len(x) > 1:
+        return x
+    end = float(x[0])
+    for s, t in zip(a[i:], b[i:], strict=True):
+        end = s * end + t
+    return np.array([end])
+
 
 def linear(df: DataFrame, a: Column, b: Column, out: str, by: list[str] | None = None, idx: str = "idx", chunk: int = CHUNK) -> DataFrame:
-    """``out`` of x[i] = a x[i-1] + b, from 0 before the first row, for each series."""
+    """``out`` of x[i] = a x[i-1] + b, from 0 before the first row, for each series: to the last bit as folded row by row.
+
+    Each round folds chunks from the doubles around their presumed starts and follows the true start as far as it is among them;
+    starts beyond are presumed anew from what the round found. A round settles one more chunk at least; two settle all, as a rule.
+    """
     by = by or []
     keys = [*by, "_chunk"]
     work = df.withColumns({"_chunk": F.floor(F.col(idx) / chunk), "_a": a.cast("double"), "_b": b.cast("double")})
-    work = cut(work)  # read twice, and recurrences are often chained
+    work = cut(work)  # read several times, and recurrences are often chained
+    steps = work.select(*keys, idx, "_a", "_b")
 
     def pair(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(idx)
@@ -32,7 +65,7 @@ def linear(df: DataFrame, a: Column, b: Column, out: str, by: list[str] | None =
         return pd.DataFrame([[*own[keys].iloc[0], p, x]], columns=[*keys, "_p", "_x"])
 
     kinds = ", ".join(f"`{k}` {work.schema[k].dataType.simpleString()}" for k in keys)
-    pairs = work.select(*keys, idx, "_a", "_b").groupBy(*keys).applyInPandas(pair, f"{kinds}, _p double, _x double")
+    pairs = steps.groupBy(*keys).applyInPandas(pair, f"{kinds}, _p double, _x double")
 
     def chain(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("_chunk")
@@ -40,10 +73,34 @@ def linear(df: DataFrame, a: Column, b: Column, out: str, by: list[str] | None =
         for p, y in zip(own["_p"].tolist(), own["_x"].tolist(), strict=True):
             starts.append(x)
             x = p * x + y
-        return own[keys].assign(_from=starts)
+        return own[[*keys, "_p"]].assign(_from=starts, _sure=[k == 0 for k in range(len(own))])
 
-    starts = pairs.groupBy(*by).applyInPandas(chain, f"{kinds}, _from double")  # a row a chunk
-    joined, names = work.join(starts, keys), df.columns
+    def spread(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(idx)
+        first = own.iloc[0]
+        ends = _ends(np.array([first["_from"]]) if first["_sure"] else _around(first["_from"]), own["_a"].tolist(), own["_b"].tolist())
+        return own[[*keys, "_p", "_from", "_sure"]].head(1).assign(_ends=[ends])
+
+    def follow(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_chunk")
+        starts, sures, x, sure = [], [], 0.0, True
+        for p, start, one, ends in zip(own["_p"].tolist(), own["_from"].tolist(), own["_sure"].tolist(), own["_ends"], strict=True):
+            starts.append(x)
+            sures.append(sure)
+            around = np.array([start]) if one else _around(start)
+            found = np.flatnonzero((around == x) | (np.isnan(around) & math.isnan(x))) if sure else []
+            if len(found):
+                x = float(ends[found[0] if len(ends) > 1 else 0])
+            else:
+                x, sure = float(ends[len(ends) // 2]) + p * (x - start), False
+        return own[[*keys, "_p"]].assign(_from=starts, _sure=sures)
+
+    placed = f"{kinds}, _p double, _from double, _sure boolean"
+    starts = cut(pairs.groupBy(*by).applyInPandas(chain, placed))  # a row a chunk
+    while not starts.filter("not _sure").isEmpty():
+        ends = steps.join(starts, keys).groupBy(*keys).applyInPandas(spread, f"{placed}, _ends array<double>")
+        starts = cut(ends.groupBy(*by).applyInPandas(follow, placed))
+    joined, names = work.join(starts.select(*keys, "_from"), keys), df.columns
 
     def fold(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(idx)
@@ -87,5 +144,3 @@ def bins_ema(counts: DataFrame, alpha: float, n: int, idx: str = "idx") -> DataF
     spread = aged.crossJoin(F.broadcast(top)).filter(F.col(idx) + F.col("_age") <= F.col("_top"))  # one row
     weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), "_age")
     return spread.groupBy((F.col(idx) + F.col("_age")).alias(idx), "bin").agg(F.sum(weight * F.col("n")).alias("ema"))
-
-

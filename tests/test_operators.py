@@ -139,6 +139,19 @@ def test_recurrences_over_chunks(spark):
     assert on == [False, False, True, True, True, False, True, True, True, True, True, True]
 
 
+@pytest.mark.parametrize("back", [3, 100_000])
+def test_recurrence_is_the_fold_to_the_last_bit(spark, back):
+    rng = random.Random(back)
+    v = [rng.randrange(1, 30_000) for _ in range(4000)]
+    df = spark.createDataFrame([(i, x, max(i - rng.randrange(back), -back)) for i, x in enumerate(v)], "idx long, v long, start long")
+    want, x = [], 0.0
+    for r in df.orderBy("idx").collect():
+        k = 2.0 / (r.idx - r.start + 2)
+        x = r.v * k + x * (1 - k)
+        want.append(x)
+    assert column(recursive.ema_time(df, "start", "v", "e", chunk=100), "e") == want
+
+
 def test_market_indicators_against_loops(spark):
     day, rng = 86_400, random.Random(3)
     p = [100.0]
