@@ -22,6 +22,8 @@ from ..functions import scalars as S
 from ..functions.lineage import cut
 from .ordered import CHUNK, dealt_in_time, in_rows, running
 
+#: Seconds of a stretch of time: windows longer than two take the whole stretches between their ends as a row each.
+STRETCH = 21_600
 #: Rows of a window up to which its quantiles come from a list kept in order.
 SHORT = 16_384
 QUANTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
@@ -44,8 +46,11 @@ def rolling_time(df: DataFrame, seconds: int, value: str, what: list[str], by: l
     Nulls count as rows without a value. NaN and infinite values make a window's sum, average and sd NaN; NaN is no value to min,
     max, median and distribution. A chunk of time and what windows reach back to is one pass: sums and deviations are put together
     from ranges of powers of two rows, so what has left a window leaves no error behind; extremes come from such ranges, too, and
-    quantiles from counts of ranks that follow the window, in time that hardly depends on its length.
+    quantiles from counts of ranks that follow the window, in time that hardly depends on its length. Long windows without
+    quantiles are those of ``rolling_times``.
     """
+    if seconds > 2 * STRETCH and not {"median", "distribution"} & {*what}:
+        return rolling_times(df, [(seconds, value, {w: w for w in what})], by, idx, ts)
     exact = df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
     kind = df.schema[value].dataType
     kinds = {"sum": T.LongType() if exact else T.DoubleType(), "count": T.LongType(), "min": kind, "max": kind, "first": kind, "low": kind, "high": kind}
@@ -65,6 +70,162 @@ def rolling_time(df: DataFrame, seconds: int, value: str, what: list[str], by: l
     return dealt_in_time(df, seconds, ts).groupBy(*(by or []), "_chunk").applyInArrow(run, schema)
 
 
+def rolling_times(df: DataFrame, asks: list[tuple[int, str, dict[str, str]]], by: list[str] | None = None, idx: str = "idx", ts: str = "ts", stretch: int = STRETCH, source: bool = False) -> DataFrame:
+    """Columns over several time windows in one pass: ``asks`` are (seconds, value, {what: name}), with what ``rolling_time`` has
+    but median and distribution.
+
+    Time is cut into stretches, of which each window is a whole number or holds two at least. A row's window is the end of the one it starts in, whole ones, and the beginning of the row's own;
+    the whole ones are a row each, put together for all rows of a stretch at once. So a task holds a stretch and one as long for each
+    length of window, however long these are. ``source``: the frame comes from files and may be read twice.
+    """
+    by, lengths = by or [], sorted({s for s, _, _ in asks})
+    whole = math.gcd(*lengths)
+    parts = next(k for k in range(-(-whole // stretch), whole + 1) if whole % k == 0)
+    width = whole // parts if whole // parts * 4 > stretch else min(stretch, lengths[0] // 2)
+    if not width:
+        raise ValueError("a window of a second has no stretches")
+    back = {s: -(-(s - 1) // width) for s in lengths}  # stretches from a row's own back to the first that its window can start in
+    odd = {s: int(s % width > 0) for s in lengths}  # or in the one after
+    df = df if source else cut(df)
+    fields = {f.name: f.dataType for f in df.schema}
+    values = sorted({v for _, v, _ in asks})
+    exact = {v: fields[v].typeName() in ("byte", "short", "integer", "long") for v in values}
+    own = F.floor(F.col(ts) / width)
+
+    # A row a stretch.
+    sums = []
+    for k, v in enumerate(values):
+        x = F.col(v).cast("long" if exact[v] else "double")
+        fine = x if exact[v] else F.when(F.abs(x) < float("inf"), x)
+        some = x if exact[v] else F.when(~F.isnan(x), x)
+        plain = F.coalesce(fine, F.lit(0).cast("long" if exact[v] else "double"))
+        sums += [
+            F.count_if(x.isNotNull() & fine.isNull()).alias(f"_bad{k}"), F.count(some).alias(f"_some{k}"), F.sum(plain).alias(f"_sum{k}"), F.avg(plain.cast("double")).alias(f"_mean{k}"),
+            (F.var_pop(plain.cast("double")) * F.count("*")).alias(f"_m{k}"), F.min(some).alias(f"_min{k}"), F.max(some).alias(f"_max{k}"), F.min_by(F.struct(F.col(v)), F.struct(ts, idx)).alias(f"_first{k}"),
+        ]
+    keys = [*by, "_chunk"]
+    stretches = df.groupBy(*by, own.alias("_chunk")).agg(F.count("*").alias("_n"), *sums)
+    stretches = stretches.withColumns({f"_first{k}": F.col(f"_first{k}")[v] for k, v in enumerate(values)})
+    plan = [(s, v, values.index(v), what) for s, v, what in asks]
+    between = [T.StructField(k, stretches.schema[k].dataType) for k in keys]
+    for i, (_, v, k, _) in enumerate(plan):
+        number = T.LongType() if exact[v] else T.DoubleType()
+        between += [T.StructField(f"_{n}{i}", t) for n, t in (("n", T.LongType()), ("bad", T.LongType()), ("some", T.LongType()), ("sum", number), ("mean", T.DoubleType()), ("m", T.DoubleType()), ("min", number), ("max", number), ("first", fields[v]))]
+    middle_schema = T.StructType(between)
+
+    def middles(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_chunk")
+        at = table.column("_chunk").to_numpy()
+        out = table.select(keys)
+        end = np.arange(len(at))
+        for i, (s, v, k, _) in enumerate(plan):
+            start = np.minimum(np.searchsorted(at, at - back[s] + 1 + odd[s]), end)
+            numbers = {n: table.column(f"_{n}{k}" if n != "n" else "_n").combine_chunks() for n in ("n", "bad", "some", "sum", "mean", "m", "min", "max", "first")}
+            total = lambda n: (lambda c: c[end] - c[start])(np.concatenate([[0], np.cumsum(numbers[n].to_numpy(zero_copy_only=False))]))  # noqa: B023, E731
+            many = numbers["n"].to_numpy(zero_copy_only=False)
+            got = {n: pa.array(total(n)) for n in ("n", "bad", "some")}
+            _, mean, m = _gathered([many.astype(float), numbers["mean"].to_numpy(zero_copy_only=False), numbers["m"].to_numpy(zero_copy_only=False)], start, end, _merged)
+            got |= {"mean": pa.array(mean), "m": pa.array(m)}
+            got["sum"] = pa.array(total("sum") if exact[v] else _gathered([numbers["sum"].to_numpy(zero_copy_only=False)], start, end, lambda a, b: [a[0] + b[0]])[0])
+            held = start < end
+            for n, pick in (("min", np.minimum), ("max", np.maximum)):
+                worst = _worst(n, exact[v])
+                x = numbers[n].fill_null(worst).to_numpy(zero_copy_only=False)
+                best = np.full(len(at), worst, x.dtype)
+                best[held] = _range(x, start[held], end[held], pick)
+                got[n] = pa.array(best)
+            got["first"] = numbers["first"].take(pa.array(start, mask=~held))
+            for n in ("n", "bad", "some", "sum", "mean", "m", "min", "max", "first"):
+                out = out.append_column(f"_{n}{i}", got[n].cast(to_arrow_type(middle_schema[f"_{n}{i}"].dataType)))
+        return out
+
+    between = stretches.groupBy(*by).applyInArrow(middles, middle_schema)
+    deal = [(F.lit(0), F.lit(0))]
+    for r, s in enumerate(lengths):
+        deal += [(F.lit(back[s] - later), F.lit(r + 1)) for later in range(odd[s] + 1)]
+    dealt = df.withColumn("_to", F.explode(F.array(*(F.struct((own + d).alias("chunk"), r.alias("role")) for d, r in deal))))
+    needed = {*by, idx, ts, *values}
+    dealt = dealt.select(*(F.col(c) if c in needed else F.when(F.col("_to.role") == 0, F.col(c)).alias(c) for c in df.columns), F.col("_to.chunk").alias("_chunk"), F.col("_to.role").alias("_role"))
+    names = {name: w for _, _, what in asks for w, name in what.items()}
+    kind_of = {}
+    for _, v, what in asks:
+        number = T.LongType() if exact[v] else T.DoubleType()
+        kind_of |= {name: {"sum": number, "count": T.LongType(), "min": fields[v], "max": fields[v], "first": fields[v]}.get(w, T.DoubleType()) for w, name in what.items()}
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, kind_of[n]) for n in names)])
+    arrow = {n: to_arrow_type(kind_of[n]) for n in names}
+    columns = df.columns
+
+    def run(rows: pa.Table, middle: pa.Table) -> pa.Table:
+        role = rows.column("_role")
+        mine = rows.filter(pc.equal(role, 0)).select(columns).sort_by([(ts, "ascending"), (idx, "ascending")])
+        if not mine.num_rows:
+            return pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in schema.fields})
+        at, out = mine.column(ts).to_numpy(), mine
+        earlier: dict[int, pa.Table] = {}
+        for i, (s, v, _, what) in enumerate(plan):
+            if s not in earlier:
+                earlier[s] = rows.filter(pc.equal(role, lengths.index(s) + 1)).select(list(dict.fromkeys([idx, ts, *values]))).sort_by([(ts, "ascending"), (idx, "ascending")])
+            before = earlier[s]
+            start = np.searchsorted(before.column(ts).to_numpy(), at - (s - 1))
+            held = {n: middle.column(f"_{n}{i}")[0] for n in ("n", "bad", "some", "sum", "mean", "m", "min", "max", "first")}
+            found = _over_stretches(before.column(v), start, held, mine.column(v), [*what], exact[v])
+            for w, name in what.items():
+                out = out.append_column(name, found[w].cast(arrow[name], safe=False))
+        return out
+
+    return dealt.groupBy(*keys).cogroup(between.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _worst(what: str, exact: bool) -> float | int:
+    most, least = (np.iinfo(np.int64).max, np.iinfo(np.int64).min) if exact else (np.inf, -np.inf)
+    return int(most if what == "min" else least) if exact else float(most if what == "min" else least)
+
+
+def _over_stretches(before: pa.ChunkedArray, start: np.ndarray, middle: dict[str, pa.Scalar], own: pa.ChunkedArray, names: list[str], exact: bool) -> dict[str, object]:
+    """A result for each of ``names`` over the rows of ``before`` from ``start``, what ``middle`` sums up, and ``own`` up to each row."""
+    upto, all_before = np.arange(1, len(own) + 1), np.full(len(own), len(before))
+
+    def plain(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        null = column.is_null().to_numpy()
+        v = column.cast(pa.int64() if exact else pa.float64()).fill_null(0).to_numpy()
+        return v, null if exact else null | np.isnan(v), np.zeros(len(v), bool) if exact else ~np.isfinite(v)
+
+    (v1, null1, odd1), (v2, null2, odd2) = plain(before), plain(own)
+
+    def total(x: np.ndarray, y: np.ndarray, n: str) -> np.ndarray:
+        ends = np.concatenate([np.cumsum(x[::-1])[::-1], np.zeros(1, x.dtype)])
+        return ends[start] + middle[n].as_py() + np.cumsum(y)
+
+    n = len(before) - start + middle["n"].as_py() + upto
+    bad = total(odd1.astype(np.int64), odd2.astype(np.int64), "bad") > 0
+    p1, p2 = np.where(odd1, 0, v1), np.where(odd2, 0, v2)
+    nothing, out = np.zeros(len(own), np.int64), {"count": pa.array(n.astype(np.int64))}
+    if {"sum", "average"} & {*names}:
+        if exact:
+            sums = total(p1, p2, "sum")
+        else:
+            add = lambda a, b: [a[0] + b[0]]
+            sums = _gathered([p1], start, all_before, add)[0] + middle["sum"].as_py() + _gathered([p2], nothing, upto, add)[0]
+        sums = np.where(bad, np.nan, sums) if bad.any() else sums
+        out |= {"sum": pa.array(sums), "average": pa.array(sums / n)}
+    if "sd" in names:
+        early = _gathered([np.ones(len(p1)), p1.astype(float), np.zeros(len(p1))], start, all_before, _merged)
+        late = _gathered([np.ones(len(p2)), p2.astype(float), np.zeros(len(p2))], nothing, upto, _merged)
+        many, _, spread = _merged(_merged(early, [np.full(len(own), float(middle[c].as_py())) for c in ("n", "mean", "m")]), late)
+        out["sd"] = pa.array(np.where(bad, np.nan, np.sqrt(np.maximum(spread, 0.0) / many)))
+    if {"min", "max"} & {*names}:
+        some = total((~null1).astype(np.int64), (~null2).astype(np.int64), "some") > 0
+        for name, pick in (("min", np.minimum), ("max", np.maximum)):
+            worst = _worst(name, exact)
+            ends = np.append(pick.accumulate(np.where(null1, worst, v1)[::-1])[::-1], worst).astype(v1.dtype)
+            out[name] = pa.array(pick(pick(ends[start], middle[name].as_py()), pick.accumulate(np.where(null2, worst, v2))), mask=~some)
+    if "first" in names:
+        inside, has = start < len(before), middle["n"].as_py() > 0
+        every = pa.concat_arrays([before.combine_chunks(), pa.array([middle["first"].as_py()], before.type), own.slice(0, 1).combine_chunks()])
+        out["first"] = every.take(pa.array(np.where(inside, start, len(before) + (0 if has else 1))))
+    return out
+
+
 def _over_windows(column: pa.ChunkedArray, start: np.ndarray, end: np.ndarray, names: list[str], exact: bool) -> list:
     """A result for each of ``names`` over the rows ``start`` up to, without, ``end``."""
     null = column.is_null().to_numpy()

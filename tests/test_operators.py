@@ -402,3 +402,31 @@ def test_peaks_of_ranges_over_many_levels(spark):
     got = {(r.a, r.b, r.n): r.peak for r in Win.peaks(df, spark.createDataFrame(pairs, "a long, b long, n long"), "v", block=6).collect()}
     assert got == {p: m for p, m in want.items() if m is not None}
     assert Win.peaks(df.filter("idx < -50"), spark.createDataFrame(pairs, "a long, b long, n long"), "v").count() == 0
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_long_time_windows_against_a_loop(spark, whole):
+    rng = random.Random(whole)
+    ts = [0]
+    for _ in range(400):
+        ts.append(ts[-1] + rng.choice([0, 0, 1, 3, 20, 90]))
+    v = [rng.choice([None, rng.randrange(-50, 100)]) for _ in ts]
+    x = [rng.choice([None, math.nan, math.inf, *(rng.random() for _ in range(40))]) for _ in ts]
+    df = spark.createDataFrame([(i, t, a, b) for i, (t, a, b) in enumerate(zip(ts, v, x))], "idx long, ts long, v long, x double")
+    what = ["sum", "count", "average", "sd", "min", "max", "first"]
+    lengths = (40, 120, 2000) if whole else (43, 121, 2003)
+    got = Win.rolling_times(df, [(s, c, {w: f"{w}_{c}_{s}" for w in what}) for s in lengths for c in ("v", "x")], stretch=20).orderBy("idx").collect()
+    assert len(got) == len(ts)
+    for s in lengths:
+        for c in ("v", "x"):
+            for i, r in enumerate(got):
+                inside = [got[j][c] for j in range(i + 1) if ts[j] > ts[i] - s]
+                plain = [0 if y is None else y for y in inside]
+                some = [y for y in inside if y is not None and not math.isnan(y)]
+                mean = sum(plain) / len(plain)
+                expect = {"sum": sum(plain), "count": len(plain), "average": mean, "min": min(some, default=None), "max": max(some, default=None), "first": inside[0], "sd": (sum((y - mean) ** 2 for y in plain) / len(plain)) ** 0.5}
+                if not all(math.isfinite(y) for y in plain):
+                    expect |= dict.fromkeys(("sum", "average", "sd"), math.nan)
+                for w, y in expect.items():
+                    z = r[f"{w}_{c}_{s}"]
+                    assert z == y or (y is not None and z is not None and (math.isclose(z, y, rel_tol=1e-9, abs_tol=1e-9) or (math.isnan(y) and math.isnan(z)))), (s, c, w, i, z, y)
