@@ -36,13 +36,22 @@ def volatility(prices: DataFrame, days: int, step: int = DAY) -> DataFrame:
     return Win.rolling_time(moved, days * DAY, "ret", ["sd"]).withColumn("volatility", S.times_sqrt(F.col("sd"), days)).drop("sd", "ret")
 
 
+def _rsi_windows(days: int, step: int) -> list:
+    return [(step, "price", {"first": "_before"}), (days * DAY, "idx", {"first": "_since"})]
+
+
+def _rsi(rolled: DataFrame) -> DataFrame:
+    moved = rolled.withColumn("_ret", S.ratio(F.col("price") - F.col("_before"), F.col("_before"))).drop("_before")
+    moved = moved.withColumns({"_gain": F.greatest("_ret", F.lit(0.0)), "_loss": F.greatest(-F.col("_ret"), F.lit(0.0))}).drop("_ret")
+    for c in ("gain", "loss"):
+        moved = ema_time(moved, "_since", f"_{c}", f"_avg_{c}", wilder=True).drop(f"_{c}")
+    both = F.col("_avg_gain") + F.col("_avg_loss")
+    return moved.withColumn("rsi", F.when(both == 0, F.lit(0.5)).otherwise(F.try_divide(F.col("_avg_gain"), both))).drop("_since", "_avg_gain", "_avg_loss")
+
+
 def rsi(prices: DataFrame, days: int = 14, step: int = DAY) -> DataFrame:
     """Gain over gain and loss, smoothed over ``days``; one half where both are 0."""
-    moved = returns(prices, step).withColumns({"gain": F.greatest("ret", F.lit(0.0)), "loss": F.greatest(-F.col("ret"), F.lit(0.0))})
-    for c in ("gain", "loss"):
-        moved = exponential_average(moved, days, c, f"avg_{c}", wilder=True)
-    both = F.col("avg_gain") + F.col("avg_loss")
-    return moved.withColumn("rsi", F.when(both == 0, F.lit(0.5)).otherwise(F.try_divide(F.col("avg_gain"), both))).drop("gain", "loss", "ret", "avg_gain", "avg_loss")
+    return _rsi(Win.rolling_times(prices, _rsi_windows(days, step)))
 
 
 def stochastic(rows: DataFrame, value: str, days: int, smooth: int) -> DataFrame:
@@ -53,26 +62,55 @@ def stochastic(rows: DataFrame, value: str, days: int, smooth: int) -> DataFrame
     return Win.rolling_time(r, smooth * DAY, "k", ["average"]).withColumnRenamed("average", "d")
 
 
+def _macd_windows(fast: int, slow: int, signal: int) -> list:
+    return [(d * DAY, "idx", {"first": n}) for d, n in ((fast, "_of_fast"), (slow, "_of_slow"), (signal, "_of_signal"))]
+
+
+def _macd(rolled: DataFrame) -> DataFrame:
+    p = ema_time(rolled, "_of_fast", "price", "_fast").drop("_of_fast")
+    p = ema_time(p, "_of_slow", "price", "_slow").withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_of_slow", "_fast", "_slow")
+    return ema_time(p, "_of_signal", "macd", "signal").withColumn("histogram", F.col("macd") - F.col("signal")).drop("_of_signal")
+
+
 def macd(prices: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    p = exponential_average(prices, fast, "price", "_fast")
-    p = exponential_average(p, slow, "price", "_slow").withColumn("macd", F.col("_fast") - F.col("_slow"))
-    p = exponential_average(p, signal, "macd", "signal").withColumn("histogram", F.col("macd") - F.col("signal"))
-    return p.drop("_fast", "_slow")
+    return _macd(Win.rolling_times(prices, _macd_windows(fast, slow, signal)))
+
+
+_PI_WINDOWS = [(111 * DAY, "price", {"average": "_a"}), (350 * DAY, "price", {"average": "_b"})]
+
+
+def _pi_cycle(rolled: DataFrame) -> DataFrame:
+    return rolled.withColumn("pi_cycle", S.ratio(F.col("_a"), 2 * F.col("_b"))).drop("_a", "_b")
 
 
 def pi_cycle(prices: DataFrame) -> DataFrame:
-    p = moving_average(moving_average(prices, 111, "_a"), 350, "_b")
-    return p.withColumn("pi_cycle", S.ratio(F.col("_a"), 2 * F.col("_b"))).drop("_a", "_b")
+    return _pi_cycle(Win.rolling_times(prices, _PI_WINDOWS))
+
+
+def _true_ranges(prices: DataFrame) -> DataFrame:
+    return Win.lookback_rows(prices, 1, "price").withColumn("_tr", F.abs("change")).drop("previous", "change", "ratio_change", "percentage_change")
+
+
+def _choppiness_windows(days: int) -> list:
+    return [(days * DAY, "price", {"min": "_min", "max": "_max", "count": "_n"}), (days * DAY, "_tr", {"sum": "_sum"})]
+
+
+def _choppiness(rolled: DataFrame) -> DataFrame:
+    r = rolled.withColumn("_range", F.col("_max") - F.col("_min"))
+    fine = (F.col("_range") > 0) & (F.col("_n") > 1) & (F.col("_sum") > 0)
+    value = F.try_divide(F.log10(F.col("_sum") / F.when(fine, F.col("_range"))), F.log10(F.col("_n").cast("double")))
+    return r.withColumn("choppiness", F.when(fine, value).otherwise(0.0)).drop("_tr", "_range", "_n", "_sum", "_min", "_max")
 
 
 def choppiness(prices: DataFrame, days: int = 14) -> DataFrame:
     """log10(sum of true ranges / range) / log10(rows); 0 where the range is not above 0 or there is one row."""
-    stepped = Win.lookback_rows(prices, 1, "price").withColumn("_tr", F.abs("change")).drop("previous", "change", "ratio_change", "percentage_change")
-    r = Win.rolling_time(stepped, days * DAY, "price", ["min", "max", "count"]).withColumn("_range", F.col("max") - F.col("min")).drop("min", "max").withColumnRenamed("count", "_n")
-    r = Win.rolling_time(r, days * DAY, "_tr", ["sum"])
-    fine = (F.col("_range") > 0) & (F.col("_n") > 1) & (F.col("sum") > 0)
-    value = F.try_divide(F.log10(F.col("sum") / F.when(fine, F.col("_range"))), F.log10(F.col("_n").cast("double")))
-    return r.withColumn("choppiness", F.when(fine, value).otherwise(0.0)).drop("_tr", "_range", "_n", "sum")
+    return _choppiness(Win.rolling_times(_true_ranges(prices), _choppiness_windows(days)))
+
+
+def technical(prices: DataFrame) -> DataFrame:
+    """``rsi`` and its stochastic ``k`` and ``d``, ``macd``, ``pi_cycle`` and ``choppiness``; windows of the price are one pass."""
+    rolled = Win.rolling_times(_true_ranges(prices), [*_rsi_windows(14, DAY), *_macd_windows(12, 26, 9), *_PI_WINDOWS, *_choppiness_windows(14)])
+    return stochastic(_rsi(_macd(_choppiness(_pi_cycle(rolled)))), "rsi", 14, 3)
 
 
 def dca(prices: DataFrame, days: int) -> DataFrame:

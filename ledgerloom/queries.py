@@ -678,7 +678,7 @@ def volatility(spark, sf_dir):
 def technical_indicators(spark, sf_dir):
     """RSI, its stochastic, MACD, pi cycle and choppiness; tests hold them against plain loops."""
     b = blocks(spark, sf_dir).select("idx", "ts", "price")
-    r = market.choppiness(market.pi_cycle(market.macd(market.stochastic(market.rsi(b), "rsi", 14, 3))))
+    r = market.technical(b)
     return r.select("idx", *(scaled(F.col(c)).alias(f"{c}_e4") for c in ("rsi", "k", "d", "macd", "signal", "histogram", "pi_cycle", "choppiness")))
 
 
