@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scalars import floor_div
 from .lookups import as_of
 from .ordered import running
@@ -19,6 +20,8 @@ SATS = 100_000_000
 HOUR, DAY = 3600, 86_400
 #: Sats younger than this many hours count as short-term.
 SHORT_TERM_HOURS = 3600
+#: Lives of an address up to which its history is sorted in one task.
+MANY = 1_000_000
 
 
 def lives(outputs: DataFrame, inputs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -129,34 +132,53 @@ def address_state(lives_: DataFrame, addr: str) -> DataFrame:
     return out.withColumns({"balance": F.col("received") - F.col("sent"), "is_empty": F.col("funded_txos") == F.col("spent_txos"), "reused": F.col("funded_txos") > 1})
 
 
-def address_events(lives_: DataFrame, addr: str) -> DataFrame:
-    """(addr, height, received, sent, before, after): per address and height, with its unspent outputs before and after."""
-    born = lives_.select(addr, F.col("created_h").alias("height"), F.lit(1).alias("r"), F.lit(0).alias("s"))
-    dead = lives_.filter("spent_h is not null").select(addr, F.col("spent_h").alias("height"), F.lit(0).alias("r"), F.lit(1).alias("s"))
-    each = born.unionByName(dead).groupBy(addr, "height").agg(F.sum("r").alias("received"), F.sum("s").alias("sent"))
-    run = running(each, {"after": ("sum", F.col("received") - F.col("sent"))}, [addr], "height")
+def _events(lives_: DataFrame, addr: str) -> DataFrame:
+    """(addr, height, received, sent) of lives that lie together by address, which makes no further shuffle."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = F.array(F.struct(F.col("created_h").alias("height"), one.alias("r"), none.alias("s")), F.struct(F.col("spent_h").alias("height"), none.alias("r"), one.alias("s")))
+    each = lives_.select(addr, F.explode(both).alias("_e")).select(addr, "_e.*").filter("height is not null")
+    return each.groupBy(addr, "height").agg(F.sum("r").alias("received"), F.sum("s").alias("sent"))
+
+
+def address_events(lives_: DataFrame, addr: str, many: int = MANY) -> DataFrame:
+    """(addr, height, received, sent, before, after, first_h): per address and height, with its unspent outputs before and after,
+    and its first height so far.
+
+    Lives are dealt by address once. Only addresses of more than ``many`` lives, of which there are few, are cut into chunks.
+    """
+    lives_ = lives_.select(addr, "created_h", "spent_h")
+    large = cut(lives_.groupBy(addr).agg(F.count("*").alias("_n")).filter(F.col("_n") > many).select(addr))
+    moved, funded = F.col("received") - F.col("sent"), F.when(F.col("received") > 0, F.col("height"))
+    before = W.partitionBy(addr).orderBy("height").rowsBetween(W.unboundedPreceding, 0)
+    if large.isEmpty():
+        run = _events(lives_.repartition(addr), addr).withColumns({"after": F.sum(moved).over(before), "first_h": F.min(funded).over(before)})
+    else:
+        own = F.col(addr).eqNullSafe(F.col("_large"))
+        named = F.broadcast(large.withColumnRenamed(addr, "_large"))  # a row for each ``many`` lives at most
+        small = _events(lives_.join(named, own, "left_anti").repartition(addr), addr).withColumns({"after": F.sum(moved).over(before), "first_h": F.min(funded).over(before)})
+        rest = running(cut(_events(lives_.join(named, own, "left_semi"), addr)).withColumn("_addr", F.struct(addr)), {"after": ("sum", moved), "first_h": ("min", funded)}, ["_addr"], "height").drop("_addr")
+        run = small.unionByName(rest)
     return run.withColumn("before", F.col("after") - F.col("received") + F.col("sent"))
 
 
-def address_activity(lives_: DataFrame, addr: str) -> DataFrame:
+def address_activity(lives_: DataFrame, addr: str, many: int = MANY) -> DataFrame:
     """Per height, addresses that receive, send, do both, are active, come back with a balance after being empty, and are new."""
-    events = address_events(lives_, addr)
-    first = lives_.groupBy(addr).agg(F.min("created_h").alias("first_h"))
-    marked = events.join(first, addr)
+    events = address_events(lives_, addr, many)
     r, s = F.col("received") > 0, F.col("sent") > 0
     back = (F.col("before") == 0) & (F.col("first_h") < F.col("height")) & (F.col("after") > 0)
-    return marked.groupBy("height").agg(
-        F.count_if(r).alias("receiving"), F.count_if(s).alias("sending"), F.count_if(r & s).alias("bidirectional"), F.count("*").alias("active"),
-        F.count_if(back).alias("reactivated"), F.count_if(F.col("first_h") == F.col("height")).alias("new"),
-    )
+    holds = {"receiving": r, "sending": s, "bidirectional": r & s, "active": F.lit(True), "reactivated": back, "new": F.col("first_h") == F.col("height")}
+    bits = sum((F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(holds.values())), F.lit(0))
+    # Two numbers a row are shuffled, not partial counts that hardly any row of a task would share.
+    by_height = events.select("height", bits.alias("_bits")).repartition("height")
+    return by_height.groupBy("height").agg(*(F.count_if(F.col("_bits").bitwiseAND(1 << k) > 0).alias(n) for k, n in enumerate(holds)))
 
 
-def address_counts(lives_: DataFrame, addr: str) -> DataFrame:
+def address_counts(lives_: DataFrame, addr: str, many: int = MANY) -> DataFrame:
     """Running counts by height: addresses ever seen, funded, and empty."""
-    events = address_events(lives_, addr)
-    moved = events.select("height", ((F.col("after") > 0).cast("int") - (F.col("before") > 0).cast("int")).alias("d_funded"))
-    first = lives_.groupBy(addr).agg(F.min("created_h").alias("height")).groupBy("height").agg(F.count("*").alias("d_total"))
-    deltas = moved.groupBy("height").agg(F.sum("d_funded").alias("d_funded")).join(first, "height", "left").na.fill(0)
+    events = address_events(lives_, addr, many)
+    d_funded = (F.col("after") > 0).cast("int") - (F.col("before") > 0).cast("int")
+    moved = events.select("height", d_funded.alias("_f"), F.coalesce(F.col("first_h") == F.col("height"), F.lit(False)).cast("int").alias("_t")).repartition("height")
+    deltas = cut(moved.groupBy("height").agg(F.sum("_f").alias("d_funded"), F.sum("_t").alias("d_total")))  # read twice
     run = running(deltas, {"total": ("sum", F.col("d_total")), "funded": ("sum", F.col("d_funded"))}, None, "height")
     return run.select("height", "total", "funded", (F.col("total") - F.col("funded")).alias("empty"))
 

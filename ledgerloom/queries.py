@@ -58,15 +58,21 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("parent"), F.col("l_quantity").cast("long").alias("qty"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("cents"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("flag"))
 
 
-def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def outputs(spark: SparkSession, sf_dir: str, priced: bool = True) -> DataFrame:
     """Lives of order lines as outputs, over all events: a line is made at event (order x 7919 mod their number) and spent up to
-    211 events later, if that is before the last."""
+    211 events later, if that is before the last. Without ``priced``, times and prices are left out, and joins with events if
+    there is exactly one at every height, where they would change nothing else."""
     ev = blocks(spark, sf_dir)
     many = ev.agg((F.max("idx") + 1).alias("_n"))
+    if not priced:
+        least, most, rows = ev.agg(F.min("idx"), F.max("idx"), F.count("*")).first()
+        priced = rows == 0 or least < 0 or rows != most + 1 or not ev.groupBy("idx").count().filter("count > 1").isEmpty()
     height = F.col("parent") * 7919 % F.col("_n")
     made = lines(spark, sf_dir).crossJoin(F.broadcast(many)).withColumn("created_h", height)  # one row
     spent = F.col("created_h") + 1 + F.col("part") % 211
     rows = made.select("created_h", F.when(spent < F.col("_n"), spent).alias("spent_h"), F.col("cents").alias("sats"), F.col("supplier").alias("addr"), F.col("flag").alias("kind"), "part")
+    if not priced:
+        return rows.filter("created_h >= 0")
     born = ev.select(F.col("idx").alias("created_h"), F.col("ts").alias("created_ts"), F.col("price").alias("price_in"))
     dead = ev.select(F.col("idx").alias("spent_h"), F.col("ts").alias("spent_ts"), F.col("price").alias("price_out"))
     return rows.join(born, "created_h").join(dead, "spent_h", "left")
@@ -558,12 +564,12 @@ _ADDR = f"""{OUT}, ae AS (SELECT addr, created_h AS height, 1 AS r, 0 AS s FROM
 
 @query(f"""WITH {_ADDR} SELECT height::BIGINT AS height, count(*) FILTER (r > 0) AS receiving, count(*) FILTER (s > 0) AS sending, count(*) FILTER (r > 0 AND s > 0) AS bidirectional, count(*) AS active, count(*) FILTER (before = 0 AND f < height AND after > 0) AS reactivated, count(*) FILTER (f = height) AS new FROM am GROUP BY height""")
 def address_activity(spark, sf_dir):
-    return chain.address_activity(outputs(spark, sf_dir), "addr")
+    return chain.address_activity(outputs(spark, sf_dir, priced=False), "addr")
 
 
 @query(f"""WITH {_ADDR}, d AS (SELECT height, sum((after > 0)::INT - (before > 0)::INT) AS df, count(*) FILTER (f = height) AS dt FROM am GROUP BY height) SELECT height::BIGINT AS height, sum(dt) OVER w::BIGINT AS total, sum(df) OVER w::BIGINT AS funded, sum(dt - df) OVER w::BIGINT AS empty FROM d WINDOW w AS (ORDER BY height)""")
 def address_counts(spark, sf_dir):
-    return chain.address_counts(outputs(spark, sf_dir), "addr")
+    return chain.address_counts(outputs(spark, sf_dir, priced=False), "addr")
 
 
 @query(f"WITH {OUT}, r AS (SELECT created_h, row_number() OVER (PARTITION BY addr ORDER BY created_h, part, sats) AS n FROM lives) SELECT created_h::BIGINT AS height, count(*) AS reuses FROM r WHERE n > 1 GROUP BY 1")

@@ -430,3 +430,38 @@ def test_long_time_windows_against_a_loop(spark, whole):
                 for w, y in expect.items():
                     z = r[f"{w}_{c}_{s}"]
                     assert z == y or (y is not None and z is not None and (math.isclose(z, y, rel_tol=1e-9, abs_tol=1e-9) or (math.isnan(y) and math.isnan(z)))), (s, c, w, i, z, y)
+
+
+def test_addresses_by_height_whatever_their_size(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "b", "b", "c", None]), h, rng.choice([None, h + rng.randrange(6)])) for h in (rng.randrange(60) for _ in range(150))]
+    lives = spark.createDataFrame(rows, "addr string, created_h long, spent_h long")
+    want, total, funded = {}, 0, 0
+    held = {}
+    for h in sorted({x for _, c, s in rows for x in (c, s) if x is not None}):
+        w = dict.fromkeys(("receiving", "sending", "bidirectional", "active", "reactivated", "new"), 0)
+        for a in {a for a, _, _ in rows}:
+            r, s = sum(x == a and c == h for x, c, _ in rows), sum(x == a and d == h for x, _, d in rows)
+            if not r and not s:
+                continue
+            before, after = held.get(a, 0), held.get(a, 0) + r - s
+            w["receiving"] += r > 0
+            w["sending"] += s > 0
+            w["bidirectional"] += r > 0 and s > 0
+            w["active"] += 1
+            w["new"] += a not in held
+            w["reactivated"] += a in held and before == 0 and after > 0
+            total, funded = total + (a not in held), funded + (after > 0) - (before > 0)
+            held[a] = after
+        want[h] = (w, (total, funded, total - funded))
+    for many in (10, chain.MANY):
+        got = chain.address_activity(lives, "addr", many)
+        assert {r.height: {k: r[k] for k in r.asDict() if k != "height"} for r in got.collect()} == {h: w for h, (w, _) in want.items()}
+        got = chain.address_counts(lives, "addr", many)
+        assert {r.height: (r.total, r.funded, r.empty) for r in got.collect()} == {h: c for h, (_, c) in want.items()}
+
+
+def test_address_history_is_dealt_once(spark):
+    lives = spark.range(1000).selectExpr("id % 7 as addr", "id as created_h", "if(id % 3 = 0, null, id + 5) as spent_h")
+    plan = chain.address_activity(lives, "addr")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(addr") == 1 and plan.count("Exchange hashpartitioning") == 2
