@@ -919,13 +919,11 @@ def merkle_levels(spark, sf_dir):
     SELECT l.block, l.pos, coalesce(n, 0)::INTEGER AS n_hashes, coalesce(sha, sha256('')) AS proof_sha256, true AS folds FROM leaf l LEFT JOIN p ON p.block = l.block AND p.pos = l.pos""")
 def merkle_proofs(spark, sf_dir):
     """The proof of every transaction, and whether it folds to its block's root."""
-    leaves = _leaves(spark, sf_dir)
-    levels = transactions.merkle_levels(leaves)
-    proofs = transactions.merkle_proofs(levels, leaves).join(leaves, ["block", "pos"])
-    root = levels.groupBy("block").agg(F.max_by("hash", "level").alias("root"))
-    folds = transactions.fold_proof(F.col("hash"), F.col("pos"), F.col("proof")) == F.col("root")
+    levels = transactions.merkle_levels(_leaves(spark, sf_dir))
+    proofs = transactions.merkle_proofs(levels, levels.filter("level = 0"), ends=True)
+    folds = transactions.fold_proof(F.col("leaf"), F.col("pos"), F.col("proof")) == F.col("root")
     listed = F.array_join(F.transform("proof", lambda h: F.lower(F.hex(h))), ",")
-    return proofs.join(root, "block").select("block", "pos", F.size("proof").alias("n_hashes"), F.sha2(listed, 256).alias("proof_sha256"), folds.alias("folds"))
+    return proofs.select("block", "pos", F.size("proof").alias("n_hashes"), F.sha2(listed, 256).alias("proof_sha256"), folds.alias("folds"))
 
 
 @query(f"""WITH {OUT}, h AS (SELECT addr, created_h AS height, row_number() OVER (ORDER BY created_h, addr, part, sats) AS pos FROM lives), c AS (SELECT addr, CASE WHEN addr % 3 > 0 THEN max(height) // 2 END AS upto FROM h GROUP BY addr),
