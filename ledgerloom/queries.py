@@ -930,7 +930,7 @@ def merkle_proofs(spark, sf_dir):
     r AS (SELECT addr, height, row_number() OVER (PARTITION BY addr ORDER BY height DESC, pos DESC) AS nth FROM h JOIN c USING (addr) WHERE upto IS NULL OR height < upto) SELECT addr, height::BIGINT AS height, nth::INTEGER AS nth FROM r WHERE nth <= 25""")
 def address_pages(spark, sf_dir):
     """The newest 25 entries of each address, or, of two thirds of them, the 25 before the middle of their history."""
-    h = outputs(spark, sf_dir).select("addr", F.col("created_h").alias("height"), F.struct("part", "sats").alias("pos"))
+    h = outputs(spark, sf_dir, priced=False).select("addr", F.col("created_h").alias("height"), F.struct("part", "sats").alias("pos"))
     c = h.groupBy("addr").agg(F.when(F.col("addr") % 3 > 0, F.floor(F.max("height") / 2)).alias("height")).withColumn("pos", F.lit(None).cast(h.schema["pos"].dataType))
     return transactions.history_pages(h, c, 25).select("addr", "height", "nth")
 
