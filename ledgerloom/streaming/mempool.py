@@ -5,7 +5,6 @@ A snapshot is (txid, fee, vsize, parents array, spends array of "txid:vout").
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -13,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.lineage import cut
+from ..operators.relatives import clustered, one_by_one, together
 
 MAX_BLOCK, BLOCKS, MOST_IN_CLUSTER = 1_000_000, 8, 64
 RETENTION = 3600
@@ -53,18 +54,8 @@ def replacement_roots(replaced: DataFrame) -> DataFrame:
 
 
 def clusters(snapshot: DataFrame) -> DataFrame:
-    """(txid, cluster): the smallest txid linked through parents, by rounds of neighbours' labels and of labels' labels."""
-    edges = snapshot.select("txid", F.explode("parents").alias("p")).join(snapshot.select(F.col("txid").alias("p")), "p")
-    both = cut(edges.select(F.col("txid").alias("a"), F.col("p").alias("b")).unionByName(edges.select(F.col("p").alias("a"), F.col("txid").alias("b"))))
-    labels = cut(snapshot.select("txid", F.col("txid").alias("cluster")))
-    while True:
-        near = both.join(labels.withColumnRenamed("txid", "b"), "b").groupBy(F.col("a").alias("txid")).agg(F.min("cluster").alias("_near"))
-        stepped = cut(labels.join(near, "txid", "left").select("txid", F.least("cluster", F.coalesce("_near", "cluster")).alias("cluster"), F.col("cluster").alias("_old")))
-        far = stepped.select(F.col("txid").alias("cluster"), F.col("cluster").alias("_far"))
-        moved = cut(stepped.join(far, "cluster").select("txid", F.col("_far").alias("cluster"), "_old"))
-        labels = moved.select("txid", "cluster")
-        if moved.filter("cluster <> _old").isEmpty():
-            return labels
+    """(txid, cluster): the smallest txid linked through parents."""
+    return clustered(snapshot.select("txid", "parents")).select("txid", "cluster")
 
 
 def order_cluster(ids: list[str], fees: list[int], sizes: list[int], parents: list[list[str]]) -> list[tuple[str, int, float]]:
@@ -119,51 +110,48 @@ def order_cluster(ids: list[str], fees: list[int], sizes: list[int], parents: li
 
 
 def linearize(snapshot: DataFrame) -> DataFrame:
-    """(cluster, txid, chunk, chunk_rate). Transactions without relatives are a chunk each, without Python; the others come sorted by
-    cluster, and a task orders one cluster after the other. A cluster is handled whole, whatever its size; nodes let it grow to
-    MOST_IN_CLUSTER."""
-    rows = cut(snapshot.select("txid", "fee", "vsize", "parents"))
-    edges = rows.select("txid", F.explode("parents").alias("p")).join(rows.select(F.col("txid").alias("p")), "p", "left_semi")
-    linked = cut(edges.select("txid").unionByName(edges.select(F.col("p").alias("txid"))).distinct())
-    alone = rows.join(linked, "txid", "left_anti").select(F.col("txid").alias("cluster"), "txid", F.lit(0).alias("chunk"), (F.col("fee") / F.col("vsize")).alias("chunk_rate"))
-    related = cut(rows.join(linked, "txid", "left_semi"))
-    named = related.join(clusters(related), "txid").select("cluster", "txid", "fee", "vsize", "parents")
+    """(cluster, txid, chunk, chunk_rate, vsize). Transactions without relatives are a chunk each, without Python; the others come
+    sorted by cluster, and a task orders one cluster after the other. A cluster is handled whole, whatever its size; nodes let it grow
+    to MOST_IN_CLUSTER."""
+    rows = clustered(snapshot.select("txid", "fee", "vsize", "parents"))
+    kind = rows.schema["vsize"].dataType
+    size = to_arrow_type(kind)
+    alone = rows.filter("not linked").select(F.col("txid").alias("cluster"), "txid", F.lit(0).alias("chunk"), (F.col("fee") / F.col("vsize")).alias("chunk_rate"), "vsize")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ordered(own: list[dict]) -> list[tuple]:
-            lines = order_cluster([r["txid"] for r in own], [r["fee"] for r in own], [r["vsize"] for r in own], [r["parents"] or [] for r in own])
-            return [(own[0]["cluster"], *x) for x in lines]
-
-        open_: list[dict] = []
-        for batch in itertools.chain(batches, [None]):
+        for some in one_by_one(batches):
             out: list[tuple] = []
-            for r in batch.to_pylist() if batch is not None else [None]:
-                if open_ and (r is None or r["cluster"] != open_[0]["cluster"]):
-                    out += ordered(open_)
-                    open_ = []
-                if r is not None:
-                    open_.append(r)
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())], names=["cluster", "txid", "chunk", "chunk_rate"])
+            for own in some:
+                sizes = dict(zip(own["txid"], own["vsize"], strict=True))
+                out += [(own["cluster"][0], *x, sizes[x[0]]) for x in order_cluster(own["txid"], own["fee"], own["vsize"], [ps or [] for ps in own["parents"]])]
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["cluster", "txid", "chunk", "chunk_rate", "vsize"])
 
-    sorted_ = named.repartition("cluster").sortWithinPartitions("cluster")
-    return sorted_.mapInArrow(run, "cluster string, txid string, chunk int, chunk_rate double").unionByName(alone)
+    named = together(rows.filter("linked").select("cluster", "txid", "fee", "vsize", "parents"))
+    return named.mapInArrow(run, f"cluster string, txid string, chunk int, chunk_rate double, vsize {kind.simpleString()}").unionByName(alone)
 
 
 def pack_blocks(lines: DataFrame, sizes: DataFrame, most: int = MAX_BLOCK, blocks: int = BLOCKS) -> DataFrame:
     """(txid, block): chunks by falling rate (ties: cluster, chunk) by cumulated size; the last block takes the rest.
 
-    A chunk starts in the block in which the size before it falls. Sizes are summed for steps of a hundredth of the rate's
-    logarithm first, so no window is over more than those steps or the chunks of one.
+    A chunk starts in the block in which the size before it falls. Sizes (of ``sizes``, unless ``lines`` have them) are summed for
+    steps of a hundredth of the rate's logarithm first. Steps that begin in the last block are in it whole; chunks are put in order,
+    a step a window, in the steps before only.
     """
-    lines = cut(lines.join(sizes.select("txid", "vsize"), "txid"))
-    chunks = lines.groupBy("cluster", "chunk", "chunk_rate").agg(F.sum("vsize").alias("size")).withColumn("_step", F.when(F.col("chunk_rate") > 0, F.floor(F.ln("chunk_rate") * 100)).otherwise(-(1 << 40)))
-    steps = chunks.groupBy("_step").agg(F.sum("size").alias("s"))
-    before = steps.withColumn("_ahead", F.coalesce(F.sum("s").over(W.partitionBy().orderBy(F.desc("_step")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    lines = lines if "vsize" in lines.columns else lines.join(sizes.select("txid", "vsize"), "txid")
+    step = F.when(F.col("chunk_rate") > 0, F.floor(F.ln("chunk_rate") * 100)).otherwise(-(1 << 40))
+    lines = cut(lines.select("cluster", "txid", "chunk", "chunk_rate", "vsize", step.alias("_step")))
+    steps = lines.groupBy("_step").agg(F.sum("vsize").alias("s"))
+    before = cut(steps.withColumn("_ahead", F.coalesce(F.sum("s").over(W.partitionBy().orderBy(F.desc("_step")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s"))  # some thousand steps
+    lines = lines.join(F.broadcast(before), "_step")
+    last = F.col("_ahead") >= most * (blocks - 1)
+    chunks = lines.filter(~last).groupBy("cluster", "chunk", "chunk_rate", "_step", "_ahead").agg(F.sum("vsize").alias("size"))
     inside = W.partitionBy("_step").orderBy(F.desc("chunk_rate"), "cluster", "chunk").rowsBetween(W.unboundedPreceding, -1)
-    placed = chunks.join(F.broadcast(before), "_step").withColumn("_start", F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))  # some thousand steps
+    placed = chunks.withColumn("_start", F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     block = F.least(F.floor(F.col("_start") / most), F.lit(blocks - 1)).cast("int")
-    return lines.join(placed.select("cluster", "chunk", block.alias("block")), ["cluster", "chunk"]).select("txid", "block", "chunk_rate")
+    early = lines.filter(~last).join(placed.select("cluster", "chunk", block.alias("block")), ["cluster", "chunk"])
+    return early.select("txid", "block", "chunk_rate").unionByName(lines.filter(last).select("txid", F.lit(blocks - 1).cast("int").alias("block"), "chunk_rate"))
 
 
 #: Fixed values of fee advice: the unit that rates are rounded to, what urgency adds to the first tier (the second gets half), the

@@ -4,6 +4,7 @@ import random
 
 from ledgerloom.operators.relatives import clustered
 from ledgerloom.plans import transactions as T
+from ledgerloom.streaming import mempool
 
 TX = "txid string, fee long, vsize long, parents array<string>"
 
@@ -64,3 +65,24 @@ def test_packages_by_rounds_are_those_of_a_task(spark):
 def test_packages_shuffle_a_few_rows_a_transaction(spark):
     df = orders(spark, 3000)
     assert shuffled(spark, lambda: T.packages(df, df.select("txid")).collect()) < 10 * 3000  # 99 a transaction by rounds of joins
+
+
+def test_blocks_shuffle_a_few_rows_a_transaction(spark):
+    df = orders(spark, 3000)
+    assert shuffled(spark, lambda: mempool.pack_blocks(mempool.linearize(df), df, most=2_000).collect()) < 10 * 3000  # 44 a transaction by rounds of labels
+
+
+def test_only_the_last_block_is_left_unsorted(spark):
+    df = orders(spark, 400)
+    lines = mempool.linearize(df)
+    chunks = {}
+    for r in lines.collect():
+        chunks.setdefault((-r.chunk_rate, r.cluster, r.chunk), []).append((r.txid, r.vsize))
+    want, start = {}, 0
+    for key in sorted(chunks):
+        want |= {t: min(start // 5_000, 3) for t, _ in chunks[key]}
+        start += sum(size for _, size in chunks[key])
+    sizes = df.select("txid", "fee", "vsize")
+    assert {r.txid: r.block for r in mempool.pack_blocks(lines, sizes, most=5_000, blocks=4).collect()} == want
+    assert {r.txid: r.block for r in mempool.pack_blocks(lines.drop("vsize"), sizes, most=5_000, blocks=4).collect()} == want
+    assert {r.block for r in mempool.pack_blocks(lines, sizes, blocks=1).collect()} == {0}
