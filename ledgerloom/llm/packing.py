@@ -19,20 +19,23 @@ import bisect
 import math
 import os
 import random
+import string
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
-from .words import Memo, held, release, texts
+from .words import Recent, held, release, texts
 
 CAPACITY = 2048
 #: Pieces of a region, islands of a region, individuals of an island, and epochs.
@@ -43,6 +46,8 @@ BUDGET, FEWEST, MOST = 100_000, 10, 200
 IDLE = 25
 #: A bin below this share of the capacity is opened again while there is more than one region.
 FULL = 0.995
+#: Words whose ids are put together at once; ASCII symbols that may follow the letters of a word, and how many runs of them are kept.
+WORDS, SYMBOLS, TAILS = 1 << 18, string.punctuation.encode(), 4096
 #: Further deals of loosely filled bins that are tried after one that gained nothing.
 DEALS = 2
 
@@ -53,8 +58,8 @@ DEALS = 2
 def encoder(path: str):
     """bytes of whole texts to their ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins across white space, so each distinct word is encoded once. Words of letters, with full stops or
-    commas behind, need none of its normalising and splitting: they go to its model at once, many in one string.
+    The tokenizer never joins across white space, so each distinct word is encoded once. Words of letters, with ASCII symbols
+    behind, need none of its normalising and splitting: they go to its model at once, many in one string.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -63,42 +68,79 @@ def encoder(path: str):
     model.normalizer, model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
     last = np.zeros(whole.get_vocab_size(), bool)  # ids that end a word
     last[[i for t, i in whole.get_vocab().items() if t.endswith("</w>")]] = True
-    shown = {b: c for b, c in _byte_characters().items() if ord(c) != b}
-    stops: dict[str, bytes] = {"": b""}
-
-    def plain(words: list[str]) -> list[bytes]:
-        ids = np.array(model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (np.flatnonzero(last[ids]) + 1).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    shown = {b: c for b, c in _byte_characters().items() if ord(c) != b and b != ord(" ")}
+    tails: dict[bytes, bytes] = {b"": b""}
+
+    def plain(words: str) -> Iterator[bytes]:
+        ids = np.array(model.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * np.flatnonzero(last[ids]) + 4).tolist()
+        flat = ids.tobytes()
+        return (flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
+    def tail_ids(tail: bytes) -> bytes:
+        if tail not in tails:
+            ids = array("I", whole.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
+            if len(tails) >= TAILS:
+                return ids
+            tails[tail] = ids
+        return tails[tail]
 
     def work_out(words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
-        easy, accented, rest = [], [], []
+        lettered, rest = [], []  # words of letters: the place, the letters in lower case, and what comes behind
+        ids: dict[bytes, bytes | None] = {}  # of letters in lower case
+        easy, accented = [], []
         for i, w in enumerate(words):
-            text = w.decode("utf-8", "replace")
-            core = text.rstrip(".,")
-            if text.isascii() and core.isalpha():
-                easy.append((i, core.lower(), text[len(core) :]))
-            elif core.isalpha() and (low := core.lower()).isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", core):
-                accented.append((i, low.encode().decode("latin-1").translate(shown), text[len(core) :]))
+            core = w.rstrip(SYMBOLS)
+            if core.isalpha():  # of ASCII
+                low, group = core.lower(), easy
+            elif core.isascii():
+                rest.append((i, w.decode()))
+                continue
             else:
-                rest.append((i, text))
-        for group in (easy, accented):
-            for (i, _, tail), ids in zip(group, plain([c for _, c, _ in group]) if group else (), strict=True):
-                if tail not in stops:
-                    stops[tail] = np.array(whole.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
-                out[i] = ids + stops[tail]
+                text = core.decode("utf-8", "replace")
+                if not text.isalpha() or not (lower := text.lower()).isalpha() or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+                    rest.append((i, w.decode("utf-8", "replace")))
+                    continue
+                low, group = lower.encode(), accented
+            lettered.append((i, low, w[len(core) :]))
+            if low not in ids:
+                ids[low] = known = None if low == w else recent.get(low)
+                if known is None:
+                    group.append(low)
+        for group, joined in ((easy, b" ".join(easy).decode()), (accented, b" ".join(accented).decode("latin-1").translate(shown))):
+            if group:
+                ids.update(zip(group, plain(joined), strict=True))
+        for i, low, tail in lettered:
+            out[i] = ids[low] + tail_ids(tail) if tail else ids[low]
         for (i, _), e in zip(rest, whole.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+            out[i] = array("I", e.ids).tobytes()
         return out
 
-    memo = Memo(work_out)
+    recent = Recent(work_out, slice_=32_000)
 
     def encode(batch: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in batch]  # bytes.split() splits at the space and U+0009 to U+000D
-        memo.learn([w for ws in split for w in ws])
-        for ws in split:
-            yield b"".join(map(memo.__getitem__, ws))
+        whole_texts = pa.array(batch, pa.binary())
+        split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(batch), whole_texts.buffers()))  # at the space and U+0009 to U+000D
+        coded = split.values.dictionary_encode()
+        known = recent.values(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
+        which, bounds = coded.indices.to_numpy(), split.offsets.to_numpy().tolist()
+        at, first = 0, 0  # texts are put together about WORDS words at once, a longer one in parts
+        while at < len(batch):
+            end = max(at + 1, bisect.bisect_right(bounds, first + WORDS, at, len(batch)))
+            parts, ends = [], [np.zeros(1, np.int64)]
+            for a in range(first, bounds[end], WORDS):
+                own = which[a : min(a + WORDS, bounds[end])]
+                n = sizes[own]
+                upto = np.cumsum(n)
+                parts.append(flat[np.repeat(starts[own] - upto + n, n) + np.arange(upto[-1])].tobytes())
+                ends.append(upto + ends[-1][-1])
+            ids, cuts = b"".join(parts), np.concatenate(ends)[np.array(bounds[at : end + 1]) - first] * 4
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield ids[a:b]
+            at, first = end, bounds[end]
 
     return encode
 
@@ -119,7 +161,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "
 
     def run(batches):
         encode = held(("packing", tokenizer), lambda: encoder(tokenizer))  # a worker keeps what it learned from task to task
-        for part, chunk in texts(batches, keep=True):
+        for part, chunk in texts(batches, rows=4096, octets=8 << 20, keep=True):
             out: list[tuple] = []
             for k, ids in zip(part.column(0), encode(chunk), strict=True):
                 ids += b"\0\0\0\0"

@@ -65,6 +65,41 @@ class Memo(dict):
             self.update(new)
 
 
+class Recent:
+    """Values of distinct words, worked out for many missing words at once. Beyond a bound of bytes the half goes that hasn't come for
+    longest."""
+
+    def __init__(self, work_out: Callable[[list[bytes]], Iterable], bound: int = MEMO_BYTES, slice_: int = 8_000):
+        self.work_out, self.bound, self.slice, self.size = work_out, bound, slice_, 0
+        self.young: dict[bytes, Any] = {}
+        self.old: dict[bytes, Any] = {}
+
+    def get(self, word: bytes) -> Any:
+        v = self.young.get(word)
+        return self.old.get(word) if v is None else v
+
+    def values(self, words: list[bytes]) -> list:
+        found = list(map(self.young.get, words))
+        new, missing = {}, []
+        for i in [i for i, v in enumerate(found) if v is None]:
+            w = words[i]
+            v = self.old.get(w)
+            if v is None:
+                missing.append(i)
+            else:
+                found[i] = new[w] = v
+        for at in range(0, len(missing), self.slice):
+            part = missing[at : at + self.slice]
+            own = [words[i] for i in part]
+            for i, w, v in zip(part, own, self.work_out(own), strict=True):
+                found[i] = new[w] = v
+        self.size += _size(new)
+        self.young.update(new)
+        if self.size > self.bound // 2:
+            self.young, self.old, self.size = {}, self.young, 0
+        return found
+
+
 def _size(values: dict[bytes, Any]) -> int:
     return sum(map(len, values)) + sum(map(len, values.values())) + WORD_BYTES * len(values)
 
