@@ -36,8 +36,8 @@ SHAPE_RATE = 0.004
 FIRST, FAST_FROM = 340_000, 508_000
 FEW, MANY, MANY_FROM = 100, 250, 630_000
 LEAST_SATS, ROUND_DIGITS = 1000, (1, 2, 3, 5, 6, 10)
-#: Blocks of a chunk.
-CHUNK = 2016
+#: Blocks of a chunk, and tasks of chunks at most.
+CHUNK, MOST_TASKS = 2016, 2000
 _PAD = 420
 
 
@@ -111,13 +111,13 @@ class Window:
     def __init__(self, regime: Regime):
         self.regime, self.rows = regime, []
 
-    def push(self, histogram: np.ndarray) -> None:
+    def push(self, histogram: tuple[np.ndarray, np.ndarray]) -> None:
         self.rows = [histogram, *self.rows[: self.regime.blocks - 1]]
 
     def average(self) -> np.ndarray:
         out = np.zeros(BINS + 2 * _PAD)
-        for age, h in enumerate(self.rows):
-            out[_PAD : _PAD + BINS] += self.regime.rate * (1 - self.regime.rate) ** age * h
+        for age, (bins, counts) in enumerate(self.rows):
+            out[bins + _PAD] += self.regime.rate * (1 - self.regime.rate) ** age * counts
         return out
 
 
@@ -133,11 +133,9 @@ def picks(average: np.ndarray, before: np.ndarray, regime: Regime, profile: np.n
     searched = before[:, None] + np.arange(-regime.below, regime.above + 1)
     inside = (searched >= 0) & (searched < BINS)
     at = np.clip(searched, 0, BINS - 1)
-    score = np.zeros(searched.shape)
-    for arm in ARMS:
-        mass = np.where(inside, average[_PAD + at + arm], 0.0)
-        peak = mass.max(1, keepdims=True)
-        score += np.divide(mass, peak, out=np.zeros_like(mass), where=peak > 0)
+    mass = np.where(inside, average[at + (np.array(ARMS) + _PAD)[:, None, None]], 0.0)
+    peak = mass.max(2, keepdims=True)
+    score = np.divide(mass, peak, out=np.zeros_like(mass), where=peak > 0).sum(0)  # one arm after the other
     if regime.shape:
         arms = np.stack([average[_PAD + at + a] for a in ARMS], -1)
         total = arms.sum(-1, keepdims=True)
@@ -158,14 +156,12 @@ def rounded(b: np.ndarray | float) -> np.ndarray:
     return np.floor(np.asarray(b) + 0.5).astype(np.int64)
 
 
-def _blocks(rows: pd.DataFrame, first: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(height, histogram) of first to end - 1; blocks without payments are empty."""
+def _blocks(rows: pd.DataFrame, first: int, end: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """(height, histogram as its bins and counts) of first to end - 1; blocks without payments are empty."""
     have = dict(zip(rows["height"].tolist(), zip(rows["bins"], rows["counts"], strict=True), strict=True))
     for h in range(first, end):
-        out = np.zeros(BINS)
-        if h in have:
-            out[np.asarray(have[h][0], np.int64)] = have[h][1]
-        yield h, out
+        bins, counts = have.get(h, ((), ()))
+        yield h, (np.asarray(bins, np.int64), np.asarray(counts, np.float64))
 
 
 def _learning(rows: DataFrame, state: State, origin: int, end: int, regime: Regime) -> tuple[DataFrame, State]:
@@ -207,7 +203,10 @@ def _free(rows: DataFrame, state: State, origin: int, end: int, regime: Regime,
     empty = rows.sparkSession.range((end - 1 - first) // chunk + 1).select(F.col("id").alias("chunk"))  # chunks without payments run, too
     dealt = cut(empty.join(dealt, "chunk", "left"))
 
-    def blocks_of(own: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, bool]]:
+    # A chunk is much work and few bytes, by which tasks would be made too few.
+    by_chunk = lambda: dealt.repartition(min((end - 1 - first) // chunk + 1, MOST_TASKS), "chunk").groupBy("chunk")
+
+    def blocks_of(own: pd.DataFrame) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], bool]]:
         c = int(own["chunk"].iloc[0])
         a, z = first + c * chunk, min(first + (c + 1) * chunk, end)
         for h, x in _blocks(own.dropna(subset=["height"]), max(origin, a - halo), z):
@@ -222,7 +221,7 @@ def _free(rows: DataFrame, state: State, origin: int, end: int, regime: Regime,
                 ends, where = picks(window.average(), now, regime), where_now[where]
         return pd.DataFrame({"chunk": own["chunk"].iloc[:1], "ends": [ends[where].tolist()]})
 
-    table = dealt.groupBy("chunk").applyInPandas(function, "chunk long, ends array<double>").orderBy("chunk")
+    table = cut(by_chunk().applyInPandas(function, "chunk long, ends array<double>")).orderBy("chunk")
     b, starts = state.bin, {}
     for r in table.toLocalIterator():  # a row of BINS numbers a chunk
         starts[r.chunk] = b
@@ -237,7 +236,7 @@ def _free(rows: DataFrame, state: State, origin: int, end: int, regime: Regime,
                 out.append((h, at))
         return pd.DataFrame(out, columns=["height", "bin"])
 
-    return dealt.groupBy("chunk").applyInPandas(replay, "height long, bin double"), State(end, b, state.profile)
+    return by_chunk().applyInPandas(replay, "height long, bin double"), State(end, b, state.profile)
 
 
 def estimate(rows: DataFrame, end: int, state: State, origin: int | None = None, fast_from: int = FAST_FROM, slow: Regime = SLOW, fast: Regime = FAST, chunk: int = CHUNK) -> tuple[DataFrame, State]:

@@ -107,3 +107,18 @@ def test_nothing_to_do_and_blocks_without_payments(spark):
     assert out.count() == 0 and state.bin == 1500.0
     out, _ = P.estimate(none, 16, P.State(10, 1500.0), fast_from=13, chunk=2)
     assert [r.bin for r in out.orderBy("height").collect()] == [1488.0, 1476.0, 1464.0, 1452.0, 1440.0, 1428.0]  # of equal scores the first
+
+
+def test_chunks_are_dealt_to_tasks_however_small_they_are(spark):
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).numCompleteTasks() for i in range(found.size())}
+
+    rows = frame(spark, chain(random.Random(2), 230))
+    before = stages()
+    P.estimate(rows, 1230, P.State(1000, 1500.0), fast_from=1000, chunk=10)[0].collect()
+    assert sum(n == 23 for stage, n in stages().items() if stage not in before) >= 2  # both passes; by bytes they were a task each
