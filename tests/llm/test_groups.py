@@ -92,6 +92,21 @@ def test_recall_of_fifty_thousand(spark):
     assert recall(spark, x * np.exp(0.3 * rng.normal(size=(50_000, 1)))) >= 0.9
 
 
+def test_messages_of_a_search_do_not_multiply(spark, monkeypatch):
+    """Each exchange has a message at most for a part from each other, however many hops came before."""
+    sent, exchange = [], N._exchange
+
+    def counted(frames, run, parts, **kinds):
+        out = N.cut(exchange(frames, run, parts, **kinds))
+        sent.append((out.count(), parts))
+        return out
+
+    monkeypatch.setattr(N, "_exchange", counted)
+    monkeypatch.setattr(N, "PART", 48)
+    assert recall(spark, np.random.default_rng(14).normal(size=(600, 12))) >= 0.95
+    assert min(parts for _, parts in sent) >= 12 and all(rows <= parts * (parts + 2) for rows, parts in sent)
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     q = df.filter("vec_id % 20 = 0").select("vec_id")
