@@ -92,6 +92,10 @@ def test_recall_of_fifty_thousand(spark):
     assert recall(spark, x * np.exp(0.3 * rng.normal(size=(50_000, 1)))) >= 0.9
 
 
+def test_recall_of_directions_without_clusters(spark):
+    assert recall(spark, np.random.default_rng(15).normal(size=(20_000, 128))) >= 0.98
+
+
 def test_messages_of_a_search_do_not_multiply(spark, monkeypatch):
     """Each exchange has a message at most for a part from each other, however many hops came before."""
     sent, exchange = [], N._exchange
