@@ -96,6 +96,14 @@ def test_recall_of_directions_without_clusters(spark):
     assert recall(spark, np.random.default_rng(15).normal(size=(20_000, 128))) >= 0.98
 
 
+def test_recall_where_parts_are_copied(spark, monkeypatch):
+    """Parts that many ask are copied, and their messages dealt over the copies."""
+    monkeypatch.setattr(N, "PART", 200)
+    monkeypatch.setattr(N, "LOAD", 1000)
+    rng = np.random.default_rng(16)
+    assert recall(spark, rng.normal(size=(2000, 24)) * np.exp(0.7 * rng.normal(size=(2000, 1)))) >= 0.95
+
+
 def test_messages_of_a_search_do_not_multiply(spark, monkeypatch):
     """Each exchange has a message at most for a part from each other, however many hops came before."""
     sent, exchange = [], N._exchange
